@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filter
+from . import language, packing, quality_rules, url_filter, wavelet
 
 QUERIES = {
+    "op1_language_id": language.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_token_wavelet": wavelet.query,
     "op8_url_filter": url_filter.query,
+    "op9_packing": packing.query,
 }
 
 ORACLE_SQL = {
