@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, packing, quality_rules, url_filter, wavelet
+from . import language, packing, quality_rules, sentencepiece_bpe, url_filter, wavelet
 
 QUERIES = {
     "op1_language_id": language.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_token_wavelet": wavelet.query,
     "op8_url_filter": url_filter.query,
     "op9_packing": packing.query,
+    "op10_sentencepiece": sentencepiece_bpe.query,
 }
 
 ORACLE_SQL = {
