@@ -121,22 +121,24 @@ def edit_neighbours(documents: DataFrame) -> DataFrame:
     first). Texts move once, by id; then each sends its beginning and fingerprint to the one before
     it. Exact repeats of a row share the result; see ``_followers`` for repeated and null ids.
     """
-    t = F.coalesce("text", F.lit(""))
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("text"))
-    base = base.withColumns({"h": F.xxhash64("text"), "n": F.length("text").cast("long")})
-    follow = stored(_followers(base.select("doc_id", "h", "n")), "followers")
+    ids = F.col("doc_id").cast("long")
+    base = documents.select(ids.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    follow = stored(_followers(base.select("doc_id", "h", F.length("text").cast("long").alias("n"))), "followers")
     repeats = follow.agg(F.max("copies")).first()[0] or 0
-    marked = base.withColumn("d", digits(F.col("text"))).repartition("doc_id", "h")
-    f = follow.select(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h"), "to_id", "to_h", "take").hint("shuffle_hash")
-    given = marked.join(f, marked["doc_id"].eqNullSafe(f["f_id"]) & (marked["h"] == f["f_h"])).select(
-        "to_id", "to_h", F.left(F.col("text"), F.col("take")).alias("beginning"), F.col("d").alias("next_d")
-    )
+    # Both joins ask for the same columns dealt by the same three keys, so the texts move once.
+    key = ["id", "no_id", "h"]
+    marked = base.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "h", "text", digits(F.col("text")).alias("d"))
+    f = follow.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "h", "to_id", "to_h", "take")
+    given = marked.join(f.hint("shuffle_hash"), key).select(
+        F.coalesce("to_id", F.lit(0)).alias("id"), F.col("to_id").isNull().alias("no_id"), F.col("to_h").alias("h"),
+        F.left(F.col("text"), F.col("take")).alias("beginning"), F.col("d").alias("next_d"),
+    )
     if repeats > 1:  # repeats of the next document would multiply this one
-        given = given.dropDuplicates(["to_id", "to_h"])
-    own = marked.hint("merge")
-    both = own.join(given, own["doc_id"].eqNullSafe(given["to_id"]) & (own["h"] == given["to_h"]))
-    edited = F.concat(F.left(F.col("text"), (F.col("n") - F.floor(F.col("n") / 3)).cast("int")), F.col("beginning"))
-    out = both.select("doc_id", F.col("n").alias("n_chars"), edited.alias("edited"), "d", "next_d")
+        given = given.dropDuplicates(key)
+    both = marked.join(given.hint("shuffle_hash"), key)
+    n = F.length("text").cast("long")
+    edited = F.concat(F.left(F.col("text"), (n - F.floor(n / 3)).cast("int")), F.col("beginning"))
+    out = both.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), n.alias("n_chars"), edited.alias("edited"), "d", "next_d")
     out = out.withColumn("edited_d", digits(F.col("edited")))
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed(F.col("d")).alias("fingerprint"),

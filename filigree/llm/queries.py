@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, packing, quality_rules, sentencepiece_bpe, url_filter, wavelet
+from . import fingerprint, language, near_duplicates, packing, quality_rules, sentencepiece_bpe, url_filter, wavelet
 
 QUERIES = {
     "op1_language_id": language.query,
     "op2_fingerprints": fingerprint.query,
+    "op3_near_duplicates": near_duplicates.query,
     "op5_quality_rules": quality_rules.query,
     "op6_token_wavelet": wavelet.query,
     "op8_url_filter": url_filter.query,
