@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, near_duplicates, packing, quality_rules, sentencepiece_bpe, url_filter, wavelet
+from . import fingerprint, language, licenses, near_duplicates, packing, quality_rules, sentencepiece_bpe, url_filter, wavelet
 
 QUERIES = {
     "op1_language_id": language.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_duplicates": near_duplicates.query,
     "op5_quality_rules": quality_rules.query,
     "op6_token_wavelet": wavelet.query,
+    "op7_license_scan": licenses.query,
     "op8_url_filter": url_filter.query,
     "op9_packing": packing.query,
     "op10_sentencepiece": sentencepiece_bpe.query,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_quality_rules": quality_rules.SQL,
+    "op7_license_scan": licenses.SQL,
     "op8_url_filter": url_filter.SQL,
 }
