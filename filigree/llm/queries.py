@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, licenses, near_duplicates, packing, quality_rules, sentencepiece_bpe, url_filter, wavelet
+from . import fingerprint, language, licenses, near_duplicates, packing, quality_classifier, quality_rules, sentencepiece_bpe, url_filter, wavelet
 
 QUERIES = {
     "op1_language_id": language.query,
     "op2_fingerprints": fingerprint.query,
     "op3_near_duplicates": near_duplicates.query,
+    "op4_quality_classifier": quality_classifier.query,
     "op5_quality_rules": quality_rules.query,
     "op6_token_wavelet": wavelet.query,
     "op7_license_scan": licenses.query,
