@@ -1,6 +1,11 @@
-"""All registered queries and their SQL oracles, collected from the operator modules."""
+"""All registered queries and their SQL oracles, collected from the plan modules."""
 
 from __future__ import annotations
 
+from . import dataset_plans, fact_plans, filing_plans, graph_plans, metric_plans, ranking_plans, scalar_plans
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (scalar_plans, filing_plans, fact_plans, graph_plans, ranking_plans, metric_plans, dataset_plans):
+    QUERIES |= _module.PLANS.queries
+    ORACLES |= _module.PLANS.oracles
