@@ -6,6 +6,7 @@ gives null out; a text that doesn't have the shape gives null or an empty string
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,6 +37,12 @@ _CLAUSE = r"(?i)for period (.+)$"
 _FACT = r"(?i)XBRL ([A-Za-z0-9_]+)[^:\n]*:\s*(\$?[0-9,.]+ (?:billion|million|trillion)?(?:\s*USD)?)(?:\s*for period ([0-9]{4}-[0-9]{2}-[0-9]{2})\s*-\s*([0-9]{4}-[0-9]{2}-[0-9]{2}))?"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for all its uses in ``body``: an outer expression named in a lambda is
+    evaluated for each element, a lambda variable isn't."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _any(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
@@ -267,9 +274,15 @@ def hash_embed(text: Column, dims: int = 64) -> Column:
     two hex digits of a word's digest decide its place."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
     places = F.transform(words, lambda w: F.conv(F.right(F.sha2(w, 256), F.lit(2)), 16, 10).cast("int") % dims)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+    def unit(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+        return let(norm, lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+
+    def counted(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(p, lambda x: x == i)).cast("double"))
+
+    return let(let(places, counted), unit)
 
 
 def cosine_unit(a: Column, b: Column) -> Column:

@@ -1,3 +1,225 @@
+"""Queries over the scalar functions, each with SQL written on its own."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..sources.views import Frames
 from .plan import Plans
 
 PLANS = Plans()
+
+
+@PLANS.add("b1_accession_of", r"""
+SELECT node_id, CASE WHEN regexp_extract(node_id, '[0-9]{10}-[0-9]{2}-[0-9]{6}') <> '' THEN regexp_extract(node_id, '[0-9]{10}-[0-9]{2}-[0-9]{6}')
+  WHEN starts_with(node_id, 'doc-') THEN substr(node_id, 5) ELSE '' END AS accession,
+  'doc-' || regexp_extract(node_id, '[0-9]{10}-[0-9]{2}-[0-9]{6}') AS root
+FROM doc_lines""", ("doc_lines",))
+def accession(f: Frames) -> DataFrame:
+    found = S.accession_of(F.col("node_id"))
+    return f["doc_lines"].select("node_id", found.alias("accession"), S.document_root(found).alias("root"))
+
+
+@PLANS.add("b2_parse_period", r"""
+SELECT fact_id,
+  CASE WHEN excerpt LIKE '%for period %' THEN try_cast(regexp_extract(excerpt, 'for period ([0-9-]{10})', 1) AS DATE) END AS period_start,
+  CASE WHEN excerpt LIKE '% - %' THEN try_cast(right(excerpt, 10) AS DATE)
+       WHEN excerpt LIKE '%for period %' THEN try_cast(regexp_extract(excerpt, 'for period ([0-9-]{10})', 1) AS DATE) END AS period_end
+FROM excerpts""", ("excerpts",))
+def period(f: Frames) -> DataFrame:
+    return f["excerpts"].select("fact_id", S.parse_period(F.col("excerpt")).alias("p")).select("fact_id", "p.*")
+
+
+@PLANS.add("b3_format_fact_value", r"""
+WITH v AS (SELECT fact_id, value_num, value_num / 1000000.0::DOUBLE AS m FROM facts)
+SELECT fact_id, CASE WHEN m >= 1000 THEN printf('$%.2f billion', m / 1000) WHEN m >= 1 THEN printf('$%.2f million', m) ELSE format('${:,.0f}', m) END AS shown FROM v""", ("facts",))
+def fact_value(f: Frames) -> DataFrame:
+    return f["facts"].select("fact_id", S.format_fact_value(F.col("value_num").cast("string"), F.lit("-6")).alias("shown"))
+
+
+@PLANS.add("b4_fact_excerpt", r"""
+SELECT fact_id, 'XBRL ' || concept || ': ' || value_num::VARCHAR || CASE WHEN form_type = '10-K' THEN ' USD' ELSE '' END || ' for period ' || period_start::VARCHAR || ' to ' || period_end::VARCHAR AS excerpt FROM facts""", ("facts",))
+def excerpt(f: Frames) -> DataFrame:
+    p = F.concat_ws(" to ", F.col("period_start").cast("string"), F.col("period_end").cast("string"))
+    return f["facts"].select("fact_id", S.fact_excerpt(F.col("concept"), F.col("value_num").cast("string"), F.when(F.col("form_type") == "10-K", "USD").otherwise(""), p).alias("excerpt"))
+
+
+@PLANS.add("b5_parse_fact_excerpt", r"""
+WITH e AS (SELECT fact_id, excerpt, regexp_extract(excerpt, '(?i)XBRL ([A-Za-z0-9_]+)[^:\n]*:\s*(\$?[0-9,.]+ (?:billion|million|trillion)?(?:\s*USD)?)(?:\s*for period ([0-9]{4}-[0-9]{2}-[0-9]{2})\s*-\s*([0-9]{4}-[0-9]{2}-[0-9]{2}))?', ['c', 'v', 's', 'e']) AS g FROM excerpts)
+SELECT fact_id, g.c AS concept, trim(g.v) AS value_display, g.s AS period_start, g.e AS period_end, ends_with(g.s, '-01-01') AND ends_with(g.e, '-12-31') AS is_annual FROM e""", ("excerpts",))
+def parse_excerpt(f: Frames) -> DataFrame:
+    return f["excerpts"].select("fact_id", S.parse_fact_excerpt(F.col("excerpt")).alias("p")).select("fact_id", "p.*")
+
+
+@PLANS.add("b6_parse_display_value", r"""
+SELECT fact_id, value_num::DOUBLE * CASE WHEN value_num % 3 = 0 THEN 1e6 WHEN value_num % 3 = 1 THEN 1e9 ELSE 1.0 END AS value,
+  CASE WHEN value_num % 3 = 0 THEN 'millions' WHEN value_num % 3 = 1 THEN 'billions' ELSE 'units' END AS scale FROM excerpts""", ("excerpts",))
+def display_value(f: Frames) -> DataFrame:
+    shown = S.parse_fact_excerpt(F.col("excerpt"))["value_display"]
+    return f["excerpts"].select("fact_id", S.parse_display_value(shown).alias("value"), S.detect_scale(shown).alias("scale"))
+
+
+@PLANS.add("b7_format_number_display", r"""
+SELECT fact_id, CASE WHEN value_num % 7 = 0 THEN printf('%.2f%%', value_num::DOUBLE) WHEN value_num >= 1e9 THEN printf('$%.2f billion', value_num / 1e9) WHEN value_num >= 1e6 THEN printf('$%.2f million', value_num / 1e6)
+  WHEN value_num >= 1e3 THEN format('{:,.0f}', value_num::DOUBLE) ELSE printf('%.2f', value_num::DOUBLE) END AS shown FROM facts""", ("facts",))
+def number_display(f: Frames) -> DataFrame:
+    return f["facts"].select("fact_id", S.format_number_display(F.col("value_num").cast("double"), F.col("value_num") % 7 == 0).alias("shown"))
+
+
+_ANSWERS = """
+CASE WHEN value_num % 6 = 0 THEN '$' || value_num || ' million' WHEN value_num % 6 = 1 THEN '$ ' || value_num || '.5 billion' WHEN value_num % 6 = 2 THEN value_num || '%'
+ WHEN value_num % 6 = 3 THEN 'about ' || value_num WHEN value_num % 6 = 4 THEN '-' || value_num ELSE format('{:,}', value_num) END"""
+
+
+def _answers() -> F.Column:
+    v = F.col("value_num")
+    s, m = v.cast("string"), v % 6
+    return (
+        F.when(m == 0, F.concat(F.lit("$"), s, F.lit(" million"))).when(m == 1, F.concat(F.lit("$ "), s, F.lit(".5 billion"))).when(m == 2, F.concat(s, F.lit("%")))
+        .when(m == 3, F.concat(F.lit("about "), s)).when(m == 4, F.concat(F.lit("-"), s)).otherwise(F.format_string("%,d", v))
+    )
+
+
+@PLANS.add("b9_numeric_answers", f"""
+SELECT fact_id, {_ANSWERS} AS answer,
+  CASE value_num % 6 WHEN 0 THEN value_num * 1e6 WHEN 1 THEN (value_num || '.5')::DOUBLE * 1e9 WHEN 2 THEN value_num::DOUBLE WHEN 3 THEN NULL WHEN 4 THEN -value_num::DOUBLE ELSE value_num::DOUBLE END AS value,
+  CASE WHEN value_num % 6 = 3 THEN NULL ELSE round_even(CASE value_num % 6 WHEN 0 THEN value_num::DOUBLE WHEN 1 THEN (value_num || '.5')::DOUBLE * 1000.0 WHEN 4 THEN -value_num / 1e6 ELSE value_num / 1e6 END, 0)::BIGINT::VARCHAR END AS raw
+FROM facts""", ("facts",))
+def numeric_answers(f: Frames) -> DataFrame:
+    a = _answers()
+    return f["facts"].select("fact_id", a.alias("answer"), S.parse_numeric_gt(a).alias("value"), S.infer_raw_value(a).alias("raw"))
+
+
+@PLANS.add("b10_numeric_equivalent", r"""
+SELECT a.fact_id, abs(a.value_num - b.value_num) / greatest(a.value_num, b.value_num, 1)::DOUBLE <= 0.02 AS same
+FROM facts a JOIN facts b ON a.accession = b.accession AND a.concept = 'IncomeLossBeforeIncomeTaxes' AND b.concept = 'InventoryNet'""", ("facts",))
+def equivalent(f: Frames) -> DataFrame:
+    a = f["facts"].where("concept = 'IncomeLossBeforeIncomeTaxes'").select("accession", "fact_id", F.col("value_num").alias("a"))
+    b = f["facts"].where("concept = 'InventoryNet'").select("accession", F.col("value_num").alias("b"))
+    return a.join(b, "accession").select("fact_id", S.numeric_equivalent(F.col("a").cast("string"), F.col("b").cast("string")).alias("same"))
+
+
+@PLANS.add("b11_excerpt_matches_value", r"""
+WITH n AS (SELECT fact_id, value_num * 1e6 AS target, excerpt, unnest(regexp_extract_all(replace(excerpt, ',', ''), '-?[0-9]+(?:\.[0-9]+)?'))::DOUBLE AS x FROM excerpts)
+SELECT fact_id, bool_or(abs(x - target) / greatest(abs(x), abs(target), 1.0) <= 0.02 OR (excerpt ILIKE '%billion%' AND x * 1e9 = target) OR (excerpt ILIKE '%million%' AND x * 1e6 = target)) AS matches
+FROM n GROUP BY fact_id""", ("excerpts",))
+def matches(f: Frames) -> DataFrame:
+    return f["excerpts"].select("fact_id", S.excerpt_matches_value(F.col("excerpt"), F.col("value_num") * 1e6).alias("matches"))
+
+
+@PLANS.add("b13_concept_family", r"""
+SELECT fact_id, CASE concept WHEN 'Revenues' THEN 'revenue' WHEN 'CostOfRevenue' THEN 'revenue' WHEN 'NetIncomeLoss' THEN 'income' WHEN 'IncomeTaxExpenseBenefit' THEN 'income'
+  WHEN 'IncomeLossBeforeIncomeTaxes' THEN 'income' WHEN 'Assets' THEN 'assets' WHEN 'StockholdersEquity' THEN 'equity' WHEN 'CashAndCashEquivalents' THEN 'cash' WHEN 'InventoryNet' THEN 'inventory' ELSE 'liabilities' END AS family,
+  CASE concept WHEN 'Revenues' THEN 'Revenues' WHEN 'CostOfRevenue' THEN 'Cost Of Revenue' WHEN 'NetIncomeLoss' THEN 'Net Income Loss' WHEN 'IncomeTaxExpenseBenefit' THEN 'Income Tax Expense Benefit'
+  WHEN 'IncomeLossBeforeIncomeTaxes' THEN 'Income Loss Before Income Taxes' WHEN 'Assets' THEN 'Assets' WHEN 'StockholdersEquity' THEN 'Stockholders Equity' WHEN 'CashAndCashEquivalents' THEN 'Cash And Cash Equivalents'
+  WHEN 'InventoryNet' THEN 'Inventory Net' ELSE 'Liabilities Current' END AS label FROM facts""", ("facts",))
+def family(f: Frames) -> DataFrame:
+    c = F.col("concept")
+    return f["facts"].select("fact_id", S.concept_family(c).alias("family"), S.split_camel_label(c).alias("label"))
+
+
+@PLANS.add("b16_concept_guard", r"""
+WITH x(fam) AS (VALUES ('equity'), ('tax_rate'), ('dividend_payout'), ('margin'), ('assets'), ('segment_revenue'), ('none'))
+SELECT fam AS family, concept, count(*) AS n FROM facts CROSS JOIN x
+WHERE CASE fam WHEN 'equity' THEN concept = 'StockholdersEquity' WHEN 'tax_rate' THEN concept = 'IncomeTaxExpenseBenefit' WHEN 'dividend_payout' THEN false
+  WHEN 'margin' THEN regexp_matches(concept, 'Income|Revenue') WHEN 'assets' THEN concept = 'Assets' WHEN 'segment_revenue' THEN false ELSE true END GROUP BY 1, 2""", ("facts",))
+def guard(f: Frames) -> DataFrame:
+    families = F.explode(F.array(*map(F.lit, ("equity", "tax_rate", "dividend_payout", "margin", "assets", "segment_revenue", "none"))))
+    counted = f["facts"].groupBy("concept").agg(F.count("*").alias("n")).select(families.alias("family"), "concept", "n")
+    return counted.where(S.concept_passes_guard(F.col("concept"), F.col("family")))
+
+
+@PLANS.add("b18_question_features", r"""
+WITH q AS (SELECT *, query_id % 12 AS n FROM questions)
+SELECT query_id, CASE n WHEN 2 THEN 'ratio' WHEN 6 THEN 'ratio' WHEN 9 THEN 'ratio' WHEN 1 THEN 'percent_change' WHEN 10 THEN 'delta' ELSE 'point' END AS metric_type,
+  CASE n WHEN 2 THEN 'tax_rate' WHEN 6 THEN 'dividend_payout' WHEN 7 THEN 'segment_revenue' WHEN 9 THEN 'margin' WHEN 10 THEN 'assets' END AS family,
+  CASE n WHEN 1 THEN 'qualitative' WHEN 2 THEN 'qualitative' WHEN 3 THEN 'qualitative' WHEN 5 THEN 'hybrid' WHEN 8 THEN 'qualitative' WHEN 11 THEN 'qualitative' ELSE 'numeric' END AS intent,
+  CASE n WHEN 0 THEN 'latest_annual' WHEN 2 THEN 'latest_annual' WHEN 3 THEN 'latest_annual' WHEN 4 THEN 'latest_quarter' WHEN 8 THEN 'prior_quarter' WHEN 10 THEN 'latest_annual' END AS anchor,
+  CASE n WHEN 0 THEN '10-K' WHEN 3 THEN '10-K' WHEN 8 THEN '10-Q' END AS form,
+  n IN (2, 10) AS annual FROM q""", ("questions",))
+def question_features(f: Frames) -> DataFrame:
+    q = F.col("question")
+    m = S.metric_type(q)
+    return f["questions"].select("query_id", m.alias("metric_type"), S.query_concept_family(q, m).alias("family"), S.query_intent(q)["intent"].alias("intent"), S.query_anchor(q).alias("anchor"), S.form_preference(q).alias("form"), S.annual_requested(q).alias("annual"))
+
+
+@PLANS.add("b25_section_paths", r"""
+SELECT node_id, regexp_replace(lower(node_id || '/Item ' || (doc_id % 9) || 'A. x'), '[^a-z0-9]', '', 'g') AS key, node_id AS accession, 'Item ' || (doc_id % 9) || 'A. x' AS tail, 'item' || (doc_id % 9) || 'a' AS item
+FROM doc_lines""", ("doc_lines",))
+def section_paths(f: Frames) -> DataFrame:
+    tail = F.concat(F.lit("Item "), (F.col("doc_id") % 9).cast("string"), F.lit("A. x"))
+    path = F.concat(F.col("node_id"), F.lit("/"), tail)
+    parts = S.split_section_path(path)
+    return f["doc_lines"].select("node_id", S.section_key(path).alias("key"), parts["accession"].alias("accession"), parts["tail"].alias("tail"), S.item_key(S.section_key(tail)).alias("item"))
+
+
+@PLANS.add("b27_evidence_stratum", r"""
+SELECT doc_id % 97 AS item_id, CASE WHEN count(DISTINCT doc_id % 3 = 0) > 1 THEN 'mixed' WHEN bool_and(doc_id % 3 = 0) THEN 'xbrl' ELSE 'html' END AS stratum FROM doc_lines GROUP BY 1""", ("doc_lines",))
+def stratum(f: Frames) -> DataFrame:
+    chunk = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("xbrl-"), F.col("doc_id"))).otherwise(F.concat(F.lit("html-"), F.col("doc_id")))
+    kinds = f["doc_lines"].groupBy((F.col("doc_id") % 97).alias("item_id")).agg(F.collect_set(F.concat(S.chunk_kind(chunk), F.lit("-"))).alias("kinds"))
+    return kinds.select("item_id", S.evidence_stratum(F.col("kinds")).alias("stratum"))
+
+
+@PLANS.add("b28_abstention", r"""
+SELECT doc_id, trim(coalesce(text, '')) = '' OR doc_id % 5 = 0 OR starts_with(lower(trim(text)), 'insufficient evidence') OR (doc_id % 2 = 0 AND lower(text) LIKE '%insufficient evidence%') AS abstained FROM documents""")
+def abstention(f: Frames) -> DataFrame:
+    d = F.col("doc_id")
+    return f["documents"].select("doc_id", S.is_abstention(F.col("text"), F.when(d % 5 == 0, "insufficient").otherwise("sufficient"), d % 2).alias("abstained"))
+
+
+@PLANS.add("b31_priority_tier", r"""
+SELECT variant_id, item_id, CASE WHEN outcome IS NULL OR outcome > 0 THEN 3 WHEN coalesce(mrr, 0) >= 0.5 OR coalesce(ndcg, 0) >= 0.3 THEN 1 ELSE 2 END AS tier,
+  CASE WHEN outcome IS NULL OR outcome > 0 THEN 0.0 WHEN coalesce(mrr, 0) >= 0.5 OR coalesce(ndcg, 0) >= 0.3 THEN greatest(coalesce(mrr, 0), coalesce(ndcg, 0)) ELSE 0.1 END::DOUBLE AS priority FROM results""", ("results",))
+def tiers(f: Frames) -> DataFrame:
+    t = S.priority_tier(F.col("outcome"), F.col("mrr"), F.col("ndcg"))
+    return f["results"].select("variant_id", "item_id", t["tier"].alias("tier"), t["priority"].alias("priority"))
+
+
+@PLANS.add("b32_hash_embed", r"""
+WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark),
+p AS (SELECT item_id, ('0x' || right(sha256(t), 2))::INT % 64 AS i, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2)
+SELECT b.item_id, i AS place, round(n / sqrt(sum(n * n) OVER (PARTITION BY b.item_id)), 9) AS weight FROM benchmark b JOIN p ON p.item_id = b.item_id""")
+def embed(f: Frames) -> DataFrame:
+    rows = f["benchmark"].select("item_id", F.posexplode(S.hash_embed(F.col("text"))).alias("place", "w"))
+    return rows.where("w > 0").select("item_id", "place", F.round("w", 9).alias("weight"))
+
+
+@PLANS.add("b33_cosine", r"""
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def cosine(f: Frames) -> DataFrame:
+    a = f["embeddings"].select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    b = f["embeddings"].select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(S.cosine_unit(F.col("x"), F.col("y")), 6).alias("cosine"))
+
+
+@PLANS.add("b34_ungrounded_numbers", r"""
+WITH n AS (SELECT c.conv_id, c.turn, c.text, b.text AS cited, regexp_extract_all(replace(c.text, ',', ''), '[0-9]+(?:\.[0-9]+)?') AS found FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % 40)
+SELECT conv_id, turn, array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i AND NOT contains(replace(cited, ',', ''), x)), ',') AS numbers FROM n""")
+def ungrounded(f: Frames) -> DataFrame:
+    cited = f["benchmark"].select(F.col("item_id"), F.col("text").alias("cited"))
+    rows = f["conversations"].join(cited, F.col("conv_id") % 40 == F.col("item_id"))
+    return rows.select("conv_id", "turn", F.array_join(S.ungrounded_numbers(F.col("text"), F.col("cited")), ",").alias("numbers"))
+
+
+@PLANS.add("b35_edgar_url", r"""
+SELECT accession, 'https://www.sec.gov/Archives/edgar/data/' || issuer_id || '/' || replace(accession, '-', '') || '/' || accession || '-index.htm' AS url FROM filings""", ("filings",))
+def url(f: Frames) -> DataFrame:
+    return f["filings"].select("accession", S.edgar_url(F.col("cik"), F.col("accession")).alias("url"))
+
+
+@PLANS.add("b24_narrative_kind", r"""
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'risk_factors' WHEN 1 THEN 'md_and_a' WHEN 2 THEN 'md_and_a' WHEN 3 THEN 'business_description' WHEN 4 THEN 'other' ELSE 'risk_factors' END AS kind FROM doc_lines""", ("doc_lines",))
+def kind(f: Frames) -> DataFrame:
+    titles = F.array(*map(F.lit, ("Risk Factors", "Management's Discussion", "Item 7 Results", "Item 1. Business", "Item 9 Controls", "ITEM 1A")))
+    return f["doc_lines"].select("doc_id", S.narrative_kind(titles[(F.col("doc_id") % 6).cast("int")]).alias("kind"))
+
+
+@PLANS.add("b37_year_mismatch", r"""
+SELECT query_id, accession, CASE query_id % 12 WHEN 2 THEN year(period_end) <> 2000 WHEN 6 THEN year(period_end) <> 1999 WHEN 10 THEN year(period_end) <> 2000 ELSE false END AS mismatch
+FROM questions JOIN filings ON questions.issuer_id = filings.issuer_id AND form_type = '10-K'""", ("questions", "filings"))
+def year_mismatch(f: Frames) -> DataFrame:
+    rows = f["questions"].join(f["filings"].where("form_type = '10-K'"), "issuer_id")
+    return rows.select("query_id", "accession", S.question_year_mismatch(F.col("question"), F.array(F.concat(F.lit("FY"), F.year("period_end").cast("string")))).alias("mismatch"))
