@@ -1,3 +1,105 @@
+"""Queries over the fact operators, each with SQL written on its own."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import facts as O
+from ..sources.views import Frames
 from .plan import Plans
 
 PLANS = Plans()
+_ANNUAL = "(strftime(period_start, '%m-%d') = '01-01' AND strftime(period_end, '%m-%d') = '12-31')"
+
+
+@PLANS.add("f20_revenue_yoy", """
+WITH v AS (SELECT issuer_id, period_end, max(value_num) AS value FROM facts WHERE concept = 'Revenues' AND form_type = '10-K' GROUP BY 1, 2),
+p AS (SELECT *, lag(value) OVER (PARTITION BY issuer_id ORDER BY period_end) AS prior FROM v)
+SELECT issuer_id, period_end, value, prior, value - prior AS delta, (value - prior) / nullif(abs(prior), 0)::DOUBLE * 100 AS percent_change FROM p""", ("facts",))
+def revenue_yoy(f: Frames) -> DataFrame:
+    return O.yoy_series(f["facts"], "Revenues")
+
+
+@PLANS.add("f1_consolidate_facts", """
+SELECT accession AS doc_id, row_number() OVER (PARTITION BY accession ORDER BY concept)::BIGINT AS record, concept, value_num::VARCHAR AS value, period_end::VARCHAR AS period, CASE WHEN value_num % 2 = 0 THEN 'USD' END AS currency, '-6' AS decimals FROM facts""", ("facts",))
+def consolidate(f: Frames) -> DataFrame:
+    v = F.col("value_num")
+    pairs = F.array(
+        F.struct(F.col("concept").alias("left"), F.concat(F.lit("value: "), v.cast("string")).alias("right")),
+        F.struct(F.lit("").alias("left"), F.concat(F.lit("period: "), F.col("period_end").cast("string")).alias("right")),
+        F.struct(F.lit("").alias("left"), F.when(v % 2 == 0, "currency: USD").otherwise("dimension: none").alias("right")),
+        F.struct(F.lit("").alias("left"), F.lit("decimals: 0").alias("right")), F.struct(F.lit("").alias("left"), F.lit("decimals: -6").alias("right")),
+    )
+    rows = f["facts"].select("accession", "concept", F.posexplode(pairs).alias("p", "kv")).select(F.col("accession").alias("doc_id"), F.struct("concept", "p").alias("ordinal"), "kv.*")
+    return O.consolidate_facts(rows)
+
+
+@PLANS.add("f2_select_facts", """
+SELECT accession, fact_id, position FROM (SELECT accession, fact_id, row_number() OVER (PARTITION BY accession ORDER BY CASE WHEN lower(concept) LIKE '%revenue%' THEN 0 WHEN concept IN ('Assets', 'NetIncomeLoss') THEN 1 ELSE 2 END, concept, fact_id)::INT AS position FROM facts) WHERE position <= 5""", ("facts",))
+def select(f: Frames) -> DataFrame:
+    return O.select_facts(f["facts"], ["Assets", "NetIncomeLoss"], 5).select("accession", "fact_id", "position")
+
+
+@PLANS.add("f3_fact_ids", "SELECT fact_id, 'doc-xbrl-' || left(sha256(concept || '|' || period_start::VARCHAR || ' - ' || period_end::VARCHAR), 12) AS node_id FROM facts", ("facts",))
+def ids(f: Frames) -> DataFrame:
+    return O.fact_ids(f["facts"]).select("fact_id", "node_id")
+
+
+@PLANS.add("f4_attach_taxonomy", """
+SELECT fact_id, CASE concept WHEN 'Revenues' THEN 'Revenues, total' WHEN 'Assets' THEN 'Assets, total' END AS label, CASE concept WHEN 'Revenues' THEN 'revenue' WHEN 'Assets' THEN 'assets' END AS metric_role FROM facts""", ("facts",))
+def taxonomy(f: Frames) -> DataFrame:
+    table = f["facts"].where("concept IN ('Revenues', 'Assets')").groupBy("concept").agg(F.first(F.concat("concept", F.lit(", total"))).alias("label"))
+    prefixed = f["facts"].withColumn("concept", F.concat(F.lit("us-gaap:"), F.col("concept")))
+    return O.attach_taxonomy(prefixed, table.withColumn("metric_role", F.lower(F.regexp_replace("concept", "Revenues", "Revenue")))).select("fact_id", "label", "metric_role")
+
+
+@PLANS.add("f9_period_type", "SELECT fact_id, CASE WHEN form_type = '10-K' THEN 'annual' ELSE 'interim' END AS period_type FROM facts", ("facts",))
+def types(f: Frames) -> DataFrame:
+    return f["facts"].select("fact_id", O.period_type(F.col("period_start"), F.col("period_end")).alias("period_type"))
+
+
+@PLANS.add("f11_trim_catalog", """
+SELECT issuer_id, fact_id, priority, position FROM (SELECT *, row_number() OVER (PARTITION BY issuer_id ORDER BY priority, CASE WHEN form_type = '10-K' THEN 0 ELSE 1 END, period_end DESC, fact_id)::INT AS position
+  FROM (SELECT *, CASE WHEN concept IN ('NetIncomeLoss', 'Revenues') THEN 0 WHEN concept = 'Assets' THEN 1 ELSE 2 END AS priority FROM facts)) WHERE position <= 50""", ("facts",))
+def trim(f: Frames) -> DataFrame:
+    return O.catalog_trim(f["facts"], [["NetIncomeLoss", "Revenues"], ["Assets", "Revenues"]]).select("issuer_id", "fact_id", "priority", "position")
+
+
+@PLANS.add("f13_point_fact", f"""
+WITH q AS (SELECT query_id, issuer_id, CASE WHEN query_id % 2 = 0 THEN 'assets' ELSE 'equity' END AS family FROM questions),
+c AS (SELECT query_id, fact_id, value_num, period_end, (100 - CASE WHEN family = 'assets' THEN 0 ELSE 1 END + CASE WHEN {_ANNUAL} THEN 20 ELSE 0 END + CASE WHEN year(period_end) = 1998 THEN 15 ELSE 0 END)::INT AS score
+  FROM q JOIN facts ON facts.issuer_id = q.issuer_id AND concept = CASE WHEN family = 'assets' THEN 'Assets' ELSE 'StockholdersEquity' END)
+SELECT query_id, fact_id, score, value_num FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, period_end DESC, fact_id) = 1""", ("facts", "questions"))
+def point(f: Frames) -> DataFrame:
+    q = f["questions"].select("query_id", "issuer_id", F.when(F.col("query_id") % 2 == 0, "assets").otherwise("equity").alias("family"), F.lit(1998).alias("target_year"))
+    return O.point_facts(q, f["facts"])
+
+
+@PLANS.add("f16_ratio_pair", f"""
+WITH p AS (SELECT a.issuer_id, a.period_start, a.period_end, a.fact_id AS nf, b.fact_id AS df, a.value_num AS num, b.value_num AS den FROM facts a JOIN facts b USING (issuer_id, period_start, period_end) WHERE a.concept = 'IncomeTaxExpenseBenefit' AND b.concept = 'IncomeLossBeforeIncomeTaxes')
+SELECT issuer_id, period_end, num, den, num / nullif(abs(den), 0)::DOUBLE * 100 AS ratio FROM p
+QUALIFY row_number() OVER (PARTITION BY issuer_id ORDER BY CASE WHEN {_ANNUAL} THEN 5 ELSE 0 END + CASE WHEN strftime(period_end, '%m-%d') = '12-31' THEN 1 ELSE 0 END DESC, period_end DESC, nf, df) = 1""", ("facts",))
+def ratio(f: Frames) -> DataFrame:
+    return O.ratio_pairs(f["facts"], "IncomeTaxExpenseBenefit", "IncomeLossBeforeIncomeTaxes")
+
+
+@PLANS.add("f19_missing_families", """
+WITH e AS (SELECT query_id, issuer_id, query_id % 3 AS k FROM questions), w AS (SELECT query_id, issuer_id, fam FROM e CROSS JOIN (VALUES ('income'), ('revenue')) AS t(fam) WHERE NOT (fam = 'revenue' AND k = 0)),
+x AS (SELECT query_id, fam AS family, fact_id, period_end FROM w JOIN facts ON facts.issuer_id = w.issuer_id AND CASE fam WHEN 'revenue' THEN concept IN ('Revenues', 'CostOfRevenue') ELSE concept IN ('NetIncomeLoss', 'IncomeTaxExpenseBenefit', 'IncomeLossBeforeIncomeTaxes') END)
+SELECT query_id, family, fact_id FROM x QUALIFY row_number() OVER (PARTITION BY query_id, family ORDER BY period_end DESC, fact_id) = 1""", ("facts", "questions"))
+def missing(f: Frames) -> DataFrame:
+    q = f["questions"].select("query_id", "issuer_id")
+    evidence = q.where("query_id % 3 = 0").join(f["facts"].where("concept = 'Revenues'"), "issuer_id").select("query_id", "fact_id")
+    return O.missing_families(q, evidence, f["facts"], ["income", "revenue"])
+
+
+@PLANS.add("f20_compute_metric", """
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey % 4 AS k, l_partkey AS new, CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 5 = 0 THEN 0 ELSE l_suppkey END AS old FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE k WHEN 0 THEN new::DOUBLE WHEN 1 THEN (new - old)::DOUBLE WHEN 2 THEN (new - old) / nullif(abs(old), 0)::DOUBLE * 100 ELSE new / nullif(abs(old), 0)::DOUBLE * 100 END AS value,
+  CASE WHEN k > 0 AND old IS NULL THEN 'missing_fact' WHEN k > 1 AND old = 0 THEN 'zero_base' END AS reason FROM p""")
+def metric(f: Frames) -> DataFrame:
+    k = F.col("l_partkey") % 4
+    kind = F.when(k == 0, "point").when(k == 1, "delta").when(k == 2, "percent_change").otherwise("ratio")
+    old = F.when(F.col("l_suppkey") % 7 == 0, F.lit(None)).when(F.col("l_suppkey") % 5 == 0, 0).otherwise(F.col("l_suppkey"))
+    return f["lineitem"].select("l_orderkey", "l_linenumber", O.compute_metric(kind, F.col("l_partkey"), old).alias("m")).select("l_orderkey", "l_linenumber", "m.*")
