@@ -1,3 +1,101 @@
+"""Queries over the graph operators, each with SQL written on its own."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import graph as G
+from ..sources.views import Frames
 from .plan import Plans
 
 PLANS = Plans()
+_SECTIONS = "s AS (SELECT node_id, node_id || '-s' || (i - 1) AS section_id, i - 1 AS ordinal, trim(line) AS body FROM (SELECT node_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM doc_lines) WHERE trim(line) <> '')"
+
+
+@PLANS.add("e2_section_edges", f"""
+WITH {_SECTIONS}, n AS (SELECT *, lag(section_id) OVER (PARTITION BY node_id ORDER BY ordinal) AS before FROM s)
+SELECT node_id AS source_id, section_id AS target_id, 'CONTAINS' AS edge_type FROM n UNION ALL SELECT before, section_id, 'NEXT' FROM n WHERE before IS NOT NULL""", ("doc_lines",))
+def section_edges(f: Frames) -> DataFrame:
+    return G.section_edges(G.sections_of(f["doc_lines"]))
+
+
+@PLANS.add("e3_paragraph_nodes", f"""
+WITH {_SECTIONS}, w AS (SELECT section_id, body, unnest(range(0, least(12, ceil(length(body) / 200.0))::BIGINT)) AS win FROM s WHERE length(body) > 40)
+SELECT section_id, win::INT AS "window", sha256(substr(body, win * 200 + 1, 200)) AS digest FROM w""", ("doc_lines",))
+def paragraphs(f: Frames) -> DataFrame:
+    return G.chunk_sections(G.sections_of(f["doc_lines"]), 200).select("section_id", "window", F.sha2("text", 256).alias("digest"))
+
+
+@PLANS.add("e9_same_concept_classes", """
+SELECT a.fact_id, (SELECT min(fact_id) FROM facts b WHERE b.concept = a.concept) AS class_id, (SELECT count(*) FROM facts b WHERE b.concept = a.concept AND b.accession <> a.accession) AS n_links FROM facts a""", ("facts",))
+def concepts(f: Frames) -> DataFrame:
+    return G.same_concept_classes(f["facts"])
+
+
+@PLANS.add("e10_collapse_parallel", """
+SELECT 'p-' || l_partkey AS source_id, 's-' || l_suppkey AS target_id, l_returnflag AS edge_type FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_returnflag DESC) = 1""")
+def collapse(f: Frames) -> DataFrame:
+    rows = f["lineitem"].select(F.concat(F.lit("p-"), "l_partkey").alias("source_id"), F.concat(F.lit("s-"), "l_suppkey").alias("target_id"), F.col("l_returnflag").alias("edge_type"), "l_orderkey", "l_linenumber")
+    return G.collapse_parallel(rows, F.struct("l_orderkey", "l_linenumber", "edge_type"))
+
+
+@PLANS.add("e12_edge_catalog", "SELECT event_type AS edge_type, count(*) AS n FROM events GROUP BY 1")
+def edge_catalog(f: Frames) -> DataFrame:
+    return G.catalog_violations(f["events"].select(F.col("event_type").alias("edge_type")))
+
+
+@PLANS.add("e7_orphan_check", "SELECT 'o-' || o_orderkey AS node_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 4", ("nodes",))
+def orphan(f: Frames) -> DataFrame:
+    roots = f["region"].where("r_regionkey <> 4").select(F.concat(F.lit("r-"), "r_regionkey").alias("root_id"))
+    return G.orphans(f["nodes"].where("node_type = 'CHUNK_ROW'"), f["edges"], roots)
+
+
+@PLANS.add("h1_hop_counts", """
+WITH RECURSIVE adj AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges),
+w AS (SELECT node_id AS source_id, node_id, 0 AS hops FROM nodes WHERE node_type = 'DOCUMENT' UNION SELECT w.source_id, adj.b, w.hops + 1 FROM w JOIN adj ON adj.a = w.node_id WHERE w.hops < 3)
+SELECT source_id, node_id, min(hops) AS hops FROM w GROUP BY 1, 2""", ("nodes", "edges"))
+def hops(f: Frames) -> DataFrame:
+    return G.hop_counts(f["nodes"].where("node_type = 'DOCUMENT'").select(F.col("node_id").alias("source_id")), f["edges"], 3)
+
+
+@PLANS.add("h2_containment_closure", """
+SELECT 'n-' || c_nationkey AS root_id, 'c-' || c_custkey AS node_id, 1 AS level FROM customer UNION ALL SELECT 'n-' || c_nationkey, 'o-' || o_orderkey, 2 FROM orders JOIN customer ON c_custkey = o_custkey""")
+def closure(f: Frames) -> DataFrame:
+    return G.containment_closure(f["nodes"].where("node_type = 'SECTION'").select(F.col("node_id").alias("root_id")), f["edges"])
+
+
+@PLANS.add("h4_neighbors", """
+SELECT DISTINCT node_id, CASE WHEN source_id = node_id THEN target_id ELSE source_id END AS neighbor_id FROM nodes JOIN edges ON node_id IN (source_id, target_id) WHERE node_type = 'SECTION'""", ("nodes", "edges"))
+def near(f: Frames) -> DataFrame:
+    return G.neighbors(f["nodes"].where("node_type = 'SECTION'").select("node_id"), f["edges"])
+
+
+@PLANS.add("h5_outgoing_edges", "SELECT node_id, target_id, edge_type FROM nodes JOIN edges ON source_id = node_id WHERE node_type = 'SECTION'", ("nodes", "edges"))
+def outgoing(f: Frames) -> DataFrame:
+    return G.outgoing_edges(f["nodes"].where("node_type = 'SECTION'").select("node_id"), f["edges"])
+
+
+@PLANS.add("h7_scan_ratio", """
+WITH n AS (SELECT o_custkey AS filing_id, count(*) AS navigable FROM orders GROUP BY 1), v AS (SELECT o_custkey AS filing_id, l_suppkey AS query_id, count(DISTINCT o_orderkey) AS visited FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT query_id, filing_id, visited, navigable, visited / navigable::DOUBLE AS ratio, visited / navigable::DOUBLE >= 0.9 AS full_scan FROM v JOIN n USING (filing_id)""")
+def ratio(f: Frames) -> DataFrame:
+    navigable = f["orders"].select(F.col("o_custkey").alias("filing_id"), F.col("o_orderkey").alias("node_id"))
+    visited = f["lineitem"].select(F.col("l_suppkey").alias("query_id"), F.col("l_orderkey").alias("node_id")).join(navigable, "node_id")
+    return G.scan_ratio(visited, navigable)
+
+
+@PLANS.add("h8_table_of_contents", """
+WITH k AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)
+SELECT 'r-' || n_regionkey AS root_id, 'n-' || n_nationkey AS section_id, coalesce(n, 0) AS n_children, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name, 'n-' || n_nationkey)::INT AS position FROM nation LEFT JOIN k ON c_nationkey = n_nationkey QUALIFY position <= 4""")
+def toc(f: Frames) -> DataFrame:
+    return G.table_of_contents(f["nodes"].where("node_type = 'DOCUMENT'").select(F.col("node_id").alias("root_id")), f["nodes"], f["edges"], 4)
+
+
+@PLANS.add("h14_sequence_matches", """
+WITH s AS (SELECT conv_id, string_agg(left(role, 1), '' ORDER BY turn, role, text) AS seq FROM conversations GROUP BY 1) SELECT conv_id, regexp_matches(seq, 'u.*a.*u.*a') OR regexp_matches(seq, 's.*a') AS matches FROM s""")
+def sequences(f: Frames) -> DataFrame:
+    steps = f["conversations"].groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    seq = steps.select("conv_id", F.transform("t", lambda x: F.left(x["role"], F.lit(1))).alias("seq"))
+    patterns = F.array(F.array(*map(F.lit, "uaua")), F.array(*map(F.lit, "sa")))
+    return seq.select("conv_id", G.sequence_matches(F.col("seq"), patterns).alias("matches"))

@@ -1,3 +1,74 @@
+"""Queries over the ranking and text operators, and over streams, each with SQL written on its own."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import ranking as R
+from ..sources.views import Frames
+from ..streaming import streams
 from .plan import Plans
 
 PLANS = Plans()
+
+
+@PLANS.add("r3_rank_by_topic", """
+WITH s AS (SELECT c.conv_id AS query_id, c.turn AS ordinal, c.conv_id || '-' || c.turn || '-' || c.role || '-' || sha256(c.text) AS chunk_id, 3.0 * contains(lower(c.text), 'risk')::INT + 5.0 * (contains(lower(c.text), 'upstream')::INT + contains(lower(c.text), 'energy products')::INT + contains(lower(c.text), 'chemical products')::INT + contains(lower(c.text), 'specialty products')::INT + contains(lower(c.text), 'segment')::INT) AS score FROM conversations c)
+SELECT query_id, chunk_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal, chunk_id)::INT AS position FROM s QUALIFY position <= 3""")
+def topic(f: Frames) -> DataFrame:
+    c = f["conversations"]
+    chunk = F.concat_ws("-", "conv_id", "turn", "role", F.sha2("text", 256))
+    pairs = c.select(F.col("conv_id").alias("query_id"), F.lit("Segment risk").alias("question"), chunk.alias("chunk_id"), F.col("text").alias("excerpt"), F.col("turn").alias("ordinal"))
+    return R.rank_by_topic(pairs, 3).select("query_id", "chunk_id", "score", "position")
+
+
+@PLANS.add("r4_period_alignment", """
+WITH a AS (SELECT issuer_id, list(DISTINCT period_end) AS anchors FROM filings WHERE y = 1997 GROUP BY 1),
+d AS (SELECT fact_id, f.period_start AS s, f.period_end AS e, unnest(anchors) AS x FROM facts f JOIN a USING (issuer_id))
+SELECT fact_id, CASE WHEN bool_or(x BETWEEN s AND e) OR min(abs(e - x)) <= 7 THEN 8.0 WHEN min(abs(e - x)) > 90 THEN -15.0 ELSE -3.0 END::DOUBLE AS score FROM d GROUP BY fact_id""", ("filings", "facts"))
+def alignment(f: Frames) -> DataFrame:
+    anchors = f["filings"].where("y = 1997").groupBy("issuer_id").agg(F.collect_set("period_end").alias("anchors"))
+    rows = f["facts"].join(anchors, "issuer_id")
+    return rows.select("fact_id", R.period_alignment(F.col("period_start"), F.col("period_end"), F.col("anchors")).alias("score"))
+
+
+@PLANS.add("r8_dense_topk", """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(x, embedding::DOUBLE[]), 9) AS score FROM q, embeddings)
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 10""")
+def dense(f: Frames) -> DataFrame:
+    q = f["embeddings"].where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.dense_topk(q, f["embeddings"]).withColumn("score", F.round("score", 9))
+
+
+@PLANS.add("r10_balance_by_accession", """
+WITH e AS (SELECT o_custkey AS query_id, o_orderpriority AS accession, o_orderkey AS chunk_id, length(o_orderkey::VARCHAR) AS len FROM orders),
+a AS (SELECT *, (SELECT count(DISTINCT accession) FROM e b WHERE b.query_id = e.query_id) AS n, row_number() OVER (PARTITION BY query_id, accession ORDER BY len DESC, chunk_id) AS l FROM e),
+b AS (SELECT *, l <= greatest(1, floor(4 / n)) AS first FROM a)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY first DESC, CASE WHEN first THEN accession END, CASE WHEN first THEN l END, chunk_id)::INT AS position FROM b QUALIFY position <= 4""")
+def balance(f: Frames) -> DataFrame:
+    e = f["orders"].select(F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("accession"), F.col("o_orderkey").alias("chunk_id"), F.col("o_orderkey").cast("string").alias("excerpt"), F.col("o_orderkey").alias("ordinal"))
+    return R.balance_by_accession(e, 4).select("query_id", "chunk_id", "position")
+
+
+@PLANS.add("r12_drop_boilerplate", """
+WITH e AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id, o_orderstatus = 'F' AS b FROM orders) SELECT query_id, chunk_id FROM e QUALIFY bool_and(b) OVER (PARTITION BY query_id) OR NOT b""")
+def boilerplate(f: Frames) -> DataFrame:
+    e = f["orders"].select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), "o_orderstatus")
+    return R.drop_boilerplate(e, F.col("o_orderstatus") == "F").select("query_id", "chunk_id")
+
+
+@PLANS.add("g10_numbers_in_text", r"SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')) AS number FROM documents")
+def numbers(f: Frames) -> DataFrame:
+    return f["documents"].select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([0-9]+(?:\.[0-9]+)?)"), 1)).alias("number"))
+
+
+@PLANS.add("s3_stream_gate_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS status, count(*) AS n FROM events GROUP BY 1, 2")
+def gate_counts(f: Frames) -> DataFrame:
+    return streams.gate_counts(f.spark, f.sf_dir)
+
+
+@PLANS.add("s2_stream_latest_annotation", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest(f: Frames) -> DataFrame:
+    return streams.latest_annotation(f.spark, f.sf_dir)
