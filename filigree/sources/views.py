@@ -139,7 +139,9 @@ def with_views(sql: str, *names: str) -> str:
     for n in names:
         visit(n)
     parts = [f"{n} AS ({VIEWS[n][1].format(**{d: d for d in VIEWS[n][0]})})" for n in order]
-    body = sql.strip()
-    if body[:4].upper() == "WITH":
-        return "WITH " + ", ".join(parts) + ", " + body[4:].strip()
-    return "WITH " + ", ".join(parts) + " " + body
+    body, head = sql.strip(), "WITH "
+    if body.startswith("WITH RECURSIVE "):
+        body, head = "WITH " + body[15:], "WITH RECURSIVE "
+    if body.startswith("WITH"):
+        return head + ", ".join(parts) + ", " + body[4:].strip()
+    return head + ", ".join(parts) + " " + body
