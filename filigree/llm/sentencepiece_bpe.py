@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,7 +139,7 @@ def encode(documents: DataFrame, model: str, text: str = "text") -> DataFrame:
     keep = [c for c in documents.columns if c != "ids"]
 
     @F.pandas_udf("array<int>")
-    def ids(batches: Iterator) -> Iterator:
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = encoder(model)
         for texts in batches:
             yield texts.map(lambda t: list(chain.from_iterable(u[0] for u in coder.encode(t or ""))))
@@ -150,7 +151,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", into: str = "decoded")
     """Add the text of ``ids`` by the model's decoder; null ids give an empty text."""
 
     @F.pandas_udf("string")
-    def text(batches: Iterator) -> Iterator:
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         processor = encoder(model).model
         for some in batches:
             yield some.map(lambda x: processor.decode([int(i) for i in x]) if x is not None and len(x) else "")
