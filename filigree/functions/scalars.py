@@ -324,3 +324,123 @@ def question_year_mismatch(question: Column, labels: Column) -> Column:
     asked = F.regexp_extract_all(question, F.lit(r"(20[0-9]{2}|19[0-9]{2})"), 1)
     bound = F.flatten(F.transform(labels, lambda x: F.regexp_extract_all(x, F.lit(r"(20[0-9]{2}|19[0-9]{2})"), 1)))
     return (F.size(asked) > 0) & (F.size(bound) > 0) & ~F.arrays_overlap(asked, bound)
+
+
+# Patterns of concepts, roles, sections and file names.
+PRIORITISED = "Revenue|Sales|Income|Earnings|Profit|Assets|Liabilities|Equity|Cash|EPS|Margin|Operating|Gross|Net|Debt|Securities|Receivable|Payable|Expense|CostOf|Investment|Dividend|Shares|Stock|Depreciation|Amortization"
+CONCEPT_HINTS = (("revenue", "Revenue|Sales"), ("sales", "Revenue|Sales"), ("income", "Income|Earnings|Profit"), ("asset", "Assets"), ("cash", "Cash"), ("debt", "Debt|Borrow"))
+REVENUE_CONCEPTS = "RevenueFromContract|NetSales|TotalRevenues?|SalesRevenueNet"
+SECURITIES_SALES = "AvailableForSale|ProceedsFromSale|SaleOfStock|SalesTypeLease|SecuritiesSold|DebtSecurities.*Sale|SaleMaturity|SaleOfAvailable"
+ROLE_RULES = (  # (pattern, roles, statement, label); the first that fits counts
+    ("^(ProfitLoss|NetIncomeLoss)$", ("net_income", "margin_numerator"), "income_statement", "Net income (loss)"),
+    ("BeforeIncomeTax|IncomeLossFromContinuingOperationsBefore", ("pretax_income",), "income_statement", "Income before income taxes"),
+    ("^(Revenues|RevenueFromContractWithCustomerExcludingAssessedTax|SalesRevenueNet|TotalRevenuesAndOtherIncome)$", ("revenue", "total_revenue", "margin_denominator"), "income_statement", "Revenues"),
+    ("StockholdersEquity|ShareholdersEquity|TotalEquity", ("total_equity",), "balance_sheet", "Total shareholders' equity"),
+    ("Assets$|AssetsCurrent|AssetsNoncurrent", ("total_assets",), "balance_sheet", "Total assets"),
+    ("Liabilit", ("total_liabilities",), "balance_sheet", "Total liabilities"),
+    ("EarningsPerShare|EPS", ("eps",), "income_statement", "Earnings per share"),
+    ("NetCashProvidedBy|CashProvidedBy", ("operating_cash_flow",), "cash_flow", "Net cash provided by operating activities"),
+)
+
+
+def is_prioritised(concept: Column) -> Column:
+    return concept.rlike("(?i)" + PRIORITISED)
+
+
+def concept_matches_query(concept: Column, question: Column) -> Column:
+    """Whether a concept answers a question's words; sales of securities don't answer "sales"."""
+    q = F.lower(question)
+    hint = F.when(F.lit(False), F.lit(False))
+    for word, pattern in CONCEPT_HINTS:
+        hint = hint.when(q.contains(word), concept.rlike("(?i)" + pattern))
+    revenue = _any(q, ("revenue", "sales")) & concept.rlike("(?i)" + REVENUE_CONCEPTS)
+    return (concept != "") & ~concept.rlike("(?i)" + SECURITIES_SALES) & (revenue | hint.otherwise(F.lit(False)))
+
+
+def concept_roles(concept: Column, rules=ROLE_RULES) -> Column:
+    """struct(roles, statement, label) of the first rule that fits; null if none does. ``rules`` may be
+    extended by the caller."""
+    out = F.when(F.lit(False), F.lit(None).cast("struct<roles:array<string>,statement:string,label:string>"))
+    for pattern, roles, statement, label in rules:
+        out = out.when(concept.rlike(pattern), F.struct(F.array(*map(F.lit, roles)).alias("roles"), F.lit(statement).alias("statement"), F.lit(label).alias("label")))
+    return out
+
+
+def query_flags(question: Column) -> Column:
+    """struct of booleans: is_comparison, is_divestiture, is_mda, is_risk_only."""
+    q = F.lower(question)
+    comparison = _any(q, ("compare", "comparison", "versus", " vs ", "both companies", "both filings", "across", "contrast"))
+    divestiture = _any(q, ("divest", "asset sale", "proceeds from sale", "disposal", "sold in"))
+    mda = _any(q, ("md&a", "management discussion", "management's discussion", "outlook")) | divestiture
+    return F.struct(comparison.alias("is_comparison"), divestiture.alias("is_divestiture"), mda.alias("is_mda"), (q.contains("risk") & ~mda).alias("is_risk_only"))
+
+
+def is_corrupt_tail(tail: Column) -> Column:
+    """Whether a path tail looks like a piece of an answer rather than a section's name."""
+    t = F.trim(F.coalesce(tail, F.lit("")))
+    blanks = F.length(t) - F.length(F.translate(t, " ", ""))
+    slug = F.translate(t, "_-", "  ")
+    slug_blanks = F.length(slug) - F.length(F.translate(slug, " ", ""))
+    return (
+        F.when(t == "", True).when(t.rlike(r"(?i)[\$€£]|\b(billion|million|thousand|bn|mm)\b|[0-9]{5,}"), True)
+        .when(item_key(section_key(t)).isNotNull() | t.rlike(r"(?i)\bitem\s*[0-9]+[a-z]?\b"), False)
+        .when((F.length(t) <= 48) & (blanks <= 4) & (slug_blanks <= 3), False).when((F.length(t) > 60) | (blanks >= 6), True)
+        .when(t.rlike("^[a-z]") & ~F.lower(F.left(t, F.lit(12))).contains("item"), True).otherwise(False)
+    )
+
+
+def outcome_scores(scores: Column, abstained: Column, has_answer: Column, has_rubric: Column) -> Column:
+    """struct(outcome, alignment) of a verdict's scores (a map); an abstention has 0 where there is a
+    ground truth."""
+    get = lambda k: F.coalesce(F.try_element_at(scores, F.lit(k)), F.lit(0.0))
+    outcome = F.when(abstained & (has_answer | has_rubric), 0.0).when(~abstained & has_answer, get("value_alignment")).otherwise(get("synthesis_grounding"))
+    alignment = F.when(has_rubric & ~abstained, get("claim_presence")).otherwise(0.0)
+    return F.struct(outcome.alias("outcome"), alignment.alias("alignment"))
+
+
+def required_criteria(variant: Column, has_answer: Column, has_rubric: Column) -> Column:
+    base = F.when(variant == "flat-chunk", F.array(*map(F.lit, ("retrieval_fidelity", "answer_quality", "synthesis_grounding")))).otherwise(
+        F.array(*map(F.lit, ("trajectory_coherence", "routing_decisions", "retrieval_fidelity", "synthesis_grounding"))))
+    return F.array_compact(F.concat(base, F.array(F.when(has_answer, "value_alignment"), F.when(has_rubric, "claim_presence"))))
+
+
+def needs_scoring(version: Column, scores: Column, required: Column, least: float = 3.1) -> Column:
+    """Whether a verdict is absent, of an older version, or lacks a required criterion."""
+    number = F.coalesce(F.nullif(F.regexp_extract(F.lower(version), r"^v?([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double"), F.lit(0.0))
+    return scores.isNull() | (number < least) | (F.size(F.array_except(required, F.map_keys(scores))) > 0)
+
+
+def artifact_role(name: Column) -> Column:
+    """Role of a file of a filing package by its name; the first rule counts."""
+    n = F.lower(name)
+    return (
+        F.when(n.endswith("-xbrl.zip") | n.endswith("_xbrl.zip"), "xbrl_zip").when(n.endswith("_htm.xml") | (n.endswith(".xml") & n.contains("htm")), "instance")
+        .when(n.endswith(".xsd"), "schema").when(n.endswith("_cal.xml"), "calculation").when(n.endswith("_def.xml"), "definition")
+        .when(n.endswith("_lab.xml"), "label").when(n.endswith("_pre.xml"), "presentation").otherwise("other")
+    )
+
+
+def period_matches_intent(start: Column, end: Column, annual: Column, target: Column, form: Column) -> Column:
+    """Whether a fact's period fits a target fiscal year and form; without a target or an end all fit."""
+    y, s = F.year(end), F.coalesce(F.year(start), F.year(end))
+    day = F.date_format(end, "MM-dd")
+    k = (
+        F.when((day == "01-01") & (s == target - 1) & (y == target), False).when(annual, (y == target) | (s == target))
+        .when((y == target) & (day == "12-31"), True).when((s > target) & (y > target), False).otherwise((y == target) & (day != "01-01"))
+    )
+    other = F.when(annual, (y == target) | (s == target)).when((s > target) & (y > target), False).otherwise((y == target) | (s == target))
+    return F.when(target.isNull() | end.isNull(), True).when(form == "10-Q", y == target).when(form == "10-K", k).otherwise(other)
+
+
+def section_score(question: Column, label: Column, section_id: Column) -> Column:
+    """Additive keyword score of a section for a question, HTML sections preferred."""
+    q, t, s = F.lower(question), F.lower(label), F.lower(section_id)
+    flags = query_flags(question)
+    base = F.when(F.exists(F.slice(F.split(q, r"\s+"), 1, 5), lambda w: t.contains(w)), 1.0).otherwise(0.3)
+    add = lambda c, x: F.when(c, x).otherwise(0.0)
+    out = base + add(_any(t, ("financial", "balance", "income", "cash", "liquidity", "margin")), 0.4)
+    out = out + add(_any(q, ("revenue", "sales", "driver", "segment", "growth")) & _any(t, ("revenue", "management", "md&a", "results", "operations", "business", "xbrl", "financial facts")), 0.5)
+    out = out + add(t.contains("xbrl") & _any(q, ("revenue", "sales", "income", "assets", "cash", "earnings")), 2.0) + add(s.startswith("html"), 2.5)
+    out = out + add(flags["is_mda"] & s.contains("md_and_a"), 15.0) + add(flags["is_mda"] & _any(t, ("management", "discussion", "analysis", "md&a", "mda")), 8.0)
+    out = out + add(flags["is_risk_only"] & s.contains("risk_factors"), 12.0) + add(flags["is_risk_only"] & s.contains("business_description"), -6.0)
+    return F.round(out + add(s.contains("risk_factors"), 1.5) + add(s.contains("md_and_a"), 1.5), 3)

@@ -223,3 +223,79 @@ FROM questions JOIN filings ON questions.issuer_id = filings.issuer_id AND form_
 def year_mismatch(f: Frames) -> DataFrame:
     rows = f["questions"].join(f["filings"].where("form_type = '10-K'"), "issuer_id")
     return rows.select("query_id", "accession", S.question_year_mismatch(F.col("question"), F.array(F.concat(F.lit("FY"), F.year("period_end").cast("string")))).alias("mismatch"))
+
+
+@PLANS.add("b14_concept_roles", """
+SELECT fact_id, CASE concept WHEN 'NetIncomeLoss' THEN 'net_income,margin_numerator' WHEN 'IncomeLossBeforeIncomeTaxes' THEN 'pretax_income' WHEN 'Revenues' THEN 'revenue,total_revenue,margin_denominator' WHEN 'StockholdersEquity' THEN 'total_equity'
+  WHEN 'Assets' THEN 'total_assets' WHEN 'LiabilitiesCurrent' THEN 'total_liabilities' END AS roles, CASE WHEN concept IN ('NetIncomeLoss', 'IncomeLossBeforeIncomeTaxes', 'Revenues') THEN 'income_statement' WHEN concept IN ('StockholdersEquity', 'Assets', 'LiabilitiesCurrent') THEN 'balance_sheet' END AS statement FROM facts""", ("facts",))
+def roles(f: Frames) -> DataFrame:
+    r = S.concept_roles(F.col("concept"))
+    return f["facts"].select("fact_id", F.array_join(r["roles"], ",").alias("roles"), r["statement"].alias("statement"))
+
+
+@PLANS.add("b17_concept_matches_query", """
+SELECT query_id, concept FROM questions CROSS JOIN (SELECT DISTINCT concept FROM facts) WHERE CASE query_id % 12 WHEN 0 THEN concept IN ('Revenues', 'CostOfRevenue') WHEN 5 THEN concept IN ('Revenues', 'CostOfRevenue') WHEN 7 THEN concept IN ('Revenues', 'CostOfRevenue')
+  WHEN 1 THEN concept LIKE '%Income%' WHEN 4 THEN concept = 'Assets' WHEN 10 THEN concept = 'Assets' WHEN 6 THEN concept LIKE '%Cash%' ELSE false END""", ("questions", "facts"))
+def concept_match(f: Frames) -> DataFrame:
+    # The concepts are those of the filing standard: some ten thousand names at most.
+    concepts = f["facts"].select("concept").distinct().agg(F.collect_set("concept").alias("c"))
+    texts = f["questions"].groupBy("question").agg(F.collect_list("query_id").alias("ids"))
+    pairs = texts.join(F.broadcast(concepts)).select("question", "ids", F.explode("c").alias("concept")).where(S.concept_matches_query(F.col("concept"), F.col("question")))
+    return pairs.select(F.explode("ids").alias("query_id"), "concept")
+
+
+@PLANS.add("b23_query_flags", """
+SELECT query_id, query_id % 12 = 1 AS is_comparison, false AS is_divestiture, query_id % 12 = 5 AS is_mda, query_id % 12 = 3 AS is_risk_only FROM questions""", ("questions",))
+def flags(f: Frames) -> DataFrame:
+    g = S.query_flags(F.col("question"))
+    return f["questions"].select("query_id", *[g[n].alias(n) for n in ("is_comparison", "is_divestiture", "is_mda", "is_risk_only")])
+
+
+@PLANS.add("b26_corrupt_paths", r"""
+WITH t AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Item 7' WHEN 1 THEN 'risk_factors' WHEN 2 THEN '$5 billion' WHEN 3 THEN 'the company said that it would grow its sales in the region over time' WHEN 4 THEN '' WHEN 5 THEN 'net sales rose because of the strong demand' ELSE 'Results 12345' END AS tail FROM doc_lines)
+SELECT doc_id, doc_id % 7 IN (2, 3, 4, 5, 6) AS corrupt FROM t""", ("doc_lines",))
+def corrupt(f: Frames) -> DataFrame:
+    tails = F.array(*map(F.lit, ("Item 7", "risk_factors", "$5 billion", "the company said that it would grow its sales in the region over time", "", "net sales rose because of the strong demand", "Results 12345")))
+    return f["doc_lines"].select("doc_id", S.is_corrupt_tail(tails[(F.col("doc_id") % 7).cast("int")]).alias("corrupt"))
+
+
+@PLANS.add("b29_outcome_scores", """
+SELECT variant_id, item_id, CASE WHEN abstained AND (has_answer OR profile_no = 0) THEN 0 WHEN NOT abstained AND has_answer THEN alignment ELSE coalesce(mrr, 0) END::DOUBLE AS outcome, CASE WHEN profile_no = 0 AND NOT abstained THEN coalesce(ndcg, 0) ELSE 0 END::DOUBLE AS alignment FROM results""", ("results",))
+def outcomes(f: Frames) -> DataFrame:
+    scores = F.create_map(F.lit("value_alignment"), F.col("alignment"), F.lit("synthesis_grounding"), F.col("mrr"), F.lit("claim_presence"), F.col("ndcg"))
+    s = S.outcome_scores(scores, F.col("abstained"), F.col("has_answer"), F.col("profile_no") == 0)
+    return f["results"].select("variant_id", "item_id", s["outcome"].alias("outcome"), s["alignment"].alias("alignment"))
+
+
+@PLANS.add("b30_needs_scoring", """
+SELECT variant_id, item_id, CASE WHEN variant_id = 'flat-chunk' THEN 3 ELSE 4 END + has_answer::INT + (profile_no = 0)::INT AS n_required, profile_no = 1 OR variant_id = 'flat-chunk' OR profile_no = 0 AS rescore FROM results""", ("results",))
+def rescore(f: Frames) -> DataFrame:
+    need = S.required_criteria(F.col("variant_id"), F.col("has_answer"), F.col("profile_no") == 0)
+    have = F.create_map(*[x for k in ("trajectory_coherence", "routing_decisions", "retrieval_fidelity", "synthesis_grounding", "value_alignment") for x in (F.lit(k), F.lit(1.0))])
+    version = F.when(F.col("profile_no") == 1, "v3.0").otherwise("v3.2")
+    return f["results"].select("variant_id", "item_id", F.size(need).alias("n_required"), S.needs_scoring(version, have, need).alias("rescore"))
+
+
+@PLANS.add("a11_artifact_role", """
+SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'xbrl_zip' WHEN 1 THEN 'instance' WHEN 2 THEN 'schema' WHEN 3 THEN 'calculation' WHEN 4 THEN 'definition' WHEN 5 THEN 'label' WHEN 6 THEN 'presentation' ELSE 'other' END AS role FROM documents""")
+def artifacts(f: Frames) -> DataFrame:
+    names = F.array(*map(F.lit, ("a-XBRL.zip", "a_htm.xml", "a.xsd", "a_cal.xml", "a_def.xml", "a_LAB.xml", "a_pre.xml", "a.xml", "R1.htm")))
+    return f["documents"].select("doc_id", S.artifact_role(names[(F.col("doc_id") % 9).cast("int")]).alias("role"))
+
+
+@PLANS.add("f8_period_matches_intent", """
+SELECT fact_id, form_type, CASE WHEN form_type = '10-Q' THEN year(period_end) = 1998 WHEN strftime(period_start, '%m-%d') = '01-01' THEN year(period_end) = 1998
+  ELSE CASE WHEN year(period_start) > 1998 AND year(period_end) > 1998 THEN false ELSE year(period_end) = 1998 END END AS fits FROM facts""", ("facts",))
+def intent_period(f: Frames) -> DataFrame:
+    annual = (F.date_format("period_start", "MM-dd") == "01-01") & (F.date_format("period_end", "MM-dd") == "12-31")
+    return f["facts"].select("fact_id", "form_type", S.period_matches_intent(F.col("period_start"), F.col("period_end"), annual, F.lit(1998), F.col("form_type")).alias("fits"))
+
+
+@PLANS.add("r1_section_score", """
+WITH t(n, a, b, c) AS (VALUES (0, 4.3, 4.8, 3.9), (3, 17.0, 4.3, 0.7), (4, 4.3, 4.3, 3.4), (6, 4.3, 4.3, 2.7), (7, 4.3, 4.8, 3.2)),
+s AS (SELECT query_id, unnest([{'i': 'html-risk_factors', 's': a}, {'i': 'html-md_and_a', 's': b}, {'i': 'xbrl-facts', 's': c}]) AS x FROM questions JOIN t ON query_id % 12 = n)
+SELECT query_id, x.i AS section_id, x.s::DOUBLE AS score FROM s""", ("questions",))
+def section_scores(f: Frames) -> DataFrame:
+    sections = F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("section_id")) for a, b in (("Risk Factors", "html-risk_factors"), ("Management Discussion", "html-md_and_a"), ("XBRL Financial Facts", "xbrl-facts"))]))
+    rows = f["questions"].where("query_id % 12 IN (0, 3, 4, 6, 7)").select("query_id", "question", sections.alias("s"))
+    return rows.select("query_id", "s.section_id", S.section_score(F.col("question"), F.col("s.label"), F.col("s.section_id")).alias("score"))
