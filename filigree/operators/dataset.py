@@ -134,3 +134,54 @@ def table_hash(rows: DataFrame, key: str) -> DataFrame:
     one = rows.select(F.col(key).alias("_k"), F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256).alias("_h"))
     by = one.groupBy(F.left(F.sha2(F.col("_k").cast("string"), 256), F.lit(3)).alias("_b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_h"))), lambda x: x["_h"]), "|"), 256).alias("_d"))
     return by.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda x: x["_d"]), "|"), 256).alias("digest"))
+
+
+def stratified_smoke(items: DataFrame, n: int, priority: Column) -> DataFrame:
+    """``n`` item ids: first max(2, n / buckets) of each (profile, answer_type) by id, in the buckets'
+    order of priority, then the rest by id."""
+    buckets = items.select("profile", "answer_type").distinct().agg(F.count("*").alias("_b"))
+    w = Window.partitionBy("profile", "answer_type").orderBy("item_id")
+    rows = items.withColumns({"_n": F.row_number().over(w), "_p": priority}).join(F.broadcast(buckets))  # one row
+    first = F.col("_n") <= F.greatest(F.lit(2), F.floor(F.lit(n) / F.greatest("_b", F.lit(1))))
+    order = (F.desc(first), F.when(first, F.col("_p")), F.when(first, F.col("profile")), "item_id")
+    return rows.orderBy(*order).limit(n).select("item_id", "profile", "answer_type")
+
+
+def validate_items(items: DataFrame, accessions: DataFrame) -> DataFrame:
+    """Add errors and status of (item_id, question, profile, accessions, answer, rubric).
+
+    Unknown accessions are found by one anti-join-like lookup of the exploded bindings.
+    """
+    wanted = items.select("item_id", F.explode("accessions").alias("accession")).distinct()
+    known = accessions.select("accession").distinct().withColumn("_known", F.lit(True))
+    missing = wanted.join(known, "accession", "left").groupBy("item_id").agg(F.count_if(F.col("_known").isNull()).alias("_missing"))
+    rows = items.join(missing, "item_id", "left")
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    codes = F.array_compact(F.array(
+        F.when(blank("question"), "empty_question"), F.when(F.size("accessions") <= 0, "missing_accessions"), F.when(F.coalesce("_missing", F.lit(0)) > 0, "accession_not_in_snapshot"),
+        F.when((F.col("profile") == "comparison") & (F.size("accessions") < 2), "requires_multi_filing"), F.when(blank("answer") & blank("rubric"), "missing_ground_truth"),
+    ))
+    return rows.withColumn("errors", codes).drop("_missing").withColumn("status", F.when(F.size("errors") == 0, "accepted").otherwise("rejected"))
+
+
+def generation_report(validated: DataFrame) -> DataFrame:
+    """(code, n): rejected items by error code, with the totals under accepted and rejected."""
+    codes = validated.select(F.explode(F.concat("errors", F.array("status"))).alias("code"))
+    return codes.groupBy("code").agg(F.count("*").alias("n"))
+
+
+def resolve_paths(paths: DataFrame, index: DataFrame) -> DataFrame:
+    """The best index path (accession, path) for each wanted (item_id, accession, tail), blocked by
+    accession: 4 for the accession, 3 for the same key or 2 for the same item, and the shorter key's
+    length; ties go to the smaller path. Without a match the row is left out."""
+    from ..functions import scalars as S
+
+    have = index.select("accession", "path", S.section_key(S.split_section_path(F.col("path"))["tail"]).alias("_gk"))
+    rows = paths.withColumn("_k", S.section_key(F.col("tail"))).join(have, "accession")
+    item, other = S.item_key(F.col("_k")), S.item_key(F.col("_gk"))
+    same_item = F.coalesce(item == other, F.lit(False))
+    fits = same_item | (F.col("_k") == F.col("_gk")) | F.col("_k").startswith(F.col("_gk")) | F.col("_gk").startswith(F.col("_k"))
+    score = 4 + F.when(F.col("_k") == F.col("_gk"), 3).when(same_item, 2).otherwise(0) + F.least(F.length("_k"), F.length("_gk"))
+    w = Window.partitionBy("item_id", "accession", "tail").orderBy(F.desc("score"), "path")
+    rows = rows.where(fits & (F.col("_k") != "")).withColumn("score", score).withColumn("_n", F.row_number().over(w))
+    return rows.where("_n = 1").select("item_id", "accession", "tail", "path", "score")

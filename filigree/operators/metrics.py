@@ -148,3 +148,54 @@ def binding_metrics(bindings: DataFrame) -> DataFrame:
 
 def variant_complete(results: DataFrame, expected: int) -> DataFrame:
     return results.groupBy("variant_id").agg(((F.count("*") >= expected) & (F.count_if(F.col("status") == "pending") == 0)).alias("complete"))
+
+
+def structural_overlap(visited: Column, expected: Column) -> Column:
+    """Share of the expected ids that were visited; 1 if none is expected."""
+    want = F.array_distinct(expected)
+    return F.when(F.size(want) == 0, 1.0).otherwise(F.size(F.array_intersect(visited, want)) / F.size(want))
+
+
+def trajectory_fidelity(visited: Column, expected: Column, routed: Column, judge: Column) -> Column:
+    base = F.least(F.lit(1.0), structural_overlap(visited, expected) + F.when(routed, 0.1).otherwise(0.0))
+    return F.when(judge.isNull(), base).otherwise(0.5 * base + 0.5 * judge)
+
+
+def structural_metrics(rows: DataFrame) -> DataFrame:
+    """One row of rates over (used, bound, visited, paths, multi): bound filings all used; some path
+    visited, in whole or as a part; two bound filings used where several are needed."""
+    bound = F.size(F.array_except("bound", "used")) == 0
+    path = (F.size("paths") == 0) | F.exists("paths", lambda p: F.exists("visited", lambda v: v.contains(p)))
+    multi = (F.size(F.array_distinct("bound")) < 2) | (F.size(F.array_intersect("bound", "used")) >= 2)
+    rate = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    return rows.agg(rate(bound).alias("accession_binding"), rate(path).alias("section_path_hit"), rate(F.when(F.col("multi"), multi)).alias("multi_filing_success"))
+
+
+def validate_trajectories(rows: DataFrame) -> DataFrame:
+    """Add codes and validation of (route array<string>, hops array<struct<node_type, edge_type,
+    accession>>, status, absent_reason): a hop outside the route makes it non_reproducible, any other
+    code incomplete."""
+    ok = F.col("status").isin("complete", "ok")
+    real = lambda a: a.rlike("^[0-9]{10}-[0-9]{2}-[0-9]{6}$")
+    astray = (F.size("route") > 0) & F.exists("hops", lambda h: F.coalesce(real(h["accession"]) & ~F.array_contains("route", h["accession"]), F.lit(False)))
+    codes = F.array_compact(F.array(
+        F.when(ok & (F.size("route") == 0) & ~F.coalesce(F.col("absent_reason").isin("macro_binding_failed", "scope_error"), F.lit(False)), "EMPTY_DOCUMENT_ROUTE"),
+        F.when((F.size("hops") == 0) & F.col("absent_reason").isNull() & ok, "MISSING_ABSENT_REASON"),
+        F.when(F.exists("hops", lambda h: F.coalesce(h["node_type"] == "", F.lit(True))), "MISSING_NODE_TYPE"),
+        F.when(F.exists("hops", lambda h: F.coalesce(h["edge_type"] == "", F.lit(True))), "MISSING_EDGE_TYPE"), F.when(astray, "ORPHAN_HOP_ACCESSION"),
+    ))
+    status = F.when(F.array_contains(F.col("codes"), "ORPHAN_HOP_ACCESSION"), "non_reproducible").when(F.size("codes") > 0, "incomplete").otherwise("complete")
+    return rows.withColumn("codes", codes).withColumn("validation", status)
+
+
+def phase_gate(cohort: DataFrame, results: DataFrame, floor: int) -> DataFrame:
+    """One row: items of the cohort, those with a positive outcome (no result counts as none), the mean
+    outcome, and whether the floor is reached."""
+    rows = cohort.join(results.select("item_id", "outcome", "abstained"), "item_id", "left")
+    g = rows.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("outcome"), F.lit(0.0)) > 0).alias("positive"), F.avg(F.coalesce("outcome", F.lit(0.0))).alias("mean_outcome"), F.count_if(F.coalesce("abstained", F.lit(False))).alias("abstained"))
+    return g.withColumn("passed", F.col("positive") >= floor)
+
+
+def materialization_audit(rows: DataFrame) -> DataFrame:
+    """Missing accessions of (item_id, bound, used) and whether that is a binding miss."""
+    return rows.select("item_id", F.array_sort(F.array_except("bound", "used")).alias("missing"), (F.size(F.array_except("bound", "used")) > 0).alias("binding_miss"))

@@ -125,3 +125,61 @@ def binding(f: Frames) -> DataFrame:
 @PLANS.add("m38_variant_complete", "SELECT variant_id, count(*) >= 100 AND count(*) FILTER (status = 'pending') = 0 AS complete FROM results GROUP BY 1", ("results",))
 def complete(f: Frames) -> DataFrame:
     return M.variant_complete(f["results"], 100)
+
+
+@PLANS.add("m5_trajectory_fidelity", """
+WITH t AS (SELECT l_orderkey AS k, list_distinct(list(l_partkey % 20)) AS v, list_distinct(list(l_suppkey % 20)) AS e FROM lineitem GROUP BY 1)
+SELECT k AS item_id, round(CASE WHEN k % 3 = 0 THEN 0.5 * b + 0.25 ELSE b END, 9) AS fidelity FROM (SELECT k, least(1.0, len(list_intersect(v, e)) / len(e)::DOUBLE + CASE WHEN k % 2 = 0 THEN 0.1 ELSE 0 END) AS b FROM t)""")
+def fidelity(f: Frames) -> DataFrame:
+    t = f["lineitem"].groupBy(F.col("l_orderkey").alias("item_id")).agg(F.collect_set(F.col("l_partkey") % 20).alias("v"), F.collect_set(F.col("l_suppkey") % 20).alias("e"))
+    k = F.col("item_id")
+    return t.select("item_id", F.round(M.trajectory_fidelity(F.col("v"), F.col("e"), k % 2 == 0, F.when(k % 3 == 0, 0.5)), 9).alias("fidelity"))
+
+
+@PLANS.add("m7_structural_metrics", """
+WITH t AS (SELECT l_orderkey AS k, list_distinct(list(l_partkey % 20)) AS u, list_distinct(list(l_suppkey % 20)) AS b FROM lineitem GROUP BY 1)
+SELECT round(avg((len(list_intersect(u, b)) = len(b))::INT), 9) AS accession_binding, round(avg((len(list_filter(u, lambda x: contains('p' || x || '/s', 'p' || (k % 20)))) > 0)::INT), 9) AS section_path_hit,
+  round(avg((len(b) < 2 OR len(list_intersect(u, b)) >= 2)::INT) FILTER (k % 2 = 0), 9) AS multi_filing_success FROM t""")
+def structural(f: Frames) -> DataFrame:
+    t = f["lineitem"].groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set(F.col("l_partkey") % 20).alias("used"), F.collect_set(F.col("l_suppkey") % 20).alias("bound"))
+    rows = t.select("used", "bound", F.transform("used", lambda x: F.concat(F.lit("p"), x, F.lit("/s"))).alias("visited"), F.array(F.concat(F.lit("p"), F.col("k") % 20)).alias("paths"), (F.col("k") % 2 == 0).alias("multi"))
+    return _rounded(M.structural_metrics(rows), "accession_binding", "section_path_hit", "multi_filing_success")
+
+
+@PLANS.add("m10_validate_trajectories", """
+WITH t AS (SELECT conv_id, count(*) AS n, bool_or(turn % 4 = 3) AS astray, bool_or(role = '') AS blank FROM conversations GROUP BY 1)
+SELECT conv_id, CASE WHEN conv_id % 5 <> 0 AND astray THEN 'non_reproducible' WHEN conv_id % 5 = 0 AND conv_id % 2 = 0 THEN 'incomplete' WHEN blank THEN 'incomplete' ELSE 'complete' END AS validation FROM t""")
+def trajectories(f: Frames) -> DataFrame:
+    a, b = "0000000001-24-000001", "0000000002-24-000002"
+    hop = F.struct(F.col("role").alias("node_type"), F.lit("CONTAINS").alias("edge_type"), F.when(F.col("turn") % 4 == 3, b).otherwise(a).alias("accession"))
+    t = f["conversations"].groupBy("conv_id").agg(F.collect_list(hop).alias("hops"))
+    k = F.col("conv_id")
+    rows = t.select("conv_id", "hops", F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(a))).alias("route"), F.when(k % 2 == 0, "complete").otherwise("failed").alias("status"), F.lit(None).cast("string").alias("absent_reason"))
+    return M.validate_trajectories(rows).select("conv_id", "validation")
+
+
+@PLANS.add("m11_trajectory_gate", """
+WITH t AS (SELECT conv_id, bool_or(turn % 4 = 3) AS astray FROM conversations GROUP BY 1)
+SELECT count(*) AS n, count(*) FILTER (NOT astray) AS complete, round(count(*) FILTER (NOT astray) / count(*)::DOUBLE, 9) AS pass_rate, count(*) FILTER (NOT astray) / count(*)::DOUBLE >= 0.9 AS passed FROM t""")
+def gate(f: Frames) -> DataFrame:
+    t = f["conversations"].groupBy("conv_id").agg(F.max((F.col("turn") % 4 == 3)).alias("astray"))
+    g = t.agg(F.count("*").alias("n"), F.count_if(~F.col("astray")).alias("complete"))
+    rate = F.col("complete") / F.col("n")
+    return g.withColumns({"pass_rate": F.round(rate, 9), "passed": rate >= 0.9})
+
+
+@PLANS.add("m24_phase_gate", """
+WITH c AS (SELECT item_id FROM items WHERE profile = 'numeric' UNION ALL SELECT 'absent-1'), r AS (SELECT * FROM results WHERE variant_id = 'graph-full')
+SELECT count(*) AS n, count(*) FILTER (coalesce(outcome, 0) > 0) AS positive, round(avg(coalesce(outcome, 0)), 9) AS mean_outcome, count(*) FILTER (coalesce(abstained, false)) AS abstained, count(*) FILTER (coalesce(outcome, 0) > 0) >= 20 AS passed FROM c LEFT JOIN r USING (item_id)""", ("items", "results"))
+def phase(f: Frames) -> DataFrame:
+    numeric = f["items"].where("profile = 'numeric'").select("item_id")
+    cohort = numeric.unionByName(numeric.limit(1).select(F.lit("absent-1").alias("item_id")))
+    return _rounded(M.phase_gate(cohort, f["results"].where("variant_id = 'graph-full'"), 20), "mean_outcome")
+
+
+@PLANS.add("m27_materialization_audit", """
+WITH t AS (SELECT l_orderkey AS k, list_distinct(list(l_partkey % 20)) AS u, list_distinct(list(l_suppkey % 20)) AS b FROM lineitem GROUP BY 1), m AS (SELECT k, list_sort(list_filter(b, lambda x: NOT list_contains(u, x))) AS m FROM t)
+SELECT k AS item_id, array_to_string(m, ',') AS missing, len(m) > 0 AS binding_miss FROM m""")
+def materialized(f: Frames) -> DataFrame:
+    t = f["lineitem"].groupBy(F.col("l_orderkey").alias("item_id")).agg(F.collect_set(F.col("l_partkey") % 20).alias("used"), F.collect_set(F.col("l_suppkey") % 20).alias("bound"))
+    return M.materialization_audit(t).withColumn("missing", F.array_join(F.col("missing").cast("array<string>"), ","))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R
+from ..operators import text as T
 from ..sources.views import Frames
 from ..streaming import streams
 from .plan import Plans
@@ -72,3 +73,30 @@ def gate_counts(f: Frames) -> DataFrame:
 @PLANS.add("s2_stream_latest_annotation", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest(f: Frames) -> DataFrame:
     return streams.latest_annotation(f.spark, f.sf_dir)
+
+
+@PLANS.add("g1_item_pieces", r"""
+WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Item 1. Business ' || text || ' Item 1A. Risk ' || text || ' see Item 7, and Item 7. Discussion ' WHEN 1 THEN 'Item 1, Item 1A. x ' ELSE text END AS t FROM documents),
+p AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '(?i)\b(item\s+(?:1a|1|7)\b)', chr(1) || '\1', 'g'), chr(1))) AS piece, generate_subscripts(string_split(regexp_replace(t, '(?i)\b(item\s+(?:1a|1|7)\b)', chr(1) || '\1', 'g'), chr(1)), 1) - 1 AS position FROM d)
+SELECT doc_id, position, upper(regexp_extract(piece, '(?i)^item\s+(1a|1|7)\b', 1)) AS item, regexp_matches(left(piece, 80), '(?i)item\s+[0-9]+[a-z]?\.\s*(&#160;|&nbsp;|\s)+') AND NOT regexp_matches(left(piece, 50), '(?i)item\s+[0-9]+[a-z]?\s*,') AND regexp_matches(piece, '(?i)^item') AS is_primary FROM p""")
+def pieces(f: Frames) -> DataFrame:
+    return T.item_pieces(_filed(f)).select("doc_id", "position", "item", "is_primary")
+
+
+def _filed(f: Frames) -> DataFrame:
+    k, t = F.col("doc_id") % 3, F.col("text")
+    made = F.when(k == 0, F.concat(F.lit("Item 1. Business "), t, F.lit(" Item 1A. Risk "), t, F.lit(" see Item 7, and Item 7. Discussion "))).when(k == 1, "Item 1, Item 1A. x ").otherwise(t)
+    return f["documents"].select("doc_id", made.alias("text"))
+
+
+@PLANS.add("g2_split_items", """
+SELECT doc_id, unnest(['1', '1A']) AS item, unnest([length(trim(regexp_replace('Item 1. Business ' || text || ' ', '\\s+', ' ', 'g'))), length(trim(regexp_replace('Item 1A. Risk ' || text || ' see Item 7, and ', '\\s+', ' ', 'g')))]) AS n
+FROM documents WHERE doc_id % 3 = 0 AND length(regexp_replace(text, '\\s+', ' ', 'g')) > 700 AND NOT contains(text, '<')""")
+def items(f: Frames) -> DataFrame:
+    rows = f["documents"].where("length(regexp_replace(text, r'\\s+', ' ')) > 700 AND NOT contains(text, '<')").select("doc_id")
+    return T.split_items(_filed(f).join(rows, "doc_id", "left_semi")).select("doc_id", "item", F.length("body").alias("n"))
+
+
+@PLANS.add("g8_best_sentences")
+def sentences(f: Frames) -> DataFrame:
+    return T.best_sentences(f["documents"], ["the", "of", "and"])
