@@ -138,3 +138,59 @@ def sequence_matches(sequence: Column, patterns: Column) -> Column:
         return (F.size(p) > 0) & (at == F.size(p))
 
     return (F.size(patterns) == 0) | F.exists(patterns, within)
+
+
+def table_nodes_edges(tables: DataFrame, sections: DataFrame) -> DataFrame:
+    """(source_id, target_id, edge_type): each table under its fact bucket if one came before, else the
+    last section before it, else the document; and its rows under it.
+
+    tables: node_id, ordinal, is_fact, rows (array of cell arrays); sections: node_id, ordinal, section_id.
+    """
+    marks = sections.select("node_id", "ordinal", "section_id", F.lit(None).cast("array<array<string>>").alias("rows"), F.lit(False).alias("is_fact"), F.lit(0).alias("t"))
+    both = marks.unionByName(tables.select("node_id", "ordinal", F.lit(None).cast("string").alias("section_id"), "rows", "is_fact", F.lit(1).alias("t")))
+    w = Window.partitionBy("node_id").orderBy("ordinal", "t")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = both.withColumns({"last": F.last("section_id", ignorenulls=True).over(w), "bucket": F.max(F.col("is_fact").cast("int")).over(before)}).where("t = 1")
+    table_id = F.concat_ws("-t", "node_id", "ordinal")
+    parent = F.when(F.coalesce("bucket", F.lit(0)) == 1, F.concat("node_id", F.lit("-xbrl-facts"))).otherwise(F.coalesce("last", "node_id"))
+    top = rows.select(parent.alias("source_id"), table_id.alias("target_id"), F.lit("CONTAINS").alias("edge_type"))
+    down = rows.select(table_id.alias("source_id"), F.posexplode("rows").alias("r", "cells")).select("source_id", F.concat_ws("-r", "source_id", "r").alias("target_id"), F.lit("CONTAINS").alias("edge_type"))
+    return top.unionByName(down)
+
+
+def materialize_status(filings: DataFrame, sections: DataFrame, facts: DataFrame) -> DataFrame:
+    """(accession, n_sections, n_facts, status): a filing without sections and facts fails."""
+    s = sections.groupBy("accession").agg(F.count("*").alias("s"))
+    f = facts.groupBy("accession").agg(F.count("*").alias("f"))
+    rows = filings.select("accession").distinct().join(s, "accession", "left").join(f, "accession", "left")
+    n, m = F.coalesce("s", F.lit(0)), F.coalesce("f", F.lit(0))
+    return rows.select("accession", n.alias("n_sections"), m.alias("n_facts"), F.when((n == 0) & (m == 0), "failed").otherwise("included").alias("status"))
+
+
+def slice_ids(items: DataFrame) -> DataFrame:
+    """(item_id, slice_id): twelve hex digits of the digest of an item's sorted accessions."""
+    return items.select("item_id", F.left(F.sha2(F.array_join(F.array_sort(F.array_distinct("accessions")), ","), 256), F.lit(12)).alias("slice_id"))
+
+
+def attach_footnotes(scope: DataFrame, edges: DataFrame, direction: str = "table_to_footnote") -> DataFrame:
+    """Nodes in scope (query_id, node_id) and the footnotes tied to them by FOOTNOTE_OF."""
+    here, there = ("source_id", "target_id") if direction == "table_to_footnote" else ("target_id", "source_id")
+    more = scope.join(edges.where("edge_type = 'FOOTNOTE_OF'"), F.col("node_id") == F.col(here)).select("query_id", F.col(there).alias("node_id"))
+    return scope.select("query_id", "node_id").unionByName(more).distinct()
+
+
+def sections_for_filings(bound: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, section_id): sections directly under the bound documents (query_id, root_id)."""
+    down = edges.where("edge_type = 'CONTAINS'").select(F.col("source_id").alias("root_id"), F.col("target_id").alias("section_id"))
+    kinds = nodes.where("node_type = 'SECTION'").select(F.col("node_id").alias("section_id"))
+    return bound.join(down, "root_id").join(kinds, "section_id", "left_semi").select("query_id", "section_id")
+
+
+def audit_sample(nodes: DataFrame, n: int, seed: int, fact_share: float = 0.6) -> DataFrame:
+    """``n`` evidence nodes in draw order: facts up to their share first, then the rest."""
+    key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("node_id")), 256)
+    rows = nodes.where(F.col("node_type").isin(*EVIDENCE_TYPES)).withColumn("_k", key)
+    fact = F.col("node_type").isin("CHUNK_XBRL_FACT", "CHUNK_TABLE")
+    first = rows.where(fact).orderBy("_k").limit(int(fact_share * n))
+    rest = rows.join(first.select("node_id"), "node_id", "left_anti").orderBy("_k")
+    return first.withColumn("_o", F.lit(0)).unionByName(rest.limit(n).withColumn("_o", F.lit(1))).orderBy("_o", "_k").limit(n).select("node_id", "node_type")
