@@ -42,3 +42,28 @@ def latest_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.struct("ts", "event_id")
     last = event_stream(spark, sf_dir).groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), at).alias("l"))
     return run_complete(last.select("user_id", "l.event_id", "l.event_type"), "annotations")
+
+
+def filing_intake(manifests: DataFrame, target: str, late: str = "7 days") -> None:
+    """Append filings of a stream (accession, content_hash, filed_at timestamp, ...) to ``target`` as they
+    come, each (accession, content_hash) once within the watermark; later ones are for a batch run."""
+    spark = manifests.sparkSession
+    once = manifests.withWatermark("filed_at", late).dropDuplicatesWithinWatermark(["accession", "content_hash"])
+    query = once.writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", new_path(spark, "intake")).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def snapshot_refresh(filings: DataFrame, all_filings: DataFrame, target: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    """For each batch of new filings rebuild the issuers that it touches, and replace their partitions.
+
+    build: from the filings of some issuers to rows with issuer_id; ``target`` is partitioned by it.
+    """
+    spark = filings.sparkSession
+
+    def refresh(batch: DataFrame, _: int) -> None:
+        touched = batch.select("issuer_id").distinct()
+        rows = build(all_filings.join(touched, "issuer_id", "left_semi"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("issuer_id").parquet(target)
+
+    query = filings.writeStream.option("checkpointLocation", new_path(spark, "refresh")).trigger(availableNow=True).foreachBatch(refresh).start()
+    query.awaitTermination()
