@@ -29,6 +29,7 @@ RECALL = 0.999
 MAX_HASHES = 224
 #: Bounds of a block: shingles (8 bytes each) and classes.
 BLOCK_SHINGLES, BLOCK_CLASSES = 400_000, 1_024
+_PAIRS = 1 << 21  # pairs counted at once
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -145,13 +146,24 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
         return out
     starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     sizes = np.diff(np.concatenate((starts, [at.size])))
+    # Adding the pairs of a column costs its square, a dense column costs m * m far cheaper steps.
     few = max(4, m // 16)
     flat = np.zeros(m * m, np.int64)
+    waiting: list[np.ndarray] = []
+    held = 0
     for k in np.unique(sizes[sizes <= few]):
-        rows = owner[starts[sizes == k][:, None] + np.arange(k)]
-        for i in range(k):
-            for j in range(i + 1, k):
-                flat += np.bincount(rows[:, i] * m + rows[:, j], minlength=m * m)
+        first, second = np.triu_indices(k, 1)
+        at_k = starts[sizes == k]
+        step = max(1, _PAIRS // first.size)
+        for c in range(0, at_k.size, step):
+            rows = owner[at_k[c : c + step, None] + np.arange(k)]
+            waiting.append((rows[:, first] * m + rows[:, second]).ravel())
+            held += waiting[-1].size
+            if held >= _PAIRS:
+                flat += np.bincount(np.concatenate(waiting), minlength=m * m)
+                waiting, held = [], 0
+    if waiting:
+        flat += np.bincount(np.concatenate(waiting), minlength=m * m)
     out += flat.reshape(m, m) + flat.reshape(m, m).T
     many = np.flatnonzero(sizes > few)
     for a in range(0, many.size, 2048):
