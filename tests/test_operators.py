@@ -116,3 +116,26 @@ def test_top_k_is_pruned_early(spark, sf_dir):
     from filigree.plans import registry
 
     assert "WindowGroupLimit" in registry.QUERIES["d2_dedupe_filings"](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_best_sentences_against_brute_force(spark, sf_dir):
+    import re
+
+    from filigree.operators import text
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    words = ["the", "of", "and"]
+    got = {}
+    for r in text.best_sentences(docs, words).collect():
+        got.setdefault(r["doc_id"], set()).add((r["position"], r["sentence"], r["score"]))
+    for d, t in docs.collect():
+        scored = [(i, s, sum(w in s.lower() for w in words)) for i, s in enumerate(re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", t)) if len(s) >= 50]
+        assert got.get(d, set()) == set(sorted(scored, key=lambda x: (-x[2], x[0]))[:2])
+
+
+def test_item_sections_need_two_headings(spark):
+    from filigree.operators import text
+
+    body = "word " * 200
+    docs = spark.createDataFrame([(1, f"x Item 1. Business {body} Item 1A. Risk Factors {body}"), (2, f"Item 7. Discussion {body}"), (3, None)], "doc_id int, text string")
+    assert sorted((r["doc_id"], r["item"]) for r in text.split_items(docs).collect()) == [(1, "1"), (1, "1A")]
