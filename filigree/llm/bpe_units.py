@@ -9,11 +9,15 @@ library's full pipeline. The ids are those of ``tokenizer.encode(text)`` in ever
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import regex
 
 #: Units and pieces kept by a worker before it starts anew.
-CACHE_UNITS, CACHE_PIECES = 1_000_000, 500_000
+CACHE_UNITS, CACHE_PIECES = 1_000_000, 400_000
+#: Characters of texts that aren't cut, likewise.
+CACHE_UNCUT = 1 << 25
 
 #: The pre-tokenizers' patterns, as the tokenizer files state them.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -21,6 +25,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: No control characters, odd blanks, combining marks or special tokens: every version of the
 #: character tables agrees here, and normal form C changes nothing.
 _PLAIN = regex.compile(r"(?:[\n -;=-~¡-¬®-ɏ]|<(?!\|))*")
+_LATIN = regex.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]*")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -30,6 +35,23 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
 
 
+#: Marks a unit that has no blank before it: the first of a text, or a text that isn't cut (as those
+#: that have this character aren't).
+_WHOLE = "\x00"
+
+
+class _Index(dict):
+    """Numbers units in the order in which they are first asked for, and lists the new ones."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        self.new.append(unit)
+        return n
+
+
 class Encoder:
     """``path``: a tokenizer file. ``blank``: whether units after the first keep their blank (the
     byte-level tokenizer does; the word tokenizer drops blanks and lowers case)."""
@@ -42,39 +64,49 @@ class Encoder:
         self.blank = blank
         self.cut = regex.compile(BYTE_PATTERN if blank else WORD_PATTERN).findall
         self.letters = _byte_letters()
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.sizes = np.zeros(1024, np.int64)
         self.starts = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint16)
-        self.used = 0
+        self.used = self.uncut = 0
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece as 16-bit numbers, from the library's model."""
         ids = self.pieces.get(piece)
         if ids is None:
             if len(self.pieces) > CACHE_PIECES:
                 self.pieces.clear()
-            spelt = piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(spelt)]
+            if piece.isalpha() and piece.isascii():
+                spelt = piece
+            else:
+                spelt = piece.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[piece] = array("H", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return ids
 
-    def _ids(self, unit: str) -> list[int]:
+    def _ids(self, unit: str) -> bytes:
+        # Most units are a word and perhaps a stop: two pieces, told without the pattern.
+        word = unit.rstrip(".,")
+        if (word.isalpha() or (word[:1] == " " and word[1:].isalpha())) and (word.isascii() or _LATIN.fullmatch(word)):
+            core = self._piece(word if self.blank else word.lower())
+            return core + self._piece(unit[len(word) :]) if len(word) < len(unit) else core
         if not _PLAIN.fullmatch(unit):
-            return self.tokenizer.encode(unit, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in self.cut(unit if self.blank else unit.lower()):
-            out += self._piece(piece)
-        return out
-
-    def _learn(self, units: set[str]) -> None:
-        first = len(self.index)
-        lists = [self._ids(u) for u in units]
-        self.index.update(zip(units, range(first, first + len(lists)), strict=True))
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.uint16, int(n.sum()))
+            return array("H", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+        return b"".join([self._piece(p) for p in self.cut(unit if self.blank else unit.lower())])
+
+    def _learn(self) -> None:
+        """Encode the units that the index has met since the last call."""
+        units, self.index.new = self.index.new, []
+        first = len(self.index) - len(units)
+        if self.blank:
+            blobs = [self._ids(u[1:] if u.startswith(_WHOLE) else " " + u) for u in units]
+        else:
+            blobs = [self._ids(u) for u in units]
+        n = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 2
+        flat = np.frombuffer(b"".join(blobs), np.uint16)
         while first + n.size > self.sizes.size:
             self.sizes, self.starts = np.resize(self.sizes, 2 * self.sizes.size), np.resize(self.starts, 2 * self.starts.size)
         while self.used + flat.size > self.flat.size:
@@ -84,28 +116,25 @@ class Encoder:
         self.flat[self.used : self.used + flat.size] = flat
         self.used += flat.size
 
-    def _units(self, text: str) -> list[str]:
-        if not self.blank:
-            return text.split(" ")
-        if "  " in text:
-            return [text]
-        return text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else [text]
-
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids (16 bits) of all texts in one array, each text closed by ``end``, and the texts' sizes."""
-        if len(self.index) > CACHE_UNITS:
+        if len(self.index) > CACHE_UNITS or self.uncut > CACHE_UNCUT:
             self._clear()
         units: list[str] = []
         counts = np.empty(len(texts), np.int64)
         for k, t in enumerate(texts):
-            own = self._units(t)
+            if self.blank and ("  " in t or _WHOLE in t):
+                own = [_WHOLE + t]
+                self.uncut += len(t)
+            else:
+                own = t.split(" ")
+                if self.blank:
+                    own[0] = _WHOLE + own[0]
             counts[k] = len(own)
             units += own
-        known = self.index
-        new = {u for u in units if u not in known}
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        at = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+        if self.index.new:
+            self._learn()
         n = self.sizes[at]
         # Each text is followed by a place for its end.
         last = np.cumsum(counts) - 1

@@ -28,7 +28,7 @@ def projection(dims: int = DIMS, seed: int = 7) -> np.ndarray:
     table = np.random.default_rng(seed).standard_normal((BUCKETS, dims)).astype(np.float32)
     mixed = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     sign = np.where(mixed >> np.uint64(63), 1, -1).astype(np.float32)
-    return table[(mixed >> np.uint64(40)).astype(np.int64) % BUCKETS] * sign[:, None]
+    return np.asfortranarray(table[(mixed >> np.uint64(40)).astype(np.int64) % BUCKETS] * sign[:, None])
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -61,7 +61,7 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 def document_keys(ids: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Hilbert key of each document's mean projection; every document has at least its end id."""
     first = np.cumsum(sizes) - sizes
-    mean = np.add.reduceat(table[ids], first, axis=0, dtype=np.float64) / sizes[:, None]
+    mean = np.stack([np.add.reduceat(column[ids], first) for column in table.T], axis=1) / sizes[:, None]
     unit = 0.5 + 0.5 * mean / (np.abs(mean) + 0.05)  # (0, 1), finest about zero
     return hilbert_keys(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
