@@ -154,3 +154,64 @@ def table_value(texts: DataFrame, pattern: str) -> DataFrame:
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(pattern))
     number = F.translate(F.nullif(F.regexp_extract("line", r"([0-9][0-9,]*(?:\.[0-9]+)?)", 1), F.lit("")), ",", "").try_cast("double")
     return lines.withColumn("value", number).where("value IS NOT NULL").groupBy("doc_id").agg(F.min_by("value", "pos").alias("value"))
+
+
+def corpus_hash(definitions: DataFrame) -> DataFrame:
+    """(corpus_id, hash): sixteen hex digits of the digest of a definition's fields in order of name."""
+    names = sorted(c for c in definitions.columns if c != "corpus_id")
+    line = F.concat_ws("|", *[F.concat_ws("=", F.lit(n), F.coalesce(F.col(n).cast("string"), F.lit(""))) for n in names])
+    return definitions.select("corpus_id", F.left(F.sha2(line, 256), F.lit(16)).alias("hash"))
+
+
+def scope_manifest(bound: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(query_id, labels, n_newer, stale): labels of a query's bound filings (query_id, accession), the
+    number of its issuer's filings filed after all of them, and whether there are any."""
+    have = bound.join(labelled.select("accession", "issuer_id", "label", "filed_at"), "accession")
+    g = have.groupBy("query_id", "issuer_id").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.max("filed_at").alias("_last"))
+    newer = g.join(labelled.select("issuer_id", F.col("filed_at").alias("_f")), "issuer_id").where("_f > _last").groupBy("query_id").agg(F.count("*").alias("_n"))
+    rows = g.join(newer, "query_id", "left")
+    return rows.select("query_id", "labels", F.coalesce("_n", F.lit(0)).alias("n_newer"), F.col("_n").isNotNull().alias("stale"))
+
+
+def refine_fact_labels(candidates: DataFrame) -> DataFrame:
+    """Chunks of each item (item_id, chunk_id, is_fact, concept_hit, value_hit): where all are facts, those
+    whose value fits, else those whose concept fits, else all; items with other chunks stay whole."""
+    w = Window.partitionBy("item_id")
+    facts_only = F.min(F.col("is_fact").cast("int")).over(w) == 1
+    concept = F.max(F.col("concept_hit").cast("int")).over(w) == 1
+    kept = ~F.col("_c") | F.col("concept_hit")
+    rows = candidates.withColumns({"_f": facts_only, "_c": concept})
+    value = F.max((kept & F.col("value_hit")).cast("int")).over(w) == 1
+    rows = rows.withColumn("_v", value)
+    return rows.where(~F.col("_f") | (kept & (~F.col("_v") | F.col("value_hit")))).select("item_id", "chunk_id")
+
+
+def failure_pack(items: DataFrame, results: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Items with their result and last annotation, one row a result."""
+    from .dataset import latest_annotation
+
+    last = latest_annotation(annotations).select("item_id", F.col("failure_class").alias("reviewed_class"), "proposed")
+    return items.join(results, "item_id").join(last, "item_id", "left")
+
+
+def cohort_report(results: DataFrame, baseline: DataFrame) -> DataFrame:
+    """One row per variant: items, zero outcomes, good retrieval with a zero outcome, and the mean change
+    from the baseline (item_id, base)."""
+    rows = results.join(baseline, "item_id", "left")
+    zero = F.coalesce(F.col("outcome") <= 0, F.lit(True))
+    return rows.groupBy("variant_id").agg(F.count("*").alias("n"), F.count_if(zero).alias("zero"), F.count_if(zero & (F.coalesce(F.col("mrr"), F.lit(0.0)) >= 0.5)).alias("strong_zero"), F.avg(F.col("outcome") - F.col("base")).alias("mean_change"))
+
+
+def path_index(nodes: DataFrame) -> DataFrame:
+    """Distinct "accession/slug" paths of section and document nodes (node_id, label)."""
+    from ..functions import scalars as S
+
+    slug = F.regexp_replace(F.lower("label"), "[^a-z0-9]+", "_")
+    return nodes.select(F.concat_ws("/", S.accession_of(F.col("node_id")), slug).alias("path")).distinct()
+
+
+def label_roles(label: Column) -> Column:
+    """Sorted roles that a label's words suggest."""
+    t = F.lower(label)
+    rules = (("net income", "net_income"), ("before income tax", "pretax_income"), ("revenue", "revenue"), ("equity", "total_equity"), ("assets", "total_assets"), ("liabilit", "total_liabilities"), ("per share", "eps"))
+    return F.array_sort(F.array_compact(F.array(*[F.when(t.contains(w), F.lit(r)) for w, r in rules])))

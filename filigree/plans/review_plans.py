@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import segment_hint, split_camel_label
 from ..operators import review as V
+from ..operators.filings import fiscal_labels
 from ..sources.views import Frames
+from .filing_plans import _LABELLED
 from .plan import Plans
 
 PLANS = Plans()
@@ -127,3 +130,67 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
 SELECT doc_id, replace(arg_min(n, pos), ',', '')::DOUBLE AS value FROM v WHERE n IS NOT NULL GROUP BY 1""")
 def values(f: Frames) -> DataFrame:
     return V.table_value(f["documents"], "[Ll]icen[sc]ed?|@|[0-9]")
+
+
+@PLANS.add("d4_corpus_hash", "SELECT c_custkey AS corpus_id, left(sha256('balance=' || (c_custkey % 7) || '|segment=' || c_mktsegment), 16) AS hash FROM customer")
+def corpus_hash(f: Frames) -> DataFrame:
+    return V.corpus_hash(f["customer"].select(F.col("c_custkey").alias("corpus_id"), F.col("c_mktsegment").alias("segment"), (F.col("c_custkey") % 7).alias("balance")))
+
+
+@PLANS.add("d17_scope_manifest", f"""
+WITH {_LABELLED}, b AS (SELECT issuer_id * 10 AS query_id, issuer_id, accession, label, filed_at FROM labelled WHERE y = 1997 AND q < 3), g AS (SELECT query_id, issuer_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(filed_at) AS last FROM b GROUP BY 1, 2)
+SELECT query_id, labels, (SELECT count(*) FROM filings f WHERE f.issuer_id = g.issuer_id AND f.filed_at > g.last) AS n_newer, (SELECT count(*) FROM filings f WHERE f.issuer_id = g.issuer_id AND f.filed_at > g.last) > 0 AS stale FROM g""", ("filings",))
+def manifest(f: Frames) -> DataFrame:
+    bound = f["filings"].where("y = 1997 AND q < 3").select((F.col("issuer_id") * 10).alias("query_id"), "accession")
+    return V.scope_manifest(bound, fiscal_labels(f["filings"])).withColumn("labels", F.array_join("labels", ","))
+
+
+@PLANS.add("q18_refine_fact_labels", """
+WITH c AS (SELECT l_orderkey AS item_id, l_linenumber AS chunk_id, bool_and(l_orderkey % 3 <> 0) AS f, bool_or(l_returnflag = 'A') AS c, bool_or(l_linestatus = 'F') AS v FROM lineitem GROUP BY 1, 2),
+w AS (SELECT *, bool_and(f) OVER p AS allf, bool_or(c) OVER p AS anyc FROM c WINDOW p AS (PARTITION BY item_id)), x AS (SELECT *, bool_or((NOT anyc OR c) AND v) OVER (PARTITION BY item_id) AS anyv FROM w)
+SELECT item_id, chunk_id FROM x WHERE NOT allf OR ((NOT anyc OR c) AND (NOT anyv OR v))""")
+def refine(f: Frames) -> DataFrame:
+    g = f["lineitem"].groupBy(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("chunk_id"))
+    rows = g.agg(F.max(F.col("l_returnflag") == "A").alias("concept_hit"), F.max(F.col("l_linestatus") == "F").alias("value_hit")).withColumn("is_fact", F.col("item_id") % 3 != 0)
+    return V.refine_fact_labels(rows)
+
+
+@PLANS.add("m32_failure_pack", """
+WITH a AS (SELECT item_id, failure_class, proposed FROM annotations QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY created_at DESC, ordinal DESC) = 1)
+SELECT r.variant_id, i.item_id, i.answer_type, r.outcome, a.failure_class AS reviewed_class, a.proposed FROM items i JOIN results r ON r.item_id = i.item_id LEFT JOIN a ON a.item_id = i.item_id""", ("items", "results", "annotations"))
+def pack(f: Frames) -> DataFrame:
+    items = f["items"].select("item_id", "answer_type")
+    return V.failure_pack(items, f["results"].select("variant_id", "item_id", "outcome"), f["annotations"]).select("variant_id", "item_id", "answer_type", "outcome", "reviewed_class", "proposed")
+
+
+@PLANS.add("m23_cohort_report", """
+SELECT r.variant_id, count(*) AS n, count(*) FILTER (coalesce(r.outcome <= 0, true)) AS zero, count(*) FILTER (coalesce(r.outcome <= 0, true) AND coalesce(r.mrr, 0) >= 0.5) AS strong_zero, round(avg(r.outcome - b.outcome), 9) AS mean_change
+FROM results r LEFT JOIN results b ON b.item_id = r.item_id AND b.variant_id = 'graph-full' GROUP BY 1""", ("results",))
+def cohort(f: Frames) -> DataFrame:
+    base = f["results"].where("variant_id = 'graph-full'").select("item_id", F.col("outcome").alias("base"))
+    return V.cohort_report(f["results"], base).withColumn("mean_change", F.round("mean_change", 9))
+
+
+@PLANS.add("h16_export_path_index", "SELECT DISTINCT regexp_extract(node_id, '[0-9]{10}-[0-9]{2}-[0-9]{6}') || '/' || regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g') AS path FROM doc_lines", ("doc_lines",))
+def index(f: Frames) -> DataFrame:
+    return V.path_index(f["doc_lines"].select("node_id", F.col("source").alias("label")))
+
+
+@PLANS.add("f5_label_roles", """
+SELECT fact_id, CASE concept WHEN 'NetIncomeLoss' THEN 'net_income' WHEN 'IncomeLossBeforeIncomeTaxes' THEN 'pretax_income' WHEN 'Revenues' THEN 'revenue' WHEN 'CostOfRevenue' THEN 'revenue' WHEN 'StockholdersEquity' THEN 'total_equity' WHEN 'Assets' THEN 'total_assets' WHEN 'LiabilitiesCurrent' THEN 'total_liabilities' ELSE '' END AS roles FROM facts""", ("facts",))
+def suggested(f: Frames) -> DataFrame:
+    return f["facts"].select("fact_id", F.array_join(V.label_roles(split_camel_label(F.col("concept"))), ",").alias("roles"))
+
+
+@PLANS.add("b36_segment_hint", """
+SELECT query_id, CASE WHEN query_id % 12 = 7 THEN 'Energy Products' END AS segment FROM questions""", ("questions",))
+def segment(f: Frames) -> DataFrame:
+    return f["questions"].select("query_id", segment_hint(F.col("question")).alias("segment"))
+
+
+@PLANS.add("q10_feasibility_report", """
+WITH x AS (SELECT doc_id, unnest(list_filter([CASE WHEN quality = 0 THEN 'low_quality' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN doc_id % 5 = 0 THEN 'unbindable' END], lambda x: x IS NOT NULL)) AS reason FROM labels)
+SELECT reason, count(*) AS n, min('item-' || doc_id) AS example FROM x GROUP BY 1""")
+def feasibility(f: Frames) -> DataFrame:
+    codes = F.array_compact(F.array(F.when(F.col("quality") == 0, "low_quality"), F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("doc_id") % 5 == 0, "unbindable")))
+    return V.feasibility_report(f["labels"].select(F.concat(F.lit("item-"), "doc_id").alias("item_id"), codes.alias("errors")))
