@@ -215,3 +215,82 @@ def label_roles(label: Column) -> Column:
     t = F.lower(label)
     rules = (("net income", "net_income"), ("before income tax", "pretax_income"), ("revenue", "revenue"), ("equity", "total_equity"), ("assets", "total_assets"), ("liabilit", "total_liabilities"), ("per share", "eps"))
     return F.array_sort(F.array_compact(F.array(*[F.when(t.contains(w), F.lit(r)) for w, r in rules])))
+
+
+def validate_documents(documents: DataFrame, least: float = 0.5) -> DataFrame:
+    """(doc_id, errors) of documents (doc_id, form_type, confidence, n_tables, n_html, n_empty_html)."""
+    codes = F.array_compact(F.array(
+        F.when(F.coalesce("confidence", F.lit(0.0)) < least, "low_confidence"), F.when(F.col("form_type").isin("10-K", "10-Q") & (F.coalesce("n_tables", F.lit(0)) == 0), "no_tables"),
+        F.when(F.coalesce("n_empty_html", F.lit(0)) > 0, "empty_html_section"),
+    ))
+    return documents.select("doc_id", codes.alias("errors"))
+
+
+def gold_path_eval(items: DataFrame, evidence: DataFrame, least_reach: float = 0.75, least_path: float = 0.9, least_items: int = 40) -> DataFrame:
+    """One row: share of items (item_id, required array, full_scan, path_matched) whose required chunks are
+    all in the evidence (item_id, chunk_id) without a full scan, share of those whose path fits, passed."""
+    have = evidence.groupBy("item_id").agg(F.collect_set("chunk_id").alias("_h"))
+    none = F.array().cast("array<string>")
+    rows = items.join(have, "item_id", "left")
+    reached = (F.size(F.array_except("required", F.coalesce("_h", none))) == 0) & ~F.col("full_scan")
+    g = rows.withColumn("_r", reached).agg(F.count("*").alias("n"), F.avg(F.col("_r").cast("double")).alias("reach_rate"), F.avg(F.when(F.col("_r"), F.col("path_matched").cast("double"))).alias("path_rate"))
+    path = F.coalesce("path_rate", F.lit(0.0))
+    return g.select("n", "reach_rate", path.alias("path_rate"), ((F.col("n") >= least_items) & (F.col("reach_rate") >= least_reach) & (path >= least_path)).alias("passed"))
+
+
+def binding_eval(predicted: DataFrame, expected: DataFrame, least_accuracy: float = 0.7, least_multi: float = 0.8, least_items: int = 50) -> DataFrame:
+    """One row over items of ``expected`` (query_id, accession): share with exactly the predicted set, share
+    with two or more filings, and whether the thresholds hold."""
+    p = predicted.groupBy("query_id").agg(F.array_sort(F.collect_set("accession")).alias("_p"))
+    e = expected.groupBy("query_id").agg(F.array_sort(F.collect_set("accession")).alias("_e"))
+    g = e.join(p, "query_id", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col("_p") == F.col("_e"), F.lit(False)).cast("double")).alias("accuracy"), F.avg((F.size("_e") > 1).cast("double")).alias("multi_share"))
+    return g.withColumn("passed", (F.col("n") >= least_items) & (F.col("accuracy") >= least_accuracy) & (F.col("multi_share") >= least_multi))
+
+
+def review_pack(queue: DataFrame, citations: DataFrame, most: int = 8) -> DataFrame:
+    """Queue rows with their first ``most`` cited excerpts (item_id, rank, excerpt) in one text."""
+    w = Window.partitionBy("item_id").orderBy("rank")
+    first = citations.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "excerpt"))), lambda x: x["excerpt"]), " | ")
+    return queue.join(first.groupBy("item_id").agg(joined.alias("cited")), "item_id", "left")
+
+
+def cohort_ids(queue: DataFrame, tier: int | None = None) -> DataFrame:
+    rows = queue if tier is None else queue.where(F.col("tier") == tier)
+    return rows.select("item_id").distinct()
+
+
+def dense_answer(ranked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, citations): ids and texts of the ranked chunks, in order, as one array."""
+    rows = ranked.join(texts, "vec_id")
+    return rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "label"))).alias("citations"))
+
+
+def best_facts(queries: DataFrame, facts: DataFrame, most: int) -> DataFrame:
+    """The ``most`` facts of each query (query_id, issuer_id, question) whose concept answers it: annual
+    ones before others, the newest first."""
+    rows = queries.join(facts, "issuer_id").where(S.concept_matches_query(F.col("concept"), F.col("question")))
+    annual = (F.date_format("period_start", "MM-dd") == "01-01") & (F.date_format("period_end", "MM-dd") == "12-31")
+    w = Window.partitionBy("query_id").orderBy(F.desc(annual), F.desc("period_end"), "fact_id")
+    return rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).select("query_id", "fact_id", "position")
+
+
+def document_nodes(filings: DataFrame) -> DataFrame:
+    return filings.select(S.document_root(F.col("accession")).alias("node_id"), F.lit("DOCUMENT").alias("node_type"), F.concat_ws(" ", "form_type", F.col("period_end").cast("string")).alias("label")).distinct()
+
+
+def fact_nodes_edges(facts: DataFrame) -> DataFrame:
+    """(source_id, target_id, edge_type): a bucket of facts under each document once, facts under it."""
+    root = S.document_root(F.col("accession"))
+    bucket = F.concat(root, F.lit("-xbrl-facts"))
+    top = facts.select(root.alias("source_id"), bucket.alias("target_id")).distinct()
+    return top.unionByName(facts.select(bucket.alias("source_id"), F.col("fact_id").alias("target_id"))).withColumn("edge_type", F.lit("CONTAINS"))
+
+
+def divestiture_facts(texts: DataFrame) -> DataFrame:
+    """(doc_id, amount, asset) of "sold <asset> for $<amount> billion" phrases; the first of a text."""
+    pattern = r"(?i)sold ([A-Za-z ]+?) for \$([0-9.]+) (billion|million)"
+    t = F.col("text")
+    rows = texts.where(t.rlike(pattern))
+    scale = F.when(F.lower(F.regexp_extract(t, pattern, 3)) == "billion", 1e9).otherwise(1e6)
+    return rows.select("doc_id", (F.regexp_extract(t, pattern, 2).try_cast("double") * scale).alias("amount"), F.regexp_extract(t, pattern, 1).alias("asset"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import segment_hint, split_camel_label
 from ..operators import review as V
 from ..operators.filings import fiscal_labels
+from ..operators.ranking import dense_topk
 from ..sources.views import Frames
 from .filing_plans import _LABELLED
 from .plan import Plans
@@ -194,3 +195,68 @@ SELECT reason, count(*) AS n, min('item-' || doc_id) AS example FROM x GROUP BY
 def feasibility(f: Frames) -> DataFrame:
     codes = F.array_compact(F.array(F.when(F.col("quality") == 0, "low_quality"), F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("doc_id") % 5 == 0, "unbindable")))
     return V.feasibility_report(f["labels"].select(F.concat(F.lit("item-"), "doc_id").alias("item_id"), codes.alias("errors")))
+
+
+@PLANS.add("g5_validate_documents", """
+SELECT doc_id, concat_ws(',', CASE WHEN (doc_id % 10) / 10.0 < 0.5 THEN 'low_confidence' END, CASE WHEN doc_id % 3 = 0 THEN 'no_tables' END, CASE WHEN doc_id % 7 = 0 THEN 'empty_html_section' END) AS errors FROM documents""")
+def checked(f: Frames) -> DataFrame:
+    d = F.col("doc_id")
+    rows = f["documents"].select("doc_id", F.lit("10-K").alias("form_type"), ((d % 10) / 10.0).alias("confidence"), (d % 3).alias("n_tables"), (d % 7 == 0).cast("int").alias("n_empty_html"))
+    return V.validate_documents(rows).select("doc_id", F.array_join("errors", ",").alias("errors"))
+
+
+@PLANS.add("h15_gold_path_eval", """
+WITH h AS (SELECT l_orderkey AS k, list_distinct(list(l_suppkey % 5)) AS h FROM lineitem GROUP BY 1), r AS (SELECT o_orderkey, coalesce(list_contains(h, o_custkey % 5), false) AND o_orderkey % 10 <> 0 AS r FROM orders LEFT JOIN h ON k = o_orderkey)
+SELECT count(*) AS n, round(avg(r::INT), 9) AS reach_rate, round(avg((o_orderkey % 4 <> 0)::INT) FILTER (r), 9) AS path_rate, avg(r::INT) >= 0.75 AND avg((o_orderkey % 4 <> 0)::INT) FILTER (r) >= 0.9 AS passed FROM r""")
+def gold(f: Frames) -> DataFrame:
+    k = F.col("o_orderkey")
+    items = f["orders"].select(k.alias("item_id"), F.array((F.col("o_custkey") % 5).cast("string")).alias("required"), (k % 10 == 0).alias("full_scan"), (k % 4 != 0).alias("path_matched"))
+    evidence = f["lineitem"].select(F.col("l_orderkey").alias("item_id"), (F.col("l_suppkey") % 5).cast("string").alias("chunk_id"))
+    return V.gold_path_eval(items, evidence).withColumns({c: F.round(c, 9) for c in ("reach_rate", "path_rate")})
+
+
+@PLANS.add("m33_binding_eval", """
+WITH e AS (SELECT l_orderkey AS q, list_sort(list_distinct(list(l_suppkey % 3))) AS e, list_sort(list_distinct(list(l_suppkey % 3) FILTER (l_linenumber <= 3))) AS p FROM lineitem GROUP BY 1)
+SELECT count(*) AS n, round(avg(coalesce(p = e, false)::INT), 9) AS accuracy, round(avg((len(e) > 1)::INT), 9) AS multi_share, avg(coalesce(p = e, false)::INT) >= 0.7 AND avg((len(e) > 1)::INT) >= 0.8 AS passed FROM e""")
+def binding(f: Frames) -> DataFrame:
+    rows = f["lineitem"].select(F.col("l_orderkey").alias("query_id"), (F.col("l_suppkey") % 3).alias("accession"), "l_linenumber")
+    return V.binding_eval(rows.where("l_linenumber <= 3"), rows).withColumns({c: F.round(c, 9) for c in ("accuracy", "multi_share")})
+
+
+@PLANS.add("q25_review_pack", """
+WITH c AS (SELECT o_custkey, string_agg(o_orderpriority, ' | ' ORDER BY o_orderkey) AS cited FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 8) GROUP BY 1) SELECT c_custkey AS item_id, cited FROM customer LEFT JOIN c ON o_custkey = c_custkey""")
+def packed(f: Frames) -> DataFrame:
+    cited = f["orders"].select(F.col("o_custkey").alias("item_id"), F.col("o_orderkey").alias("rank"), F.col("o_orderpriority").alias("excerpt"))
+    return V.review_pack(f["customer"].select(F.col("c_custkey").alias("item_id")), cited)
+
+
+@PLANS.add("q33_cohort_ids", "SELECT DISTINCT item_id FROM results WHERE variant_id <> 'flat-chunk' AND profile_no = 2", ("results",))
+def ids(f: Frames) -> DataFrame:
+    return V.cohort_ids(f["results"].where("variant_id <> 'flat-chunk'").withColumn("tier", F.col("profile_no")), 2)
+
+
+@PLANS.add("r9_dense_answer", """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(x, embedding::DOUBLE[]), 9) AS score FROM q, embeddings),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 3) SELECT query_id, string_agg(rank || ':' || vec_id || ':' || label, ',' ORDER BY rank) AS citations FROM t GROUP BY 1""")
+def answer(f: Frames) -> DataFrame:
+    q = f["embeddings"].where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    rows = V.dense_answer(dense_topk(q, f["embeddings"], 3), f["embeddings"].select("vec_id", "label"))
+    return rows.select("query_id", F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["rank"], c["vec_id"], c["label"])), ",").alias("citations"))
+
+
+@PLANS.add("f15_best_facts", """
+WITH p AS (SELECT query_id, fact_id, period_end, strftime(period_start, '%m-%d') = '01-01' AND strftime(period_end, '%m-%d') = '12-31' AS annual FROM questions q JOIN facts f ON f.issuer_id = q.issuer_id WHERE CASE query_id % 12 WHEN 0 THEN concept IN ('Revenues', 'CostOfRevenue') WHEN 5 THEN concept IN ('Revenues', 'CostOfRevenue')
+  WHEN 7 THEN concept IN ('Revenues', 'CostOfRevenue') WHEN 1 THEN concept LIKE '%Income%' WHEN 4 THEN concept = 'Assets' WHEN 10 THEN concept = 'Assets' WHEN 6 THEN concept LIKE '%Cash%' ELSE false END)
+SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY annual DESC, period_end DESC, fact_id)::INT AS position FROM p QUALIFY position <= 2""", ("questions", "facts"))
+def best(f: Frames) -> DataFrame:
+    return V.best_facts(f["questions"], f["facts"], 2)
+
+
+@PLANS.add("e1_document_nodes", "SELECT DISTINCT 'doc-' || accession AS node_id, 'DOCUMENT' AS node_type, form_type || ' ' || period_end::VARCHAR AS label FROM filings", ("filings",))
+def documents(f: Frames) -> DataFrame:
+    return V.document_nodes(f["filings"])
+
+
+@PLANS.add("e4_fact_nodes", "SELECT DISTINCT 'doc-' || accession AS source_id, 'doc-' || accession || '-xbrl-facts' AS target_id, 'CONTAINS' AS edge_type FROM facts UNION ALL SELECT 'doc-' || accession || '-xbrl-facts', fact_id, 'CONTAINS' FROM facts", ("facts",))
+def fact_edges(f: Frames) -> DataFrame:
+    return V.fact_nodes_edges(f["facts"])
