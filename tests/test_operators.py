@@ -139,3 +139,19 @@ def test_item_sections_need_two_headings(spark):
     body = "word " * 200
     docs = spark.createDataFrame([(1, f"x Item 1. Business {body} Item 1A. Risk Factors {body}"), (2, f"Item 7. Discussion {body}"), (3, None)], "doc_id int, text string")
     assert sorted((r["doc_id"], r["item"]) for r in text.split_items(docs).collect()) == [(1, "1"), (1, "1A")]
+
+
+def test_divestiture_phrases(spark):
+    from filigree.operators import review
+
+    docs = spark.createDataFrame([(1, "It sold the retail unit for $1.1 billion."), (2, "It sold nothing."), (3, None)], "doc_id int, text string")
+    assert [tuple(r) for r in review.divestiture_facts(docs).collect()] == [(1, 1.1e9, "the retail unit")]
+
+
+def test_review_rules_on_nothing(spark):
+    from filigree.operators import review
+
+    none = spark.createDataFrame([], "item_id string, required array<string>, full_scan boolean, path_matched boolean")
+    row = review.gold_path_eval(none, spark.createDataFrame([], "item_id string, chunk_id string")).first()
+    assert row["n"] == 0 and row["path_rate"] == 0.0 and not row["passed"]
+    assert one(spark, x=review.weakest_criterion(F.create_map(F.lit("b"), F.lit(0.2), F.lit("a"), F.lit(0.2), F.lit("trajectory_fidelity"), F.lit(0.0)))) == "a"
