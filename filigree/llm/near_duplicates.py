@@ -218,9 +218,11 @@ def _verify(threshold: float):
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, t, class_id, n_links, n_copies) for every row of documents (doc_id, text).
+    """(doc_id, t, class_id, class_t, n_links, n_copies) for every row of documents (doc_id, text).
 
-    class_id: least doc_id of the documents joined by links, directly or through others; n_links:
+    class_id, class_t: doc_id and t (hash of the text) of the least of the documents joined by
+    links, directly or through others, by doc_id and then t. Only both together name a class, as
+    several texts may share a doc_id, or have none. n_links:
     documents whose shingle set has at least that Jaccard similarity with this one's, copies
     included; n_copies: documents with the very same shingle set, this one included. Texts without
     a word (null too) are copies of each other and of nothing else. Repeated rows count each. Null
@@ -230,7 +232,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, recall:
     bands, rows = choose_bands(threshold, recall)
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
     signed = stored(signatures(docs, bands, rows), "signatures")
-    classes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = signed.groupBy("key").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     placed = classes.select("cid", F.explode("bands").alias("bucket"))
@@ -253,10 +255,10 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, recall:
     links = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("links"))
     named = classes.select("cid", "key", "rep", "copies")
     named = named.join(joined.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    heads = named.groupBy("label").agg(F.min("rep").alias("class_id"))
+    heads = named.groupBy("label").agg(F.min("rep").alias("head"))
     named = named.join(heads.hint("merge"), "label").join(links.hint("merge"), "cid", "left")
-    named = named.select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    return signed.select("doc_id", "t", "key").join(named.hint("merge"), "key").select("doc_id", "t", "class_id", "n_links", "n_copies")
+    named = named.select("key", F.col("head.doc_id").alias("class_id"), F.col("head.t").alias("class_t"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    return signed.select("doc_id", "t", "key").join(named.hint("merge"), "key").select("doc_id", "t", "class_id", "class_t", "n_links", "n_copies")
 
 
 def _compare(docs: DataFrame, members: DataFrame, shares: int, threshold: float) -> DataFrame:
@@ -285,7 +287,7 @@ def _compare(docs: DataFrame, members: DataFrame, shares: int, threshold: float)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     schema = "share long, first int, second int, label long, cid long, copies long, side int, cross boolean, shingles binary"
-    m = members.select(F.col("rep").alias("doc_id"), "cid", "key", "copies", "label", "blocks")
+    m = members.select(F.col("rep.doc_id").alias("doc_id"), "cid", "key", "copies", "label", "blocks")
     texts = docs.join(m.hint("shuffle_hash"), "doc_id").select("text", "cid", "key", "copies", "label", "blocks")
     sent = texts.mapInArrow(sets, schema)
     return sent.groupBy("share", "first", "second").applyInPandas(_verify(threshold), "kind long, a long, b long")
@@ -295,7 +297,7 @@ def keep_one(documents: DataFrame, threshold: float = THRESHOLD, recall: float =
     """One document of each class stays: that with the least doc_id (then text hash); a row that
     repeats it entirely in id and text goes as well. Columns are those of documents."""
     found = near_duplicates(documents.select("doc_id", "text"), threshold, recall)
-    kept = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "t")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.t").alias("_t"))
+    kept = found.where("doc_id = class_id and t = class_t").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
     at = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": F.xxhash64(F.coalesce("text", F.lit("")))})
     rows = at.join(kept.hint("shuffle_hash"), ["_id", "_t"], "left_semi")
     return rows.dropDuplicates(["_id", "_t"]).select(*[F.col(f"`{c}`") for c in documents.columns])

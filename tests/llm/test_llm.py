@@ -194,6 +194,24 @@ def test_near_duplicates_odd_rows(spark, odd, empty):
     assert near_duplicates.keep_one(empty).count() == 0
 
 
+def test_unrelated_texts_of_one_id_are_classes_of_their_own(spark):
+    near = prose(31, 120).split()
+    texts = [(None, prose(32, 60)), (None, prose(33, 60)), (None, prose(32, 60)), (5, prose(34, 60)), (5, prose(35, 60)), (6, prose(35, 60)), (7, prose(33, 60)), (None, " ".join(near)), (8, " ".join(["new", *near[1:]]))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in near_duplicates.keep_one(df).collect())
+    assert kept == sorted([("None", texts[0][1]), ("None", texts[1][1]), ("None", texts[7][1]), ("5", texts[3][1]), ("5", texts[4][1])])
+    _, find = brute_links(texts)
+    found = near_duplicates.near_duplicates(df)
+    # rows of the same id and text are the same here, so a class is the set of its ids and texts
+    text_of = {r["t"]: r["text"] for r in df.select("text", F.xxhash64("text").alias("t")).collect()}
+    got, want = collections.defaultdict(set), collections.defaultdict(set)
+    for r in found.collect():
+        got[r["class_id"], r["class_t"]].add((r["doc_id"], text_of[r["t"]]))
+    for k, (d, t) in enumerate(texts):
+        want[find(k)].add((-(1 << 63) if d is None else d, t))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(got) == 5
+
+
 # quality
 
 
