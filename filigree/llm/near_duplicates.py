@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .work import read, stored
@@ -89,6 +89,10 @@ def _key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def signatures(documents: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, t (hash of the text), key (of the shingle set), n (shingles), bands; a row each."""
 
@@ -103,7 +107,7 @@ def signatures(documents: DataFrame, bands: int, rows: int) -> DataFrame:
                 hashes.append(band(s).tolist() if s.size else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "t", "key", "n", "bands"])
 
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
+    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("t"), "text")
     return base.mapInArrow(sign, "doc_id long, t long, key binary, n long, bands array<long>")
 
 
@@ -267,12 +271,16 @@ def _compare(docs: DataFrame, members: DataFrame, shares: int, threshold: float)
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["share", "first", "second", "label", "cid", "copies", "side", "cross", "shingles"]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+        seen = set()
         for batch in batches:
             out = []
             for text, cid, key, copies, label, blocks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if cid in seen:  # a row that repeats both doc_id and text
+                    continue
                 s = shingle_set(text)
-                if _key(s) != key:  # a repeated doc_id with another text
+                if _key(s) != key:  # another text of the same hash
                     continue
+                seen.add(cid)
                 raw = s.tobytes()
                 if blocks == 1:
                     out.append((label % shares, -1, -1, label, cid, copies, 0, False, raw))
@@ -287,18 +295,24 @@ def _compare(docs: DataFrame, members: DataFrame, shares: int, threshold: float)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     schema = "share long, first int, second int, label long, cid long, copies long, side int, cross boolean, shingles binary"
-    m = members.select(F.col("rep.doc_id").alias("doc_id"), "cid", "key", "copies", "label", "blocks")
-    texts = docs.join(m.hint("shuffle_hash"), "doc_id").select("text", "cid", "key", "copies", "label", "blocks")
+    m = members.select("rep.doc_id", "rep.t", "cid", "key", "copies", "label", "blocks")
+    texts = _texts_of(docs, m).select("text", "cid", "key", "copies", "label", "blocks")
     sent = texts.mapInArrow(sets, schema)
     return sent.groupBy("share", "first", "second").applyInPandas(_verify(threshold), "kind long, a long, b long")
 
 
+def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members (doc_id, t, ...) with their texts: a row each, and one more for every row of docs that
+    repeats both doc_id and text."""
+    return docs.withColumn("t", _text_hash()).join(members.hint("shuffle_hash"), ["doc_id", "t"])
+
+
 def keep_one(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One document of each class stays: that with the least doc_id (then text hash); a row that
     repeats it entirely in id and text goes as well. Columns are those of documents."""
     found = near_duplicates(documents.select("doc_id", "text"), threshold, recall)
     kept = found.where("doc_id = class_id and t = class_t").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
-    at = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": F.xxhash64(F.coalesce("text", F.lit("")))})
+    at = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": _text_hash()})
     rows = at.join(kept.hint("shuffle_hash"), ["_id", "_t"], "left_semi")
     return rows.dropDuplicates(["_id", "_t"]).select(*[F.col(f"`{c}`") for c in documents.columns])
 

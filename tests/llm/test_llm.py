@@ -212,6 +212,14 @@ def test_unrelated_texts_of_one_id_are_classes_of_their_own(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(got) == 5
 
 
+def test_members_meet_only_their_own_text(spark):
+    texts = [prose(200 + i, 60) for i in range(12)]
+    docs = spark.createDataFrame([(0, t) for t in texts], "doc_id long, text string")
+    members = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text").alias("own"))
+    met = near_duplicates._texts_of(docs, members).select("text", "own").collect()
+    assert len(met) == 12 and all(r["text"] == r["own"] for r in met)
+
+
 # quality
 
 
