@@ -7,6 +7,9 @@ lines in one; a text of which nothing is left has none.
 
 from __future__ import annotations
 
+import json
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +31,8 @@ SPELLINGS = (
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:portions )?(?:copyright|\(c\)|©)[ \t]+(?:\(c\)|©|[0-9]{4}|by )[^\n]*$|^[ \t]*all rights reserved[ \t.]*$"
 OTHER = r"[^0-9a-z\x{80}-\x{10FFFF}\n]+"
 
-#: Texts that put a work under a licence, and a short licence in full: (licence, text). Callers
-#: give a table of their own, of any size; this is the default.
+#: Texts that put a work under a licence, and a short licence in full: (licence, text). They are
+#: in the default table besides ``KNOWN``; callers may give a table of their own, of any size.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -37,6 +40,9 @@ NOTICES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("FSFAP", "Copying and distribution of this file, with or without modification, are permitted in any medium without royalty provided the copyright notice and this notice are preserved. This file is offered as-is, without any warranty."),
 )
+#: Whole licences, with and without title and appendix, their usual notices and SPDX lines: a JSON
+#: object (license, text) a line, in this package.
+KNOWN = "known_licenses.jsonl"
 #: Known digests are broadcast up to this many (about 100 bytes each), and shuffled beyond.
 MAX_BROADCAST = 100_000
 
@@ -65,7 +71,9 @@ def known_digests(texts: DataFrame) -> DataFrame:
 
 
 def default_texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(NOTICES), "license string, text string")
+    """The notices and the texts of ``KNOWN``. The driver reads that file: executors need not see the package's folder."""
+    rows = map(json.loads, resources.files(__package__).joinpath(KNOWN).read_text("utf-8").splitlines())
+    return spark.createDataFrame([*NOTICES, *((r["license"], r["text"]) for r in rows)], "license string, text string")
 
 
 def license_scan(documents: DataFrame, texts: DataFrame, text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:

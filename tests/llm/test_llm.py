@@ -386,6 +386,20 @@ def test_license_spellings(spark, odd, empty):
     assert licenses.license_scan(odd, texts).count() == len(ODD) and licenses.license_scan(empty, texts).count() == 0
 
 
+def test_whole_licenses_are_known(spark):
+    known = [tuple(r) for r in licenses.default_texts(spark).collect()]
+    names = {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"}
+    longest = {n: max((t for m, t in known if m == n), key=len, default="") for n in names}
+    assert all(len(t) > 650 for t in longest.values())
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2020 Somebody\n\n" + min((t for m, t in known if m == "MIT" and len(t) > 650), key=len).replace("\n", " ")
+    texts = [*longest.items(), ("MIT", mit), ("BSD-3-Clause", "Copyright 2001 A. Body. All rights reserved.\n" + longest["BSD-3-Clause"].replace("\n", "\n   "))]
+    files = [("MPL-2.0", "# SPDX-License-Identifier: MPL-2.0\nx = 1"), ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;"), (None, "SPDX-License-Identifier: Nothing-1.0\nx")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts + files)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_scan(docs, licenses.default_texts(spark)).collect()}
+    assert [got[i]["license"] for i in range(len(texts))] == [n for n, _ in texts]
+    assert [got[len(texts) + i]["line_licenses"] for i in range(3)] == [["MPL-2.0"], ["GPL-2.0"], []]
+
+
 # pipeline
 
 
