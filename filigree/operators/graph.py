@@ -30,9 +30,10 @@ def section_edges(sections: DataFrame) -> DataFrame:
     return rows.select(F.explode(both).alias("e"), F.col("section_id").alias("target_id")).where("e.source_id IS NOT NULL").select("e.source_id", "target_id", "e.edge_type")
 
 
-def chunk_sections(sections: DataFrame, chars: int = WINDOW_CHARS, most: int = WINDOWS) -> DataFrame:
-    """(section_id, window, text): windows of a body over 40 characters, the first ``most``."""
-    n = F.least(F.lit(most), F.ceil(F.length("body") / chars).cast("int"))
+def chunk_sections(sections: DataFrame, chars: int = WINDOW_CHARS, most: int | None = None) -> DataFrame:
+    """(section_id, window, text): all windows of a body over 40 characters, or the first ``most``."""
+    n = F.ceil(F.length("body") / chars).cast("int")
+    n = n if most is None else F.least(F.lit(most), n)
     rows = sections.where(F.length("body") > 40).select("section_id", "body", F.explode(F.sequence(F.lit(0), n - 1)).alias("window"))
     return rows.select("section_id", "window", F.substr("body", F.col("window") * chars + 1, F.lit(chars)).alias("text"))
 

@@ -155,3 +155,11 @@ def test_review_rules_on_nothing(spark):
     row = review.gold_path_eval(none, spark.createDataFrame([], "item_id string, chunk_id string")).first()
     assert row["n"] == 0 and row["path_rate"] == 0.0 and not row["passed"]
     assert one(spark, x=review.weakest_criterion(F.create_map(F.lit("b"), F.lit(0.2), F.lit("a"), F.lit(0.2), F.lit("trajectory_fidelity"), F.lit(0.0)))) == "a"
+
+
+def test_sections_are_cut_into_windows_whole(spark):
+    body = "".join(f"{i:07d} " for i in range(12_500))
+    sections = spark.createDataFrame([("a", body), ("b", "short"), ("c", None)], "section_id string, body string")
+    for chars in (200, graph.WINDOW_CHARS):
+        rows = sorted((r["section_id"], r["window"], r["text"]) for r in graph.chunk_sections(sections, chars).collect())
+        assert rows == [("a", k, body[k * chars : (k + 1) * chars]) for k in range(-(-len(body) // chars))]
