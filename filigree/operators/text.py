@@ -30,9 +30,9 @@ def strip_tags(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"(&nbsp;|&#160;|\s)+", " "))
 
 
-def split_items(documents: DataFrame, least_raw: int = 200, least_plain: int = 500, most: int = 80_000) -> DataFrame:
+def split_items(documents: DataFrame, least_raw: int = 200, least_plain: int = 500, most: int | None = None) -> DataFrame:
     """(doc_id, item, body): the text from each primary heading to the next, of documents with two or
-    more; short sections and tables of contents are left out; bodies end at ``most`` characters."""
+    more; short sections and tables of contents are left out; bodies are whole, or end at ``most`` characters."""
     pieces = item_pieces(documents)
     w = Window.partitionBy("doc_id").orderBy("position")
     rows = pieces.withColumn("section", F.sum(F.col("is_primary").cast("int")).over(w)).where("section > 0")
@@ -41,7 +41,7 @@ def split_items(documents: DataFrame, least_raw: int = 200, least_plain: int = 5
     plain = strip_tags(F.col("raw"))
     contents = (F.size(F.split("raw", r"(?i)item ")) > 9) & (F.length(plain) < 3000)
     rows = joined.withColumns({"_n": n, "_plain": plain, "_toc": contents}).where((F.col("_n") >= 2) & (F.length("raw") >= least_raw) & (F.length("_plain") >= least_plain) & ~F.col("_toc"))
-    return rows.select("doc_id", "item", F.left("_plain", F.lit(most)).alias("body"))
+    return rows.select("doc_id", "item", (F.col("_plain") if most is None else F.left("_plain", F.lit(most))).alias("body"))
 
 
 def best_sentences(documents: DataFrame, words: list[str], least: int = 50, most: int = 2) -> DataFrame:

@@ -163,3 +163,12 @@ def test_sections_are_cut_into_windows_whole(spark):
     for chars in (200, graph.WINDOW_CHARS):
         rows = sorted((r["section_id"], r["window"], r["text"]) for r in graph.chunk_sections(sections, chars).collect())
         assert rows == [("a", k, body[k * chars : (k + 1) * chars]) for k in range(-(-len(body) // chars))]
+
+
+def test_item_bodies_are_whole(spark):
+    from filigree.operators import text
+
+    body = "word " * 20_000
+    docs = spark.createDataFrame([(1, f"Item 1. Business <b>{body}</b> Item 1A. Risk Factors {body}")], "doc_id int, text string")
+    got = {r["item"]: r["body"] for r in text.split_items(docs).collect()}
+    assert got == {"1": f"Item 1. Business {body.strip()}", "1A": f"Item 1A. Risk Factors {body.strip()}"}
