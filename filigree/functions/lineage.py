@@ -9,20 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder is set where the session leaves it unset."""
+    """``spark.checkpoint.dir``. Where a session on one machine leaves it unset, a temporary folder is
+    set; on a cluster that would be another disk for every executor, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/work/{name}-{uuid.uuid4().hex}"
+    """A new path under ``work/<application id>``. Results read these tables lazily, so they stay until
+    the caller is done with the results and deletes the application's folder."""
+    return f"{shared_folder(spark)}/work/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table and read it back: computed once, and safe from lost executors."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a table, in a folder for each value of ``by`` if that is given, and read it back:
+    computed once, safe from lost executors, and with sizes that the planner can rely on."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
