@@ -13,7 +13,7 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import read
+from .work import fresh, let, others, read, stored
 
 #: Spellings that licence texts use for each other, in words without punctuation;
 #: applied in this order.
@@ -80,21 +80,36 @@ def license_scan(documents: DataFrame, texts: DataFrame, text: str = "text", max
     """Add ``digest`` (of the whole text), ``license`` (whose known text that is, else null) and
     ``line_licenses`` (the known licences, sorted, that one whole line of the text states).
 
-    Texts are canonicalised once and only digests are joined: that of each text, and those of its
-    lines, grouped by text so that copies count once. Null texts have no digest and no licence;
-    repeated rows are judged each; columns of these three names are replaced.
+    Texts, however long, are canonicalised once, and what that gives is written: the digest of each
+    text and those of its distinct lines, beside the other columns and a row number. Both kinds of
+    digest are joined with the known ones; lines are gathered by row number, so neither a digest
+    nor a line that very many texts share makes a hot group. Null texts and such of nothing but
+    copyright lines have no digest and no licence; repeated rows are judged each; columns of the
+    three names are replaced and others pass through, whatever their names; an empty table gives
+    an empty one.
     """
-    keep = [c for c in documents.columns if c not in ("digest", "license", "line_licenses")]
-    columns = [F.col(f"`{c}`") for c in keep]
-    known = known_digests(texts).cache()
-    known = known.hint("broadcast" if known.limit(max_broadcast + 1).count() <= max_broadcast else "shuffle_hash")
-    formed = documents.select(*columns, canonical_lines(F.col(text)).alias("_lines"))
-    judged = formed.select(*columns, digest_of(F.col("_lines")).alias("digest"))
-    lines = formed.select(digest_of(F.col("_lines")).alias("digest"), F.explode("_lines").alias("line"))
-    lines = lines.select("digest", F.sha2("line", 256).alias("_line"))
-    stated = lines.join(known.select(F.col("digest").alias("_line"), "license"), "_line").groupBy("digest").agg(F.sort_array(F.collect_set("license")).alias("line_licenses"))
-    out = judged.join(known, "digest", "left").join(stated.hint("merge"), "digest", "left")
-    return out.select(*columns, "digest", "license", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
+    columns = others(documents, "digest", "license", "line_licenses")
+    row, line, lines, mine, name = fresh(documents.select(*columns), "row", "line", "lines", "own_digest", "known_name")
+    known = stored(known_digests(texts), "known-licenses")
+    few = known.limit(max_broadcast + 1).count() <= max_broadcast
+
+    def look_up(rows: DataFrame, key: str, how: str) -> DataFrame:
+        names = known.select(F.col("digest").alias(key), F.col("license").alias(name))
+        return rows.join(names.hint("broadcast" if few else "merge"), key, how)
+
+    def digests(x: Column) -> Column:
+        of_lines = F.transform(F.array_distinct(x), lambda y: F.unhex(F.sha2(y, 256)))
+        return F.struct(digest_of(x).alias("whole"), of_lines.alias("each"))
+
+    both = let(canonical_lines(F.col(text)), digests)
+    formed = stored(
+        documents.select(*columns, both.alias(lines)).select(*columns, F.monotonically_increasing_id().alias(row), F.col(lines)["whole"].alias(mine), F.col(lines)["each"].alias(lines)),
+        "license-digests",
+    )
+    stated = formed.select(row, F.explode(lines).alias(line)).select(row, F.lower(F.hex(line)).alias(line))
+    stated = look_up(stated, line, "inner").groupBy(row).agg(F.sort_array(F.collect_set(name)).alias(lines))
+    out = look_up(formed.drop(lines), mine, "left").join(stated.hint("merge"), row, "left")
+    return out.select(*columns, F.col(mine).alias("digest"), F.col(name).alias("license"), F.coalesce(lines, F.array().cast("array<string>")).alias("line_licenses"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written as stored
+
+__all__ = ["BLANKS", "BLANK_RUN", "fresh", "let", "others", "read", "stored", "words_of"]
+
 #: A word is a run of anything but these six white-space characters.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+def others(df: DataFrame, *replaced: str) -> list[Column]:
+    """All columns of ``df`` but the replaced ones, by names that Spark takes as equal."""
+    gone = {r.lower() for r in replaced}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in gone]
 
-    Where the session leaves it unset (tests on one machine) a temporary folder is set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: it survives lost executors, is
-    computed once, and carries sizes that the planner can rely on."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/work/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column of ``df`` bears."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
