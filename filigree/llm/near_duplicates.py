@@ -1,11 +1,13 @@
 """N-gram Jaccard join: MinHash banding for candidates, full n-gram sets for the verdict.
 
 Texts with the same set of five-word shingles form a class and are handled once, with a weight.
-Classes that share a band hash are put into one candidate group (connected components over band
-hashes, which never lists pairs). Within a group every pair is compared on the full shingle sets,
-inside tasks of bounded size: small groups share a task, a large group is dealt into blocks and
-each pair of blocks is a task. What leaves a task is, for each class, the number of documents it is
-linked to, and a spanning forest of the links; no pair is listed.
+Classes that share a band hash lie in one bucket. The full shingle sets of a bucket's classes meet
+in tasks of bounded size: small buckets share a task, a large one is dealt into blocks and each
+pair of blocks is a task. Two classes that share several buckets count in the first of them only.
+Where buckets overlap so much that comparing each of them would cost more than comparing all
+classes that they join, directly or through others, with each other, that is done instead: it finds
+the same links or more. What leaves a task is, for each class, the number of documents it is linked
+to, and a spanning forest of the links; no pair is listed.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import read, stored
+from .work import fresh, others, read, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Probability that two texts just at the threshold share a band.
@@ -30,6 +32,9 @@ MAX_HASHES = 224
 #: Bounds of a block: shingles (8 bytes each) and classes.
 BLOCK_SHINGLES, BLOCK_CLASSES = 400_000, 1_024
 _PAIRS = 1 << 21  # pairs counted at once
+#: Keys with very many rows are looked up in a broadcast table: by this definition at most HUBS of
+#: them (some 50 bytes each), and none with fewer rows than HUB_ROWS.
+HUBS, HUB_ROWS = 50_000, 256
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -111,13 +116,27 @@ def signatures(documents: DataFrame, bands: int, rows: int) -> DataFrame:
     return base.mapInArrow(sign, "doc_id long, t long, key binary, n long, bands array<long>")
 
 
+def look_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with a stored table of one row for each ``key`` and in ``n`` the number of rows.
+
+    total: the sum of n, at least. No more than total / limit keys can have over ``limit`` rows, so
+    the limit bounds the broadcast, and what is left to shuffle has no hot key.
+    """
+    limit = max(HUB_ROWS, 2 * total // HUBS)
+    hubs = table.where(F.col("n") > limit)
+    if hubs.isEmpty():
+        return rows.join(table.drop("n").hint("merge"), key)
+    often = rows.join(F.broadcast(hubs.drop("n")), key)
+    seldom = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(table.where(F.col("n") <= limit).drop("n").hint("merge"), key)
+    return often.unionByName(seldom)
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label): the least node of each connected component, for the nodes of ``edges`` (a, b).
 
     Alternates joining every node's larger neighbours, then its smaller ones, to its least
-    neighbour, until nothing changes. Each round is a written table: the driver sees two numbers a
-    round. A node with very many neighbours is one row of the joined side, so its edges can be
-    split.
+    neighbour, until nothing changes. Each round is two written tables: the driver sees two numbers
+    a round. Nodes with very many neighbours are looked up without a shuffle.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     mark = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")]
@@ -125,10 +144,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     now = pairs.agg(*mark).first()
     while now != before and now["n"]:
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        down = large.join(small.hint("merge"), "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), f"{name}-least")
+        large = look_up(both.where("v > u"), least, "u", 2 * now["n"]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        # A node keeps at most as many neighbours as it had.
+        hubs = not least.where(F.col("n") > HUB_ROWS).isEmpty()
+        large = stored(large, f"{name}-large") if hubs else large
+        small = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        small = stored(small, f"{name}-small") if hubs else small
+        down = look_up(large, small, "hi", now["n"]) if hubs else large.join(small.hint("merge"), "hi")
+        down = down.select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         pairs = stored(down.unionByName(small.select("hi", F.col("m").alias("lo"))).where("hi <> lo").distinct(), name)
         before, now = now, pairs.agg(*mark).first()
     roots = pairs.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct()
@@ -180,10 +204,22 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _linked(cids: np.ndarray, copies: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], threshold: float, cross: bool) -> list[tuple[int, int, int]]:
+def _earlier(linked: np.ndarray, unit: int, buckets: list[np.ndarray]) -> None:
+    """Take out the pairs that share a bucket before ``unit``: they count there."""
+    owner = np.repeat(np.arange(len(buckets)), [b.size for b in buckets])
+    every = np.concatenate(buckets) if buckets else np.empty(0, np.int64)
+    owner, every = owner[every < unit], every[every < unit]
+    order = np.argsort(every, kind="stable")
+    for own in np.split(owner[order], np.flatnonzero(np.diff(every[order])) + 1):
+        if own.size > 1:
+            linked[np.ix_(own, own)] = False
+
+
+def _linked(cids: np.ndarray, copies: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], threshold: float, cross: bool, unit: int = 0, buckets: list[np.ndarray] | None = None) -> list[tuple[int, int, int]]:
     """Rows (kind, a, b) of one comparison: kind 0 adds b documents to a's links, kind 1 links a, b.
 
-    cross: only pairs of two sides count (each side's own pairs belong to another task).
+    cross: only pairs of two sides count (each side's own pairs belong to another task). buckets: all
+    that each class lies in, if the comparison is that of one bucket.
     """
     n = np.asarray([s.size for s in sets], np.float64)
     inside = _overlaps(sets)
@@ -191,6 +227,8 @@ def _linked(cids: np.ndarray, copies: np.ndarray, sides: np.ndarray, sets: list[
     np.fill_diagonal(linked, False)
     if cross:
         linked &= sides[:, None] != sides[None, :]
+    if buckets and linked.any():
+        _earlier(linked, unit, buckets)
     weight = linked @ copies
     out = [(0, int(c), int(w)) for c, w in zip(cids, weight, strict=True) if w]
     seen = np.zeros(len(sets), bool)
@@ -210,71 +248,103 @@ def _linked(cids: np.ndarray, copies: np.ndarray, sides: np.ndarray, sets: list[
 def _verify(threshold: float):
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, own in group.groupby("label", sort=False):
+        for (unit, bucketed), own in group.groupby(["unit", "bucketed"], sort=False):
             own = own.drop_duplicates("cid")
             if len(own) < 2:
                 continue
             sets = [np.frombuffer(b, np.uint64) for b in own["shingles"]]
-            out += _linked(own["cid"].to_numpy(), own["copies"].to_numpy(), own["side"].to_numpy(), sets, threshold, bool(own["cross"].iloc[0]))
+            buckets = [np.frombuffer(b, np.int64) for b in own["buckets"]] if bucketed else None
+            out += _linked(own["cid"].to_numpy(), own["copies"].to_numpy(), own["side"].to_numpy(), sets, threshold, bool(own["cross"].iloc[0]), unit, buckets)
         return pd.DataFrame(out, columns=["kind", "a", "b"], dtype="int64")
 
     return verify
 
 
+def _units(classes: DataFrame) -> tuple[DataFrame, int]:
+    """(cid, units) of every class that meets another, and the number of tasks for the small units.
+
+    units: structs (unit, bucketed, blocks). A unit is a bucket, or all classes that some buckets
+    join (its least class names it) where comparing these all is no dearer.
+    """
+    placed = classes.select("cid", "n", F.explode("bands").alias("bucket"))
+    buckets = placed.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("cid")).alias("mark")).where("m > 1")
+    # Near copies share many buckets; those of the very same classes are one.
+    buckets = stored(buckets.groupBy("m", "mark", "pivot").agg(F.min("bucket").alias("bucket"), F.first("total").alias("total")), "buckets")
+    met = placed.join(buckets.select("bucket", "pivot", F.col("m").alias("of")).hint("merge"), "bucket")
+    met = stored(met.select("cid", "n", "bucket", "pivot", "of"), "met")
+    groups = stored(components(met.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")), "candidates"), "grouped")
+
+    size = F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    named = groups.withColumnRenamed("node", "cid")
+    whole = named.join(met.groupBy("cid").agg(F.first("n").alias("n")).hint("merge"), "cid").groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    # A pivot is a node of its bucket's component.
+    parts = buckets.join(groups.select(F.col("node").alias("pivot"), "label").hint("merge"), "pivot")
+    apart = parts.groupBy("label").agg(F.sum(F.col("m") * F.col("m")).alias("cost"), F.count("*").alias("n_buckets"))
+    dearer = (size > 1) & (F.col("cost") < F.col("m") * F.col("m"))
+    whole = stored(whole.join(apart.hint("merge"), "label").select("label", "m", "total", size.alias("blocks"), dearer.alias("bucketed"), "n_buckets"), "groups")
+    small = F.sum(F.when((F.col("blocks") == 1) & ~F.col("bucketed"), F.col("total")))
+    sums = whole.agg(F.sum("m").alias("m"), F.sum("n_buckets").alias("n_buckets"), F.coalesce(small, F.lit(0)).alias("small"), F.coalesce(F.max("bucketed"), F.lit(False)).alias("bucketed")).first()
+
+    one = look_up(named, whole.select("label", "blocks", "bucketed", F.col("m").alias("n")), "label", sums["m"] or 0).where("not bucketed")
+    units = one.select("cid", F.struct(F.col("label").alias("unit"), "bucketed", "blocks").alias("u"))
+    held = sums["small"]
+    if sums["bucketed"]:
+        by_bucket = look_up(parts.select("bucket", "m", "total", "label"), whole.select("label", "bucketed", F.col("n_buckets").alias("n")), "label", sums["n_buckets"]).where("bucketed")
+        by_bucket = stored(by_bucket.select("bucket", size.alias("blocks"), F.col("m").alias("n"), "total"), "bucket-units")
+        more = by_bucket.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("total"))), F.lit(0)).alias("small")).first()
+        many = look_up(met.select("cid", "bucket"), by_bucket.drop("total"), "bucket", more["n"])
+        units = units.unionByName(many.select("cid", F.struct(F.col("bucket").alias("unit"), F.lit(True).alias("bucketed"), "blocks").alias("u")))
+        held += more["small"]
+    return units.groupBy("cid").agg(F.sort_array(F.collect_list("u")).alias("units")), max(1, math.ceil(held / BLOCK_SHINGLES))
+
+
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, t, class_id, class_t, n_links, n_copies) for every row of documents (doc_id, text).
 
     class_id, class_t: doc_id and t (hash of the text) of the least of the documents joined by
     links, directly or through others, by doc_id and then t. Only both together name a class, as
-    several texts may share a doc_id, or have none. n_links:
-    documents whose shingle set has at least that Jaccard similarity with this one's, copies
-    included; n_copies: documents with the very same shingle set, this one included. Texts without
-    a word (null too) are copies of each other and of nothing else. Repeated rows count each. Null
-    ids are ids of -2^63 here. Links are found with the stated recall at the threshold, and more
-    surely above it; what is found is exact.
+    several texts may share a doc_id, or have none. n_links: documents whose shingle set has at least
+    that Jaccard similarity with this one's, copies included; n_copies: documents with the very same
+    shingle set, this one included. Texts without a word (null too) are copies of each other and of
+    nothing else. Repeated rows count each, an empty table gives an empty one, whole texts are
+    compared however long, and other columns are not read. Null ids are ids of -2^63 here. Links are
+    found with the stated recall at the threshold, and more surely above it; what is found is exact.
     """
     bands, rows = choose_bands(threshold, recall)
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
     signed = stored(signatures(docs, bands, rows), "signatures")
     classes = signed.groupBy("key").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    sums = classes.agg(F.count("*").alias("classes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("documents")).first()
 
-    placed = classes.select("cid", F.explode("bands").alias("bucket"))
-    pivots = placed.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("bucket", "pivot")
-    near = placed.join(pivots.hint("merge"), "bucket").where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
-    groups = components(near, "candidates")
-
-    members = classes.select("cid", "key", "rep", "copies", "n").join(groups.withColumnRenamed("node", "cid").hint("merge"), "cid")
-    sizes = groups.withColumnRenamed("node", "cid").join(classes.select("cid", "n").hint("merge"), "cid")
-    sizes = sizes.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    sizes = sizes.select("label", F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"), "total")
-    sizes = stored(sizes, "groups")
-    small = sizes.where("blocks = 1").agg(F.sum("total")).first()[0] or 0
-    shares = max(1, math.ceil(small / BLOCK_SHINGLES))
-    members = stored(members.join(sizes.select("label", "blocks").hint("merge"), "label"), "members")
-
-    checked = _compare(docs, members, shares, threshold)
-    found = stored(checked, "links")
+    units, shares = _units(classes)
+    members = stored(classes.select("cid", "key", "rep", "copies").join(units.hint("merge"), "cid"), "members")
+    found = stored(_compare(docs, members, shares, threshold), "links")
     joined = components(found.where("kind = 1").select("a", "b"), "joined")
     links = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("links"))
     named = classes.select("cid", "key", "rep", "copies")
     named = named.join(joined.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    heads = named.groupBy("label").agg(F.min("rep").alias("head"))
-    named = named.join(heads.hint("merge"), "label").join(links.hint("merge"), "cid", "left")
-    named = named.select("key", F.col("head.doc_id").alias("class_id"), F.col("head.t").alias("class_t"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    return signed.select("doc_id", "t", "key").join(named.hint("merge"), "key").select("doc_id", "t", "class_id", "class_t", "n_links", "n_copies")
+    named = named.join(links.hint("merge"), "cid", "left")
+    heads = stored(named.groupBy("label").agg(F.min("rep").alias("head"), F.count("*").alias("n")), "heads")
+    named = look_up(named, heads, "label", sums["classes"])
+    named = named.select("key", F.col("head.doc_id").alias("class_id"), F.col("head.t").alias("class_t"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), F.col("copies").alias("n"))
+    named = stored(named, "classes-named")
+    return look_up(signed.select("doc_id", "t", "key"), named, "key", sums["documents"]).select("doc_id", "t", "class_id", "class_t", "n_links", "n_copies")
 
 
 def _compare(docs: DataFrame, members: DataFrame, shares: int, threshold: float) -> DataFrame:
-    """Send each member's shingle set to the task, or the tasks of its block, and compare there."""
+    """Send each member's shingle set to the tasks of its units, or of their blocks, and compare there."""
+    names = ["share", "first", "second", "unit", "bucketed", "cid", "copies", "side", "cross", "buckets", "shingles"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["share", "first", "second", "label", "cid", "copies", "side", "cross", "shingles"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
         seen = set()
         for batch in batches:
-            out = []
-            for text, cid, key, copies, label, blocks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            out, held = [], 0
+            for text, cid, key, copies, units in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if cid in seen:  # a row that repeats both doc_id and text
                     continue
                 s = shingle_set(text)
@@ -282,21 +352,24 @@ def _compare(docs: DataFrame, members: DataFrame, shares: int, threshold: float)
                     continue
                 seen.add(cid)
                 raw = s.tobytes()
-                if blocks == 1:
-                    out.append((label % shares, -1, -1, label, cid, copies, 0, False, raw))
-                    continue
-                mine = int(xxhash.xxh64_intdigest(cid.to_bytes(8, "little")) % blocks)
-                for other in range(blocks):
-                    out.append((label, min(mine, other), max(mine, other), label, cid, copies, mine, mine != other, raw))
-                    if sum(map(len, (r[-1] for r in out[-64:]))) > 1 << 25:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                        out = []
+                buckets = np.asarray([u["unit"] for u in units if u["bucketed"]], np.int64).tobytes()
+                for u in units:
+                    unit, bucketed, blocks = u["unit"], u["bucketed"], u["blocks"]
+                    own = buckets if bucketed else b""
+                    mine = int(xxhash.xxh64_intdigest(cid.to_bytes(8, "little")) % blocks)
+                    for other in range(blocks):
+                        place = (unit % shares, -1, -1) if blocks == 1 else (unit, min(mine, other), max(mine, other))
+                        out.append((*place, unit, bucketed, cid, copies, mine, mine != other, own, raw))
+                        held += len(raw)
+                        if held > 1 << 25:
+                            yield batch_of(out)
+                            out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                yield batch_of(out)
 
-    schema = "share long, first int, second int, label long, cid long, copies long, side int, cross boolean, shingles binary"
-    m = members.select("rep.doc_id", "rep.t", "cid", "key", "copies", "label", "blocks")
-    texts = _texts_of(docs, m).select("text", "cid", "key", "copies", "label", "blocks")
+    schema = "share long, first int, second int, unit long, bucketed boolean, cid long, copies long, side int, cross boolean, buckets binary, shingles binary"
+    m = members.select("rep.doc_id", "rep.t", "cid", "key", "copies", "units")
+    texts = _texts_of(docs, m).select("text", "cid", "key", "copies", "units")
     sent = texts.mapInArrow(sets, schema)
     return sent.groupBy("share", "first", "second").applyInPandas(_verify(threshold), "kind long, a long, b long")
 
@@ -309,12 +382,14 @@ def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One document of each class stays: that with the least doc_id (then text hash); a row that
-    repeats it entirely in id and text goes as well. Columns are those of documents."""
+    repeats it entirely in id and text goes as well. Columns are those of documents, whatever their
+    names; nulls and texts are taken as by :func:`near_duplicates`; an empty table stays empty."""
     found = near_duplicates(documents.select("doc_id", "text"), threshold, recall)
-    kept = found.where("doc_id = class_id and t = class_t").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
-    at = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": _text_hash()})
-    rows = at.join(kept.hint("shuffle_hash"), ["_id", "_t"], "left_semi")
-    return rows.dropDuplicates(["_id", "_t"]).select(*[F.col(f"`{c}`") for c in documents.columns])
+    own_id, own_t = fresh(documents, "own_id", "own_t")
+    kept = found.where("doc_id = class_id and t = class_t").select(F.col("doc_id").alias(own_id), F.col("t").alias(own_t)).distinct()
+    at = documents.withColumns({own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), own_t: _text_hash()})
+    rows = at.join(kept.hint("shuffle_hash"), [own_id, own_t], "left_semi")
+    return rows.dropDuplicates([own_id, own_t]).select(*others(documents))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,6 +173,80 @@ def test_links_against_brute_force(spark, monkeypatch):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates.near_duplicates(df).collect()} == want
 
 
+def chained_copies():
+    """Texts that share a long passage, so that few bands join nearly all, and near copies of some."""
+    passage = prose(41, 60)
+    rows = [(i, passage + " " + prose(300 + i, 40)) for i in range(50)]
+    for i in range(50, 80):
+        w = rows[i % 13][1].split()
+        w[65 + i % 30] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_links_of_overlapping_buckets_against_brute_force(spark, monkeypatch):
+    rows = chained_copies()
+    links, find = brute_links(rows)
+    monkeypatch.setattr(near_duplicates, "BLOCK_CLASSES", 6)
+    monkeypatch.setattr(near_duplicates, "HUB_ROWS", 3)  # most keys are looked up in broadcast tables
+    monkeypatch.setattr(near_duplicates, "choose_bands", lambda *_: (40, 7))
+    modes, units = set(), near_duplicates._units
+
+    def noted(classes):
+        out, shares = units(classes)
+        modes.update(r[0] for r in out.select(F.explode("units.bucketed")).distinct().collect())
+        return out, shares
+
+    monkeypatch.setattr(near_duplicates, "_units", noted)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {d: (find(k), links[k]) for k, (d, _) in enumerate(rows)}
+    assert True in modes
+
+
+def test_pairs_count_in_their_first_bucket():
+    linked = ~np.eye(4, dtype=bool)
+    near_duplicates._earlier(linked, 7, [np.array(b, np.int64) for b in ([3, 7], [3, 7, 9], [7, 9], [7])])
+    assert not linked[0, 1] and not linked[1, 0] and linked[1, 2] and linked[0, 3]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(0, k) for k in range(1, 40)] + [(k, 200) for k in range(100, 140)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for rows in (5, 10_000):
+        monkeypatch.setattr(near_duplicates, "HUB_ROWS", rows)
+        assert {r["node"]: r["label"] for r in near_duplicates.components(df, "test").collect()} == want
+
+
+def test_measured_recall_of_bands():
+    rng = np.random.default_rng(5)
+    band = near_duplicates._Bands(*near_duplicates.choose_bands())
+    for alike, least in ((0.8, 0.99), (0.85, 0.999)):
+        found = 0
+        for _ in range(400):
+            n = 180
+            shared = int(round(2 * n * alike / (1 + alike)))
+            x = rng.integers(0, 1 << 63, 2 * n - shared, dtype=np.uint64)
+            found += bool((band(np.unique(x[:n])) == band(np.unique(np.concatenate((x[:shared], x[n:]))))).any())
+        assert found / 400 >= least
+
+
+def test_keep_one_leaves_clashing_columns_alone(spark):
+    df = spark.createDataFrame([(1, prose(50, 30), "keep1", "a"), (2, prose(50, 30), "gone", "b"), (3, prose(51, 30), "keep3", "c")], "doc_id long, text string, own_id string, own_t string")
+    assert sorted((r["doc_id"], r["own_id"], r["own_t"]) for r in near_duplicates.keep_one(df).collect()) == [(1, "keep1", "a"), (3, "keep3", "c")]
+
+
 def test_overlaps():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in rng.integers(1, 200, 40)]
