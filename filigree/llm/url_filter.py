@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import stored
+from .work import fresh, others, stored
 
 #: (rule, verdict); a rule is a host, which also covers its subdomains, and the start of a path.
 RULES = (
@@ -19,8 +19,11 @@ RULES = (
 )
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A filter is a scalar in every task; above this many bits the list goes through a join instead.
-MAX_BITS = 1 << 30
+#: A level is a scalar in every task, of at most this many bits: keys are split by their hash into as
+#: many parts, each with a cascade of its own, as this needs.
+MAX_BITS = 1 << 28
+#: Share of the other kind's keys that a level after the first wrongly holds.
+RATE = 0.05
 
 
 def host_of(url: Column) -> Column:
@@ -42,11 +45,22 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def bits_for(n: int, rate: float) -> float:
+    """Bits of a Bloom filter of n keys that holds other keys at that rate."""
+    return -n * math.log(rate) / math.log(2) ** 2
+
+
+def first_rate(listed: int, unlisted: int, rate: float = RATE) -> float:
+    """Rate of level 0: what it wrongly holds are about ``rate`` times as many keys as are listed, so
+    that level 1 and all others are smaller, however many keys there are."""
+    return min(rate, rate * listed / max(1, unlisted))
+
+
 class Level:
     """One Bloom filter: ``bits`` places, ``hashes`` places a key, as a table of one row."""
 
     def __init__(self, keys: DataFrame, n: int, rate: float, salt: int):
-        self.bits = 64 * max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
+        self.bits = 64 * max(1, math.ceil(bits_for(n, rate) / 64))
         self.hashes = max(1, round(self.bits / n * math.log(2)))
         self.salt = salt
         words = (
@@ -82,20 +96,22 @@ class Cascade:
     with the logarithm of the universe. The driver sees only one count a level.
     """
 
-    def __init__(self, universe: DataFrame, rate: float = 0.05):
-        """universe: key string (not null, distinct), listed boolean; read once a level."""
+    def __init__(self, universe: DataFrame, rate: float = RATE, max_bits: int = MAX_BITS):
+        """universe: key string (not null, distinct), listed boolean; read once a level. A level that
+        would need more than ``max_bits`` is an error: give the universe in smaller parts."""
         self.levels: list[Level] = []
         left = universe
-        while True:
+        counts = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count("*").alias("n")).collect()}
+        n, allowed = counts.get(True, 0), first_rate(counts.get(True, 0), counts.get(False, 0), rate)
+        while n:
             depth = len(self.levels)
-            inside = left.where(F.col("listed") == F.lit(depth % 2 == 0))
-            n = inside.count()
-            if n == 0:
-                return
-            level = Level(inside, n, rate, depth)
+            if bits_for(n, allowed) > max_bits:
+                raise ValueError(f"level {depth} of {n} keys is larger than {max_bits} bits")
+            level = Level(left.where(F.col("listed") == F.lit(depth % 2 == 0)), n, allowed, depth)
             self.levels.append(level)
             # The keys to hold next are those of the other kind that this level errs on; its own go on.
             left = left.where((F.col("listed") == F.lit(depth % 2 == 0)) | level.holds(F.col("key")))
+            n, allowed = left.where(F.col("listed") == F.lit(depth % 2 == 1)).count(), rate
 
     def holds(self, key: Column) -> Column:
         """Whether a key of the universe is listed; the first level that doesn't hold it decides."""
@@ -105,22 +121,25 @@ class Cascade:
         return out
 
 
-def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url", rate: float = 0.05, max_bits: int = MAX_BITS) -> DataFrame:
+def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url", rate: float = RATE, max_bits: int = MAX_BITS) -> DataFrame:
     """Judge every url: adds ``host``, ``path``, ``rule`` and ``verdict``.
 
     ``listed`` has the keys (host and path in one string, column ``key``) to block where no rule
     fits; nulls and repeats in it don't count. Null urls and such without ``://`` have empty host
-    and path. The universe of the cascade is all keys of ``pages``, so its answer is exact for
-    them. A list whose first level would exceed ``max_bits`` is joined by shuffle instead.
-    Repeated urls are judged each; an empty list allows what no rule blocks.
+    and path; urls may be of any length. The universe of the cascade is all keys of ``pages``, so its
+    answer is exact for them. No level of a cascade is larger than ``max_bits``: as many parts of the
+    universe as that needs, by hash of the key, have cascades of their own, and then ``pages`` is
+    written once, a folder for each part, and each part is judged by its own cascade. Repeated urls
+    are judged each; an empty list allows what no rule blocks; an empty table gives an empty one;
+    columns of the four names are replaced and others pass through, whatever their names.
     """
-    taken = {"host", "path", "rule", "verdict"}
-    base = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in taken])
-    parts = base.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    key = F.concat("host", "path")
+    columns = others(pages, "host", "path", "rule", "verdict")
+    host, path, part, hit, fit = fresh(pages, "host", "path", "part", "hit", "fit")
+    base = pages.select(*columns, host_of(F.col(url)).alias(host), path_of(F.col(url)).alias(path))
+    key = F.concat(host, path)
     block = listed.select("key").where("key is not null").distinct().withColumn("listed", F.lit(True))
     known = (
-        parts.select(key.alias("key"), F.lit(False).alias("listed"))
+        base.select(key.alias("key"), F.lit(False).alias("listed"))
         .unionByName(block)
         .groupBy("key")
         .agg(F.max("listed").alias("listed"), F.min("listed").alias("elsewhere"))
@@ -128,22 +147,27 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url
         .select("key", "listed")
     )
     universe = stored(known, "url-keys")
-    n = universe.where("listed").count()
-    if -n * math.log(rate) / math.log(2) ** 2 <= max_bits:
-        cascade = Cascade(universe, rate)
-        judged = parts.withColumn("_listed", cascade.holds(key))
+    counts = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count("*").alias("n")).collect()}
+    n, more = counts.get(True, 0), counts.get(False, 0)
+    # Half of the bound is left for parts that get more than their share of keys.
+    parts = math.ceil(bits_for(n, first_rate(n, more, rate)) / (max_bits / 2)) if n else 1
+
+    def of(k: Column) -> Column:
+        return F.pmod(F.xxhash64(k, F.lit("part")), F.lit(parts)).cast("int")
+
+    if parts == 1:
+        judged = base.withColumn(hit, Cascade(universe, rate, max_bits).holds(key))
     else:
-        hit = universe.where("listed").select(F.col("key").alias("_key"), F.lit(True).alias("_hit")).hint("merge")
-        judged = parts.join(hit, key == F.col("_key"), "left").withColumn("_listed", F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
-    fit = rule_for(F.col("host"), F.col("path"), rules)
-    return (
-        judged.withColumn("_fit", fit)
-        .withColumns({
-            "rule": F.col("_fit.rule"),
-            "verdict": F.coalesce("_fit.verdict", F.when(F.col("_listed"), "block").otherwise("allow")),
-        })
-        .drop("_fit", "_listed")
-    )
+        keys = stored(universe.withColumn("part", of(F.col("key"))), "url-keys-by-part", by="part")
+        rows = stored(base.withColumn(part, of(key)), "urls-by-part", by=part)
+        judged = None
+        for k in range(parts):
+            cascade = Cascade(keys.where(F.col("part") == k).drop("part"), rate, max_bits)
+            some = rows.where(F.col(part) == k).drop(part).withColumn(hit, cascade.holds(key))
+            judged = some if judged is None else judged.unionByName(some)
+    judged = judged.withColumn(fit, rule_for(F.col(host), F.col(path), rules))
+    verdict = F.coalesce(F.col(fit)["verdict"], F.when(F.col(hit), "block").otherwise("allow"))
+    return judged.select(*columns, F.col(host).alias("host"), F.col(path).alias("path"), F.col(fit)["rule"].alias("rule"), verdict.alias("verdict"))
 
 
 def toxic_keys(pages: DataFrame, labels: DataFrame) -> DataFrame:
