@@ -125,17 +125,18 @@ def edit_neighbours(documents: DataFrame) -> DataFrame:
     base = documents.select(ids.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     follow = stored(_followers(base.select("doc_id", "h", F.length("text").cast("long").alias("n"))), "followers")
     repeats = follow.agg(F.max("copies")).first()[0] or 0
-    # Both joins ask for the same columns dealt by the same three keys, so the texts move once.
+    # Both joins ask for the same columns dealt by the same three keys, so the texts move once. They
+    # merge sorted rows, which can spill; a hash table of beginnings couldn't.
     key = ["id", "no_id", "h"]
     marked = base.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "h", "text", digits(F.col("text")).alias("d"))
     f = follow.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "h", "to_id", "to_h", "take")
-    given = marked.join(f.hint("shuffle_hash"), key).select(
+    given = marked.join(f.hint("merge"), key).select(
         F.coalesce("to_id", F.lit(0)).alias("id"), F.col("to_id").isNull().alias("no_id"), F.col("to_h").alias("h"),
         F.left(F.col("text"), F.col("take")).alias("beginning"), F.col("d").alias("next_d"),
     )
     if repeats > 1:  # repeats of the next document would multiply this one
         given = given.dropDuplicates(key)
-    both = marked.join(given.hint("shuffle_hash"), key)
+    both = marked.join(given.hint("merge"), key)
     n = F.length("text").cast("long")
     edited = F.concat(F.left(F.col("text"), (n - F.floor(n / 3)).cast("int")), F.col("beginning"))
     out = both.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), n.alias("n_chars"), edited.alias("edited"), "d", "next_d")

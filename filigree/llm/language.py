@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import read
+from .work import fresh, others, read
 
 #: A profile has the most frequent n-grams (one to three letters, words padded by a blank) in rank
 #: order; an n-gram of a document that a profile lacks costs as much as the last rank.
@@ -141,10 +141,12 @@ def identify(documents: DataFrame, profiles: dict[str, list[int]], text: str = "
     """Add ``lang_pred`` and ``score`` (one minus the distance as a share of the largest possible).
 
     ``und`` with score 0 where the text is null or has no letter, or there is no profile. Equal
-    distances go to the language that sorts first. Whole texts are read, in any number of rows; the
-    other columns pass through, except that columns of these two names are replaced.
+    distances go to the language that sorts first. Whole texts are read, however long, and repeated
+    rows are judged each; the other columns pass through, whatever their names, except that columns of
+    these two names are replaced. An empty table gives an empty one.
     """
-    keep = [c for c in documents.columns if c not in ("lang_pred", "score")]
+    columns = others(documents, "lang_pred", "score")
+    (judged,) = fresh(documents, "judged")
 
     @F.pandas_udf("lang_pred string, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -152,8 +154,8 @@ def identify(documents: DataFrame, profiles: dict[str, list[int]], text: str = "
         for texts in batches:
             yield pd.DataFrame([judge(t) for t in texts], columns=["lang_pred", "score"])
 
-    judged = documents.select(*[F.col(f"`{c}`") for c in keep], score(F.col(text)).alias("_lang"))
-    return judged.select(*[F.col(f"`{c}`") for c in keep], F.col("_lang.lang_pred"), F.col("_lang.score"))
+    found = documents.select(*columns, score(F.col(text)).alias(judged))
+    return found.select(*columns, F.col(judged)["lang_pred"].alias("lang_pred"), F.col(judged)["score"].alias("score"))
 
 
 def held_out(doc_id: str = "doc_id"):

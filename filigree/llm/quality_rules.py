@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import BLANKS, let, words_of
+from .work import BLANKS, fresh, let, others, words_of
 
 #: Frequent function words of the languages in the corpus.
 STOP_WORDS = sorted(set(
@@ -97,8 +97,9 @@ def _repeat_words(words: Column) -> Column:
 def measure(documents: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts that the rules use.
 
-    Null text counts as no words. Repeated rows are measured each; an input column that bears the
-    name of a count is replaced.
+    Null text counts as no words; whole texts are read, however long. Repeated rows are measured each;
+    an input column that bears the name of a count is replaced, others pass through whatever their
+    names; an empty table gives an empty one.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
@@ -118,16 +119,16 @@ def measure(documents: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     n_chars = F.length(t)
-    return documents.withColumns({
-        "_words": of_words,
-        "_lines": of_lines,
+    words, of_line = fresh(documents, "words", "lines")
+    counts = {
         "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
         "n_symbols": (n_chars - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
         "n_capitals": (n_chars - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long"),
-    }).withColumns({
-        **{k: F.col(f"_words.{k}") for k in ("n_words", "n_repeat_words", "n_stop_words")},
-        **{k: F.col(f"_lines.{k}") for k in ("n_lines", "n_dup_lines")},
-    }).drop("_words", "_lines")
+    }
+    of_text, of_each = ("n_words", "n_repeat_words", "n_stop_words"), ("n_lines", "n_dup_lines")
+    columns = others(documents, *counts, *of_text, *of_each)
+    rows = documents.select(*columns, of_words.alias(words), of_lines.alias(of_line), *[c.alias(k) for k, c in counts.items()])
+    return rows.select(*columns, *counts, *[F.col(words)[k].alias(k) for k in of_text], *[F.col(of_line)[k].alias(k) for k in of_each])
 
 
 def quality_rules(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -141,7 +142,8 @@ def quality_rules(documents: DataFrame, text: str = "text", rules: tuple[Rule, .
     for r in rules:
         verdict = verdict & r.condition()
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return measure(documents, text).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict)
+    rows = measure(documents, text)
+    return rows.select(*others(rows, "base_failed", "kept"), failed.alias("base_failed"), (~failed & verdict).alias("kept"))
 
 
 def query(spark, sf_dir):

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import ahocorasick
 import pandas as pd
@@ -18,13 +18,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import read
+from .work import others, read
 
 SPACE = "▁"
-#: Units, and token pairs, that a worker remembers before it starts anew; longer units aren't kept.
+#: Units, and token pairs, that a worker remembers before it forgets the older half; longer units
+#: aren't kept.
 CACHE_UNITS, CACHE_PAIRS, LONGEST = 600_000, 1_000_000, 200
 
 
+def _forget(known: dict, most: int) -> None:
+    """Drop the older half of what is remembered if that is more than ``most``."""
+    if len(known) > most:
+        for key in list(islice(known, len(known) // 2)):
+            del known[key]
+
+
 class PrefixEncoder:
     """Encodes as the model's BPE does; checks that the model has the shape this relies on:
     identity normalisation with a leading space, byte fallback, and no piece that has a space
@@ -68,8 +76,7 @@ class PrefixEncoder:
         return parts
 
     def _compatible(self, left: str, right: str) -> bool:
-        if len(self.pairs) > CACHE_PAIRS:
-            self.pairs.clear()
+        _forget(self.pairs, CACHE_PAIRS)
         fits = self.pairs[left, right] = self._merge(left + right) == [left, right]
         return fits
 
@@ -104,8 +111,7 @@ class PrefixEncoder:
         """(ids, ids as text) of each unit; joined they are the ids of the text."""
         if not text:
             return []
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
+        _forget(self.units, CACHE_UNITS)
         known, out, run = self.units, [], 0
         words = text.replace(SPACE, " ").split(" ")
         for k, word in enumerate(words):
@@ -134,9 +140,9 @@ def encoder(path: str) -> PrefixEncoder:
 
 
 def encode(documents: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """Add ``ids`` (array of int); empty for null and empty texts. Whole texts, row by row; a column
-    of that name is replaced, others pass through."""
-    keep = [c for c in documents.columns if c != "ids"]
+    """Add ``ids`` (array of int); empty for null and empty texts. Whole texts, row by row, however
+    long and often repeated; a column of that name is replaced, others pass through whatever their
+    names; an empty table gives an empty one."""
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -144,11 +150,12 @@ def encode(documents: DataFrame, model: str, text: str = "text") -> DataFrame:
         for texts in batches:
             yield texts.map(lambda t: list(chain.from_iterable(u[0] for u in coder.encode(t or ""))))
 
-    return documents.select(*[F.col(f"`{c}`") for c in keep], ids(F.col(text)).alias("ids"))
+    return documents.select(*others(documents, "ids"), ids(F.col(text)).alias("ids"))
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """Add the text of ``ids`` by the model's decoder; null ids give an empty text."""
+    """Add the text of ``ids`` by the model's decoder, as column ``into``, which is replaced if it is
+    there; null ids give an empty text, and an empty table an empty one."""
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -156,12 +163,16 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", into: str = "decoded")
         for some in batches:
             yield some.map(lambda x: processor.decode([int(i) for i in x]) if x is not None and len(x) else "")
 
-    return rows.withColumn(into, text(F.col(ids)))
+    return rows.select(*others(rows, into), text(F.col(ids)).alias(into))
 
 
 def round_trip(documents: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: the digests of what
-    :func:`encode` and :func:`decode` give, made where the ids are, so that they needn't move."""
+    :func:`encode` and :func:`decode` give, made where the ids are, so that they needn't move.
+
+    Other columns are not read, whatever their names. Null texts count as empty; ids may be null or
+    repeated, and every row has its own result; a text is held whole, with its ids, by one task;
+    an empty table gives an empty one."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model)
@@ -179,6 +190,7 @@ def round_trip(documents: DataFrame, model: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`round_trip` of all documents with the public piece model."""
     import public_tokenizers
 
     return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
