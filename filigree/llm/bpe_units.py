@@ -9,6 +9,7 @@ library's full pipeline. The ids are those of ``tokenizer.encode(text)`` in ever
 
 from __future__ import annotations
 
+import json
 from array import array
 
 import numpy as np
@@ -52,14 +53,38 @@ class _Index(dict):
         return n
 
 
+def _stages(part: dict | None, many: str) -> list[dict]:
+    """The steps of a normalizer or pre-tokenizer, as the file states them."""
+    if part is None:
+        return []
+    return part[many] if part["type"] == "Sequence" else [part]
+
+
+def _check(file: dict, blank: bool) -> None:
+    """Refuse a tokenizer whose normalizer or pre-tokenizer isn't the one that units rely on."""
+    normal, cut = _stages(file["normalizer"], "normalizers"), _stages(file["pre_tokenizer"], "pretokenizers")
+    last = cut[-1] if cut else {}
+    fits = file["model"]["type"] == "BPE" and not file["model"].get("dropout") and last.get("type") == "ByteLevel" and not last["add_prefix_space"]
+    if blank:
+        fits = fits and not normal and len(cut) == 1 and last.get("use_regex", True)
+    else:
+        first = cut[0] if len(cut) == 2 else {}
+        fits = fits and [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"] and (normal[1]["pattern"], normal[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        fits = fits and first.get("type") == "Split" and first["pattern"] == {"Regex": WORD_PATTERN} and (first["behavior"], first["invert"]) == ("Removed", True) and not last.get("use_regex", True)
+    if not fits:
+        raise ValueError("not a tokenizer of the expected normalizer and pre-tokenizer")
+
+
 class Encoder:
     """``path``: a tokenizer file. ``blank``: whether units after the first keep their blank (the
-    byte-level tokenizer does; the word tokenizer drops blanks and lowers case)."""
+    byte-level tokenizer does; the word tokenizer drops blanks and lowers case). A file with another
+    normalizer or pre-tokenizer is refused."""
 
     def __init__(self, path: str, blank: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        _check(json.loads(self.tokenizer.to_str()), blank)
         self.model = self.tokenizer.model
         self.blank = blank
         self.cut = regex.compile(BYTE_PATTERN if blank else WORD_PATTERN).findall

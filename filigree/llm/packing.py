@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_units import encoder
-from .work import read, stored
+from .work import range_parts, read, stored
 
 LENGTH, END = 1024, 0
 DIMS, BITS = 3, 20  # of the curve; a key has DIMS * BITS bits
 BUCKETS = 4096  # of the hashed document vector
+PART_TOKENS = 32_000_000  # of a range partition, about; two bytes each
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -141,9 +142,11 @@ class _Packer:
 def pack(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     """Pieces of all documents, packed with their neighbours on the curve.
 
-    tokens: doc_id, key, ids. Rows are range-partitioned by (key, doc_id), so a key that many
-    documents share is split, and sorted by (key, doc_id, ids) within partitions; repeated rows are
-    packed each. ``sequence_id`` is the partition's number in the high bits and a running number.
+    tokens: doc_id, key, n, ids, stored. Rows are range-partitioned by (key, doc_id, hash of ids), so a
+    key that many documents share is split, into partitions of some ``PART_TOKENS``, and sorted by
+    these and the ids within them; repeated rows are packed each. A document of any length is cut
+    where a sequence is full. ``sequence_id`` is the partition's number in the high bits and a
+    running number.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,17 +158,21 @@ def pack(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
         packer.finish()
         yield packer.batch()
 
-    rows = tokens.select("key", "doc_id", "ids").repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+    rows = tokens.select("key", "doc_id", F.xxhash64("ids").alias("h"), "ids")
+    rows = rows.repartitionByRange(range_parts(rows, total, PART_TOKENS), "key", "doc_id", "h").sortWithinPartitions("key", "doc_id", "h", "ids")
     return rows.select("doc_id", "ids").mapInArrow(cut, PIECES)
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """Tokenize, order and pack: see :func:`pack` for the columns. Null and empty texts are the end
-    id alone; an empty table has no piece."""
+    id alone; an empty table has no piece. Only doc_id and text are read, so other columns may have
+    any names; null and repeated ids are packed a row each."""
     return pack(tokenized(documents, tokenizer, end), length)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens of the public byte-level tokenizer."""
     import public_tokenizers
 
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe_units import encoder
-from .work import read, stored
+from .work import range_parts, read, stored
 
 SHARD_TOKENS = 2_000_000
+#: Characters of a range partition, about; and documents that are encoded at once at most.
+PART_CHARS, BATCH = 256_000_000, 500
 END = 2
 _SUPER = 4096  # bits a superblock
 _MAGIC = b"WMTX0001"
@@ -153,9 +155,12 @@ class Shard:
 def write_shards(documents: DataFrame, tokenizer: str, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode ``text`` of every row and store the shards; returns the stored table.
 
-    documents: doc_id, text. Rows are dealt and sorted by doc_id (ties by text, null ids first), so
-    shards (part, seq) follow each other in that order. Null and empty texts have only the end id.
-    A shard is closed at the document that brings it to ``shard_tokens``. No row: no shard.
+    documents: doc_id, text; other columns are not read, whatever their names. Rows are dealt and
+    sorted by doc_id, those of one doc_id by the hash of their text and then the text, null ids
+    first, so shards (part, seq) follow each other in that order, and a doc_id that very many rows
+    bear is split. Null and empty texts have only the end id. A shard is closed at the document that
+    brings it to ``shard_tokens``; a longer document is a shard of its own with those before it. No
+    row: no shard.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,21 +173,31 @@ def write_shards(documents: DataFrame, tokenizer: str, end: int = END, shard_tok
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "n_docs", "n_tokens", "shard"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                a, n = coder.encode([t or "" for t in some.column(1).to_pylist()], end)
-                ids.append(a)
-                sizes.append(n)
-                docs += some.column(0).to_pylist()
-                held += a.size
-                if held >= shard_tokens:
-                    yield close()
-                    ids, docs, sizes, held, seq = [], [], [], 0, seq + 1
+            at = 0
+            while at < batch.num_rows:
+                # No more documents at once than surely fit: a character is four ids at most.
+                texts = [t or "" for t in batch.column(1).slice(at, BATCH).to_pylist()]
+                room = np.cumsum([4 * len(t) + 1 for t in texts])
+                take = max(1, int(np.searchsorted(room, max(4 * shard_tokens, 1 << 22), "right")))
+                a, n = coder.encode(texts[:take], end)
+                own, at, done = batch.column(0).slice(at, take).to_pylist(), at + take, 0
+                while done < n.size:
+                    reach = int(np.searchsorted(np.cumsum(n[done:]), shard_tokens - held)) + 1
+                    some, size = n[done : done + reach], int(n[done : done + reach].sum())
+                    ids.append(a[:size])
+                    sizes.append(some)
+                    docs += own[done : done + reach]
+                    a, held, done = a[size:], held + size, done + some.size
+                    if held >= shard_tokens:
+                        yield close()
+                        ids, docs, sizes, held, seq = [], [], [], 0, seq + 1
         if docs:
             yield close()
 
-    rows = documents.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(rows.mapInArrow(encode, SHARDS), "wavelet")
+    rows = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows = rows.repartitionByRange(range_parts(rows, chars, PART_CHARS), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    return stored(rows.select("doc_id", "text").mapInArrow(encode, SHARDS), "wavelet")
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
@@ -239,6 +254,7 @@ def token_index(shards: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents, and :func:`token_index` of what was stored."""
     import public_tokenizers
 
     shards = write_shards(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

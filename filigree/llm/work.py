@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import written as stored
 
-__all__ = ["BLANKS", "BLANK_RUN", "fresh", "let", "others", "read", "stored", "words_of"]
+__all__ = ["BLANKS", "BLANK_RUN", "fresh", "let", "others", "range_parts", "read", "stored", "words_of"]
 
 #: A word is a run of anything but these six white-space characters.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -50,5 +50,10 @@ def words_of(text: Column) -> Column:
     )
 
 
+def range_parts(df: DataFrame, size: int, part: int) -> int:
+    """Partitions of a range shuffle of ``size`` units, ``part`` units each; no fewer than the session's."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

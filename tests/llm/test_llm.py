@@ -382,6 +382,37 @@ def test_wavelet_shard_answers():
     assert wavelet.Shard(wavelet.pack_shard(np.empty(0, np.int64), [], np.empty(0))).decode().size == 0
 
 
+def test_shards_close_at_a_document(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(300)] + [(None, prose(k, 50)) for k in range(40)], "doc_id long, text string").coalesce(1)
+    rows = wavelet.write_shards(docs, path, shard_tokens=1000).collect()
+    per = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["part"], r["seq"])):
+        per[r["part"]].append(r)
+        sizes = wavelet.Shard(r["shard"]).doc_sizes()
+        assert r["n_docs"] == sizes.size and r["n_tokens"] == sizes.sum() and sizes[:-1].sum() < 1000
+    assert max(map(len, per.values())) > 1 and all(r["n_tokens"] >= 1000 for own in per.values() for r in own[:-1])
+    assert sum(r["n_docs"] for r in rows) == 340
+
+
+def test_foreign_tokenizers_are_refused(tmp_path):
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    bytes_, words = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    for path, blank in ((bytes_, False), (words, True)):
+        with pytest.raises(ValueError):
+            bpe_units.Encoder(path, blank)
+    other = Tokenizer.from_file(bytes_)
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    other.save(str(tmp_path / "digits.json"))
+    lower = Tokenizer.from_file(bytes_)
+    lower.normalizer = normalizers.Lowercase()
+    lower.save(str(tmp_path / "lower.json"))
+    for name in ("digits.json", "lower.json"):
+        with pytest.raises(ValueError):
+            bpe_units.Encoder(str(tmp_path / name), True)
+
+
 def test_wavelet_round_trip(spark, odd, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     shards = wavelet.write_shards(odd, path, shard_tokens=50)
