@@ -335,11 +335,107 @@ def test_classifier_on_held_out_labels(spark, sf_dir):
     assert np.mean([bool(r["quality"]) == r["kept"] for r in got]) > 0.9
 
 
+def plain_odds(model, x):
+    mean, scale, w = model
+    return [sum(min(8.0, max(-8.0, (a - m) / s)) * b for a, m, s, b in zip(row, mean, scale, w, strict=False)) + w[-1] for row in x]
+
+
+def plain_step(model, rows):
+    """One Newton step over weighted rows (x, y, weight), by lists and loops."""
+    mean, scale, w = model
+    d = len(w)
+    pen = [1.0] * (d - 1) + [1e-3]
+    g, c = [-p * b for p, b in zip(pen, w, strict=True)], [[pen[i] if i == j else 0.0 for j in range(d)] for i in range(d)]
+    for x, y, weight in rows:
+        z = [min(8.0, max(-8.0, (a - m) / s)) for a, m, s in zip(x, mean, scale, strict=True)] + [1.0]
+        p = 1 / (1 + np.exp(-min(30.0, max(-30.0, sum(a * b for a, b in zip(z, w, strict=True))))))
+        for i in range(d):
+            g[i] += weight * z[i] * (y - p)
+            for j in range(d):
+                c[i][j] += weight * z[i] * z[j] * p * (1 - p)
+    step = np.linalg.solve(np.array(c), np.array(g))
+    return (mean, scale, [a + b for a, b in zip(w, step.tolist(), strict=True)]), np.abs(step).max()
+
+
+def plain_fit(x, y):
+    a = np.array(x)
+    scale = [s if s >= 1e-9 else 1.0 for s in a.std(axis=0)]
+    model = (a.mean(axis=0).tolist(), scale, [0.0] * (a.shape[1] + 1))
+    for _ in range(25):
+        model, size = plain_step(model, [(r, t, 1.0) for r, t in zip(x, y, strict=True)])
+        if size < 1e-6:
+            break
+    return model
+
+
+def plain_co_train(views, y, pools, draw, rounds, per_round):
+    """The same by sorting the whole pool: the surest bins first, the last bin by draw."""
+    train = [i for i in range(len(y)) if i % 4 != 3]
+    own = [[(v[i], y[i]) for i in train] for v in views]
+    models = [plain_fit([x for x, _ in o], [t for _, t in o]) for o in own]
+    share = sum(y[i] for i in train) / len(train)
+    free, given = set(range(len(draw))), [{}, {}]
+    width = 60 / quality_classifier.BINS
+    for _ in range(rounds):
+        told = []
+        for k in (0, 1):
+            odds = plain_odds(models[k], pools[k])
+            at = {i: min(quality_classifier.BINS - 1, max(0, int(np.floor((odds[i] + 30) / width)))) for i in free}
+            out = {}
+            for label, sign, want in ((0, 1, per_round * len(draw) * (1 - share)), (1, -1, per_round * len(draw) * share)):
+                bins, taken = collections.defaultdict(list), 0.0
+                for i in free:
+                    if (at[i] + (sign < 0)) * width - 30 < -2 if sign > 0 else at[i] * width - 30 >= 2 - 1e-9:
+                        bins[sign * at[i]].append(i)
+                for b in sorted(bins):
+                    part = (want - taken) / len(bins[b])
+                    out.update({i: label for i in bins[b] if part >= 1 or draw[i] < part})
+                    taken += len(bins[b])
+                    if part <= 1:
+                        break
+            told.append(out)
+        for k in (0, 1):
+            given[k].update(told[1 - k])
+        free -= set(told[0]) | set(told[1])
+        for k in (0, 1):
+            weight = min(1.0, len(own[k]) / len(given[k])) if given[k] else 0.0
+            rows = [(x, t, 1.0) for x, t in own[k]] + [(pools[k][i], t, weight) for i, t in given[k].items()]
+            for _ in range(quality_classifier.STEPS):
+                models[k], _ = plain_step(models[k], rows)
+    hold = [i for i in range(len(y)) if i % 4 == 3]
+    odds = [plain_odds(m, [v[i] for i in hold]) for m, v in zip(models, views, strict=True)]
+    calibration = [plain_fit([[o] for o in own_odds], [y[i] for i in hold]) for own_odds in odds]
+    both = list(zip(*[plain_odds(c, [[o] for o in own_odds]) for c, own_odds in zip(calibration, odds, strict=True)], strict=True))
+    return models, calibration, plain_fit([list(b) for b in both], [y[i] for i in hold])
+
+
+def test_classifier_against_brute_force(spark, sf_dir):
+    docs, pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages", "labels"))
+    assert docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = quality_classifier.featured(docs, pages).join(labels.groupBy("doc_id").agg(F.min("quality").alias("q")), "doc_id", "left").orderBy("doc_id").collect()
+    view = lambda rs, c: [np.frombuffer(r[c], "<f4").astype(float).tolist() for r in rs]
+    known, free = [r for r in rows if r["q"] is not None], [r for r in rows if r["q"] is None]
+    assert len(known) > 20 and len(free) > 20
+    views, pools = ([view(rs, c) for c in ("text_view", "meta_view")] for rs in (known, free))
+    models, calibration, combined = plain_co_train(views, [float(r["q"]) for r in known], pools, [r["draw"] for r in free], quality_classifier.ROUNDS, quality_classifier.PER_ROUND)
+    scored = {r["doc_id"]: r for r in quality_classifier.classify(docs, pages, quality_classifier.fit(docs, pages, labels)).collect()}
+    odds = [plain_odds(c, [[o] for o in plain_odds(m, view(rows, n))]) for c, m, n in zip(calibration, models, ("text_view", "meta_view"), strict=True)]
+    for r, a, b in zip(rows, *odds, strict=True):
+        want = plain_odds(combined, [[a, b]])[0]
+        got = scored[r["doc_id"]]
+        for name, o in (("text_score", a), ("meta_score", b), ("score", want)):
+            assert abs(got[name] - 1 / (1 + np.exp(-min(30, max(-30, o))))) < 1e-3
+
+
 def test_classifier_odd_rows(spark, sf_dir, odd, empty):
     docs, pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages", "labels"))
     model = quality_classifier.fit(docs, pages, labels)
     rows = quality_classifier.classify(odd, pages, model).collect()
-    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
+    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 and r["page_url"] + r["both_odds"] == "xx" for r in rows)
+    eight = spark.createDataFrame([(d, d % 2) for d in range(8)], "doc_id long, quality long")
+    small = quality_classifier.fit(odd.unionByName(odd), pages, eight)  # ids 0 to 7, each in several rows
+    assert len(small.views[0].mean) == len(quality_classifier.TEXT_VIEW) and np.isfinite(small.combined.weights).all()
+    assert quality_classifier.fit(odd, pages, eight.where("doc_id < 7")) is None and quality_classifier.fit(empty, pages, eight) is None
     assert quality_classifier.classify(empty, pages, model).count() == 0
     none = quality_classifier.fit(docs, pages, labels.limit(0))
     assert none is None and quality_classifier.classify(odd, pages, none).where("kept").count() == len(ODD)
