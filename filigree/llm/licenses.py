@@ -45,6 +45,9 @@ NOTICES = (
 KNOWN = "known_licenses.jsonl"
 #: Known digests are broadcast up to this many (about 100 bytes each), and shuffled beyond.
 MAX_BROADCAST = 100_000
+#: Up to this many, their 64-bit hashes are also a list in the projection that digests lines, which
+#: then leaves out at once what can be none of them.
+MAX_LISTED = 10_000
 
 
 def canonical_lines(text: Column) -> Column:
@@ -63,11 +66,11 @@ def digest_of(lines: Column) -> Column:
 
 
 def known_digests(texts: DataFrame) -> DataFrame:
-    """(digest, license) of known texts (license, text): a row for each digest, with the least name
-    on ties; texts without a name or a canonical form are left out."""
+    """(digest, license, h) of known texts (license, text): a row for each digest, with the least name
+    on ties; texts without a name or a canonical form are left out. h: 64-bit hash of the form."""
     rows = texts.where("license is not null").select(canonical_lines(F.col("text")).alias("lines"), "license")
-    rows = rows.select(digest_of(F.col("lines")).alias("digest"), "license").where("digest is not null")
-    return rows.groupBy("digest").agg(F.min("license").alias("license"))
+    rows = rows.select(digest_of(F.col("lines")).alias("digest"), "license", F.xxhash64(F.array_join("lines", " ")).alias("h")).where("digest is not null")
+    return rows.groupBy("digest").agg(F.min("license").alias("license"), F.min("h").alias("h"))
 
 
 def default_texts(spark: SparkSession) -> DataFrame:
@@ -91,14 +94,16 @@ def license_scan(documents: DataFrame, texts: DataFrame, text: str = "text", max
     columns = others(documents, "digest", "license", "line_licenses")
     row, line, lines, mine, name = fresh(documents.select(*columns), "row", "line", "lines", "own_digest", "known_name")
     known = stored(known_digests(texts), "known-licenses")
-    few = known.limit(max_broadcast + 1).count() <= max_broadcast
+    n = known.limit(max(max_broadcast, MAX_LISTED) + 1).count()
+    few, listed = n <= max_broadcast, [r["h"] for r in known.select("h").collect()] if 0 < n <= MAX_LISTED else None
 
     def look_up(rows: DataFrame, key: str, how: str) -> DataFrame:
         names = known.select(F.col("digest").alias(key), F.col("license").alias(name))
         return rows.join(names.hint("broadcast" if few else "merge"), key, how)
 
     def digests(x: Column) -> Column:
-        of_lines = F.transform(F.array_distinct(x), lambda y: F.unhex(F.sha2(y, 256)))
+        likely = F.filter(x, lambda y: F.xxhash64(y).isin(listed)) if listed else x
+        of_lines = F.transform(F.array_distinct(likely), lambda y: F.unhex(F.sha2(y, 256)))
         return F.struct(digest_of(x).alias("whole"), of_lines.alias("each"))
 
     both = let(canonical_lines(F.col(text)), digests)

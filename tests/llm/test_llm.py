@@ -624,12 +624,13 @@ def test_urls_odd_rows(spark):
     assert url_filter.url_filter(pages.limit(0), listed).count() == 0 and url_filter.url_filter(pages, listed.limit(0)).where("verdict = 'block'").count() == 2
 
 
-def test_license_spellings(spark, odd, empty):
+def test_license_spellings(spark, odd, empty, monkeypatch):
     texts = licenses.default_texts(spark)
     same = ["LICENSED under the Apache Licence -- version 2.0", "Copyright (c) 2020 Somebody\nlicensed under the\tApache License, Version 2.0\nAll rights reserved."]
     other = ["Licensed under the Apache License, Version 2.1.", "", None]
     docs = spark.createDataFrame(list(enumerate(same + other + [f"Intro line.\n{same[0]}\nmore"])), "doc_id long, text string")
-    for bound in (10, 0):
+    for bound, most in ((10, 10_000), (0, 10_000), (10_000, 0)):
+        monkeypatch.setattr(licenses, "MAX_LISTED", most)
         got = {r["doc_id"]: r for r in licenses.license_scan(docs, texts, max_broadcast=bound).collect()}
         assert [got[i]["license"] for i in range(6)] == ["Apache-2.0", "Apache-2.0", None, None, None, None]
         assert got[5]["line_licenses"] == ["Apache-2.0"] and got[3]["digest"] is None
