@@ -1,7 +1,8 @@
 """Append-only logs as streams: counts by window and status, and the latest annotation of each item.
 
-Each runs over what has arrived (``availableNow``) and keeps its progress in the shared folder, so
-that the next run goes on from there.
+Each runs over what has arrived (``availableNow``). The two that keep a target up to date keep their
+progress in a folder that the caller names, the same at every run, so that the next run goes on from
+there; the two that give a table read the whole log.
 """
 
 from __future__ import annotations
@@ -44,26 +45,28 @@ def latest_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_complete(last.select("user_id", "l.event_id", "l.event_type"), "annotations")
 
 
-def filing_intake(manifests: DataFrame, target: str, late: str = "7 days") -> None:
+def filing_intake(manifests: DataFrame, target: str, progress: str, late: str = "7 days") -> None:
     """Append filings of a stream (accession, content_hash, filed_at timestamp, ...) to ``target`` as they
-    come, each (accession, content_hash) once within the watermark; later ones are for a batch run."""
-    spark = manifests.sparkSession
+    come, each (accession, content_hash) once within the watermark; later ones are for a batch run.
+
+    progress: a lasting folder that belongs to this stream and target; a run goes on after the last
+    that used it, and what a broken-off run left undone is done again."""
     once = manifests.withWatermark("filed_at", late).dropDuplicatesWithinWatermark(["accession", "content_hash"])
-    query = once.writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", new_path(spark, "intake")).trigger(availableNow=True).start()
+    query = once.writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def snapshot_refresh(filings: DataFrame, all_filings: DataFrame, target: str, build: Callable[[DataFrame], DataFrame]) -> None:
+def snapshot_refresh(filings: DataFrame, all_filings: Callable[[], DataFrame], target: str, progress: str, build: Callable[[DataFrame], DataFrame]) -> None:
     """For each batch of new filings rebuild the issuers that it touches, and replace their partitions.
 
-    build: from the filings of some issuers to rows with issuer_id; ``target`` is partitioned by it.
-    """
-    spark = filings.sparkSession
+    all_filings: gives the filings there are, read anew for each batch. build: from the filings of
+    some issuers to rows with issuer_id; ``target`` is partitioned by it. progress: as above; a batch
+    that is done twice replaces the same partitions by the same rows."""
 
     def refresh(batch: DataFrame, _: int) -> None:
         touched = batch.select("issuer_id").distinct()
-        rows = build(all_filings.join(touched, "issuer_id", "left_semi"))
+        rows = build(all_filings().join(touched, "issuer_id", "left_semi"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("issuer_id").parquet(target)
 
-    query = filings.writeStream.option("checkpointLocation", new_path(spark, "refresh")).trigger(availableNow=True).foreachBatch(refresh).start()
+    query = filings.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(refresh).start()
     query.awaitTermination()

@@ -1,4 +1,4 @@
-"""Streams over small directories: duplicates, refreshed partitions."""
+"""Streams over small directories: repeats, new filings between runs, refreshed partitions."""
 
 from pyspark.sql import functions as F
 
@@ -15,16 +15,31 @@ def rows(spark):
 def test_intake_drops_repeats(spark, tmp_path):
     rows(spark).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows(spark).schema).parquet(str(tmp_path / "in"))
-    streams.filing_intake(stream, str(tmp_path / "out"))
+    streams.filing_intake(stream, str(tmp_path / "out"), str(tmp_path / "progress"))
     assert sorted(r["accession"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
 
 
+def test_intake_goes_on_where_the_last_run_ended(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for accessions in ("ab", "c", "", "ad"):
+        if accessions:
+            rows(spark).dropDuplicates(["accession"]).unionByName(rows(spark).where("accession = 'c'").withColumn("accession", F.lit("d"))).where(F.col("accession").isin(list(accessions))).write.mode("append").parquet(source)
+        streams.filing_intake(spark.readStream.schema(rows(spark).schema).parquet(source), target, progress, "90 days")
+    assert sorted(r["accession"] for r in spark.read.parquet(target).collect()) == ["a", "b", "c", "d"]
+
+
 def test_refresh_touches_only_new_issuers(spark, tmp_path):
     every = rows(spark).dropDuplicates(["accession"])
-    target = str(tmp_path / "edges")
+    target, source, progress = (str(tmp_path / n) for n in ("edges", "new", "progress"))
     spark.createDataFrame([("x", "y", "NEXT", 1), ("x", "y", "NEXT", 3)], "source_id string, target_id string, edge_type string, issuer_id int").write.partitionBy("issuer_id").parquet(target)
-    every.where("issuer_id = 1").write.parquet(str(tmp_path / "new"))
-    stream = spark.readStream.schema(every.schema).parquet(str(tmp_path / "new"))
-    streams.snapshot_refresh(stream, every, target, lambda f: D.temporal_edges(f).withColumn("issuer_id", F.lit(1)))
-    got = {(r["issuer_id"], r["source_id"]) for r in spark.read.parquet(target).collect()}
-    assert got == {(1, "doc-a"), (3, "x")}
+    built = []
+
+    def edges(some):
+        built.append({r["issuer_id"] for r in some.select("issuer_id").distinct().collect()})
+        return D.temporal_edges(some).withColumn("issuer_id", F.lit(1))
+
+    for issuers in ([1], [2]):
+        every.where(F.col("issuer_id").isin(issuers)).write.mode("append").parquet(source)
+        streams.snapshot_refresh(spark.readStream.schema(every.schema).parquet(source), lambda: every, target, progress, edges)
+    assert built == [{1}, {2}]  # the second run rebuilds the issuer that came in between alone
+    assert {(r["issuer_id"], r["source_id"]) for r in spark.read.parquet(target).where("issuer_id = 3").collect()} == {(3, "x")}
