@@ -6,6 +6,8 @@ period_end. Rankings end with fact_id, so that ties have one result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,14 +66,45 @@ def is_annual(start: Column, end: Column) -> Column:
     return (F.date_format(start, "MM-dd") == "01-01") & (F.date_format(end, "MM-dd") == "12-31")
 
 
+# Ranks of the concepts of a family, the first pattern that fits; and the rank of others.
+CONCEPT_RANKS = {
+    "equity": ((("StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest", 0), ("StockholdersEquityIncluding", 1), ("StockholdersEquity$", 2), ("^(?!.*Other).*StockholdersEquity", 3)), 99),
+    "cash": ((("^CashAndCashEquivalents(AtCarryingValue)?$", 0),), 5),
+    "assets": ((("^Assets$", 0), ("AssetsCurrent|AssetsNoncurrent", 3)), 8),
+}
+
+
+def concept_rank(concept: Column, family: Column) -> Column:
+    """How far a concept is from the one that a family means; 10 for families without ranks."""
+    out = F.when(F.lit(False), 0)
+    for name, (patterns, other) in CONCEPT_RANKS.items():
+        rank = reduce(lambda a, p: a.when(concept.rlike("(?i)" + p[0]), p[1]), patterns, F.when(F.lit(False), 0))
+        out = out.when(family == name, rank.otherwise(other))
+    return out.otherwise(10)
+
+
 def point_facts(queries: DataFrame, facts: DataFrame) -> DataFrame:
-    """The best fact for each (query_id, issuer_id, family, target_year): score 100 less the concept's
-    rank, and 20 if annual, 15 if the period ends in the target year."""
-    rows = queries.join(facts, "issuer_id").where(S.concept_passes_guard(F.col("concept"), F.col("family")))
-    rank = F.when((F.col("family") == "assets") & (F.col("concept") == "Assets"), 0).when(F.col("family") == "equity", 1).otherwise(10)
-    score = 100 - rank + 20 * is_annual(F.col("period_start"), F.col("period_end")).cast("int") + 15 * (F.year("period_end") == F.col("target_year")).cast("int")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("period_end"), "fact_id")
-    return rows.withColumn("score", score).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("query_id", "fact_id", "score", "value_num")
+    """(query_id, fact_id, score, value_num, confidence): the best fact of each question.
+
+    queries: query_id, issuer_id, question, family, target_year, form (the last three may be null). A
+    fact must pass the family's guard and fit the period; score is 100 less the concept's rank, and
+    20 if annual, 10 if its concept matches the question, 15 if it ends in the target year.
+    Questions that ask the same of an issuer are answered once, so that one with very many questions
+    and facts doesn't pair them all.
+    """
+    asked = ["issuer_id", "question", "family", "target_year", "form"]
+    distinct = queries.select(*asked).distinct().withColumn("_k", F.xxhash64(*asked))
+    rows = distinct.join(facts.withColumnRenamed("form_type", "_filed"), "issuer_id").where(S.concept_passes_guard(F.col("concept"), F.col("family")))
+    annual = is_annual(F.col("period_start"), F.col("period_end"))
+    rows = rows.where(S.period_matches_intent(F.col("period_start"), F.col("period_end"), annual, F.col("target_year"), F.col("form")))
+    rank = concept_rank(F.col("concept"), F.coalesce("family", F.lit("")))
+    hit = F.coalesce(S.concept_matches_query(F.col("concept"), F.col("question")), F.lit(False))
+    score = 100 - rank + 20 * annual.cast("int") + 10 * hit.cast("int") + F.when(F.year("period_end") == F.col("target_year"), 15).otherwise(0)
+    sure = F.when(annual & ((F.coalesce("family", F.lit("")) != "equity") | (rank < 5)), "high").otherwise("medium")
+    w = Window.partitionBy("_k", *asked).orderBy(F.desc("score"), F.desc("period_end"), "fact_id")
+    best = rows.withColumns({"score": score, "confidence": sure}).withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    same = reduce(lambda x, y: x & y, [F.col(f"q.{c}").eqNullSafe(F.col(f"b.{c}")) for c in asked])
+    return queries.withColumn("_k", F.xxhash64(*asked)).alias("q").join(best.alias("b"), (F.col("q._k") == F.col("b._k")) & same).select("q.query_id", "b.fact_id", "b.score", "b.value_num", "b.confidence")
 
 
 def ratio_pairs(facts: DataFrame, numerator: str, denominator: str) -> DataFrame:
@@ -127,6 +160,6 @@ def missing_families(queries: DataFrame, evidence: DataFrame, facts: DataFrame,
     kinds = facts.withColumn("family", S.concept_family(F.col("concept")))
     have = evidence.join(kinds.select("fact_id", "family"), "fact_id").select("query_id", "family").distinct()
     want = queries.select("query_id", "issuer_id", F.explode(F.array(*map(F.lit, required))).alias("family"))
-    rows = want.join(have.hint("merge"), ["query_id", "family"], "left_anti").join(kinds.select("issuer_id", "family", "fact_id", "period_end"), ["issuer_id", "family"])
-    w = Window.partitionBy("query_id", "family").orderBy(F.desc("period_end"), "fact_id")
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("query_id", "family", "fact_id")
+    newest = kinds.groupBy("issuer_id", "family").agg(F.min_by("fact_id", F.struct((-F.unix_date("period_end")).alias("d"), "fact_id")).alias("fact_id"))
+    rows = want.join(have.hint("merge"), ["query_id", "family"], "left_anti").join(newest.hint("merge"), ["issuer_id", "family"])
+    return rows.select("query_id", "family", "fact_id")

@@ -13,7 +13,7 @@ from ..functions.lineage import written
 
 EVIDENCE_TYPES = ("CHUNK_PARAGRAPH", "CHUNK_TABLE", "CHUNK_ROW", "CHUNK_XBRL_FACT", "CHUNK_FOOTNOTE")
 STRUCTURAL = ("CONTAINS", "NEXT", "REFERENCES", "FOOTNOTE_OF")
-WINDOW_CHARS, WINDOWS = 4000, 12
+WINDOW_CHARS = 4000
 
 
 def sections_of(documents: DataFrame) -> DataFrame:

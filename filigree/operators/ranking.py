@@ -10,24 +10,45 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Words, patterns and points of the topic score.
 #: (words of the question, words of the excerpt, points for each of the latter).
 TOPICS = (
     (("risk",), ("risk",), 3.0), (("cyber",), ("cyber",), 8.0),
     (("supply chain", "operational disruption"), ("supply chain", "disruption", "shortage", "logistics", "operating"), 4.0),
     (("economic condition", "global economic"), ("economic", "recession", "slowdown", "demand", "inflation", "gdp"), 4.0),
     (("segment",), ("upstream", "energy products", "chemical products", "specialty products", "segment"), 5.0),
+    (("divest", "divestment", "proceeds"), ("divest", "singapore", "mobil argentina", "proceeds", "1.1 billion", "asset sale"), 8.0),
 )
+#: Three points each where question and excerpt both have the word.
+SHARED_TOPICS = ("geopolitic", "international", "trade", "tariff", "sanction", "war", "unrest", "conflict")
+GEOPOLITICAL = r"(?i)\b(geopolitic|international operation|trade polic|tariff|sanction|civil (unrest|disturbance)|terrorism|cross-border|trade barrier|war)\b"
+HIGHLIGHT_NOISE = (
+    r"(?i)(first quarter of 20[0-9]{2}|second quarter of 20[0-9]{2}|total sales and revenues were|credit facility|covenant leverage|interest rate derivatives|"
+    r"company trends and expectations|price realization|sales were higher across)"
+)
+CURRENCY, WORLD = r"\b(currency|income/expense|interest expense|derivatives)\b", r"\b(risk|tariff|sanction|geopolitic|war|unrest|trade barrier)\b"
+OFF_SUBJECT = "(controls and procedures|exhibit 31|dealer inventories|financial products segment)"
 #: Queries and vectors that meet in one task.
 BLOCK_QUERIES, BLOCK_VECTORS = 2_048, 100_000
 
 
-def topic_score(question: Column, excerpt: Column) -> Column:
+def topic_score(question: Column, excerpt: Column, section: Column | None = None) -> Column:
+    """Points of an excerpt, and of the section it is in, for what a question is about."""
     q, e = F.lower(question), F.lower(excerpt)
     out = F.lit(0.0)
     for asked, words, points in TOPICS:
         on = reduce(lambda a, b: a | b, [q.contains(w) for w in asked])
         hits = reduce(lambda a, b: a + b, [e.contains(w).cast("int") for w in words])
         out = out + F.when(on, hits * points).otherwise(0.0)
+    s = F.lower(F.lit("") if section is None else section)
+    rules = [(q.contains(w) & e.contains(w), 3.0) for w in SHARED_TOPICS]
+    rules += [
+        (q.rlike(GEOPOLITICAL) & excerpt.rlike(GEOPOLITICAL), 5.0), (e.rlike(HIGHLIGHT_NOISE), -12.0), (e.rlike(CURRENCY) & ~e.rlike(WORLD), -10.0), (e.rlike(OFF_SUBJECT), -20.0),
+        (e.contains("forward-looking") & e.contains("sustainability"), -15.0), (s.contains("risk_factors"), 3.0),
+        (s.contains("md_and_a") & (q.contains("divest") | q.contains("md&a") | q.contains("management")), 4.0),
+    ]
+    for on, points in rules:
+        out = out + F.when(on, points).otherwise(0.0)
     return out
 
 

@@ -268,11 +268,13 @@ def dense_answer(ranked: DataFrame, texts: DataFrame) -> DataFrame:
 
 def best_facts(queries: DataFrame, facts: DataFrame, most: int) -> DataFrame:
     """The ``most`` facts of each query (query_id, issuer_id, question) whose concept answers it: annual
-    ones before others, the newest first."""
-    rows = queries.join(facts, "issuer_id").where(S.concept_matches_query(F.col("concept"), F.col("question")))
+    ones before others, the newest first. The same question of an issuer is answered once."""
+    asked = queries.select("issuer_id", "question").distinct()
+    rows = asked.join(facts, "issuer_id").where(S.concept_matches_query(F.col("concept"), F.col("question")))
     annual = (F.date_format("period_start", "MM-dd") == "01-01") & (F.date_format("period_end", "MM-dd") == "12-31")
-    w = Window.partitionBy("query_id").orderBy(F.desc(annual), F.desc("period_end"), "fact_id")
-    return rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).select("query_id", "fact_id", "position")
+    w = Window.partitionBy("issuer_id", "question").orderBy(F.desc(annual), F.desc("period_end"), "fact_id")
+    best = rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).select("issuer_id", "question", "fact_id", "position")
+    return queries.join(best.hint("merge"), ["issuer_id", "question"]).select("query_id", "fact_id", "position")
 
 
 def document_nodes(filings: DataFrame) -> DataFrame:

@@ -20,10 +20,10 @@ def accessions(f: Frames) -> DataFrame:
 
 
 @PLANS.add("q2_sample_issuers", """
-SELECT issuer_id, row_number() OVER (ORDER BY sha256('11:' || issuer_id))::INT AS position FROM (SELECT DISTINCT issuer_id FROM filings WHERE y = 1997) QUALIFY position <= 8""", ("filings",))
+SELECT issuer_id, row_number() OVER (ORDER BY sha256('11:' || issuer_id))::INT AS position FROM (SELECT DISTINCT issuer_id FROM filings) QUALIFY position <= 8""", ("filings",))
 def sample(f: Frames) -> DataFrame:
-    issuers = f["nation"].select(F.col("n_nationkey").cast("int").alias("issuer_id"))
-    return Q.sample_issuers(issuers, f["filings"].where("y = 1997"), 8, 11)
+    issuers = f["customer"].select(F.col("c_custkey").cast("int").alias("issuer_id"))
+    return Q.sample_issuers(issuers, f["filings"], 8, 11)
 
 
 def _weights(f: Frames) -> DataFrame:
@@ -145,7 +145,7 @@ def smoke(f: Frames) -> DataFrame:
 
 
 def _bundle(f: Frames) -> DataFrame:
-    have = f["filings"].where("y = 1997 AND q < 3").groupBy("issuer_id").agg(F.array_sort(F.collect_list("accession")).alias("a"))
+    have = f["recent"].groupBy("issuer_id").agg(F.array_sort(F.collect_list("accession")).alias("a"))
     n = F.regexp_extract("item_id", "([0-9]+)", 1).cast("long")
     rows = f["items"].join(have, "issuer_id").withColumn("n", n)
     some = F.when(F.col("n") % 5 == 0, F.slice("a", 1, 1)).when(F.col("n") % 7 == 0, F.array(F.lit("none"), F.lit("nil"))).otherwise(F.col("a"))
@@ -153,27 +153,27 @@ def _bundle(f: Frames) -> DataFrame:
 
 
 _ERRORS = """
-h AS (SELECT issuer_id, count(*) AS k FROM filings WHERE y = 1997 AND q < 3 GROUP BY 1), i AS (SELECT item_id, profile, k, regexp_extract(item_id, '([0-9]+)', 1)::BIGINT AS n FROM items JOIN h USING (issuer_id)),
+h AS (SELECT issuer_id, count(*) AS k FROM recent GROUP BY 1), i AS (SELECT item_id, profile, k, regexp_extract(item_id, '([0-9]+)', 1)::BIGINT AS n FROM items JOIN h USING (issuer_id)),
 e AS (SELECT item_id, list_filter([CASE WHEN n % 11 = 0 THEN 'empty_question' END, CASE WHEN n % 7 = 0 AND n % 5 <> 0 THEN 'accession_not_in_snapshot' END,
   CASE WHEN profile = 'comparison' AND CASE WHEN n % 5 = 0 THEN 1 WHEN n % 7 = 0 THEN 2 ELSE k END < 2 THEN 'requires_multi_filing' END, CASE WHEN n % 3 = 0 AND n % 2 <> 0 THEN 'missing_ground_truth' END], lambda x: x IS NOT NULL) AS errors FROM i)"""
 
 
-@PLANS.add("q9_validate_items", f"WITH {_ERRORS} SELECT item_id, array_to_string(errors, ',') AS errors, CASE WHEN len(errors) = 0 THEN 'accepted' ELSE 'rejected' END AS status FROM e", ("items", "filings"))
+@PLANS.add("q9_validate_items", f"WITH {_ERRORS} SELECT item_id, array_to_string(errors, ',') AS errors, CASE WHEN len(errors) = 0 THEN 'accepted' ELSE 'rejected' END AS status FROM e", ("items", "recent"))
 def validate(f: Frames) -> DataFrame:
     return Q.validate_items(_bundle(f), f["filings"]).select("item_id", F.array_join("errors", ",").alias("errors"), "status")
 
 
-@PLANS.add("q29_generation_report", f"WITH {_ERRORS} SELECT unnest(list_append(errors, CASE WHEN len(errors) = 0 THEN 'accepted' ELSE 'rejected' END)) AS code, count(*) AS n FROM e GROUP BY 1", ("items", "filings"))
+@PLANS.add("q29_generation_report", f"WITH {_ERRORS} SELECT unnest(list_append(errors, CASE WHEN len(errors) = 0 THEN 'accepted' ELSE 'rejected' END)) AS code, count(*) AS n FROM e GROUP BY 1", ("items", "recent"))
 def report(f: Frames) -> DataFrame:
     return Q.generation_report(Q.validate_items(_bundle(f), f["filings"]))
 
 
 @PLANS.add("h12_resolve_section_paths", """
-WITH p AS (SELECT i.item_id, f.accession, CASE (f.y + f.q) % 4 WHEN 0 THEN 'Item 1A.' WHEN 1 THEN 'item-7 results' WHEN 2 THEN 'risk' ELSE 'nothing' END AS tail FROM items i JOIN filings f ON f.issuer_id = i.issuer_id AND f.y = 1997)
-SELECT item_id, accession, tail, accession || CASE tail WHEN 'Item 1A.' THEN '/Item 1A' WHEN 'item-7 results' THEN '/Item 7' ELSE '/Risk_Factors' END AS path, CASE tail WHEN 'Item 1A.' THEN 13 WHEN 'item-7 results' THEN 9 ELSE 8 END AS score FROM p WHERE tail <> 'nothing'""", ("items", "filings"))
+WITH p AS (SELECT i.item_id, f.accession, CASE (f.y + f.q) % 4 WHEN 0 THEN 'Item 1A.' WHEN 1 THEN 'item-7 results' WHEN 2 THEN 'risk' ELSE 'nothing' END AS tail FROM items i JOIN recent f ON f.issuer_id = i.issuer_id)
+SELECT item_id, accession, tail, accession || CASE tail WHEN 'Item 1A.' THEN '/Item 1A' WHEN 'item-7 results' THEN '/Item 7' ELSE '/Risk_Factors' END AS path, CASE tail WHEN 'Item 1A.' THEN 13 WHEN 'item-7 results' THEN 9 ELSE 8 END AS score FROM p WHERE tail <> 'nothing'""", ("items", "recent"))
 def paths(f: Frames) -> DataFrame:
     tails = F.array(*map(F.lit, ("Item 1A.", "item-7 results", "risk", "nothing")))
-    want = f["items"].join(f["filings"].where("y = 1997"), "issuer_id").select("item_id", "accession", tails[(F.col("y") + F.col("q")) % 4].alias("tail"))
+    want = f["items"].join(f["recent"], "issuer_id").select("item_id", "accession", tails[(F.col("y") + F.col("q")) % 4].alias("tail"))
     names = F.explode(F.array(*map(F.lit, ("Item 1A", "Item 7", "Risk_Factors", "Exhibits"))))
     index = f["filings"].select("accession", names.alias("n")).select("accession", F.concat_ws("/", "accession", "n").alias("path"))
     return Q.resolve_paths(want, index)

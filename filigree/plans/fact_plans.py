@@ -66,16 +66,6 @@ def trim(f: Frames) -> DataFrame:
     return O.catalog_trim(f["facts"], [["NetIncomeLoss", "Revenues"], ["Assets", "Revenues"]]).select("issuer_id", "fact_id", "priority", "position")
 
 
-@PLANS.add("f13_point_fact", f"""
-WITH q AS (SELECT query_id, issuer_id, CASE WHEN query_id % 2 = 0 THEN 'assets' ELSE 'equity' END AS family FROM questions),
-c AS (SELECT query_id, fact_id, value_num, period_end, (100 - CASE WHEN family = 'assets' THEN 0 ELSE 1 END + CASE WHEN {_ANNUAL} THEN 20 ELSE 0 END + CASE WHEN year(period_end) = 1998 THEN 15 ELSE 0 END)::INT AS score
-  FROM q JOIN facts ON facts.issuer_id = q.issuer_id AND concept = CASE WHEN family = 'assets' THEN 'Assets' ELSE 'StockholdersEquity' END)
-SELECT query_id, fact_id, score, value_num FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, period_end DESC, fact_id) = 1""", ("facts", "questions"))
-def point(f: Frames) -> DataFrame:
-    q = f["questions"].select("query_id", "issuer_id", F.when(F.col("query_id") % 2 == 0, "assets").otherwise("equity").alias("family"), F.lit(1998).alias("target_year"))
-    return O.point_facts(q, f["facts"])
-
-
 @PLANS.add("f16_ratio_pair", f"""
 WITH p AS (SELECT a.issuer_id, a.period_start, a.period_end, a.fact_id AS nf, b.fact_id AS df, a.value_num AS num, b.value_num AS den FROM facts a JOIN facts b USING (issuer_id, period_start, period_end) WHERE a.concept = 'IncomeTaxExpenseBenefit' AND b.concept = 'IncomeLossBeforeIncomeTaxes')
 SELECT issuer_id, period_end, num, den, num / nullif(abs(den), 0)::DOUBLE * 100 AS ratio FROM p

@@ -120,16 +120,17 @@ def temporal(f: Frames) -> DataFrame:
 
 
 @PLANS.add("d16_bound_filings", """
-SELECT i.item_id, f.accession, f.issuer_id, f.form_type, f.period_end, false AS missing FROM items i JOIN filings f ON f.issuer_id = i.issuer_id AND f.y = 1997 AND f.q = 2
-UNION ALL SELECT item_id, 'missing-' || issuer_id, NULL, NULL, NULL, true FROM items WHERE issuer_id IN (SELECT issuer_id FROM filings WHERE y = 1997 AND q = 2)""", ("items", "filings"))
+SELECT i.item_id, f.accession, f.issuer_id, f.form_type, f.period_end, false AS missing FROM items i JOIN recent f ON f.issuer_id = i.issuer_id
+UNION ALL SELECT item_id, 'missing-' || issuer_id, NULL, NULL, NULL, true FROM items WHERE issuer_id IN (SELECT issuer_id FROM recent)""", ("items", "recent"))
 def bound(f: Frames) -> DataFrame:
-    have = f["filings"].where("y = 1997 AND q = 2").groupBy("issuer_id").agg(F.collect_list("accession").alias("a"))
+    have = f["recent"].groupBy("issuer_id").agg(F.collect_list("accession").alias("a"))
     items = f["items"].join(have, "issuer_id").select("item_id", F.concat("a", F.array(F.concat(F.lit("missing-"), F.col("issuer_id")))).alias("accessions"))
     return D.bound_filings(items, f["filings"]).select("item_id", "accession", "issuer_id", "form_type", "period_end", "missing")
 
 
 @PLANS.add("d18_accession_catalog", f"""
-WITH o AS (SELECT * FROM filings WHERE issuer_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY issuer_id, form_type, period_end ORDER BY filed_at DESC, accession DESC) = 1)
+WITH o AS (SELECT * FROM filings WHERE issuer_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) QUALIFY row_number() OVER (PARTITION BY issuer_id, form_type, period_end ORDER BY filed_at DESC, accession DESC) = 1)
 SELECT issuer_id, accession, form_type, year(period_end)::INT AS calendar_year FROM o QUALIFY row_number() OVER (PARTITION BY issuer_id, form_type {_NEWEST}) <= 4""", ("filings",))
 def catalog(f: Frames) -> DataFrame:
-    return D.accession_catalog(f["filings"], f["nation"].where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("issuer_id")), 4)
+    # Those with a positive balance stand for the issuers of an allow list.
+    return D.accession_catalog(f["filings"], f["customer"].where("c_acctbal > 0").select(F.col("c_custkey").alias("issuer_id")), 4)

@@ -21,11 +21,11 @@ def section_edges(f: Frames) -> DataFrame:
 
 
 @PLANS.add("e3_paragraph_nodes", f"""
-WITH {_SECTIONS}, w AS (SELECT section_id, body, unnest(range(0, least(12, ceil(length(body) / 200.0))::BIGINT)) AS win FROM s WHERE length(body) > 40)
+WITH {_SECTIONS}, w AS (SELECT section_id, body, unnest(range(0, ceil(length(body) / 200.0)::BIGINT)) AS win FROM s WHERE length(body) > 40)
 SELECT section_id, win::INT AS "window", sha256(substr(body, win * 200 + 1, 200)) AS digest FROM w""", ("doc_lines",))
 def paragraphs(f: Frames) -> DataFrame:
-    # Twelve windows, as the SQL has them; the operator alone cuts whole bodies.
-    return G.chunk_sections(G.sections_of(f["doc_lines"]), 200, G.WINDOWS).select("section_id", "window", F.sha2("text", 256).alias("digest"))
+    # Windows of 200 characters, so that the lines have several.
+    return G.chunk_sections(G.sections_of(f["doc_lines"]), 200).select("section_id", "window", F.sha2("text", 256).alias("digest"))
 
 
 @PLANS.add("e9_same_concept_classes", """

@@ -25,11 +25,11 @@ def topic(f: Frames) -> DataFrame:
 
 
 @PLANS.add("r4_period_alignment", """
-WITH a AS (SELECT issuer_id, list(DISTINCT period_end) AS anchors FROM filings WHERE y = 1997 GROUP BY 1),
+WITH a AS (SELECT issuer_id, list(DISTINCT period_end) AS anchors FROM recent GROUP BY 1),
 d AS (SELECT fact_id, f.period_start AS s, f.period_end AS e, unnest(anchors) AS x FROM facts f JOIN a USING (issuer_id))
-SELECT fact_id, CASE WHEN bool_or(x BETWEEN s AND e) OR min(abs(e - x)) <= 7 THEN 8.0 WHEN min(abs(e - x)) > 90 THEN -15.0 ELSE -3.0 END::DOUBLE AS score FROM d GROUP BY fact_id""", ("filings", "facts"))
+SELECT fact_id, CASE WHEN bool_or(x BETWEEN s AND e) OR min(abs(e - x)) <= 7 THEN 8.0 WHEN min(abs(e - x)) > 90 THEN -15.0 ELSE -3.0 END::DOUBLE AS score FROM d GROUP BY fact_id""", ("recent", "facts"))
 def alignment(f: Frames) -> DataFrame:
-    anchors = f["filings"].where("y = 1997").groupBy("issuer_id").agg(F.collect_set("period_end").alias("anchors"))
+    anchors = f["recent"].groupBy("issuer_id").agg(F.collect_set("period_end").alias("anchors"))
     rows = f["facts"].join(anchors, "issuer_id")
     return rows.select("fact_id", R.period_alignment(F.col("period_start"), F.col("period_end"), F.col("anchors")).alias("score"))
 
@@ -76,7 +76,7 @@ def latest(f: Frames) -> DataFrame:
 
 
 @PLANS.add("g1_item_pieces", r"""
-WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Item 1. Business ' || text || ' Item 1A. Risk ' || text || ' see Item 7, and Item 7. Discussion ' WHEN 1 THEN 'Item 1, Item 1A. x ' ELSE text END AS t FROM documents),
+WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Item 1. Business ' || text || ' Item 1A. Risk ' || text || ' see Item 7, and Item 7. Discussion ' WHEN 1 THEN 'Item 1, Item 1A. x ' || text ELSE text END AS t FROM documents),
 p AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '(?i)\b(item\s+(?:1a|1|7)\b)', chr(1) || '\1', 'g'), chr(1))) AS piece, generate_subscripts(string_split(regexp_replace(t, '(?i)\b(item\s+(?:1a|1|7)\b)', chr(1) || '\1', 'g'), chr(1)), 1) - 1 AS position FROM d)
 SELECT doc_id, position, upper(regexp_extract(piece, '(?i)^item\s+(1a|1|7)\b', 1)) AS item, regexp_matches(left(piece, 80), '(?i)item\s+[0-9]+[a-z]?\.\s*(&#160;|&nbsp;|\s)+') AND NOT regexp_matches(left(piece, 50), '(?i)item\s+[0-9]+[a-z]?\s*,') AND regexp_matches(piece, '(?i)^item') AS is_primary FROM p""")
 def pieces(f: Frames) -> DataFrame:
@@ -85,16 +85,16 @@ def pieces(f: Frames) -> DataFrame:
 
 def _filed(f: Frames) -> DataFrame:
     k, t = F.col("doc_id") % 3, F.col("text")
-    made = F.when(k == 0, F.concat(F.lit("Item 1. Business "), t, F.lit(" Item 1A. Risk "), t, F.lit(" see Item 7, and Item 7. Discussion "))).when(k == 1, "Item 1, Item 1A. x ").otherwise(t)
+    made = F.when(k == 0, F.concat(F.lit("Item 1. Business "), t, F.lit(" Item 1A. Risk "), t, F.lit(" see Item 7, and Item 7. Discussion "))).when(k == 1, F.concat(F.lit("Item 1, Item 1A. x "), t)).otherwise(t)
     return f["documents"].select("doc_id", made.alias("text"))
 
 
-@PLANS.add("g2_split_items", """
-SELECT doc_id, unnest(['1', '1A']) AS item, unnest([length(trim(regexp_replace('Item 1. Business ' || text || ' ', '\\s+', ' ', 'g'))), length(trim(regexp_replace('Item 1A. Risk ' || text || ' see Item 7, and ', '\\s+', ' ', 'g')))]) AS n
-FROM documents WHERE doc_id % 3 = 0 AND length(regexp_replace(text, '\\s+', ' ', 'g')) > 700 AND NOT contains(text, '<')""")
+@PLANS.add("g2_split_items", r"""
+WITH s AS (SELECT doc_id, unnest(['1', '1A']) AS item, unnest(['Item 1. Business ' || text || ' ', 'Item 1A. Risk ' || text || ' see Item 7, and ']) AS raw FROM documents WHERE doc_id % 3 = 0),
+p AS (SELECT doc_id, item, raw, trim(regexp_replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '(&nbsp;|&#160;|[ \t\n\x0B\f\r])+', ' ', 'g')) AS plain FROM s)
+SELECT doc_id, item, length(plain) AS n FROM p WHERE length(raw) >= 200 AND length(plain) >= 500 AND NOT (len(string_split_regex(raw, '(?i)item ')) > 9 AND length(plain) < 3000)""")
 def items(f: Frames) -> DataFrame:
-    rows = f["documents"].where("length(regexp_replace(text, r'\\s+', ' ')) > 700 AND NOT contains(text, '<')").select("doc_id")
-    return T.split_items(_filed(f).join(rows, "doc_id", "left_semi")).select("doc_id", "item", F.length("body").alias("n"))
+    return T.split_items(_filed(f)).select("doc_id", "item", F.length("body").alias("n"))
 
 
 @PLANS.add("g8_best_sentences")

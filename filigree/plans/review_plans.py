@@ -139,10 +139,10 @@ def corpus_hash(f: Frames) -> DataFrame:
 
 
 @PLANS.add("d17_scope_manifest", f"""
-WITH {_LABELLED}, b AS (SELECT issuer_id * 10 AS query_id, issuer_id, accession, label, filed_at FROM labelled WHERE y = 1997 AND q < 3), g AS (SELECT query_id, issuer_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(filed_at) AS last FROM b GROUP BY 1, 2)
-SELECT query_id, labels, (SELECT count(*) FROM filings f WHERE f.issuer_id = g.issuer_id AND f.filed_at > g.last) AS n_newer, (SELECT count(*) FROM filings f WHERE f.issuer_id = g.issuer_id AND f.filed_at > g.last) > 0 AS stale FROM g""", ("filings",))
+WITH {_LABELLED}, b AS (SELECT issuer_id * 10 AS query_id, issuer_id, accession, label, filed_at FROM labelled JOIN (SELECT accession FROM recent WHERE n = 2) USING (accession)), g AS (SELECT query_id, issuer_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(filed_at) AS last FROM b GROUP BY 1, 2)
+SELECT query_id, labels, (SELECT count(*) FROM filings f WHERE f.issuer_id = g.issuer_id AND f.filed_at > g.last) AS n_newer, (SELECT count(*) FROM filings f WHERE f.issuer_id = g.issuer_id AND f.filed_at > g.last) > 0 AS stale FROM g""", ("recent",))
 def manifest(f: Frames) -> DataFrame:
-    bound = f["filings"].where("y = 1997 AND q < 3").select((F.col("issuer_id") * 10).alias("query_id"), "accession")
+    bound = f["recent"].where("n = 2").select((F.col("issuer_id") * 10).alias("query_id"), "accession")
     return V.scope_manifest(bound, fiscal_labels(f["filings"])).withColumn("labels", F.array_join("labels", ","))
 
 

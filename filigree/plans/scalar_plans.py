@@ -219,9 +219,9 @@ def kind(f: Frames) -> DataFrame:
 
 @PLANS.add("b37_year_mismatch", r"""
 SELECT query_id, accession, CASE query_id % 12 WHEN 2 THEN year(period_end) <> 2000 WHEN 6 THEN year(period_end) <> 1999 WHEN 10 THEN year(period_end) <> 2000 ELSE false END AS mismatch
-FROM questions JOIN filings ON questions.issuer_id = filings.issuer_id AND form_type = '10-K'""", ("questions", "filings"))
+FROM questions JOIN recent ON questions.issuer_id = recent.issuer_id AND form_type = '10-K'""", ("questions", "recent"))
 def year_mismatch(f: Frames) -> DataFrame:
-    rows = f["questions"].join(f["filings"].where("form_type = '10-K'"), "issuer_id")
+    rows = f["questions"].join(f["recent"].where("form_type = '10-K'"), "issuer_id")
     return rows.select("query_id", "accession", S.question_year_mismatch(F.col("question"), F.array(F.concat(F.lit("FY"), F.year("period_end").cast("string")))).alias("mismatch"))
 
 
@@ -244,8 +244,10 @@ def concept_match(f: Frames) -> DataFrame:
     return pairs.select(F.explode("ids").alias("query_id"), "concept")
 
 
-@PLANS.add("b23_query_flags", """
-SELECT query_id, query_id % 12 = 1 AS is_comparison, false AS is_divestiture, query_id % 12 = 5 AS is_mda, query_id % 12 = 3 AS is_risk_only FROM questions""", ("questions",))
+_FLAGS = "SELECT query_id, query_id % 12 = 1 AS is_comparison, false AS is_divestiture, query_id % 12 = 5 AS is_mda, query_id % 12 = 3 AS is_risk_only FROM questions"
+
+
+@PLANS.add("b23_query_flags", _FLAGS, ("questions",))
 def flags(f: Frames) -> DataFrame:
     g = S.query_flags(F.col("question"))
     return f["questions"].select("query_id", *[g[n].alias(n) for n in ("is_comparison", "is_divestiture", "is_mda", "is_risk_only")])
@@ -291,11 +293,22 @@ def intent_period(f: Frames) -> DataFrame:
     return f["facts"].select("fact_id", "form_type", S.period_matches_intent(F.col("period_start"), F.col("period_end"), annual, F.lit(1998), F.col("form_type")).alias("fits"))
 
 
-@PLANS.add("r1_section_score", """
-WITH t(n, a, b, c) AS (VALUES (0, 4.3, 4.8, 3.9), (3, 17.0, 4.3, 0.7), (4, 4.3, 4.3, 3.4), (6, 4.3, 4.3, 2.7), (7, 4.3, 4.8, 3.2)),
-s AS (SELECT query_id, unnest([{'i': 'html-risk_factors', 's': a}, {'i': 'html-md_and_a', 's': b}, {'i': 'xbrl-facts', 's': c}]) AS x FROM questions JOIN t ON query_id % 12 = n)
-SELECT query_id, x.i AS section_id, x.s::DOUBLE AS score FROM s""", ("questions",))
+def _has(text: str, *words: str) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+@PLANS.add("r1_section_score", f"""
+WITH x AS (SELECT query_id, lower(question) AS q, unnest([{{'t': 'risk factors', 's': 'html-risk_factors'}}, {{'t': 'management discussion', 's': 'html-md_and_a'}}, {{'t': 'xbrl financial facts', 's': 'xbrl-facts'}}, {{'t': 'item 1. business', 's': 'html-business_description'}}]) AS z FROM questions),
+y AS (SELECT query_id, q, z.t AS t, z.s AS s FROM x), n AS (SELECT query_id, is_mda, is_risk_only FROM ({_FLAGS}))
+SELECT query_id, s AS section_id, round(CASE WHEN len(list_filter(string_split_regex(q, '\\s+')[1:5], lambda w: contains(t, w))) > 0 THEN 1.0 ELSE 0.3 END
+  + CASE WHEN {_has("t", "financial", "balance", "income", "cash", "liquidity", "margin")} THEN 0.4 ELSE 0 END
+  + CASE WHEN {_has("q", "revenue", "sales", "driver", "segment", "growth")} AND {_has("t", "revenue", "management", "md&a", "results", "operations", "business", "xbrl", "financial facts")} THEN 0.5 ELSE 0 END
+  + CASE WHEN contains(t, 'xbrl') AND {_has("q", "revenue", "sales", "income", "assets", "cash", "earnings")} THEN 2.0 ELSE 0 END + CASE WHEN starts_with(s, 'html') THEN 2.5 ELSE 0 END
+  + CASE WHEN is_mda AND contains(s, 'md_and_a') THEN 15 ELSE 0 END + CASE WHEN is_mda AND {_has("t", "management", "discussion", "analysis")} THEN 8 ELSE 0 END
+  + CASE WHEN is_risk_only AND contains(s, 'risk_factors') THEN 12 ELSE 0 END - CASE WHEN is_risk_only AND contains(s, 'business_description') THEN 6 ELSE 0 END
+  + CASE WHEN contains(s, 'risk_factors') OR contains(s, 'md_and_a') THEN 1.5 ELSE 0 END, 3)::DOUBLE AS score FROM y JOIN n USING (query_id)""", ("questions",))
 def section_scores(f: Frames) -> DataFrame:
-    sections = F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("section_id")) for a, b in (("Risk Factors", "html-risk_factors"), ("Management Discussion", "html-md_and_a"), ("XBRL Financial Facts", "xbrl-facts"))]))
-    rows = f["questions"].where("query_id % 12 IN (0, 3, 4, 6, 7)").select("query_id", "question", sections.alias("s"))
+    sections = (("Risk Factors", "html-risk_factors"), ("Management Discussion", "html-md_and_a"), ("XBRL Financial Facts", "xbrl-facts"), ("Item 1. Business", "html-business_description"))
+    sections = F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("section_id")) for a, b in sections]))
+    rows = f["questions"].select("query_id", "question", sections.alias("s"))
     return rows.select("query_id", "s.section_id", S.section_score(F.col("question"), F.col("s.label"), F.col("s.section_id")).alias("score"))

@@ -11,26 +11,30 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
-    # Issuer: a nation. Period: a calendar quarter of its customers' orders. Every fifth issuer has a
-    # fiscal year that ends in June. Some filings are filed again, later.
-    "filings": (("orders", "customer"), """
+    # A filing: the orders of a customer in a calendar quarter. Issuer: the customer, but the customers
+    # of one in six are parts of one hot issuer, with many filings of a period. Every fifth issuer has
+    # a fiscal year that ends in June. Some filings are filed again, later.
+    "filings": (("orders",), """
         WITH q AS (
-          SELECT CAST(c_nationkey AS INT) AS issuer_id, CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q,
-                 sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents
-          FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+          SELECT CAST(CASE WHEN o_custkey % 6 = 1 THEN 1 ELSE o_custkey END AS INT) AS issuer_id, CAST(o_custkey AS INT) AS filer,
+                 CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents
+          FROM {orders} GROUP BY 1, 2, 3, 4),
         f AS (
-          SELECT issuer_id, lpad(CAST(issuer_id AS STRING), 10, '0') AS cik, y, q, CAST(cents AS BIGINT) AS cents,
+          SELECT issuer_id, filer, lpad(CAST(issuer_id AS STRING), 10, '0') AS cik, y, q, CAST(cents AS BIGINT) AS cents,
                  CASE WHEN q = (CASE WHEN issuer_id % 5 = 0 THEN 2 ELSE 4 END) THEN '10-K' ELSE '10-Q' END AS form_type,
                  make_date(y, q * 3, CASE WHEN q IN (2, 3) THEN 30 ELSE 31 END) AS period_end
           FROM q),
         a AS (
           SELECT *, 0 AS again FROM f
-          UNION ALL SELECT *, 1 AS again FROM f WHERE (issuer_id + y + q) % 7 = 0)
+          UNION ALL SELECT *, 1 AS again FROM f WHERE (filer + y + q) % 7 = 0)
         SELECT issuer_id, cik,
-               cik || '-' || lpad(CAST(y % 100 AS STRING), 2, '0') || '-' || lpad(CAST(q + 90 * again AS STRING), 6, '0') AS accession,
-               form_type, period_end + CAST(30 + (issuer_id * 7 + y * 3 + q) % 16 + 20 * again AS INT) AS filed_at, period_end,
+               lpad(CAST(filer AS STRING), 10, '0') || '-' || lpad(CAST(y % 100 AS STRING), 2, '0') || '-' || lpad(CAST(q + 90 * again AS STRING), 6, '0') AS accession,
+               form_type, period_end + CAST(30 + (filer * 7 + y * 3 + q) % 16 + 20 * again AS INT) AS filed_at, period_end,
                y, q, cents
         FROM a"""),
+    # The newest filings of every issuer and form, to which questions and items are bound.
+    "recent": (("filings",), """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY issuer_id, form_type ORDER BY period_end DESC, filed_at DESC, accession DESC) AS n FROM {filings}) AS ranked WHERE n <= 2"""),
     "facts": (("filings",), """
         SELECT issuer_id, accession, form_type, 'xbrl-' || lower(concept) || '-' || accession AS fact_id, concept,
                CAST(floor(cents * pct / 10000.0) AS BIGINT) AS value_num,
@@ -49,7 +53,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM {facts}"""),
     # A question for each benchmark passage and anchor word; the passage only lends its id and text.
     "questions": (("benchmark",), """
-        SELECT CAST(item_id * 12 + n AS BIGINT) AS query_id, item_id, CAST(item_id % 25 AS INT) AS issuer_id, question
+        SELECT CAST(item_id * 12 + n AS BIGINT) AS query_id, item_id, CAST(CASE WHEN item_id % 6 = 1 THEN 1 ELSE item_id + 2 END AS INT) AS issuer_id, question
         FROM {benchmark} CROSS JOIN (VALUES (0, 'What was revenue in the latest 10-K?'), (1, 'How did net income change compared to prior year?'),
           (2, 'What is the effective tax rate for the fiscal year 2000?'), (3, 'Summarise the risk factors of the annual report'),
           (4, 'What were total assets in the most recent quarter?'), (5, 'Explain the revenue trend and management outlook, Q2'),
@@ -82,7 +86,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT 'item-' || CAST(doc_id AS STRING) AS item_id,
                CASE WHEN doc_id % 4 = 0 THEN 'numeric' WHEN doc_id % 4 = 1 THEN 'comparison' WHEN doc_id % 4 = 2 THEN 'narrative' ELSE 'binding' END AS profile,
                CASE WHEN doc_id % 3 = 0 THEN 'short_label' WHEN doc_id % 3 = 1 THEN 'numeric' ELSE 'narrative' END AS answer_type,
-               CAST(doc_id % 25 AS INT) AS issuer_id, quality, toxic
+               CAST(CASE WHEN doc_id % 6 = 1 THEN 1 ELSE doc_id + 2 END AS INT) AS issuer_id, quality, toxic
         FROM {labels} WHERE doc_id IS NOT NULL"""),
     # Containment: region, nation, customer, order; ids as graph node ids.
     "nodes": (("region", "nation", "customer", "orders"), """
