@@ -230,3 +230,18 @@ def variant_comparison(metrics: DataFrame, baseline: str, names: list[str]) -> D
     # One row for each of the given metrics.
     base = long.where(F.col("variant_id") == baseline).select("metric", F.col("value").alias("baseline"))
     return long.where(F.col("variant_id") != baseline).join(base.hint("merge"), "metric").withColumn("change", F.col("value") - F.col("baseline"))
+
+
+def concept_pairs(questions: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(query_id, concept): the concepts that answer each question (query_id, question).
+
+    A question asks for the concepts of one hint word, and of revenue if it has a word for that; a
+    concept answers the hints whose pattern it fits. So both sides have few keys each and meet by
+    equality; no question meets a concept that doesn't answer it. Repeats count once."""
+    q, c = F.lower("question"), F.col("concept")
+    hint = reduce(lambda a, w: a.when(q.contains(w[0]), w[0]), S.CONCEPT_HINTS, F.when(F.lit(False), ""))
+    keys = F.array_compact(F.array(hint, F.when(I.has(q, ("revenue", "sales")), "revenue concepts")))
+    answered = F.array_compact(F.array(*[F.when(c.rlike("(?i)" + p), w) for w, p in S.CONCEPT_HINTS], F.when(c.rlike("(?i)" + S.REVENUE_CONCEPTS), "revenue concepts")))
+    known = concepts.select("concept").distinct().where((c != "") & ~c.rlike("(?i)" + S.SECURITIES_SALES))
+    left = questions.select("query_id", F.explode(keys).alias("_key"))
+    return left.join(known.select("concept", F.explode(answered).alias("_key")).hint("merge"), "_key").select("query_id", "concept").distinct()

@@ -10,6 +10,7 @@ from ..operators import review as V
 from ..operators.filings import fiscal_labels
 from ..operators.ranking import dense_topk
 from ..sources.views import Frames
+from . import rules_sql as Q
 from .filing_plans import _LABELLED
 from .plan import Plans
 
@@ -97,8 +98,9 @@ def themes(f: Frames) -> DataFrame:
 @PLANS.add("f17_ratio_roles", """
 SELECT DISTINCT a.concept AS first, b.concept AS second, CASE WHEN a.concept = 'NetIncomeLoss' AND b.concept = 'Revenues' THEN a.concept WHEN b.concept = 'NetIncomeLoss' AND a.concept = 'Revenues' THEN b.concept END AS numerator FROM (SELECT DISTINCT concept FROM facts) a, (SELECT DISTINCT concept FROM facts) b WHERE a.concept < b.concept""", ("facts",))
 def roles(f: Frames) -> DataFrame:
-    # Concepts are those of the filing standard, in one array.
-    c = f["facts"].agg(F.collect_set("concept").alias("c")).select(F.explode("c").alias("first"), "c").select("first", F.explode("c").alias("second")).where("first < second")
+    # The two concepts of a ratio are facts of one filing.
+    a, b = (f["facts"].select("accession", F.col("concept").alias(n)) for n in ("first", "second"))
+    c = a.join(b, "accession").where("first < second").select("first", "second").distinct()
     return c.select("first", "second", V.assign_ratio_roles(F.col("first"), F.col("second"), ["NetIncomeLoss"], ["Revenues"])["numerator"].alias("numerator"))
 
 
@@ -244,9 +246,8 @@ def answer(f: Frames) -> DataFrame:
     return rows.select("query_id", F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["rank"], c["vec_id"], c["label"])), ",").alias("citations"))
 
 
-@PLANS.add("f15_best_facts", """
-WITH p AS (SELECT query_id, fact_id, period_end, strftime(period_start, '%m-%d') = '01-01' AND strftime(period_end, '%m-%d') = '12-31' AS annual FROM questions q JOIN facts f ON f.issuer_id = q.issuer_id WHERE CASE query_id % 12 WHEN 0 THEN concept IN ('Revenues', 'CostOfRevenue') WHEN 5 THEN concept IN ('Revenues', 'CostOfRevenue')
-  WHEN 7 THEN concept IN ('Revenues', 'CostOfRevenue') WHEN 1 THEN concept LIKE '%Income%' WHEN 4 THEN concept = 'Assets' WHEN 10 THEN concept = 'Assets' WHEN 6 THEN concept LIKE '%Cash%' ELSE false END)
+@PLANS.add("f15_best_facts", f"""
+WITH p AS (SELECT query_id, fact_id, period_end, strftime(period_start, '%m-%d') = '01-01' AND strftime(period_end, '%m-%d') = '12-31' AS annual FROM (SELECT *, lower(question) AS q FROM questions) q JOIN facts f ON f.issuer_id = q.issuer_id WHERE {Q.matches("concept", "q")})
 SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY annual DESC, period_end DESC, fact_id)::INT AS position FROM p QUALIFY position <= 2""", ("questions", "facts"))
 def best(f: Frames) -> DataFrame:
     return V.best_facts(f["questions"], f["facts"], 2)

@@ -75,3 +75,28 @@ def hints(q: str, every: str, sold: str, quarterly: str) -> str:
     for p in parts[1:]:
         out = f"list_concat({out}, {p})"
     return out
+
+
+def hits(q: str, words: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"contains({q}, {quoted(w)})::INT" for w in words) + ")"
+
+
+def intent(q: str) -> str:
+    hybrid, numeric, worded = (hits(q, S.INTENT_WORDS[k]) for k in ("hybrid", "numeric", "qualitative"))
+    return f"CASE WHEN {hybrid} >= 2 OR ({numeric} >= 1 AND {worded} >= 1) THEN 'hybrid' WHEN {worded} > {numeric} THEN 'qualitative' WHEN {numeric} > 0 THEN 'numeric' ELSE 'qualitative' END"
+
+
+def anchor(q: str) -> str:
+    quarter = has(q, "quarter", "10-q", "10 q")
+    return (
+        f"CASE WHEN {has(q, 'quarter over quarter', 'qoq', 'sequential quarter')} THEN NULL WHEN {has(q, 'prior quarter', 'previous quarter')} THEN 'prior_quarter' WHEN {has(q, *S.QUARTER_CUES)} THEN 'latest_quarter' "
+        f"WHEN {has(q, 'annual report', 'latest 10-k', '10-k', '10k', 'fiscal year')} AND NOT {quarter} THEN 'latest_annual' WHEN contains({q}, 'risk factor') AND NOT contains({q}, 'quarter') THEN 'latest_annual' END"
+    )
+
+
+def form(q: str) -> str:
+    return f"CASE WHEN {has(q, '10-q', '10 q', 'quarterly filing', 'quarterly report')} THEN '10-Q' WHEN {has(q, '10-k', '10 k', 'annual report')} AND NOT contains({q}, 'quarter') THEN '10-K' END"
+
+
+def annual(q: str) -> str:
+    return rf"(NOT regexp_matches({q}, '\b(q[1-4]|quarter|10-q|10 q)\b') AND (regexp_matches({q}, '\bfy20[0-9]{{2}}\b') OR (contains({q}, 'fiscal year') AND regexp_matches({q}, '\b20[0-9]{{2}}\b'))))"

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import evidence as E
 from ..sources.views import Frames
+from . import rules_sql as Q
 from .plan import Plans
 
 PLANS = Plans()
@@ -131,14 +133,9 @@ def guard(f: Frames) -> DataFrame:
     return counted.where(S.concept_passes_guard(F.col("concept"), F.col("family")))
 
 
-@PLANS.add("b18_question_features", r"""
-WITH q AS (SELECT *, query_id % 12 AS n FROM questions)
-SELECT query_id, CASE n WHEN 2 THEN 'ratio' WHEN 6 THEN 'ratio' WHEN 9 THEN 'ratio' WHEN 1 THEN 'percent_change' WHEN 10 THEN 'delta' ELSE 'point' END AS metric_type,
-  CASE n WHEN 2 THEN 'tax_rate' WHEN 6 THEN 'dividend_payout' WHEN 7 THEN 'segment_revenue' WHEN 9 THEN 'margin' WHEN 10 THEN 'assets' END AS family,
-  CASE n WHEN 1 THEN 'qualitative' WHEN 2 THEN 'qualitative' WHEN 3 THEN 'qualitative' WHEN 5 THEN 'hybrid' WHEN 8 THEN 'qualitative' WHEN 11 THEN 'qualitative' ELSE 'numeric' END AS intent,
-  CASE n WHEN 0 THEN 'latest_annual' WHEN 2 THEN 'latest_annual' WHEN 3 THEN 'latest_annual' WHEN 4 THEN 'latest_quarter' WHEN 8 THEN 'prior_quarter' WHEN 10 THEN 'latest_annual' END AS anchor,
-  CASE n WHEN 0 THEN '10-K' WHEN 3 THEN '10-K' WHEN 8 THEN '10-Q' END AS form,
-  n IN (2, 10) AS annual FROM q""", ("questions",))
+@PLANS.add("b18_question_features", f"""
+WITH q AS (SELECT query_id, lower(question) AS q FROM questions)
+SELECT query_id, {Q.metric("q")} AS metric_type, {Q.family("q")} AS family, {Q.intent("q")} AS intent, {Q.anchor("q")} AS anchor, {Q.form("q")} AS form, {Q.annual("q")} AS annual FROM q""", ("questions",))
 def question_features(f: Frames) -> DataFrame:
     q = F.col("question")
     m = S.metric_type(q)
@@ -233,18 +230,13 @@ def roles(f: Frames) -> DataFrame:
     return f["facts"].select("fact_id", F.array_join(r["roles"], ",").alias("roles"), r["statement"].alias("statement"))
 
 
-@PLANS.add("b17_concept_matches_query", """
-SELECT query_id, concept FROM questions CROSS JOIN (SELECT DISTINCT concept FROM facts) WHERE CASE query_id % 12 WHEN 0 THEN concept IN ('Revenues', 'CostOfRevenue') WHEN 5 THEN concept IN ('Revenues', 'CostOfRevenue') WHEN 7 THEN concept IN ('Revenues', 'CostOfRevenue')
-  WHEN 1 THEN concept LIKE '%Income%' WHEN 4 THEN concept = 'Assets' WHEN 10 THEN concept = 'Assets' WHEN 6 THEN concept LIKE '%Cash%' ELSE false END""", ("questions", "facts"))
+@PLANS.add("b17_concept_matches_query", f"""
+SELECT query_id, concept FROM (SELECT query_id, lower(question) AS q FROM questions) CROSS JOIN (SELECT DISTINCT concept FROM facts) WHERE {Q.matches("concept", "q")}""", ("questions", "facts"))
 def concept_match(f: Frames) -> DataFrame:
-    # The concepts are those of the filing standard: some ten thousand names at most.
-    concepts = f["facts"].select("concept").distinct().agg(F.collect_set("concept").alias("c"))
-    texts = f["questions"].groupBy("question").agg(F.collect_list("query_id").alias("ids"))
-    pairs = texts.join(F.broadcast(concepts)).select("question", "ids", F.explode("c").alias("concept")).where(S.concept_matches_query(F.col("concept"), F.col("question")))
-    return pairs.select(F.explode("ids").alias("query_id"), "concept")
+    return E.concept_pairs(f["questions"], f["facts"])
 
 
-_FLAGS = "SELECT query_id, query_id % 12 = 1 AS is_comparison, false AS is_divestiture, query_id % 12 = 5 AS is_mda, query_id % 12 = 3 AS is_risk_only FROM questions"
+_FLAGS = "SELECT query_id, " + ", ".join(f"{sql} AS {name}" for name, sql in Q.flags("q").items()) + " FROM (SELECT query_id, lower(question) AS q FROM questions)"
 
 
 @PLANS.add("b23_query_flags", _FLAGS, ("questions",))
