@@ -51,6 +51,23 @@ def variant_metrics(results: DataFrame) -> DataFrame:
     return results.groupBy("variant_id").agg(*_means())
 
 
+def variant_quality(results: DataFrame, second: bool = False) -> DataFrame:
+    """Means by variant over eligible results: task_success, outcome_accuracy, rubric_alignment, and mrr,
+    map_score, ndcg over results with relevance labels; null where none counts.
+
+    results: status, has_answer, has_rubric, has_labels, outcome, alignment, mrr, map_score, ndcg. The task
+    succeeds by the outcome where there is an answer to compare with, else by the alignment with a
+    rubric; in the ``second`` kind of dataset always by the outcome, and rubrics have no mean.
+    """
+    ok = results.where(eligible(F.col("status")))
+    outcome = F.coalesce("outcome", F.lit(0.0))
+    task = outcome if second else F.when(F.col("has_answer"), outcome).when(F.col("has_rubric"), F.coalesce("alignment", F.lit(0.0)))
+    rubric = F.lit(None).cast("double") if second else F.avg(F.when(F.col("has_rubric"), F.col("alignment")))
+    ranking = [F.avg(F.when(F.col("has_labels"), F.col(c))).alias(c) for c in ("mrr", "map_score", "ndcg")]
+    means = ok.groupBy("variant_id").agg(F.avg(task).alias("task_success"), F.avg(F.when(F.col("has_answer"), F.col("outcome"))).alias("outcome_accuracy"), rubric.alias("rubric_alignment"), *ranking)
+    return results.select("variant_id").distinct().join(means, "variant_id", "left")
+
+
 def metric_tables(results: DataFrame) -> DataFrame:
     """The same means by variant, by variant and profile, and by variant and stratum, in one pass:
     ``level`` says which, absent keys are null."""
