@@ -288,13 +288,14 @@ def with_pages(documents: DataFrame, pages: DataFrame, into: str = "page_url") -
     """documents with ``into``, the url of the page that names the row's doc_id, if any.
 
     Rows without a doc_id are dealt by their text, as no page can be theirs; a doc_id of very many
-    rows meets one row. Repeated rows keep their number and other columns their values, if ``into``
+    rows meets one row. A task holds the urls of its share of the doc_ids, one each, and streams the
+    documents past them, so that texts needn't be sorted. Repeated rows keep their number and other columns their values, if ``into``
     is not among them; no page has the number of a text, however long; an empty table stays empty."""
     key, page = fresh(documents, "page_doc", "page_key")
     none = -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     urls = page_metadata(pages).select(F.col("page_doc").alias(page), F.col("page_url").alias(into))
     rows = documents.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), none))
-    return rows.join(urls.hint("merge"), F.col(key) == F.col(page), "left").drop(key, page)
+    return rows.join(urls.hint("shuffle_hash"), F.col(key) == F.col(page), "left").drop(key, page)
 
 
 def featured(documents: DataFrame, pages: DataFrame) -> DataFrame:
