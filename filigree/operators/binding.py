@@ -35,19 +35,6 @@ def bind_filings(questions: DataFrame, filings: DataFrame) -> DataFrame:
     return paired.unionByName(single.select("query_id", "branch", F.lit(0).alias("position"), "accession"))
 
 
-def validate_binding(questions: DataFrame, bound: DataFrame, filings: DataFrame) -> DataFrame:
-    """(query_id, status, code): failed with empty_corpus or missing_partner or unresolved, else approved;
-    narrowed where an accession isn't the issuer's."""
-    corpus = filings.groupBy("issuer_id").agg(F.collect_set("accession").alias("_all"))
-    got = bound.groupBy("query_id").agg(F.collect_set("accession").alias("_got"), F.first("branch").alias("_branch"))
-    rows = questions.join(corpus, "issuer_id", "left").join(got, "query_id", "left")
-    comparison = S.query_flags(F.col("question"))["is_comparison"] | F.lower("question").contains("quarter over quarter")
-    stray = F.size(F.array_except("_got", "_all")) > 0
-    code = F.when(F.col("_all").isNull(), "empty_corpus").when(comparison & (F.coalesce(F.size("_got"), F.lit(0)) < 2), "missing_partner").when(F.col("_got").isNull(), "unresolved").when(stray, "invalid_accession")
-    status = F.when(code.isNull(), "approved").when(code == "invalid_accession", "narrowed").otherwise("failed")
-    return rows.select("query_id", status.alias("status"), code.alias("code"))
-
-
 def plan_sections(questions: DataFrame, toc: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, accession, section_id, position): the ``most`` sections of each bound filing whose kind
     the question's intent prefers; the first ones where none is preferred.

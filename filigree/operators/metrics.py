@@ -139,18 +139,6 @@ def investigation_flags(results: DataFrame, baseline: str, delta: float = 0.10)
     return rows.where(F.abs("difference") >= delta).select("variant_id", "item_id", "difference")
 
 
-def failure_class(results: DataFrame) -> DataFrame:
-    """Add failure_class: the first rule that holds of abstention, binding, numeric miss, comparison
-    miss, ground truth suspect, unclassified; null for a positive outcome."""
-    zero = F.coalesce(F.col("outcome") <= 0.05, F.lit(True))
-    good = F.coalesce(F.col("mrr") >= 0.5, F.lit(False))
-    c = (
-        F.when(~zero, F.lit(None)).when(F.col("abstained"), "abstention").when(F.col("profile") == "binding", "binding").when(F.col("profile") == "numeric", "numeric_miss")
-        .when(F.col("profile") == "comparison", "comparison_miss").when(good & (F.col("alignment") > 0.5), "gt_suspect").otherwise("unclassified")
-    )
-    return results.withColumn("failure_class", c)
-
-
 def binding_metrics(bindings: DataFrame) -> DataFrame:
     """One row: accuracy (same set; an item that should fail needs none), multi_filing_rate and
     fail_closed_rate of (predicted, expected, should_fail). An empty table gives 0, 0 and 1."""

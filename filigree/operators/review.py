@@ -121,16 +121,6 @@ def assign_ratio_roles(first: Column, second: Column, numerators: list[str], den
     return F.when(n1 & d2, F.struct(first.alias("numerator"), second.alias("denominator"))).when(n2 & d1, F.struct(second.alias("numerator"), first.alias("denominator")))
 
 
-def validate_resolution(rows: DataFrame, needed: int) -> DataFrame:
-    """Add rejections of resolved facts (query_id, family, facts array<struct<concept, period_end>>)."""
-    periods = F.array_distinct(F.transform("facts", lambda x: x["period_end"]))
-    codes = F.array_compact(F.array(
-        F.when(F.size("facts") < needed, "too_few_facts"), F.when((F.size("facts") > 1) & (F.size(periods) > 1), "mixed_periods"),
-        F.when(F.exists("facts", lambda x: ~S.concept_passes_guard(x["concept"], F.col("family"))), "guard"),
-    ))
-    return rows.withColumn("rejections", codes)
-
-
 def compare_pairs(evidence: DataFrame) -> DataFrame:
     """(query_id, first, second): the lead excerpts of a query's two filings, for queries with both.
     evidence: query_id, side (1 or 2), rank, excerpt."""

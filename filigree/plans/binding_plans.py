@@ -27,13 +27,6 @@ def bind(f: Frames) -> DataFrame:
     return B.bind_filings(f["questions"], f["filings"])
 
 
-@PLANS.add("d9_validate_binding", f"""
-WITH {_BOUND}, g AS (SELECT query_id, count(DISTINCT accession) AS n FROM bound GROUP BY 1)
-SELECT q.query_id, CASE WHEN code IS NULL THEN 'approved' ELSE 'failed' END AS status, code FROM (SELECT q.query_id, CASE WHEN q.issuer_id NOT IN (SELECT issuer_id FROM filings) THEN 'empty_corpus' WHEN q.query_id % 12 IN (1, 7) AND coalesce(n, 0) < 2 THEN 'missing_partner' WHEN n IS NULL THEN 'unresolved' END AS code FROM questions q LEFT JOIN g ON g.query_id = q.query_id) q""", ("filings", "questions"))
-def validated(f: Frames) -> DataFrame:
-    return B.validate_binding(f["questions"], B.bind_filings(f["questions"], f["filings"]), f["filings"])
-
-
 def _toc(f: Frames) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(t).alias("label")) for i, t in enumerate(("Risk Factors", "Item 7 Results", "Financial Facts", "Item 1. Business", "Exhibits"))])
     return f["filings"].select("accession", F.explode(entries).alias("e")).select("accession", "e.*", F.concat_ws("-s", "accession", "e.ordinal").alias("section_id"))

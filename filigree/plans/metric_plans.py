@@ -90,20 +90,6 @@ def smoke(f: Frames) -> DataFrame:
     return _rounded(M.smoke_gate(f["results"]), "mean_alignment")
 
 
-@PLANS.add("m25_failure_class", """
-SELECT variant_id, item_id, CASE WHEN outcome > 0.05 THEN NULL WHEN abstained THEN 'abstention' WHEN profile = 'binding' THEN 'binding' WHEN profile = 'numeric' THEN 'numeric_miss' WHEN profile = 'comparison' THEN 'comparison_miss'
-  WHEN coalesce(mrr, 0) >= 0.5 AND alignment > 0.5 THEN 'gt_suspect' ELSE 'unclassified' END AS failure_class FROM results""", ("results",))
-def classes(f: Frames) -> DataFrame:
-    return M.failure_class(f["results"]).select("variant_id", "item_id", "failure_class")
-
-
-@PLANS.add("m26_class_rollups", """
-SELECT variant_id, CASE WHEN abstained THEN 'abstention' WHEN profile = 'binding' THEN 'binding' WHEN profile = 'numeric' THEN 'numeric_miss' WHEN profile = 'comparison' THEN 'comparison_miss'
-  WHEN coalesce(mrr, 0) >= 0.5 AND alignment > 0.5 THEN 'gt_suspect' ELSE 'unclassified' END AS failure_class, count(*) AS n FROM results WHERE coalesce(outcome, 0) <= 0.05 GROUP BY 1, 2""", ("results",))
-def rollups(f: Frames) -> DataFrame:
-    return M.failure_class(f["results"]).where("failure_class IS NOT NULL").groupBy("variant_id", "failure_class").agg(F.count("*").alias("n"))
-
-
 @PLANS.add("m28_investigation_flags", """
 SELECT a.variant_id, a.item_id, round(a.outcome - b.outcome, 9) AS difference FROM results a JOIN results b ON a.item_id = b.item_id AND b.variant_id = 'graph-full' AND a.variant_id <> 'graph-full' WHERE abs(a.outcome - b.outcome) >= 0.1""", ("results",))
 def flags(f: Frames) -> DataFrame:

@@ -104,15 +104,6 @@ def roles(f: Frames) -> DataFrame:
     return c.select("first", "second", V.assign_ratio_roles(F.col("first"), F.col("second"), ["NetIncomeLoss"], ["Revenues"])["numerator"].alias("numerator"))
 
 
-@PLANS.add("f18_validate_resolution", """
-WITH g AS (SELECT accession, list_distinct(list(concept)) AS c FROM facts WHERE concept IN ('StockholdersEquity', 'Assets') AND (concept <> 'Assets' OR value_num % 2 = 0) GROUP BY 1)
-SELECT accession, concat_ws(',', CASE WHEN len(c) < 2 THEN 'too_few_facts' END, CASE WHEN list_contains(c, 'Assets') THEN 'guard' END) AS rejections FROM g""", ("facts",))
-def resolution(f: Frames) -> DataFrame:
-    rows = f["facts"].where("concept IN ('StockholdersEquity', 'Assets') AND (concept <> 'Assets' OR value_num % 2 = 0)")
-    g = rows.groupBy("accession").agg(F.collect_list(F.struct("concept", "period_end")).alias("facts")).withColumn("family", F.lit("equity"))
-    return V.validate_resolution(g, 2).select("accession", F.array_join("rejections", ",").alias("rejections"))
-
-
 @PLANS.add("r14_compare_pairs", """
 WITH e AS (SELECT o_custkey AS query_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS side, o_orderkey FROM orders), l AS (SELECT query_id, side, min(o_orderkey) AS e FROM e GROUP BY 1, 2)
 SELECT a.query_id, a.e AS first, b.e AS second FROM l a JOIN l b ON a.query_id = b.query_id AND a.side = 1 AND b.side = 2""")

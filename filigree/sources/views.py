@@ -88,6 +88,24 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN doc_id % 3 = 0 THEN 'short_label' WHEN doc_id % 3 = 1 THEN 'numeric' ELSE 'narrative' END AS answer_type,
                CAST(CASE WHEN doc_id % 6 = 1 THEN 1 ELSE doc_id + 2 END AS INT) AS issuer_id, quality, toxic
         FROM {labels} WHERE doc_id IS NOT NULL"""),
+    # What a planner makes of a question: filings that the caller fixed or the planner named, and a fiscal year.
+    "proposals": (("questions", "recent"), """
+        SELECT query_id, q.issuer_id, CASE WHEN query_id % 7 = 3 THEN question || ' year over year and qoq' ELSE question END AS question,
+               CASE WHEN query_id % 11 <> 5 THEN 'find filings' END AS summary, CASE WHEN query_id % 5 = 0 THEN accession END AS pinned,
+               CASE WHEN query_id % 8 = 4 THEN accession WHEN query_id % 8 IN (1, 5) THEN '9999999999-00-000000' END AS proposed,
+               CAST(CASE WHEN query_id % 3 = 0 THEN y + query_id % 2 END AS INT) AS target_year, CASE WHEN query_id % 3 = 0 THEN '10-K' END AS form
+        FROM {questions} q LEFT JOIN (SELECT issuer_id, accession, y FROM {recent} WHERE n = 1 AND form_type = '10-K') r ON r.issuer_id = q.issuer_id"""),
+    # Results with answers, truths and what a judge said of them.
+    "judged": (("results",), """
+        SELECT variant_id, item_id, outcome, mrr, CASE WHEN profile_no = 0 THEN alignment ELSE 0.0E0 END AS retrieval_fidelity, (profile = 'numeric') AS numeric, (profile = 'comparison') AS comparison, (profile = 'binding' AND abstained) AS binding_miss,
+               CASE WHEN abstained THEN 'Insufficient evidence.' WHEN stratum = 'html' THEN 'Based on 3 evidence chunks: see below' WHEN stratum = 'xbrl' THEN 'It was $' || CAST(profile_no + 1 AS STRING) || ',250 million'
+                    WHEN stratum = 'mixed' THEN 'Revenue of 12.5, whereas costs fell' ELSE '' END AS answer,
+               CASE WHEN status = 'complete' AND has_answer THEN '$1,300 million' WHEN has_answer THEN '9.75' ELSE 'Both grew' END AS truth,
+               CASE WHEN profile_no = 2 THEN 'How many billion was it?' ELSE 'What was it?' END AS question, CASE WHEN status = 'degraded' THEN 'Cites the wrong filing' END AS rationale,
+               CASE WHEN profile_no = 1 THEN 'template' WHEN profile_no = 2 THEN 'cached' END AS path, CASE WHEN profile_no <> 3 THEN 'x/Xbrl Financial Facts' ELSE 'x/item_7' END AS section_path
+        FROM {results}"""),
+    # Documents as questions of items, for the copies among them.
+    "asked": (("documents",), "SELECT doc_id AS item_id, text AS question FROM {documents} WHERE doc_id IS NOT NULL"),
     # Containment: region, nation, customer, order; ids as graph node ids.
     "nodes": (("region", "nation", "customer", "orders"), """
         SELECT 'r-' || CAST(r_regionkey AS STRING) AS node_id, 'DOCUMENT' AS node_type, r_name AS label FROM {region}
