@@ -17,6 +17,10 @@ CONCEPT_FAMILIES = (
     ("revenue", ("revenue", "sales")), ("equity", ("equity",)), ("assets", ("asset",)), ("cash", ("cash",)),
     ("income", ("income", "earnings", "eps")), ("liabilities", ("liabilit",)), ("inventory", ("inventory", "inventories")), ("tax", ("tax",)),
 )
+RISK_WORDS = r"\b(risk|factor|factors|item\s*1a)\b"
+FINANCIAL_WORDS = r"\b(revenue|sales|income|earnings|profit|assets|liabilities|cash|eps|margin|debt|dividend|shares|cost|expense|growth|yoy|qoq|billion|million|\$)\b"
+COMPARED_RISK_WORDS = ("compare", "comparison", "versus", " vs ", "across")
+NUMERIC_WORDS = ("revenue", "sales", "income", "earnings", "assets", "eps", "year over year", "year-over-year", "yoy", "quarter over quarter", "qoq")
 INTENT_WORDS = {
     "numeric": ("revenue", "sales", "eps", "earnings", "assets", "liabilities", "cash", "margin", "billion", "million"),
     "qualitative": ("risk", "md&a", "management", "strategy", "outlook", "liquidity discussion", "business description"),
@@ -326,6 +330,17 @@ def question_year_mismatch(question: Column, labels: Column) -> Column:
     return (F.size(asked) > 0) & (F.size(bound) > 0) & ~F.arrays_overlap(asked, bound)
 
 
+def align_question_years(question: Column, labels: Column) -> Column:
+    """The question with each year 20.. that no bound period label has replaced by the latest year
+    of the labels; unchanged where the labels have no year."""
+    bound = F.flatten(F.transform(labels, lambda x: F.regexp_extract_all(x, F.lit("20[0-9]{2}"), 0)))
+    latest = F.array_max(bound)
+    between = F.split(question, "20[0-9]{2}", -1)
+    years = F.transform(F.regexp_extract_all(question, F.lit("20[0-9]{2}"), 0), lambda y: F.when(F.array_contains(bound, y), y).otherwise(latest))
+    pairs = F.zip_with(between, years, lambda a, y: F.concat(a, F.coalesce(y, F.lit(""))))
+    return F.when(latest.isNull(), question).otherwise(F.array_join(pairs, ""))
+
+
 # Patterns of concepts, roles, sections and file names.
 PRIORITISED = "Revenue|Sales|Income|Earnings|Profit|Assets|Liabilities|Equity|Cash|EPS|Margin|Operating|Gross|Net|Debt|Securities|Receivable|Payable|Expense|CostOf|Investment|Dividend|Shares|Stock|Depreciation|Amortization"
 CONCEPT_HINTS = (("revenue", "Revenue|Sales"), ("sales", "Revenue|Sales"), ("income", "Income|Earnings|Profit"), ("asset", "Assets"), ("cash", "Cash"), ("debt", "Debt|Borrow"))
@@ -367,12 +382,18 @@ def concept_roles(concept: Column, rules=ROLE_RULES) -> Column:
 
 
 def query_flags(question: Column) -> Column:
-    """struct of booleans: is_comparison, is_divestiture, is_mda, is_risk_only."""
+    """struct of booleans: is_comparison, is_divestiture, is_mda, is_risk_only, is_comparison_risk,
+    is_financial, is_financial_numeric."""
     q = F.lower(question)
     comparison = _any(q, ("compare", "comparison", "versus", " vs ", "both companies", "both filings", "across", "contrast"))
     divestiture = _any(q, ("divest", "asset sale", "proceeds from sale", "disposal", "sold in"))
     mda = _any(q, ("md&a", "management discussion", "management's discussion", "outlook")) | divestiture
-    return F.struct(comparison.alias("is_comparison"), divestiture.alias("is_divestiture"), mda.alias("is_mda"), (q.contains("risk") & ~mda).alias("is_risk_only"))
+    risk = q.rlike(RISK_WORDS) & ~mda
+    return F.struct(
+        comparison.alias("is_comparison"), divestiture.alias("is_divestiture"), mda.alias("is_mda"), risk.alias("is_risk_only"),
+        (_any(q, COMPARED_RISK_WORDS) & risk).alias("is_comparison_risk"), q.rlike(FINANCIAL_WORDS).alias("is_financial"),
+        (_any(q, NUMERIC_WORDS) & ~mda).alias("is_financial_numeric"),
+    )
 
 
 def is_corrupt_tail(tail: Column) -> Column:

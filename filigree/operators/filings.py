@@ -46,17 +46,26 @@ def dedupe_filings(filings: DataFrame, per_form: int | None = None) -> DataFrame
 def resolve_corpus(definitions: DataFrame, filings: DataFrame) -> DataFrame:
     """Members of many corpora: (corpus_id, accession, form_type, status).
 
-    definitions: corpus_id, issuer_id, mode (trailing, range), annual, quarterly, from_date, to_date,
-    cap. Trailing takes the newest so many of each form, range those whose period ends between the
-    dates. A corpus with more than ``cap`` members has status over_cap.
+    definitions: corpus_id, issuer_id, mode (trailing, range, explicit), annual, quarterly,
+    trailing_years, from_date, to_date, accessions (array), cap. Trailing takes the newest so many of
+    each form, or, where trailing_years is given, so many annual reports and four times as many
+    quarters; range those whose period ends between the dates; explicit the accessions named, of any
+    version: unknown ones have status unknown and no form, a corpus that names none is one row with
+    status no_accessions. A corpus with more than ``cap`` members has status over_cap throughout.
     """
     ranked = dedupe_filings(filings).withColumn("_n", F.row_number().over(newest("issuer_id", "form_type")))
-    rows = definitions.join(ranked, "issuer_id")
-    most = F.when(_annual(), F.col("annual")).otherwise(F.col("quarterly"))
+    rows = definitions.where("mode <> 'explicit'").join(ranked, "issuer_id")
+    years = F.col("trailing_years")
+    most = F.when(_annual(), F.coalesce(years, "annual")).otherwise(F.coalesce(years * 4, F.col("quarterly")))
     inside = F.col("period_end").between(F.col("from_date"), F.col("to_date"))
     rows = rows.where(F.when(F.col("mode") == "trailing", F.col("_n") <= most).otherwise(inside))
-    n = F.count("*").over(Window.partitionBy("corpus_id"))
-    return rows.select("corpus_id", "accession", "form_type", F.when(n > F.col("cap"), "over_cap").otherwise("ok").alias("status"))
+    rows = rows.select("corpus_id", "cap", "accession", "form_type", F.lit("ok").alias("_found"))
+    named = definitions.where("mode = 'explicit'").select("corpus_id", "cap", F.explode_outer(F.array_distinct("accessions")).alias("accession"))
+    known = filings.groupBy("accession").agg(F.min("form_type").alias("form_type"))
+    found = F.when(F.col("accession").isNull(), "no_accessions").when(F.col("form_type").isNull(), "unknown").otherwise("ok")
+    named = named.join(known.hint("merge"), "accession", "left").select("corpus_id", "cap", "accession", "form_type", found.alias("_found"))
+    n = F.count("accession").over(Window.partitionBy("corpus_id"))
+    return rows.unionByName(named).select("corpus_id", "accession", "form_type", F.when(n > F.col("cap"), "over_cap").otherwise(F.col("_found")).alias("status"))
 
 
 def pair_yoy(filings: DataFrame, quarterly: bool) -> DataFrame:

@@ -30,6 +30,16 @@ def section_edges(sections: DataFrame) -> DataFrame:
     return rows.select(F.explode(both).alias("e"), F.col("section_id").alias("target_id")).where("e.source_id IS NOT NULL").select("e.source_id", "target_id", "e.edge_type")
 
 
+def reference_edges(sections: DataFrame) -> DataFrame:
+    """(node_id, source_id, target_id, resolved): sections (with parent_id) and the parents they name.
+    Resolved are parents that stand in the same document, no later than the section itself; these are
+    its REFERENCES edges, the others are counted by ``materialize_status``."""
+    heads = sections.groupBy("node_id", F.col("section_id").alias("target_id")).agg(F.min("ordinal").alias("_at"))
+    named = sections.where("parent_id <> ''").select("node_id", F.col("section_id").alias("source_id"), F.col("parent_id").alias("target_id"), "ordinal")
+    rows = named.hint("merge").join(heads, ["node_id", "target_id"], "left")
+    return rows.select("node_id", "source_id", "target_id", F.coalesce(F.col("_at") <= F.col("ordinal"), F.lit(False)).alias("resolved"))
+
+
 def chunk_sections(sections: DataFrame, chars: int = WINDOW_CHARS, most: int | None = None) -> DataFrame:
     """(section_id, window, text): all windows of a body over 40 characters, or the first ``most``."""
     n = F.ceil(F.length("body") / chars).cast("int")
@@ -92,14 +102,16 @@ def scan_ratio(visited: DataFrame, navigable: DataFrame, full: float = 0.9) -> D
 
 def table_of_contents(roots: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
     """(root_id, section_id, n_children, position): each root's sections with their direct evidence
-    children, by label, the first ``most``."""
+    children (footnotes aside), by item number and id, the first ``most``. Sections without an item
+    number sort as "Z". nodes: node_id, node_type, item_number."""
     down = edges.where("edge_type = 'CONTAINS'").select("source_id", "target_id")
     sections = roots.join(down, F.col("root_id") == F.col("source_id")).select("root_id", F.col("target_id").alias("section_id"))
-    labels = nodes.where("node_type = 'SECTION'").select(F.col("node_id").alias("section_id"), "label")
-    evidence = down.join(nodes.where(F.col("node_type").isin(*EVIDENCE_TYPES)).select(F.col("node_id").alias("target_id")), "target_id")
+    item = F.coalesce(F.nullif(F.col("item_number"), F.lit("")), F.lit("Z"))
+    items = nodes.where("node_type = 'SECTION'").select(F.col("node_id").alias("section_id"), item.alias("_item"))
+    evidence = down.join(nodes.where(F.col("node_type").isin(*EVIDENCE_TYPES[:4])).select(F.col("node_id").alias("target_id")), "target_id")
     counts = evidence.groupBy(F.col("source_id").alias("section_id")).agg(F.count("*").alias("n"))
-    rows = sections.join(labels, "section_id").join(counts, "section_id", "left")
-    w = Window.partitionBy("root_id").orderBy("label", "section_id")
+    rows = sections.join(items, "section_id").join(counts, "section_id", "left")
+    w = Window.partitionBy("root_id").orderBy("_item", "section_id")
     rows = rows.select("root_id", "section_id", F.coalesce("n", F.lit(0)).alias("n_children"), F.row_number().over(w).alias("position"))
     return rows.where(F.col("position") <= most)
 
@@ -159,13 +171,23 @@ def table_nodes_edges(tables: DataFrame, sections: DataFrame) -> DataFrame:
     return top.unionByName(down)
 
 
-def materialize_status(filings: DataFrame, sections: DataFrame, facts: DataFrame) -> DataFrame:
-    """(accession, n_sections, n_facts, status): a filing without sections and facts fails."""
-    s = sections.groupBy("accession").agg(F.count("*").alias("s"))
-    f = facts.groupBy("accession").agg(F.count("*").alias("f"))
-    rows = filings.select("accession").distinct().join(s, "accession", "left").join(f, "accession", "left")
-    n, m = F.coalesce("s", F.lit(0)), F.coalesce("f", F.lit(0))
-    return rows.select("accession", n.alias("n_sections"), m.alias("n_facts"), F.when((n == 0) & (m == 0), "failed").otherwise("included").alias("status"))
+def materialize_status(nodes: DataFrame, edges: DataFrame, references: DataFrame) -> DataFrame:
+    """(accession, status, reason, n_nodes, n_edges, n_unresolved) for each filing with nodes.
+
+    nodes: accession, node_id, node_type; edges: accession, source_id, target_id, edge_type;
+    references: accession, resolved. A filing without sections and facts fails and counts nothing;
+    one with evidence that its document doesn't contain fails as orphans. Failed filings are left out
+    of a snapshot by a semi join with the others.
+    """
+    kinds = nodes.groupBy("accession").agg(F.count("*").alias("n"), F.count_if(F.col("node_type").isin("SECTION", "CHUNK_XBRL_FACT")).alias("_full"))
+    roots = nodes.where("node_type = 'DOCUMENT'").select(F.col("node_id").alias("root_id"))
+    lost = nodes.select("accession", "node_id").join(orphans(nodes, edges, roots), "node_id", "left_semi").groupBy("accession").agg(F.count("*").alias("_lost"))
+    links = edges.groupBy("accession").agg(F.count("*").alias("e"))
+    open_ = references.where("NOT resolved").groupBy("accession").agg(F.count("*").alias("u"))
+    rows = kinds.join(lost, "accession", "left").join(links, "accession", "left").join(open_, "accession", "left")
+    reason = F.when(F.col("_full") == 0, "no_sections_or_facts").when(F.col("_lost") > 0, "orphans")
+    counts = [F.when(F.col("_full") == 0, 0).otherwise(F.coalesce(c, F.lit(0))).alias(name) for c, name in (("n", "n_nodes"), ("e", "n_edges"), ("u", "n_unresolved"))]
+    return rows.select("accession", F.when(reason.isNull(), "included").otherwise("failed").alias("status"), reason.alias("reason"), *counts)
 
 
 def slice_ids(items: DataFrame) -> DataFrame:

@@ -57,3 +57,25 @@ def parse_confidence(documents: DataFrame) -> DataFrame:
     """Add confidence from n_facts, n_tables and n_sections."""
     c = F.when((F.col("n_facts") > 0) & (F.col("n_sections") > 0), 0.95).when((F.col("n_tables") > 0) & (F.col("n_sections") > 0), 0.88).when((F.col("n_tables") > 0) | (F.col("n_sections") > 0), 0.65)
     return documents.withColumn("confidence", c.otherwise(0.4))
+
+
+def merge_narrative(documents: DataFrame, sections: DataFrame, html: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Append the sections read from HTML to those of filings: (sections, documents).
+
+    documents: accession, content_hash, skip; sections, html: accession, ordinal, body. Appended
+    sections are numbered on from the last. A document gets html_status: skipped where asked for,
+    success where HTML gave sections, else failed; and after a merge a new content_hash, the digest of
+    its sections' digests in order (other documents keep theirs).
+    """
+    wanted = html.join(documents.where("NOT coalesce(skip, false)").select("accession").distinct(), "accession", "left_semi")
+    last = sections.groupBy("accession").agg(F.max("ordinal").alias("_last"))
+    more = wanted.hint("merge").join(last, "accession", "left").select("accession", (F.col("ordinal") + F.coalesce("_last", F.lit(-1)) + 1).alias("ordinal"), "body", F.lit(True).alias("from_html"))
+    merged = sections.select("accession", "ordinal", "body", F.lit(False).alias("from_html")).unionByName(more)
+    part = F.struct("ordinal", F.sha2(F.coalesce("body", F.lit("")), 256).alias("d"))
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["d"]), ","), 256)
+    hashed = merged.groupBy("accession").agg(digest.alias("_hash"), F.bool_or("from_html").alias("_more"), F.count("*").alias("n"))
+    rows = documents.hint("merge").join(hashed, "accession", "left")
+    got = F.coalesce("_more", F.lit(False))
+    status = F.when(F.coalesce("skip", F.lit(False)), "skipped").when(got, "success").otherwise("failed")
+    out = rows.select("accession", F.when(got, F.col("_hash")).otherwise(F.col("content_hash")).alias("content_hash"), status.alias("html_status"), F.coalesce("n", F.lit(0)).alias("n_sections"))
+    return merged, out

@@ -92,12 +92,17 @@ def table_nodes(f: Frames) -> DataFrame:
 
 
 @PLANS.add("e8_materialize_status", """
-WITH f AS (SELECT DISTINCT 'c-' || c_custkey AS accession, c_custkey FROM customer), s AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), x AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
-SELECT accession, coalesce(s.n, 0) AS n_sections, coalesce(x.n, 0) AS n_facts, CASE WHEN s.n IS NULL AND x.n IS NULL THEN 'failed' ELSE 'included' END AS status FROM f LEFT JOIN s ON s.o_custkey = c_custkey LEFT JOIN x ON x.o_custkey = c_custkey""")
+WITH g AS (SELECT c_custkey, count(o_orderkey) AS n, count(*) FILTER (o_orderstatus IN ('F', 'P')) AS filled, count(*) FILTER (o_orderstatus <> 'F' AND o_orderkey % 7 = 0) AS lost, count(*) FILTER (o_orderstatus = 'F' AND o_orderkey % 3 = 1) AS open FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+SELECT 'c-' || c_custkey AS accession, CASE WHEN filled = 0 OR lost > 0 THEN 'failed' ELSE 'included' END AS status, CASE WHEN filled = 0 THEN 'no_sections_or_facts' WHEN lost > 0 THEN 'orphans' END AS reason,
+ CASE WHEN filled = 0 THEN 0 ELSE n + 1 END AS n_nodes, CASE WHEN filled = 0 THEN 0 ELSE n - lost END AS n_edges, CASE WHEN filled = 0 THEN 0 ELSE open END AS n_unresolved FROM g""")
 def status(f: Frames) -> DataFrame:
-    key = F.concat(F.lit("c-"), "o_custkey").alias("accession")
-    filings = f["customer"].select(F.concat(F.lit("c-"), "c_custkey").alias("accession"))
-    return G.materialize_status(filings, f["orders"].where("o_orderstatus = 'F'").select(key), f["orders"].where("o_orderstatus = 'P'").select(key))
+    # A customer is a filing; closed orders are sections, pending ones facts, open ones paragraphs.
+    kind = F.when(F.col("o_orderstatus") == "F", "SECTION").when(F.col("o_orderstatus") == "P", "CHUNK_XBRL_FACT").otherwise("CHUNK_PARAGRAPH")
+    orders = f["orders"].select(F.concat(F.lit("c-"), "o_custkey").alias("accession"), F.concat(F.lit("o-"), "o_orderkey").alias("node_id"), kind.alias("node_type"), "o_orderkey")
+    heads = f["customer"].select(F.concat(F.lit("c-"), "c_custkey").alias("accession"), F.concat(F.lit("c-"), "c_custkey").alias("node_id"), F.lit("DOCUMENT").alias("node_type"))
+    edges = orders.where("node_type = 'SECTION' OR o_orderkey % 7 <> 0").select("accession", F.col("accession").alias("source_id"), F.col("node_id").alias("target_id"), F.lit("CONTAINS").alias("edge_type"))
+    references = orders.where("node_type = 'SECTION'").select("accession", (F.col("o_orderkey") % 3 != 1).alias("resolved"))
+    return G.materialize_status(heads.unionByName(orders.drop("o_orderkey")), edges, references)
 
 
 @PLANS.add("e13_slice_ids", "SELECT issuer_id AS item_id, left(sha256(string_agg(DISTINCT accession, ',' ORDER BY accession)), 12) AS slice_id FROM filings GROUP BY 1", ("filings",))

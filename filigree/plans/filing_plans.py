@@ -34,12 +34,18 @@ def dedupe(f: Frames) -> DataFrame:
 
 @PLANS.add("d3_resolve_corpus", f"""
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY issuer_id, form_type {_NEWEST}) AS n FROM (SELECT * FROM filings QUALIFY row_number() OVER (PARTITION BY issuer_id, form_type, period_end ORDER BY filed_at DESC, accession DESC) = 1)),
-m AS (SELECT issuer_id AS corpus_id, accession, form_type FROM o WHERE CASE WHEN issuer_id % 2 = 0 THEN n <= CASE WHEN form_type = '10-K' THEN 2 ELSE 3 END ELSE period_end BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' END)
-SELECT *, CASE WHEN count(*) OVER (PARTITION BY corpus_id) > 6 THEN 'over_cap' ELSE 'ok' END AS status FROM m""", ("filings",))
+m AS (SELECT issuer_id AS corpus_id, accession, form_type, 'ok' AS found FROM o WHERE CASE issuer_id % 4 WHEN 0 THEN n <= CASE WHEN form_type = '10-K' THEN 2 ELSE 3 END WHEN 2 THEN n <= CASE WHEN form_type = '10-K' THEN 1 ELSE 4 END
+    WHEN 1 THEN period_end BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' ELSE false END
+  UNION ALL SELECT DISTINCT issuer_id, accession, form_type, 'ok' FROM filings WHERE issuer_id % 4 = 3 AND issuer_id % 3 <> 0
+  UNION ALL SELECT DISTINCT issuer_id, 'gone', NULL, 'unknown' FROM filings WHERE issuer_id % 4 = 3 AND issuer_id % 3 <> 0
+  UNION ALL SELECT DISTINCT issuer_id, NULL, NULL, 'no_accessions' FROM filings WHERE issuer_id % 4 = 3 AND issuer_id % 3 = 0)
+SELECT corpus_id, accession, form_type, CASE WHEN count(accession) OVER (PARTITION BY corpus_id) > 6 THEN 'over_cap' ELSE found END AS status FROM m""", ("filings",))
 def corpus(f: Frames) -> DataFrame:
-    defs = f["filings"].select("issuer_id").distinct().select(
-        F.col("issuer_id").alias("corpus_id"), "issuer_id", F.when(F.col("issuer_id") % 2 == 0, "trailing").otherwise("range").alias("mode"),
-        F.lit(2).alias("annual"), F.lit(3).alias("quarterly"), F.to_date(F.lit("1996-01-01")).alias("from_date"), F.to_date(F.lit("1997-12-31")).alias("to_date"), F.lit(6).alias("cap"))
+    k = F.col("issuer_id") % 4
+    named = F.when((k == 3) & (F.col("issuer_id") % 3 != 0), F.array_append(F.collect_set(F.when(k == 3, F.col("accession"))), F.lit("gone")))
+    defs = f["filings"].groupBy("issuer_id").agg(named.alias("accessions")).select(
+        F.col("issuer_id").alias("corpus_id"), "issuer_id", F.when(k % 2 == 0, "trailing").when(k == 1, "range").otherwise("explicit").alias("mode"), "accessions",
+        F.lit(2).alias("annual"), F.lit(3).alias("quarterly"), F.when(k == 2, 1).alias("trailing_years"), F.to_date(F.lit("1996-01-01")).alias("from_date"), F.to_date(F.lit("1997-12-31")).alias("to_date"), F.lit(6).alias("cap"))
     return D.resolve_corpus(defs, f["filings"])
 
 

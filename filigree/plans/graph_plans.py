@@ -10,18 +10,27 @@ from ..sources.views import Frames
 from .plan import Plans
 
 PLANS = Plans()
-_SECTIONS = "s AS (SELECT node_id, node_id || '-s' || (i - 1) AS section_id, i - 1 AS ordinal, trim(line) AS body FROM (SELECT node_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM doc_lines) WHERE trim(line) <> '')"
+SECTIONS = "s AS (SELECT node_id, node_id || '-s' || (i - 1) AS section_id, i - 1 AS ordinal, trim(line) AS body FROM (SELECT node_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM doc_lines) WHERE trim(line) <> '')"
 
 
 @PLANS.add("e2_section_edges", f"""
-WITH {_SECTIONS}, n AS (SELECT *, lag(section_id) OVER (PARTITION BY node_id ORDER BY ordinal) AS before FROM s)
+WITH {SECTIONS}, n AS (SELECT *, lag(section_id) OVER (PARTITION BY node_id ORDER BY ordinal) AS before FROM s)
 SELECT node_id AS source_id, section_id AS target_id, 'CONTAINS' AS edge_type FROM n UNION ALL SELECT before, section_id, 'NEXT' FROM n WHERE before IS NOT NULL""", ("doc_lines",))
 def section_edges(f: Frames) -> DataFrame:
     return G.section_edges(G.sections_of(f["doc_lines"]))
 
 
+@PLANS.add("e2_reference_edges", f"""
+WITH {SECTIONS}, p AS (SELECT *, node_id || '-s' || (ordinal + CASE ordinal % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END) AS parent_id FROM s WHERE ordinal % 4 <> 3)
+SELECT p.node_id, p.section_id AS source_id, p.parent_id AS target_id, s.ordinal IS NOT NULL AS resolved FROM p LEFT JOIN s ON s.section_id = p.parent_id AND s.node_id = p.node_id AND s.ordinal <= p.ordinal""", ("doc_lines",))
+def references(f: Frames) -> DataFrame:
+    k = F.col("ordinal") % 4
+    parent = F.concat_ws("-s", "node_id", F.col("ordinal") + F.when(k == 0, 1).when(k == 1, -1).otherwise(0))
+    return G.reference_edges(G.sections_of(f["doc_lines"]).withColumn("parent_id", F.when(k != 3, parent)))
+
+
 @PLANS.add("e3_paragraph_nodes", f"""
-WITH {_SECTIONS}, w AS (SELECT section_id, body, unnest(range(0, ceil(length(body) / 200.0)::BIGINT)) AS win FROM s WHERE length(body) > 40)
+WITH {SECTIONS}, w AS (SELECT section_id, body, unnest(range(0, ceil(length(body) / 200.0)::BIGINT)) AS win FROM s WHERE length(body) > 40)
 SELECT section_id, win::INT AS "window", sha256(substr(body, win * 200 + 1, 200)) AS digest FROM w""", ("doc_lines",))
 def paragraphs(f: Frames) -> DataFrame:
     # Windows of 200 characters, so that the lines have several.
@@ -88,9 +97,11 @@ def ratio(f: Frames) -> DataFrame:
 
 @PLANS.add("h8_table_of_contents", """
 WITH k AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)
-SELECT 'r-' || n_regionkey AS root_id, 'n-' || n_nationkey AS section_id, coalesce(n, 0) AS n_children, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name, 'n-' || n_nationkey)::INT AS position FROM nation LEFT JOIN k ON c_nationkey = n_nationkey QUALIFY position <= 4""")
+SELECT 'r-' || n_regionkey AS root_id, 'n-' || n_nationkey AS section_id, coalesce(n, 0) AS n_children, row_number() OVER (PARTITION BY n_regionkey ORDER BY CASE WHEN n_nationkey % 3 = 0 THEN (n_nationkey % 8)::VARCHAR ELSE 'Z' END, 'n-' || n_nationkey)::INT AS position FROM nation LEFT JOIN k ON c_nationkey = n_nationkey QUALIFY position <= 4""")
 def toc(f: Frames) -> DataFrame:
-    return G.table_of_contents(f["nodes"].where("node_type = 'DOCUMENT'").select(F.col("node_id").alias("root_id")), f["nodes"], f["edges"], 4)
+    key = F.substring("node_id", 3, 20).cast("int")
+    nodes = f["nodes"].withColumn("item_number", F.when(F.col("node_type") == "SECTION", F.when(key % 3 == 0, (key % 8).cast("string")).otherwise("")))
+    return G.table_of_contents(nodes.where("node_type = 'DOCUMENT'").select(F.col("node_id").alias("root_id")), nodes, f["edges"], 4)
 
 
 @PLANS.add("h14_sequence_matches", """

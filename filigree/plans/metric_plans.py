@@ -20,6 +20,11 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 9) for n in names})
 
 
+@PLANS.add("m12_headline_eligible", f"SELECT variant_id, item_id, {_OK} AS eligible FROM results", ("results",))
+def headline_eligible(f: Frames) -> DataFrame:
+    return f["results"].select("variant_id", "item_id", M.eligible(F.col("status")).alias("eligible"))
+
+
 @PLANS.add("m4_ranking_metrics", f"""
 WITH n AS (SELECT item_id, count(*) FILTER (relevant) AS rel FROM rankings GROUP BY 1),
 h AS (SELECT item_id, rank, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS nth FROM rankings WHERE relevant),

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graph as G
 from ..operators import ranking as R
 from ..operators import text as T
 from ..sources.views import Frames
 from ..streaming import streams
+from .graph_plans import SECTIONS
 from .plan import Plans
 
 PLANS = Plans()
@@ -100,3 +102,17 @@ def items(f: Frames) -> DataFrame:
 @PLANS.add("g8_best_sentences")
 def sentences(f: Frames) -> DataFrame:
     return T.best_sentences(f["documents"], ["the", "of", "and"])
+
+
+@PLANS.add("g4_merge_narrative", f"""
+WITH {SECTIONS}, d AS (SELECT node_id AS accession, doc_id FROM doc_lines), x AS (SELECT node_id AS accession, ordinal, body FROM s WHERE ordinal % 2 = 0),
+h AS (SELECT accession, ordinal, body FROM s JOIN d ON accession = node_id WHERE ordinal % 2 = 1 AND doc_id % 4 <> 0 AND doc_id % 5 <> 0), e AS (SELECT accession, max(ordinal) AS last FROM x GROUP BY 1),
+m AS (SELECT *, 0 AS more FROM x UNION ALL SELECT h.accession, h.ordinal + coalesce(last, -1) + 1, body, 1 FROM h LEFT JOIN e USING (accession)),
+g AS (SELECT accession, max(more) AS more, count(*) AS n, sha256(string_agg(sha256(body), ',' ORDER BY ordinal)) AS digest FROM m GROUP BY 1)
+SELECT accession, CASE WHEN more = 1 THEN digest ELSE 'old ' || doc_id END AS content_hash, CASE WHEN doc_id % 5 = 0 THEN 'skipped' WHEN more = 1 THEN 'success' ELSE 'failed' END AS html_status, coalesce(n, 0) AS n_sections
+FROM d LEFT JOIN g USING (accession)""", ("doc_lines",))
+def merged_narrative(f: Frames) -> DataFrame:
+    lines = G.sections_of(f["doc_lines"]).select(F.col("node_id").alias("accession"), "ordinal", "body")
+    documents = f["doc_lines"].select(F.col("node_id").alias("accession"), F.concat(F.lit("old "), "doc_id").alias("content_hash"), (F.col("doc_id") % 5 == 0).alias("skip"), "doc_id")
+    html = lines.where("ordinal % 2 = 1").hint("merge").join(documents.where("doc_id % 4 <> 0").select("accession"), "accession")
+    return T.merge_narrative(documents, lines.where("ordinal % 2 = 0"), html)[1]

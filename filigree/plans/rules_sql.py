@@ -55,7 +55,9 @@ def flags(q: str) -> dict[str, str]:
     divestiture = has(q, "divest", "asset sale", "proceeds from sale", "disposal", "sold in")
     mda = f"({has(q, 'md&a', 'management discussion', 'management' + chr(39) + 's discussion', 'outlook')} OR {divestiture})"
     comparison = has(q, "compare", "comparison", "versus", " vs ", "both companies", "both filings", "across", "contrast")
-    return {"is_comparison": comparison, "is_divestiture": divestiture, "is_mda": mda, "is_risk_only": f"(contains({q}, 'risk') AND NOT {mda})"}
+    risk = f"({like(q, S.RISK_WORDS)} AND NOT {mda})"
+    return {"is_comparison": comparison, "is_divestiture": divestiture, "is_mda": mda, "is_risk_only": risk, "is_comparison_risk": f"({has(q, *S.COMPARED_RISK_WORDS)} AND {risk})",
+            "is_financial": like(q, S.FINANCIAL_WORDS), "is_financial_numeric": f"({has(q, *S.NUMERIC_WORDS)} AND NOT {mda})"}
 
 
 def label(x: str) -> str:

@@ -222,6 +222,16 @@ def year_mismatch(f: Frames) -> DataFrame:
     return rows.select("query_id", "accession", S.question_year_mismatch(F.col("question"), F.array(F.concat(F.lit("FY"), F.year("period_end").cast("string")))).alias("mismatch"))
 
 
+@PLANS.add("b37_align_years", """
+WITH r AS (SELECT query_id, accession, question || ', as in 2001 or FY2004-2005 (20201)' AS q, [year(period_end)::VARCHAR, (year(period_end) + 6)::VARCHAR] AS own FROM questions JOIN recent ON questions.issuer_id = recent.issuer_id AND form_type = '10-K'),
+b AS (SELECT *, list_filter(own, lambda x: x LIKE '20%') AS known FROM r), p AS (SELECT *, list_max(known) AS latest, string_split_regex(q, '20[0-9]{2}') AS parts, regexp_extract_all(q, '20[0-9]{2}') AS years FROM b)
+SELECT query_id, accession, CASE WHEN latest IS NULL THEN q ELSE array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(CASE WHEN list_contains(known, years[i]) THEN years[i] WHEN i <= len(years) THEN latest END, '')), '') END AS question FROM p""", ("questions", "recent"))
+def align_years(f: Frames) -> DataFrame:
+    rows = f["questions"].join(f["recent"].where("form_type = '10-K'"), "issuer_id")
+    labels = F.array(F.concat(F.lit("FY"), F.year("period_end").cast("string")), F.concat((F.year("period_end") + 6).cast("string"), F.lit("-FY")))
+    return rows.select("query_id", "accession", S.align_question_years(F.concat("question", F.lit(", as in 2001 or FY2004-2005 (20201)")), labels).alias("question"))
+
+
 @PLANS.add("b14_concept_roles", """
 SELECT fact_id, CASE concept WHEN 'NetIncomeLoss' THEN 'net_income,margin_numerator' WHEN 'IncomeLossBeforeIncomeTaxes' THEN 'pretax_income' WHEN 'Revenues' THEN 'revenue,total_revenue,margin_denominator' WHEN 'StockholdersEquity' THEN 'total_equity'
   WHEN 'Assets' THEN 'total_assets' WHEN 'LiabilitiesCurrent' THEN 'total_liabilities' END AS roles, CASE WHEN concept IN ('NetIncomeLoss', 'IncomeLossBeforeIncomeTaxes', 'Revenues') THEN 'income_statement' WHEN concept IN ('StockholdersEquity', 'Assets', 'LiabilitiesCurrent') THEN 'balance_sheet' END AS statement FROM facts""", ("facts",))
@@ -242,7 +252,7 @@ _FLAGS = "SELECT query_id, " + ", ".join(f"{sql} AS {name}" for name, sql in Q.f
 @PLANS.add("b23_query_flags", _FLAGS, ("questions",))
 def flags(f: Frames) -> DataFrame:
     g = S.query_flags(F.col("question"))
-    return f["questions"].select("query_id", *[g[n].alias(n) for n in ("is_comparison", "is_divestiture", "is_mda", "is_risk_only")])
+    return f["questions"].select("query_id", *[g[n].alias(n) for n in Q.flags("q")])
 
 
 @PLANS.add("b26_corrupt_paths", r"""
