@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.lineage import written
 
 
 def consolidate_facts(rows: DataFrame) -> DataFrame:
@@ -107,15 +108,83 @@ def point_facts(queries: DataFrame, facts: DataFrame) -> DataFrame:
     return queries.withColumn("_k", F.xxhash64(*asked)).alias("q").join(best.alias("b"), (F.col("q._k") == F.col("b._k")) & same).select("q.query_id", "b.fact_id", "b.score", "b.value_num", "b.confidence")
 
 
-def ratio_pairs(facts: DataFrame, numerator: str, denominator: str) -> DataFrame:
-    """For each issuer the best (numerator, denominator) of one period: annual periods first, then the
-    newest; ratio in percent, null for a zero denominator. A self equi-join on issuer and period."""
-    pick = lambda c, p: facts.where(F.col("concept") == c).select("issuer_id", "period_start", "period_end", F.col("fact_id").alias(f"{p}_fact"), F.col("value_num").alias(p))
-    rows = pick(numerator, "num").join(pick(denominator, "den"), ["issuer_id", "period_start", "period_end"])
-    rows = rows.withColumn("score", 5 * is_annual(F.col("period_start"), F.col("period_end")).cast("int") + (F.date_format("period_end", "MM-dd") == "12-31").cast("int"))
-    w = Window.partitionBy("issuer_id").orderBy(F.desc("score"), F.desc("period_end"), "num_fact", "den_fact")
-    ratio = F.col("num") / F.nullif(F.abs("den"), F.lit(0)) * 100
-    return rows.withColumns({"_n": F.row_number().over(w), "ratio": ratio}).where("_n = 1").select("issuer_id", "period_end", "num", "den", "ratio")
+# The concepts of a ratio's numerator and denominator as (pattern, exclusion).
+RATIO_SIDES = {
+    "tax_rate": (("IncomeTaxExpense|ProvisionForIncomeTax|EffectiveIncomeTax", "Statutory|Reconciliation"),
+                 ("EarningsBeforeIncomeTax|IncomeBeforeIncomeTax|PretaxIncome|ProfitBeforeTax|IncomeLossFromContinuingOperationsBeforeIncomeTax", None)),
+    "dividend_payout": (("Dividends|DistributionsTo(Shareholders|Stockholders)", "OtherComprehensive|Aoci"), ("NetIncome|ProfitLoss", "OtherComprehensive|Aoci")),
+    "margin": (("NetIncome|ProfitLoss|IncomeLossFromContinuingOperations|OperatingIncomeLoss", "OtherComprehensive|SegmentOperating"),
+               ("RevenueFromContractWithCustomer|Revenue|SalesRevenueNet", None)),
+}
+
+
+def ratio_kind(question: Column, metric: Column, family: Column) -> Column:
+    """Which ratio (tax_rate, dividend_payout, margin) a question of metric type ratio asks for, or null."""
+    q, f = F.lower(question), F.coalesce(family, F.lit(""))
+    of = (
+        F.when((f == "tax_rate") | q.contains("tax rate") | q.contains("effective tax"), "tax_rate")
+        .when((f == "dividend_payout") | (q.contains("dividend") & q.contains("payout")), "dividend_payout")
+        .when((f == "margin") | q.contains("margin") | q.contains("ratio") | q.contains("percentage of") | q.contains(" as a percent"), "margin")
+    )
+    return F.when(metric == "ratio", of)
+
+
+def _side(concept: Column, kind: Column, side: int) -> Column:
+    out = F.when(F.lit(False), F.lit(False))
+    for name, sides in RATIO_SIDES.items():
+        pattern, without = sides[side]
+        fits = concept.rlike("(?i)" + pattern)
+        out = out.when(kind == name, fits if without is None else fits & ~concept.rlike("(?i)" + without))
+    return F.coalesce(out, F.lit(False))
+
+
+def ratio_pairs(queries: DataFrame, facts: DataFrame) -> DataFrame:
+    """(query_id, kind, num_fact, den_fact, score, ratio, reason): the best numerator and denominator of
+    one period for each question.
+
+    queries: query_id, issuer_id, question, metric_type, family, target_year, form (the last three may be
+    null). Facts pass the family's guard (for dividends: are either side) and fit the period. One scores
+    5 if annual, 2 if its concept matches the question and 1 if it ends on a 31st of December; a pair
+    has the sum, and ties go to the newer period, then to the lesser ids. A fact without a period
+    goes with any. Only a fact with itself isn't a pair, so the best two of a side in a period are
+    enough and no group is paired with itself. ratio is in percent, null for a zero denominator.
+    Without a pair, reason says why: unsupported, no_candidates, missing_side or no_pair.
+    """
+    asked = ["issuer_id", "question", "metric_type", "family", "target_year", "form"]
+    keyed = queries.withColumn("_k", F.sha2(F.to_json(F.struct(*asked)), 256))
+    kinds = keyed.select("_k", *asked).distinct().withColumn("kind", ratio_kind(F.col("question"), F.col("metric_type"), F.col("family")))
+    rows = kinds.where("kind IS NOT NULL").join(facts.withColumnRenamed("form_type", "_filed"), "issuer_id")
+    annual = is_annual(F.col("period_start"), F.col("period_end"))
+    num, den = (_side(F.col("concept"), F.col("kind"), i) for i in (0, 1))
+    guarded = F.when(F.col("family") == "dividend_payout", num | den).otherwise(S.concept_passes_guard(F.col("concept"), F.col("family")))
+    rows = rows.where(guarded & S.period_matches_intent(F.col("period_start"), F.col("period_end"), annual, F.col("target_year"), F.col("form")))
+    points = ((annual, 5), (S.concept_matches_query(F.col("concept"), F.col("question")), 2), (F.date_format("period_end", "MM-dd") == "12-31", 1))
+    score = reduce(lambda x, y: x + y, [F.when(test, n).otherwise(0) for test, n in points])
+    sides = F.filter(F.array(F.when(num, "num"), F.when(den, "den"), F.lit("any")), lambda x: x.isNotNull())
+    rows = rows.select("_k", "fact_id", "value_num", "period_end", score.alias("score"), F.explode(sides).alias("side"))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("_k", "side", *keys).orderBy(F.desc("score"), F.desc_nulls_last("period_end"), "fact_id"))
+    # A few rows a question and period, written once and read by each kind of pair.
+    best = written(rows.withColumn("_n", rank("period_end")).where("_n <= 2").withColumn("_all", rank()), "ratio-sides")
+    seen = best.groupBy("_k").agg(F.bool_or(F.col("side") == "num").alias("_has_num"), F.bool_or(F.col("side") == "den").alias("_has_den"))
+
+    def pick(side: str, where: str) -> DataFrame:
+        return best.where(f"side = '{side}' AND {where}").select("_k", F.struct("fact_id", "value_num", "score", "period_end").alias(side))
+
+    dated = pick("num", "period_end IS NOT NULL").withColumn("_p", F.col("num.period_end")).hint("merge").join(pick("den", "period_end IS NOT NULL").withColumn("_p", F.col("den.period_end")), ["_k", "_p"]).drop("_p")
+    any_den = pick("num", "period_end IS NULL").hint("merge").join(pick("den", "_all <= 2"), "_k")
+    any_num = pick("num", "_all <= 2").hint("merge").join(pick("den", "period_end IS NULL"), "_k")
+    pairs = dated.unionByName(any_den).unionByName(any_num).where("num.fact_id <> den.fact_id")
+    total, period = F.col("num.score") + F.col("den.score"), F.coalesce("num.period_end", "den.period_end")
+    w = Window.partitionBy("_k").orderBy(total.desc(), period.desc_nulls_last(), "num.fact_id", "den.fact_id")
+    ratio = F.col("num.value_num") / F.nullif(F.abs("den.value_num"), F.lit(0)) * 100
+    won = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("_k", F.col("num.fact_id").alias("num_fact"), F.col("den.fact_id").alias("den_fact"), total.alias("score"), ratio.alias("ratio"))
+    answers = kinds.select("_k", "kind").hint("merge").join(seen, "_k", "left").join(won.hint("merge"), "_k", "left")
+    reason = (
+        F.when(F.col("kind").isNull(), "unsupported").when(F.col("_has_num").isNull(), "no_candidates")
+        .when(~F.col("_has_num") | ~F.col("_has_den"), "missing_side").when(F.col("num_fact").isNull(), "no_pair")
+    )
+    answers = answers.select("_k", "kind", "num_fact", "den_fact", "score", "ratio", reason.alias("reason"))
+    return keyed.select("query_id", "_k").hint("merge").join(answers, "_k").drop("_k")
 
 
 def compute_metric(metric: Column, new: Column, old: Column) -> Column:

@@ -177,6 +177,40 @@ def point(f: Frames) -> DataFrame:
     return O.point_facts(asked, f["facts"])
 
 
+def _side(side: int) -> str:
+    def one(pattern: str, without: str | None) -> str:
+        return Q.like("concept", pattern) + (f" AND NOT {Q.like('concept', without)}" if without else "")
+
+    return "CASE kind " + " ".join(f"WHEN '{kind}' THEN {one(*sides[side])}" for kind, sides in O.RATIO_SIDES.items()) + " ELSE false END"
+
+
+@PLANS.add("f16_ratio_pair", f"""
+WITH g AS (SELECT query_id, issuer_id, lower(question) AS q, {_GIVEN} FROM questions), g2 AS (SELECT *, {Q.metric("q")} AS metric, {Q.family("q")} AS family FROM g),
+h AS (SELECT *, CASE WHEN metric <> 'ratio' THEN NULL WHEN family = 'tax_rate' OR contains(q, 'tax rate') OR contains(q, 'effective tax') THEN 'tax_rate' WHEN family = 'dividend_payout' OR (contains(q, 'dividend') AND contains(q, 'payout')) THEN 'dividend_payout'
+    WHEN family = 'margin' OR contains(q, 'margin') OR contains(q, 'ratio') OR contains(q, 'percentage of') OR contains(q, ' as a percent') THEN 'margin' END AS kind FROM g2),
+x AS (SELECT issuer_id, fact_id, value_num, period_start, CASE WHEN concept = 'NetIncomeLoss' AND issuer_id % 10 = 4 THEN NULL ELSE period_end END AS period_end,
+    CASE WHEN concept = 'IncomeLossBeforeIncomeTaxes' AND issuer_id % 5 <> 0 THEN 'IncomeBeforeIncomeTaxes' WHEN concept = 'InventoryNet' AND issuer_id % 3 = 1 THEN 'DividendsPaid' ELSE concept END AS concept FROM facts),
+c AS (SELECT *, {_side(0)} AS is_num, {_side(1)} AS is_den, CASE WHEN {_CALENDAR} THEN 5 ELSE 0 END + CASE WHEN {Q.matches("concept", "q")} THEN 2 ELSE 0 END + CASE WHEN strftime(period_end, '%m-%d') = '12-31' THEN 1 ELSE 0 END AS score FROM h JOIN x USING (issuer_id)
+    WHERE kind IS NOT NULL AND (period_end IS NULL OR {Q.fits("period_start", "period_end", _CALENDAR, "target_year", "form")})),
+k AS (SELECT * FROM c WHERE CASE WHEN family = 'dividend_payout' THEN is_num OR is_den ELSE {Q.passes("concept", "family")} END),
+p AS (SELECT a.query_id, a.fact_id AS num_fact, b.fact_id AS den_fact, a.score + b.score AS score, a.value_num / nullif(abs(b.value_num), 0)::DOUBLE * 100 AS ratio, coalesce(a.period_end, b.period_end) AS at
+    FROM k a JOIN k b ON a.query_id = b.query_id AND a.is_num AND b.is_den AND a.fact_id <> b.fact_id AND (a.period_end = b.period_end OR a.period_end IS NULL OR b.period_end IS NULL)
+    QUALIFY row_number() OVER (PARTITION BY a.query_id ORDER BY a.score + b.score DESC, coalesce(a.period_end, b.period_end) DESC NULLS LAST, a.fact_id, b.fact_id) = 1),
+e AS (SELECT query_id, bool_or(is_num) AS n, bool_or(is_den) AS d FROM k GROUP BY 1)
+SELECT query_id, kind, num_fact, den_fact, score, ratio, CASE WHEN kind IS NULL THEN 'unsupported' WHEN n IS NULL THEN 'no_candidates' WHEN NOT n OR NOT d THEN 'missing_side' WHEN num_fact IS NULL THEN 'no_pair' END AS reason
+FROM h LEFT JOIN e USING (query_id) LEFT JOIN p USING (query_id)""", ("facts", "questions"))
+def ratio(f: Frames) -> DataFrame:
+    # Facts under names that the guards know, dividends, and some without a period.
+    c, k = F.col("concept"), F.col("issuer_id")
+    named = F.when((c == "IncomeLossBeforeIncomeTaxes") & (k % 5 != 0), "IncomeBeforeIncomeTaxes").when((c == "InventoryNet") & (k % 3 == 1), "DividendsPaid").otherwise(c)
+    end = F.when(~((c == "NetIncomeLoss") & (k % 10 == 4)), F.col("period_end"))
+    facts = f["facts"].withColumns({"concept": named, "period_end": end})
+    q = F.lower("question")
+    metric = S.metric_type(q)
+    asked = _given(f).select("query_id", "issuer_id", "question", metric.alias("metric_type"), S.query_concept_family(q, metric).alias("family"), "target_year", "form")
+    return O.ratio_pairs(asked, facts)
+
+
 def _pairs(f: Frames) -> DataFrame:
     """Questions with the turns of a conversation as chunks, some of which say what is asked for."""
     t = F.col("turn") % 6

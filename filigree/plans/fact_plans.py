@@ -66,14 +66,6 @@ def trim(f: Frames) -> DataFrame:
     return O.catalog_trim(f["facts"], [["NetIncomeLoss", "Revenues"], ["Assets", "Revenues"]]).select("issuer_id", "fact_id", "priority", "position")
 
 
-@PLANS.add("f16_ratio_pair", f"""
-WITH p AS (SELECT a.issuer_id, a.period_start, a.period_end, a.fact_id AS nf, b.fact_id AS df, a.value_num AS num, b.value_num AS den FROM facts a JOIN facts b USING (issuer_id, period_start, period_end) WHERE a.concept = 'IncomeTaxExpenseBenefit' AND b.concept = 'IncomeLossBeforeIncomeTaxes')
-SELECT issuer_id, period_end, num, den, num / nullif(abs(den), 0)::DOUBLE * 100 AS ratio FROM p
-QUALIFY row_number() OVER (PARTITION BY issuer_id ORDER BY CASE WHEN {_ANNUAL} THEN 5 ELSE 0 END + CASE WHEN strftime(period_end, '%m-%d') = '12-31' THEN 1 ELSE 0 END DESC, period_end DESC, nf, df) = 1""", ("facts",))
-def ratio(f: Frames) -> DataFrame:
-    return O.ratio_pairs(f["facts"], "IncomeTaxExpenseBenefit", "IncomeLossBeforeIncomeTaxes")
-
-
 @PLANS.add("f19_missing_families", """
 WITH e AS (SELECT query_id, issuer_id, query_id % 3 AS k FROM questions), w AS (SELECT query_id, issuer_id, fam FROM e CROSS JOIN (VALUES ('income'), ('revenue')) AS t(fam) WHERE NOT (fam = 'revenue' AND k = 0)),
 x AS (SELECT query_id, fam AS family, fact_id, period_end FROM w JOIN facts ON facts.issuer_id = w.issuer_id AND CASE fam WHEN 'revenue' THEN concept IN ('Revenues', 'CostOfRevenue') ELSE concept IN ('NetIncomeLoss', 'IncomeTaxExpenseBenefit', 'IncomeLossBeforeIncomeTaxes') END)
