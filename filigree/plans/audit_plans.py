@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import audits as A
 from ..operators import binding as B
+from ..functions import comparison as C
 from ..sources.views import Frames
 from . import rules_sql as Q
 from .binding_plans import _BOUND
@@ -148,3 +149,28 @@ def nearest(f: Frames) -> DataFrame:
 def kept(f: Frames) -> DataFrame:
     """Greedy choice can't be stated in plain SQL; a test compares with a loop over the rows."""
     return A.keep_first(f["asked"])
+
+
+_REFERS = "len(list_filter({t}, lambda w: contains(lower(claim), w))) >= least(2, len({t})) AND len({t}) > 0"
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({e}), '[a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains([" + ", ".join(map(Q.quoted, C.ENTITY_STOP)) + "], w)))"
+_NAMED = "CASE " + " ".join(f"WHEN regexp_matches(t, {Q.quoted(p)}) THEN regexp_replace(trim(regexp_extract(t, {Q.quoted(p)}, @g)), chr(39) || 's$', '')" for p in C.NAMED) + " END"
+
+
+@PLANS.add("b39_comparison_quality", f"""
+WITH t AS (SELECT *, regexp_replace(coalesce(answer, ''), '^\\s+|\\s+$', '', 'g') AS t FROM compared),
+f AS (SELECT *, regexp_matches(t, {Q.quoted(C.BOTH)}) AS both_say, regexp_matches(t, {Q.quoted(C.BOTH_AND)}) AS both_and, regexp_matches(t, {Q.quoted(C.CROSS)}) AS crossed,
+  len(list_distinct(regexp_extract_all(t, {Q.quoted(C.PERCENT)}))) >= 2 OR len(list_distinct(regexp_extract_all(t, {Q.quoted(C.DOLLARS)}))) >= 2 AS contrast, len(regexp_extract_all(t, '\\S+')) AS n,
+  len(regexp_extract_all(regexp_replace(lower(t), {Q.quoted(C.TEMPLATE)}, ' ', 'g'), '\\S+')) AS own, {_NAMED.replace('@g', '1')} AS a, {_NAMED.replace('@g', '2')} AS b FROM t),
+g AS (SELECT *, both_say AND NOT crossed AND own < 25 AND NOT contrast AS boilerplate, coalesce(a <> '' AND b <> '', false) AS named, coalesce({_TOKENS.format(e="a")}, []) AS ta, coalesce({_TOKENS.format(e="b")}, []) AS tb FROM f),
+c AS (SELECT c_custkey, named, ta, tb, trim(unnest(string_split(claims, ';'))) AS claim FROM g),
+m AS (SELECT c_custkey, named, {_REFERS.format(t="ta")} AS of_a, {_REFERS.format(t="tb")} AS of_b, regexp_matches(claim, {Q.quoted(C.ANCHOR)}) AS dated, len(list_distinct(list_filter(regexp_extract_all(claim, {Q.quoted(C.ANCHOR)}, 1), lambda y: y <> ''))) >= 2 AS years,
+  (regexp_matches(claim, '(?i)\\bboth\\b') AND regexp_matches(claim, {Q.quoted(C.PEERS)})) OR regexp_matches(claim, {Q.quoted(C.CROSS)}) AS words FROM c WHERE claim <> ''),
+x AS (SELECT *, years OR words OR (named AND of_a AND of_b) AS cross_claim FROM m),
+s AS (SELECT c_custkey, count(*) AS n_claims, count(*) FILTER (cross_claim) AS n_cross, CASE WHEN any_value(named) THEN bool_or(NOT cross_claim AND of_a AND NOT of_b)::INT + bool_or(NOT cross_claim AND of_b AND NOT of_a)::INT ELSE least(2, count(*) FILTER (dated)) END AS sides FROM x GROUP BY 1)
+SELECT c_custkey, both_say OR (both_and AND crossed) AS canonical, boilerplate, CASE WHEN t = '' OR boilerplate THEN 0.0 ELSE least(10, CASE WHEN both_say THEN 2 ELSE 4 END + CASE WHEN crossed THEN 4 ELSE 0 END + CASE WHEN n >= 25 THEN 2 ELSE 0 END + CASE WHEN contrast THEN 2 ELSE 0 END) / 10.0 END::DOUBLE AS informativeness,
+  a AS entity_a, b AS entity_b, coalesce(sides, 0)::INT AS sides, coalesce(n_cross, 0)::INT AS n_cross, coalesce(n_claims BETWEEN 3 AND 8 AND sides >= 2 AND n_cross > 0, false) AS structured
+FROM g LEFT JOIN s USING (c_custkey)""", ("compared",))
+def comparison_quality(f: Frames) -> DataFrame:
+    t, e = F.col("answer"), C.entities(F.col("answer"))
+    rows = f["compared"].withColumn("s", C.claim_support(F.split("claims", ";"), t))
+    return rows.select("c_custkey", C.is_canonical(t).alias("canonical"), C.is_boilerplate(t).alias("boilerplate"), C.informativeness(t).alias("informativeness"), e["a"].alias("entity_a"), e["b"].alias("entity_b"), "s.*")

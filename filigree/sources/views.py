@@ -106,6 +106,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM {results}"""),
     # Documents as questions of items, for the copies among them.
     "asked": (("documents",), "SELECT doc_id AS item_id, text AS question FROM {documents} WHERE doc_id IS NOT NULL"),
+    # Answers that compare a customer with its nation, and claims, with semicolons between them.
+    "compared": (("customer", "nation"), """
+        SELECT c_custkey, CASE CAST(c_custkey % 8 AS INT) WHEN 0 THEN 'Both ' || c_name || chr(39) || 's and ' || n_name || ' Inc 10-K filings discuss risk factors'
+                 WHEN 1 THEN 'Both ' || c_name || ' and ' || n_name || ' describe growth, whereas sales rose 12.5% and 3% in ' || c_mktsegment WHEN 2 THEN ' Both ' || c_name || ' and ' || n_name || ' differ in ' || c_mktsegment
+                 WHEN 3 THEN n_name || ' paid $1,250 and $3.50 while ' || c_name || ' did not' WHEN 4 THEN '  ' WHEN 6 THEN 'Both ' || c_name || ' and ' || n_name || ' cover ' || repeat('supply or demand of parts ', 6)
+                 WHEN 7 THEN 'BOTH ' || c_name || ' and ' || n_name || ' FY2020 10-Q mention item 1A' END AS answer,
+               CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN c_name || ' grew;' || n_name || ' shrank; ;Both companies grew' WHEN 1 THEN c_name || ' grew in its 2020 10-K;' || n_name || ' compared to peers;The 2019 10-K and FY2020 10-Q agree'
+                 WHEN 2 THEN 'FY2020 result;In the 2021 10-K it rose;It is common;' || c_name || ' met ' || n_name WHEN 3 THEN '' END AS claims
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey"""),
     # Containment: region, nation, customer, order; ids as graph node ids.
     "nodes": (("region", "nation", "customer", "orders"), """
         SELECT 'r-' || CAST(r_regionkey AS STRING) AS node_id, 'DOCUMENT' AS node_type, r_name AS label FROM {region}
