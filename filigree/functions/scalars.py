@@ -168,12 +168,16 @@ def split_camel_label(concept: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(concept, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2"))
 
 
-def concept_passes_guard(concept: Column, family: Column) -> Column:
-    """Whether a concept may answer a question of a family; unknown or null families let all pass."""
+def concept_passes_guard(concept: Column, family: Column, segment: Column | None = None) -> Column:
+    """Whether a concept may answer a question of a family; unknown or null families let all pass.
+    ``segment``: whether the excerpt names a segment, so that any revenue or sales are a segment's."""
     out = F.when(F.lit(False), F.lit(False))
     for name, (without, within) in GUARDS.items():
         out = out.when(family == name, ~concept.rlike("(?i)" + without) & concept.rlike("(?i)" + within))
-    return out.when(family == "segment_revenue", concept.rlike("(?i)Segment.*Revenue|Revenue.*Segment|Sales.*Segment")).otherwise(F.lit(True))
+    of_segment = concept.rlike("(?i)Segment.*Revenue|Revenue.*Segment|Sales.*Segment")
+    if segment is not None:
+        of_segment = of_segment | (F.coalesce(segment, F.lit(False)) & concept.rlike("(?i)Revenue|Sales"))
+    return out.when(family == "segment_revenue", of_segment).otherwise(F.lit(True))
 
 
 def query_concept_family(question: Column, metric_type: Column) -> Column:

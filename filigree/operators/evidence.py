@@ -139,7 +139,7 @@ def fact_catalog(evidence: DataFrame) -> DataFrame:
     start, end = (F.nullif(c, F.lit("")).try_cast("date") for c in (F.col("period_start"), F.col("period_end")))
     matches = S.concept_matches_query(F.col("concept"), q)
     segment = F.col("segment").isNotNull()
-    guard = S.concept_passes_guard(F.col("concept"), F.col("_family")) | (F.col("_family").isin("segment_revenue") & segment & F.col("concept").rlike("(?i)Revenue|Sales"))
+    guard = S.concept_passes_guard(F.col("concept"), F.col("_family"), segment)
     fits = F.when(F.col("_family").isNotNull(), guard).otherwise(matches | segment) & S.period_matches_intent(start, end, F.col("is_annual"), F.col("target_year"), F.col("form"))
     year = (F.col("form") == "10-K") & F.col("target_year").isNotNull() & ~F.col("is_annual") & (F.col("period_end") != "") & (F.left("period_end", F.lit(4)) != F.col("target_year").cast("string"))
     named = F.col("_asked").isNotNull()

@@ -50,6 +50,25 @@ def quality_summary(annotations: DataFrame, results: DataFrame) -> DataFrame:
     return g.withColumn("dataset_rate", F.col("dataset_caused") / F.nullif("zero", F.lit(0)))
 
 
+def rejudge_delta(before: DataFrame, after: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row (n_override, n_regenerate, compared, improved, improved_rate): accepted changes, those
+    that regenerate an item, and the changed items with a result before and after whose outcome rose.
+
+    before, after: item_id, outcome (null: 0), one row an item; changes: item_id, accepted, rationale.
+    """
+    ok = F.coalesce("accepted", F.lit(False))
+    again = F.coalesce(F.lower("rationale").contains("regenerate"), F.lit(False))
+    none = F.lit(0).cast("bigint")
+    n = changes.agg(F.count_if(ok).alias("n_override"), F.count_if(ok & again).alias("n_regenerate")).select("*", none.alias("compared"), none.alias("improved"))
+    score = lambda df, name: df.select("item_id", F.coalesce("outcome", F.lit(0.0)).alias(name))
+    items = changes.where(ok).select("item_id").distinct()
+    both = score(before, "b").join(score(after, "a"), "item_id").join(items, "item_id", "left_semi")
+    g = both.agg(F.count("*").alias("compared"), F.count_if(F.col("a") > F.col("b")).alias("improved"))
+    g = n.unionByName(g.select(none.alias("n_override"), none.alias("n_regenerate"), "compared", "improved"))
+    g = g.agg(*[F.sum(c).alias(c) for c in g.columns])
+    return g.withColumn("improved_rate", F.coalesce(F.col("improved") / F.nullif("compared", F.lit(0)), F.lit(0.0)))
+
+
 def feasibility_report(validated: DataFrame) -> DataFrame:
     """(reason, n, example): blocked items by error code, with the least item id."""
     return validated.select("item_id", F.explode("errors").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"), F.min("item_id").alias("example"))

@@ -49,6 +49,18 @@ def summary(f: Frames) -> DataFrame:
     return V.quality_summary(f["annotations"], f["results"].where("variant_id = 'graph-full'")).withColumn("dataset_rate", F.round("dataset_rate", 9))
 
 
+@PLANS.add("q24_rejudge_delta", """
+WITH c AS (SELECT item_id, spot_check AS accepted, CASE WHEN failure_class = 'click' THEN 'Regenerate it' ELSE failure_class END AS rationale FROM annotations WHERE proposed IS NOT NULL),
+n AS (SELECT count(*) FILTER (accepted) AS n_override, count(*) FILTER (accepted AND contains(lower(rationale), 'regenerate')) AS n_regenerate FROM c),
+g AS (SELECT count(*) AS compared, count(*) FILTER (coalesce(a.outcome, 0) > coalesce(b.outcome, 0)) AS improved FROM results a JOIN results b ON a.item_id = b.item_id AND a.variant_id = 'graph-full' AND b.variant_id = 'flat-chunk' WHERE a.item_id IN (SELECT item_id FROM c WHERE accepted))
+SELECT *, round(coalesce(improved / nullif(compared, 0)::DOUBLE, 0), 9) AS improved_rate FROM n, g""", ("annotations", "results"))
+def rejudged(f: Frames) -> DataFrame:
+    why = F.when(F.col("failure_class") == "click", "Regenerate it").otherwise(F.col("failure_class"))
+    changes = f["annotations"].where("proposed IS NOT NULL").select("item_id", F.col("spot_check").alias("accepted"), why.alias("rationale"))
+    r = f["results"]
+    return V.rejudge_delta(r.where("variant_id = 'flat-chunk'"), r.where("variant_id = 'graph-full'"), changes).withColumn("improved_rate", F.round("improved_rate", 9))
+
+
 @PLANS.add("m29_investigation_notes", """
 WITH h AS (SELECT variant_id, item_id, unnest(list_filter([CASE WHEN coalesce(outcome <= 0.05, true) AND coalesce(mrr, 0) >= 0.5 THEN {'p': 'strong_retrieval_zero', 's': 3} END, CASE WHEN abstained THEN {'p': 'abstention', 's': 2} END, CASE WHEN mrr IS NULL THEN {'p': 'no_labels', 's': 1} END,
   CASE WHEN alignment < 0.05 THEN {'p': 'zero_alignment', 's': 2} END, CASE WHEN status <> 'complete' THEN {'p': 'ineligible', 's': 1} END, CASE WHEN coalesce(ndcg, 1) < 0.1 THEN {'p': 'ranked_low', 's': 1} END], lambda x: x IS NOT NULL)) AS h FROM results),

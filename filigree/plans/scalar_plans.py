@@ -122,15 +122,14 @@ def family(f: Frames) -> DataFrame:
     return f["facts"].select("fact_id", S.concept_family(c).alias("family"), S.split_camel_label(c).alias("label"))
 
 
-@PLANS.add("b16_concept_guard", r"""
-WITH x(fam) AS (VALUES ('equity'), ('tax_rate'), ('dividend_payout'), ('margin'), ('assets'), ('segment_revenue'), ('none'))
-SELECT fam AS family, concept, count(*) AS n FROM facts CROSS JOIN x
-WHERE CASE fam WHEN 'equity' THEN concept = 'StockholdersEquity' WHEN 'tax_rate' THEN concept = 'IncomeTaxExpenseBenefit' WHEN 'dividend_payout' THEN false
-  WHEN 'margin' THEN regexp_matches(concept, 'Income|Revenue') WHEN 'assets' THEN concept = 'Assets' WHEN 'segment_revenue' THEN false ELSE true END GROUP BY 1, 2""", ("facts",))
+@PLANS.add("b16_concept_guard", f"""
+WITH x(fam) AS (VALUES ('equity'), ('tax_rate'), ('dividend_payout'), ('margin'), ('assets'), ('segment_revenue'), ('none')), c AS (SELECT concept, contains(excerpt, 'billion') AS segment, count(*) AS n FROM excerpts GROUP BY 1, 2)
+SELECT fam AS family, concept, segment, n FROM c CROSS JOIN x WHERE {Q.passes("concept", "fam")} OR (fam = 'segment_revenue' AND segment AND concept IN ('Revenues', 'CostOfRevenue'))""", ("excerpts",))
 def guard(f: Frames) -> DataFrame:
+    # Excerpts in billions stand for those that name a segment.
     families = F.explode(F.array(*map(F.lit, ("equity", "tax_rate", "dividend_payout", "margin", "assets", "segment_revenue", "none"))))
-    counted = f["facts"].groupBy("concept").agg(F.count("*").alias("n")).select(families.alias("family"), "concept", "n")
-    return counted.where(S.concept_passes_guard(F.col("concept"), F.col("family")))
+    counted = f["excerpts"].groupBy("concept", F.col("excerpt").contains("billion").alias("segment")).agg(F.count("*").alias("n")).select(families.alias("family"), "concept", "segment", "n")
+    return counted.where(S.concept_passes_guard(F.col("concept"), F.col("family"), F.col("segment")))
 
 
 @PLANS.add("b18_question_features", f"""

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from filigree.functions import scalars as S
-from filigree.operators import filings, graph, text
+from filigree.operators import filings, graph, review, text
 
 DAY = datetime.date(2004, 12, 31)
 
@@ -58,3 +58,11 @@ def test_years_move_to_the_latest_bound_one(spark):
     table = spark.createDataFrame(rows, "q string, labels array<string>")
     got = [r.a for r in table.select(S.align_question_years(F.col("q"), F.col("labels")).alias("a")).collect()]
     assert got == ["From 2005 to 2005, 20051", "In 2001", "In 2001", "2002", "", None, "no year"]
+
+
+def test_judged_again(spark):
+    before = spark.createDataFrame([("a", 0.1), ("b", None), ("c", 0.5), ("d", 0.0)], "item_id string, outcome double")
+    after = spark.createDataFrame([("a", 0.2), ("b", 0.3), ("c", 0.5), ("e", 1.0)], "item_id string, outcome double")
+    changes = spark.createDataFrame([("a", True, "Regenerated"), ("a", True, None), ("b", True, "x"), ("c", True, ""), ("d", True, "x"), ("e", None, "regenerate"), ("z", False, "x")], "item_id string, accepted boolean, rationale string")
+    assert [tuple(r) for r in review.rejudge_delta(before, after, changes).collect()] == [(5, 1, 3, 2, 2 / 3)]
+    assert [tuple(r) for r in review.rejudge_delta(before, after, changes.where("false")).collect()] == [(0, 0, 0, 0, 0.0)]
