@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .facts import attach_taxonomy
 
 
 def visited_sets(trajectories: DataFrame) -> DataFrame:
@@ -298,6 +299,18 @@ def fact_nodes_edges(facts: DataFrame) -> DataFrame:
     return top.unionByName(facts.select(bucket.alias("source_id"), F.col("fact_id").alias("target_id"))).withColumn("edge_type", F.lit("CONTAINS"))
 
 
+def fact_nodes(facts: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """(node_id, node_type, label, metric_role, source_ref): the bucket section of each document with facts,
+    and its facts, labelled by the taxonomy (see ``attach_taxonomy``), else by their concept, in 80
+    characters. facts: accession, fact_id, concept, excerpt."""
+    none = F.lit(None).cast("string")
+    bucket = facts.select(F.concat(S.document_root(F.col("accession")), F.lit("-xbrl-facts")).alias("node_id")).distinct()
+    top = bucket.select("node_id", F.lit("SECTION").alias("node_type"), F.lit("XBRL Financial Facts").alias("label"), none.alias("metric_role"), F.lit("xbrl").alias("source_ref"))
+    named = attach_taxonomy(facts, taxonomy)
+    label = F.left(F.coalesce(F.nullif(F.col("label"), F.lit("")), "concept"), F.lit(80))
+    return top.unionByName(named.select(F.col("fact_id").alias("node_id"), F.lit("CHUNK_XBRL_FACT").alias("node_type"), label.alias("label"), "metric_role", F.col("excerpt").alias("source_ref")))
+
+
 def divestiture_facts(texts: DataFrame) -> DataFrame:
     """(doc_id, amount, asset) of "sold <asset> for $<amount> billion" phrases; the first of a text."""
     pattern = r"(?i)sold ([A-Za-z ]+?) for \$([0-9.]+) (billion|million)"

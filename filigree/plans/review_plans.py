@@ -261,6 +261,18 @@ def documents(f: Frames) -> DataFrame:
     return V.document_nodes(f["filings"])
 
 
+@PLANS.add("e4_labelled_facts", """
+WITH t AS (SELECT concept, CASE WHEN concept = 'Assets' THEN '' WHEN concept <> 'NetIncomeLoss' THEN 'Standard ' || concept || repeat(' of the filing', 6) END AS label, left(concept, 3) AS metric_role FROM (SELECT DISTINCT concept FROM facts WHERE concept <> 'InventoryNet'))
+SELECT DISTINCT 'doc-' || accession || '-xbrl-facts' AS node_id, 'SECTION' AS node_type, 'XBRL Financial Facts' AS label, NULL AS metric_role, 'xbrl' AS source_ref FROM excerpts
+UNION ALL SELECT fact_id, 'CHUNK_XBRL_FACT', left(coalesce(nullif(label, ''), CASE WHEN length(fact_id) % 2 = 0 THEN 'us-gaap:' ELSE '' END || e.concept), 80), metric_role, excerpt FROM excerpts e LEFT JOIN t ON t.concept = e.concept""", ("facts", "excerpts"))
+def labelled_facts(f: Frames) -> DataFrame:
+    c = F.col("concept")
+    label = F.when(c == "Assets", "").when(c != "NetIncomeLoss", F.concat(F.lit("Standard "), c, F.repeat(F.lit(" of the filing"), 6)))
+    taxonomy = f["facts"].select("concept").distinct().where("concept <> 'InventoryNet'").select("concept", label.alias("label"), F.left(c, F.lit(3)).alias("metric_role"))
+    facts = f["excerpts"].withColumn("concept", F.when(F.length("fact_id") % 2 == 0, F.concat(F.lit("us-gaap:"), c)).otherwise(c))
+    return V.fact_nodes(facts, taxonomy)
+
+
 @PLANS.add("e4_fact_nodes", "SELECT DISTINCT 'doc-' || accession AS source_id, 'doc-' || accession || '-xbrl-facts' AS target_id, 'CONTAINS' AS edge_type FROM facts UNION ALL SELECT 'doc-' || accession || '-xbrl-facts', fact_id, 'CONTAINS' FROM facts", ("facts",))
 def fact_edges(f: Frames) -> DataFrame:
     return V.fact_nodes_edges(f["facts"])
