@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, licenses, near_duplicates, packing, quality_classifier, quality_rules, sentencepiece_bpe, url_filter, wavelet
+from . import exact_dedup, fingerprint, language, licenses, near_duplicates, packing, quality_classifier, quality_rules, sentencepiece_bpe, url_filter, wavelet
 
 QUERIES = {
     "op1_language_id": language.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_packing": packing.query,
     "op10_sentencepiece": sentencepiece_bpe.query,
+    "op12_exact_dedup": exact_dedup.query,
 }
 
 ORACLE_SQL = {
     "op5_quality_rules": quality_rules.SQL,
     "op7_license_scan": licenses.SQL,
     "op8_url_filter": url_filter.SQL,
+    "op12_exact_dedup": exact_dedup.SQL,
 }
