@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, language, licenses, near_duplicates, packing, quality_classifier, quality_rules, sentencepiece_bpe, url_filter, wavelet
+from . import conversation_trie, exact_dedup, fingerprint, language, licenses, near_duplicates, packing, quality_classifier, quality_rules, sentencepiece_bpe, url_filter, wavelet
 
 QUERIES = {
     "op1_language_id": language.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_packing": packing.query,
     "op10_sentencepiece": sentencepiece_bpe.query,
+    "op11_conversation_trie": conversation_trie.query,
     "op12_exact_dedup": exact_dedup.query,
 }
 
