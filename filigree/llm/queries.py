@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_trie, exact_dedup, fingerprint, language, licenses, near_duplicates, packing, quality_classifier, quality_rules, sentencepiece_bpe, url_filter, wavelet
+from . import conversation_repair, conversation_trie, exact_dedup, fingerprint, language, licenses, near_duplicates, packing, quality_classifier, quality_rules, sentencepiece_bpe, url_filter, wavelet
 
 QUERIES = {
     "op1_language_id": language.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_sentencepiece": sentencepiece_bpe.query,
     "op11_conversation_trie": conversation_trie.query,
     "op12_exact_dedup": exact_dedup.query,
+    "op13_conversation_repair": conversation_repair.query,
 }
 
 ORACLE_SQL = {
