@@ -17,7 +17,7 @@ from .work import fresh, others, read
 PROFILE = 300
 #: Documents of each language that the profiles are fitted on (a stated bound on the fit).
 FIT_PER_LANG = 20_000
-#: A language table larger than this is not a table of languages.
+#: Most languages that get a profile: the driver and every task hold them all (2,400 bytes each).
 MAX_LANGS = 1_000
 _CHUNK = 1 << 20
 _SPACE = 32
@@ -85,19 +85,20 @@ def fit_profiles(labelled: DataFrame, size: int = PROFILE, per_lang: int = FIT_P
     """Profiles, n-gram codes in rank order, by language; ties rank by code.
 
     labelled: text, lang and doc_id. Rows without lang don't count. Where a language has more than
-    ``per_lang`` documents, those whose id hashes under the fitting fraction are used (whole
-    texts). The driver gets ``size`` codes a language. No labelled row: no profile.
+    ``per_lang`` documents, those whose id and text hash under the fitting fraction are used (whole
+    texts), so ids that repeat or are missing draw neither all nor nothing. Of more than MAX_LANGS
+    values of lang, the most frequent get a profile (ties: the one that sorts first). The driver gets
+    ``size`` codes a language. No labelled row: no profile.
     """
     rows = labelled.where("lang is not null").select("text", "lang", "doc_id")
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(totals) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} values of lang")
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    totals = {r["lang"]: r["n"] for r in frequent.collect()}
     if not totals:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, per_lang / n))])
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     counted = (
-        rows.where(draw < share[F.col("lang")])
+        rows.where(draw < F.try_element_at(share, F.col("lang")))
         .select("text", "lang")
         .mapInArrow(_count_batches, "lang string, gram long, n long")
         .groupBy("lang", "gram")

@@ -39,13 +39,18 @@ _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
-    """(bands, rows): the most rows a band whose bands, for the recall at the threshold, fit."""
-    best = (1, 1)
+    """(bands, rows): the most rows a band whose bands, for the recall at the threshold, fit; where not
+    even bands of one row do, as many of these as the recall needs, beyond ``most``."""
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("threshold must lie in (0, 1] and recall in (0, 1)")
+    best = None
     for rows in range(1, most + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
-        if bands * rows > most:
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
+        if best and bands * rows > most:
             break
         best = (bands, rows)
+        if bands * rows > most:
+            break
     return best
 
 

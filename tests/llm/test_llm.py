@@ -121,6 +121,22 @@ def test_language_odd_rows(spark, odd, empty):
     assert language.fit_profiles(empty) == {} and language.identify(odd, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_draw_without_ids(spark, monkeypatch):
+    rows = [(None, f"the house number {i} stands here", "en") for i in range(300)] + [(i % 2, f"das haus nummer {i} steht hier", "de") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language.fit_profiles(df, per_lang=30)) == {"de", "en"}
+    monkeypatch.setattr(language, "MAX_LANGS", 1)
+    assert set(language.fit_profiles(df.unionByName(df.limit(1)), per_lang=30)) <= {"de", "en"}
+    assert len(language.fit_profiles(df)) == 1
+
+
+@pytest.mark.parametrize("threshold", [0.01, 0.03, 0.1, 0.5, 0.8, 0.95, 1.0])
+def test_bands_reach_the_recall(threshold):
+    bands, rows = near_duplicates.choose_bands(threshold)
+    assert 1 - (1 - threshold**rows) ** bands >= near_duplicates.RECALL - 1e-12
+    assert bands * rows <= near_duplicates.MAX_HASHES or rows == 1
+
+
 # fingerprints
 
 
