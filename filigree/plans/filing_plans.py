@@ -52,7 +52,7 @@ def corpus(f: Frames) -> DataFrame:
 @PLANS.add("d5_resolve_scope", f"""
 WITH {_LABELLED}, s AS (SELECT DISTINCT issuer_id, issuer_id % 4 AS k FROM filings),
 a AS (SELECT s.issuer_id AS scope_id, 0 AS position, accession FROM s JOIN labelled USING (issuer_id) WHERE k = 0 AND form_type = '10-K' QUALIFY row_number() OVER (PARTITION BY issuer_id {_NEWEST}) = 1),
-q AS (SELECT s.issuer_id AS scope_id, 0 AS position, accession FROM s JOIN labelled USING (issuer_id) WHERE k = 1 AND form_type = '10-Q' QUALIFY row_number() OVER (PARTITION BY issuer_id {_NEWEST}) = 2),
+q AS (SELECT s.issuer_id AS scope_id, 0 AS position, accession FROM s JOIN labelled USING (issuer_id) WHERE k = 1 AND form_type = '10-Q' QUALIFY row_number() OVER (PARTITION BY issuer_id {_NEWEST}) = least(2, count(*) OVER (PARTITION BY issuer_id))),
 p AS (SELECT s.issuer_id AS scope_id, CASE label WHEN 'FY1997' THEN 0 ELSE 1 END AS position, accession FROM s JOIN labelled USING (issuer_id) WHERE k IN (2, 3) AND label IN ('FY1997', 'FY1998-Q1') QUALIFY row_number() OVER (PARTITION BY issuer_id, label {_NEWEST}) = 1)
 SELECT * FROM a UNION ALL SELECT * FROM q UNION ALL SELECT * FROM p""", ("filings",))
 def scope(f: Frames) -> DataFrame:

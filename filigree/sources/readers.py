@@ -46,20 +46,29 @@ def read_parsed_documents(spark: SparkSession, path: str) -> dict[str, DataFrame
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a GraphML file; keys are named by the file's own key table, a few rows."""
-    data = "array<struct<_VALUE: string, _key: string>>".replace(":", "")
-    names = spark.read.format("xml").option("rowTag", "key").schema("`_id` string, `_attr.name` string").load(path)
-    names = names.select(F.col("_id").alias("key"), F.col("`_attr.name`").alias("name"))
+    """(nodes, edges) of GraphML files, with ``file``. Data are named by the key table of their own file,
+    since key ids are local to it; a key that a file doesn't declare has no name and is left out."""
+    data = "array<struct<_VALUE string, _key string>>"
+    file = F.col("_metadata.file_path").alias("file")
+
+    def tags(tag: str, schema: str) -> DataFrame:
+        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+
+    names = tags("key", "`_id` string, `_attr.name` string").select(file, F.col("_id").alias("key"), F.col("`_attr.name`").alias("name"))
+    names = names.groupBy("file", "key").agg(F.min("name").alias("name"))
 
     def values(rows: DataFrame, ids: list[str]) -> DataFrame:
-        pairs = rows.select(*ids, F.explode_outer("data").alias("d")).select(*ids, F.col("d._key").alias("key"), F.col("d._VALUE").alias("value"))
-        named = pairs.join(F.broadcast(names), "key", "left").groupBy(*ids)
-        return named.agg(F.map_from_entries(F.filter(F.collect_list(F.struct("name", "value")), lambda e: e["name"].isNotNull())).alias("properties"))
-
-    nodes = spark.read.format("xml").option("rowTag", "node").schema(f"`_id` string, data {data}").load(path)
-    edges = spark.read.format("xml").option("rowTag", "edge").schema(f"`_source` string, `_target` string, data {data}").load(path)
-    n = values(nodes, ["_id"]).withColumnRenamed("_id", "node_id")
-    e = values(edges, ["_source", "_target"]).withColumnsRenamed({"_source": "source_id", "_target": "target_id"})
+        rows = rows.select(file, *ids, "data").withColumn("_row", F.monotonically_increasing_id())
+        pairs = rows.select("file", "_row", *ids, F.posexplode_outer("data").alias("_at", "d")).select("file", "_row", *ids, "_at", F.col("d._key").alias("key"), F.col("d._VALUE").alias("value"))
+        named = pairs.join(names.hint("merge"), ["file", "key"], "left").groupBy("file", "_row", *ids)
+        entries = F.filter(F.array_sort(F.collect_list(F.struct("_at", "name", "value"))), lambda e: e["name"].isNotNull())
+        # Of a name that is given twice, the last value counts.
+        last = F.filter(entries, lambda e: ~F.exists(entries, lambda o: (o["name"] == e["name"]) & (o["_at"] > e["_at"])))
+        return named.agg(F.map_from_entries(F.transform(last, lambda e: F.struct(e["name"], e["value"]))).alias("properties")).drop("_row")
+
+    n = values(tags("node", f"`_id` string, data {data}"), ["_id"]).withColumnRenamed("_id", "node_id")
+    e = values(tags("edge", f"`_source` string, `_target` string, data {data}"), ["_source", "_target"])
+    e = e.withColumnsRenamed({"_source": "source_id", "_target": "target_id"})
     return n, e.withColumn("edge_type", F.try_element_at("properties", F.lit("edge_type")))
 
 

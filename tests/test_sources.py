@@ -33,6 +33,18 @@ def test_graphml(spark, tmp_path):
     assert (e["source_id"], e["target_id"], e["edge_type"]) == ("a", "b", "CONTAINS")
 
 
+def test_graphml_of_several_files(spark, tmp_path):
+    one = """<graphml><key id="d0" for="node" attr.name="label"/><key id="d1" for="edge" attr.name="edge_type"/><graph>
+<node id="a"><data key="d0">A</data><data key="d0">B</data></node><edge source="a" target="b"><data key="d1">CONTAINS</data></edge></graph></graphml>"""
+    two = """<graphml><key id="d0" for="edge" attr.name="edge_type"/><key id="d1" for="node" attr.name="node_type"/><graph>
+<node id="a"><data key="d1">SECTION</data><data key="d7">?</data></node><edge source="a" target="b"><data key="d0">NEXT</data></edge><edge source="a" target="b"><data key="d0">NEXT</data></edge></graph></graphml>"""
+    put(tmp_path / "one.graphml", one)
+    put(tmp_path / "two.graphml", two)
+    nodes, edges = R.read_graphml(spark, str(tmp_path / "*.graphml"))
+    assert sorted((r["file"][-11:-8], r["node_id"], tuple(r["properties"].items())) for r in nodes.collect()) == [("one", "a", (("label", "B"),)), ("two", "a", (("node_type", "SECTION"),))]
+    assert sorted((r["file"][-11:-8], r["edge_type"]) for r in edges.collect()) == [("one", "CONTAINS"), ("two", "NEXT"), ("two", "NEXT")]
+
+
 def test_items_results_paths(spark, tmp_path):
     items = put(tmp_path / "dev.jsonl", '{"item_id": "i1", "question": "q"}\n\n{"item_id": "i2"}\n')
     assert sorted(r["item_id"] for r in R.read_items(spark, items).collect()) == ["i1", "i2"]
