@@ -115,6 +115,22 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN c_name || ' grew;' || n_name || ' shrank; ;Both companies grew' WHEN 1 THEN c_name || ' grew in its 2020 10-K;' || n_name || ' compared to peers;The 2019 10-K and FY2020 10-Q agree'
                  WHEN 2 THEN 'FY2020 result;In the 2021 10-K it rose;It is common;' || c_name || ' met ' || n_name WHEN 3 THEN '' END AS claims
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey"""),
+    # Items as they were published, with paths that are good, loosely spelt, pieces of answers, unknown, of
+    # another filing of the filer, without an accession, misplaced or absent. Lists are split at semicolons.
+    "bundle": (("items", "recent"), """
+        WITH a AS (SELECT issuer_id AS issuer, min(accession) AS a1, max(accession) AS a2 FROM {recent} GROUP BY 1),
+        b AS (SELECT item_id, profile, CAST(substr(item_id, 6) AS BIGINT) AS n, a1, CASE WHEN a2 > a1 THEN a1 || ';' || a2 ELSE a1 END AS accessions, a2 FROM {items} JOIN a ON issuer = issuer_id),
+        c AS (SELECT *, CAST((n - n % 7) / 7 AS BIGINT) % 9 AS k FROM b)
+        SELECT item_id, profile, n, CASE WHEN n % 13 = 4 THEN '' WHEN n % 13 = 5 THEN a1 || ';9999999999-00-000000' ELSE accessions END AS accessions,
+               CASE CAST(n % 7 AS INT) WHEN 0 THEN 'What was revenue and the outlook in item 7?' WHEN 1 THEN 'Compare risk factors across the two filings' WHEN 2 THEN 'How much were the proceeds from sale of the Singapore retail business in Q2 2003?'
+                 WHEN 3 THEN 'Which segment grew, by revenue?' WHEN 4 THEN '  ' WHEN 5 THEN 'Does the company discuss supply risk?' ELSE 'What was net income?' END AS question,
+               CASE CAST(k AS INT) WHEN 0 THEN a1 || '/Item 1A. Risk Factors;' || a2 || '/Item 1A. Risk Factors' WHEN 1 THEN a1 || '/item 1a' WHEN 2 THEN a1 || '/sanctions of $5 billion in trade' WHEN 3 THEN a1 || '/Exhibits;' || a2 || '/XBRL Financial Facts'
+                 WHEN 4 THEN a1 || '/Item 1. Business' WHEN 5 THEN '' WHEN 6 THEN substr(a1, 1, 10) || '-50-000001/Item 7' WHEN 7 THEN 'XBRL Financial Facts' ELSE '0000000000-00-000000/Notes' END AS paths,
+               CASE CAST(n % 11 AS INT) WHEN 0 THEN '$1.1 billion' WHEN 1 THEN '12.50%' WHEN 2 THEN 'Both Alpha Corp 2020 10-K and Beta Inc 2019 10-K discuss supply, whereas costs differ' WHEN 3 THEN 'Demand grew in all regions of the market; Costs were lower than a year before. Prices held.'
+                 WHEN 4 THEN '' WHEN 5 THEN 'Energy Products' WHEN 6 THEN '1,234.5' WHEN 7 THEN repeat('word and more ', 12) WHEN 8 THEN 'The Singapore retail fuels business was sold' WHEN 10 THEN '0.25 mm' END AS answer,
+               CASE CAST(n % 4 AS INT) WHEN 1 THEN 'Sales rose;Costs fell' WHEN 2 THEN 'Alpha rose in its 2020 10-K;Beta fell;Both companies compare' WHEN 3 THEN 'one' END AS claims,
+               CASE CAST(n % 5 AS INT) WHEN 1 THEN 'numeric' WHEN 2 THEN 'narrative' WHEN 3 THEN 'comparison' WHEN 4 THEN 'short_label' END AS answer_type, (n % 17 = 2) AS is_comparison
+        FROM c"""),
     # Containment: region, nation, customer, order; ids as graph node ids.
     "nodes": (("region", "nation", "customer", "orders"), """
         SELECT 'r-' || CAST(r_regionkey AS STRING) AS node_id, 'DOCUMENT' AS node_type, r_name AS label FROM {region}
