@@ -18,6 +18,7 @@ LENGTH, END = 1024, 0
 DIMS, BITS = 3, 20  # of the curve; a key has DIMS * BITS bits
 BUCKETS = 4096  # of the hashed document vector
 PART_TOKENS = 32_000_000  # of a range partition, about; two bytes each
+DOCS, CHARS = 500, 4_000_000  # encoded at once, at most; a longer document alone
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -74,9 +75,13 @@ def tokenized(documents: DataFrame, tokenizer: str, end: int = END) -> DataFrame
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, table = encoder(tokenizer, blank=True), projection()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                ids, n = coder.encode([t or "" for t in some.column(1).to_pylist()], end)
+            at = 0
+            while at < batch.num_rows:
+                # As many documents at once as fit in CHARS characters, but one at least.
+                texts = [t or "" for t in batch.column(1).slice(at, DOCS).to_pylist()]
+                take = max(1, int(np.searchsorted(np.cumsum([len(t) for t in texts]), CHARS, "right")))
+                some, at = batch.slice(at, take), at + take
+                ids, n = coder.encode(texts[:take], end)
                 bounds = np.concatenate(([0], np.cumsum(2 * n)))
                 if bounds[-1] >= 1 << 31:
                     raw = ids.astype("<u2").tobytes()

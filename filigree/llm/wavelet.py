@@ -2,8 +2,8 @@
 
 A shard holds the ids of consecutive documents. Plane k has bit k (from the top) of every id, in
 the order in which the planes above have sorted them; with the ones counted up to each superblock
-that is enough to read a token, to count an id and to find its occurrences without expanding the
-rest. Shards are the rows of a Parquet table in the shared store, so Spark commits each write once
+that is enough to read a token, to count an id and to find its occurrences without rebuilding the
+ids. A plane is expanded when it is first used, and then kept. Shards are the rows of a Parquet table in the shared store, so Spark commits each write once
 and a lost executor costs only its own tasks.
 """
 
