@@ -8,6 +8,7 @@ lines in one; a text of which nothing is left has none.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,7 +80,7 @@ def default_texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*NOTICES, *((r["license"], r["text"]) for r in rows)], "license string, text string")
 
 
-def license_scan(documents: DataFrame, texts: DataFrame, text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def license_scan(documents: DataFrame, texts: DataFrame, text: str = "text", max_broadcast: int = MAX_BROADCAST, keep: Sequence[str] | None = None) -> DataFrame:
     """Add ``digest`` (of the whole text), ``license`` (whose known text that is, else null) and
     ``line_licenses`` (the known licences, sorted, that one whole line of the text states).
 
@@ -88,10 +89,10 @@ def license_scan(documents: DataFrame, texts: DataFrame, text: str = "text", max
     digest are joined with the known ones; lines are gathered by row number, so neither a digest
     nor a line that very many texts share makes a hot group. Null texts and such of nothing but
     copyright lines have no digest and no licence; repeated rows are judged each; columns of the
-    three names are replaced and others pass through, whatever their names; an empty table gives
-    an empty one.
+    three names are replaced and others pass through, whatever their names, or of them only those
+    that ``keep`` names (the text, say, needn't be written again); an empty table gives an empty one.
     """
-    columns = others(documents, "digest", "license", "line_licenses")
+    columns = others(documents if keep is None else documents.select(*keep), "digest", "license", "line_licenses")
     row, line, lines, mine, name = fresh(documents.select(*columns), "row", "line", "lines", "own_digest", "known_name")
     known = stored(known_digests(texts), "known-licenses")
     n = known.limit(max(max_broadcast, MAX_LISTED) + 1).count()
@@ -119,7 +120,7 @@ def license_scan(documents: DataFrame, texts: DataFrame, text: str = "text", max
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = license_scan(docs, default_texts(spark))
+    found = license_scan(docs, default_texts(spark), keep=["doc_id"])
     return found.select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"))
 
 

@@ -574,6 +574,16 @@ def test_packing_covers_every_id_once(spark, sf_dir):
     check_pieces(packing.query(spark, sf_dir).collect(), docs)
 
 
+def test_packing_bounds_what_is_encoded_at_once(spark, monkeypatch):
+    docs = [(i, prose(i, 4000) if i % 2 else "short one") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = sorted(map(tuple, packing.tokenized(df, path).collect()))
+    monkeypatch.setattr(packing, "CHARS", 30_000)
+    assert sorted(map(tuple, packing.tokenized(df, path).collect())) == whole
+    check_pieces(packing.pack_documents(df, path).collect(), docs)
+
+
 def test_packing_odd_rows(spark, odd, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     single = odd.dropDuplicates(["doc_id"])
@@ -650,6 +660,7 @@ def test_license_spellings(spark, odd, empty, monkeypatch):
         got = {r["doc_id"]: r for r in licenses.license_scan(docs, texts, max_broadcast=bound).collect()}
         assert [got[i]["license"] for i in range(6)] == ["Apache-2.0", "Apache-2.0", None, None, None, None]
         assert got[5]["line_licenses"] == ["Apache-2.0"] and got[3]["digest"] is None
+    assert licenses.license_scan(odd, texts, keep=["doc_id"]).columns == ["doc_id", "digest", "license", "line_licenses"]
     assert licenses.license_scan(odd, texts).count() == len(ODD) and licenses.license_scan(empty, texts).count() == 0
 
 
