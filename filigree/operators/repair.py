@@ -47,13 +47,15 @@ def resolve_known(paths: DataFrame, index: DataFrame, snapshot: DataFrame) -> Da
     parts = S.split_section_path(F.col("path"))
     key = lambda path: S.section_key(_tail(path))
     wanted = paths.select("path").distinct().withColumns({"accession": parts["accession"], "_k": S.section_key(parts["tail"])}).withColumn("_item", S.item_key(F.col("_k")))
+    wanted = written(wanted, "wanted-paths")
     known = index.select(F.col("accession").alias("accession"), F.col("path").alias("resolved"), key(F.col("path")).alias("_gk")).withColumn("_gi", S.item_key(F.col("_gk")))
-    members = snapshot.select("accession").distinct()
+    members = written(snapshot.select("accession").distinct(), "members")
     exact = wanted.join(index.select("path").distinct().hint("merge"), "path", "left_semi").select("path", F.col("path").alias("resolved"), F.lit(1 << 20).alias("score"))
 
     filer = F.substring_index("accession", "-", 1)
     inside = known.join(members.hint("merge"), "accession", "left_semi")
     by_filer = inside.groupBy(filer.alias("_filer"), "_gk", "_gi").agg(F.min("resolved").alias("resolved"))
+    by_filer = written(by_filer, "filer-sections")
     by_key = by_filer.groupBy("_gk", "_gi").agg(F.min("resolved").alias("resolved"))
     by_item = by_key.where("_gi IS NOT NULL").groupBy(F.col("_gi").alias("_item"), F.length("_gk").alias("_n")).agg(F.min("resolved").alias("resolved"))
 
@@ -112,7 +114,7 @@ def repair_paths(items: DataFrame, index: DataFrame, snapshot: DataFrame) -> Dat
     """
     clean = written(clean_index(index), "clean-index")
     none = F.array().cast("array<string>")
-    items = items.withColumns({"paths": F.coalesce("paths", none), "accessions": F.coalesce("accessions", none)})
+    items = written(items.withColumns({"paths": F.coalesce("paths", none), "accessions": F.coalesce("accessions", none)}), "items")
     rows = items.join(_resolved(items, "paths", clean, snapshot).hint("merge"), "item_id", "left")
     rows = rows.withColumns({"canonical": F.coalesce("canonical", none), "unknown": F.coalesce("unknown", none)})
     corrupt = F.exists("paths", lambda p: S.is_corrupt_tail(_tail(p)))
@@ -182,7 +184,7 @@ def repair_items(items: DataFrame, index: DataFrame, snapshot: DataFrame) -> Dat
     that the index answers; one that doesn't change keeps all, and has no errors and no status here.
     cohort: misplaced paths that were mended. Null paths and accessions count as none.
     """
-    rows = repair_paths(items, index, snapshot)
+    rows = written(repair_paths(items, index, snapshot), "repaired-paths")
     number = F.when(K.is_number(F.col("answer")), K.canonical_number(F.col("answer"))).otherwise(F.col("answer"))
     rows = rows.withColumns({"answer": number, "answer_changed": ~number.eqNullSafe(F.when(K.is_number(F.col("answer")), C.trimmed(F.col("answer"))).otherwise(F.col("answer")))})
     rows = rows.withColumn("_changed", F.col("path_changed") | F.col("answer_changed"))
