@@ -80,6 +80,53 @@ def hop_counts(sources: DataFrame, edges: DataFrame, max_hops: int = 6) -> DataF
     return seen
 
 
+def shortest_path_tree(sources: DataFrame, edges: DataFrame, max_hops: int = 6) -> DataFrame:
+    """(source_id, node_id, hops, parent_id, edge_type): of each node within ``max_hops`` of a source, edges
+    taken both ways, the node before it on a shortest path and the edge between them.
+
+    Of several the least parent counts, and of parallel edges the least type; a source is its own row,
+    without a parent. Ids may be structs. A level is one join against the edges, aggregated before the
+    nodes seen so far are taken out; no path travels along, a row stays as small at any depth.
+    """
+    some = edges.where(F.col("edge_type").isin(*STRUCTURAL)).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "edge_type")
+    back = some.select(F.col("b").alias("a"), F.col("a").alias("b"), "edge_type")
+    both = written(some.unionByName(back).groupBy("a", "b").agg(F.min("edge_type").alias("edge_type")), "adjacent")
+    start = sources.select("source_id", F.col("source_id").alias("node_id")).distinct()
+    none = dict(hops=F.lit(0), parent_id=F.lit(None).cast(start.schema["node_id"].dataType), edge_type=F.lit(None).cast("string"))
+    front = written(start.withColumns(none), "path-tree")
+    seen = front
+    for n in range(1, max_hops + 1):
+        step = front.select("source_id", F.col("node_id").alias("a")).join(both.hint("merge"), "a")
+        step = step.groupBy("source_id", F.col("b").alias("node_id")).agg(F.min(F.struct("a", "edge_type")).alias("_by"))
+        new = step.join(seen.select("source_id", "node_id").hint("merge"), ["source_id", "node_id"], "left_anti")
+        front = written(new.select("source_id", "node_id", F.lit(n).alias("hops"), F.col("_by.a").alias("parent_id"), "_by.edge_type"), "path-tree")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def shortest_paths(pairs: DataFrame, tree: DataFrame, max_hops: int = 6) -> DataFrame:
+    """(source_id, node_id, hops, node_ids, edge_types) for each pair (source_id, node_id) that the tree of
+    ``shortest_path_tree`` joins; node_ids from the source to the node.
+
+    Paths are read backwards, a join a hop, and gathered at the end: a path is as long as its hops.
+    """
+    tree = tree.select("source_id", F.col("node_id").alias("_at"), "hops", "parent_id", "edge_type")
+    at = pairs.select("source_id", "node_id").distinct().withColumn("_at", F.col("node_id")).join(tree.hint("merge"), ["source_id", "_at"])
+    out = at = written(at, "path-steps")
+    for _ in range(max_hops):
+        at = at.where("parent_id IS NOT NULL").select("source_id", "node_id", F.col("parent_id").alias("_at"))
+        at = written(at.join(tree.hint("merge"), ["source_id", "_at"]), "path-steps")
+        if at.isEmpty():
+            break
+        out = out.unionByName(at)
+    steps = F.array_sort(F.collect_list(F.struct("hops", "_at", "edge_type")))
+    rows = out.groupBy("source_id", "node_id").agg(steps.alias("_steps"))
+    types = F.filter(F.col("_steps.edge_type"), lambda t: t.isNotNull())
+    return rows.select("source_id", "node_id", (F.size("_steps") - 1).alias("hops"), F.col("_steps._at").alias("node_ids"), types.alias("edge_types"))
+
+
 def neighbors(sources: DataFrame, edges: DataFrame, edge_type: str | None = None) -> DataFrame:
     """(node_id, neighbor_id) in either direction."""
     e = edges if edge_type is None else edges.where(F.col("edge_type") == edge_type)
@@ -217,3 +264,43 @@ def audit_sample(nodes: DataFrame, n: int, seed: int, fact_share: float = 0.6) -
     first = rows.where(fact).orderBy("_k").limit(int(fact_share * n))
     rest = rows.join(first.select("node_id"), "node_id", "left_anti").orderBy("_k")
     return first.withColumn("_o", F.lit(0)).unionByName(rest.limit(n).withColumn("_o", F.lit(1))).orderBy("_o", "_k").limit(n).select("node_id", "node_type")
+
+
+def reachability_sample(nodes: DataFrame, n: int = 100, seed: int = 42, fact_share: float = 0.6) -> DataFrame:
+    """At most ``n`` nodes of each snapshot, with ``kind``: first facts up to their share (one at least), then
+    table rows with a digit, then what else there is of facts and rows; each in the order of a seeded
+    digest. nodes: snapshot_id, node_id, node_type, label and any others, which pass through."""
+    fact, row = F.col("node_type") == "CHUNK_XBRL_FACT", F.col("node_type") == "CHUNK_ROW"
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("node_id")), 256)
+    kind = F.when(fact, "xbrl_fact").otherwise("table_row")
+    rows = nodes.where(fact | row).withColumns({"kind": kind, "_digest": digest, "_class": F.when(fact, 0).when(F.coalesce(F.col("label").rlike("[0-9]"), F.lit(False)), 1).otherwise(2)})
+    # No class gives more than n, so all windows are cut short early.
+    each = Window.partitionBy("snapshot_id", "_class").orderBy("_digest", "node_id")
+    rows = rows.withColumn("_k", F.row_number().over(each)).where(F.col("_k") <= n)
+    quota = max(1, int(n * fact_share))
+    phase = F.when((F.col("_class") == 0) & (F.col("_k") <= quota), 0).when(F.col("_class") == 1, 1).otherwise(2)
+    first = Window.partitionBy("snapshot_id").orderBy("_phase", "_digest", "node_id")
+    rows = rows.withColumn("_phase", phase).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n)
+    return rows.drop("_digest", "_class", "_k", "_phase", "_n")
+
+
+def reachability_audit(nodes: DataFrame, edges: DataFrame, hop_budget: int = 6, n: int = 100, pass_threshold: float = 0.95, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(entries, report) of many snapshots: whether a sample of facts and table rows is reached from its
+    document by structural edges, by which path, and the share that is.
+
+    nodes: snapshot_id, node_id, node_type, label, root_id (the node's document); edges: snapshot_id,
+    source_id, target_id, edge_type. entries: snapshot_id, node_id, kind, reachable, hops, node_ids,
+    edge_types (nulls where there is no path). report: snapshot_id, sample_size, reached, pass_rate,
+    audit_ready. A snapshot without facts and rows isn't reported.
+    """
+    key = lambda c: F.struct("snapshot_id", F.col(c).alias("id"))
+    sample = written(reachability_sample(nodes, n, seed), "audit-sample")
+    inside = edges.select(key("source_id").alias("source_id"), key("target_id").alias("target_id"), "edge_type")
+    pairs = sample.select(key("root_id").alias("source_id"), key("node_id").alias("node_id"))
+    paths = shortest_paths(pairs, shortest_path_tree(pairs, inside, hop_budget), hop_budget)
+    paths = paths.select(F.col("node_id.snapshot_id").alias("snapshot_id"), F.col("source_id.id").alias("root_id"), F.col("node_id.id").alias("node_id"), "hops", F.col("node_ids.id").alias("node_ids"), "edge_types")
+    entries = sample.join(paths.hint("merge"), ["snapshot_id", "root_id", "node_id"], "left")
+    entries = written(entries.select("snapshot_id", "node_id", "kind", F.col("hops").isNotNull().alias("reachable"), "hops", "node_ids", "edge_types"), "audit-entries")
+    report = entries.groupBy("snapshot_id").agg(F.count("*").alias("sample_size"), F.count_if("reachable").alias("reached"))
+    rate = F.col("reached") / F.col("sample_size")
+    return entries, report.withColumns({"pass_rate": rate, "audit_ready": rate >= pass_threshold})

@@ -111,3 +111,68 @@ def sequences(f: Frames) -> DataFrame:
     seq = steps.select("conv_id", F.transform("t", lambda x: F.left(x["role"], F.lit(1))).alias("seq"))
     patterns = F.array(F.array(*map(F.lit, "uaua")), F.array(*map(F.lit, "sa")))
     return seq.select("conv_id", G.sequence_matches(F.col("seq"), patterns).alias("matches"))
+
+
+_TREE = """
+adj AS (SELECT a, b, min(edge_type) AS edge_type FROM (SELECT source_id AS a, target_id AS b, edge_type FROM edges UNION ALL SELECT target_id, source_id, edge_type FROM edges) GROUP BY 1, 2),
+w AS (SELECT node_id AS source_id, node_id, 0 AS hops FROM nodes WHERE node_type = 'DOCUMENT' UNION SELECT w.source_id, adj.b, w.hops + 1 FROM w JOIN adj ON adj.a = w.node_id WHERE w.hops < 3),
+h AS (SELECT source_id, node_id, min(hops) AS hops FROM w GROUP BY 1, 2),
+t AS (SELECT h.source_id, h.node_id, h.hops, min(p.node_id) AS parent FROM h JOIN adj ON adj.b = h.node_id JOIN h p ON p.source_id = h.source_id AND p.node_id = adj.a AND p.hops = h.hops - 1 GROUP BY 1, 2, 3)"""
+
+
+@PLANS.add("h1_shortest_paths", f"""
+WITH RECURSIVE {_TREE},
+r AS (SELECT source_id, node_id AS target, node_id, [node_id] AS path, [] :: VARCHAR[] AS types FROM h JOIN nodes USING (node_id) WHERE node_type IN ('CHUNK_TABLE', 'CHUNK_ROW')
+  UNION ALL SELECT r.source_id, target, t.parent, list_prepend(t.parent, path), list_prepend(edge_type, types) FROM r JOIN t ON t.source_id = r.source_id AND t.node_id = r.node_id JOIN adj ON adj.a = t.parent AND adj.b = t.node_id)
+SELECT source_id, target AS node_id, len(types) AS hops, array_to_string(path, ',') AS node_ids, array_to_string(types, ',') AS edge_types FROM r WHERE node_id = source_id""", ("nodes", "edges"))
+def paths(f: Frames) -> DataFrame:
+    sources = f["nodes"].where("node_type = 'DOCUMENT'").select(F.col("node_id").alias("source_id"))
+    tree = G.shortest_path_tree(sources, f["edges"], 3)
+    wanted = tree.join(f["nodes"].where("node_type IN ('CHUNK_TABLE', 'CHUNK_ROW')").select("node_id").hint("merge"), "node_id", "left_semi").select("source_id", "node_id")
+    found = G.shortest_paths(wanted, tree, 3)
+    return found.select("source_id", "node_id", "hops", F.array_join("node_ids", ",").alias("node_ids"), F.array_join("edge_types", ",").alias("edge_types"))
+
+
+#: A snapshot for each nation: its customers' orders are facts, rows with numbers and rows without;
+#: one customer in ten hangs on no section, or only on another that refers to it.
+_AUDITED = """
+an AS (SELECT c_nationkey AS snapshot_id, 'o-' || o_orderkey AS node_id, CASE WHEN o_orderkey % 8 = 1 THEN 'CHUNK_XBRL_FACT' ELSE 'CHUNK_ROW' END AS node_type, CASE WHEN o_orderkey % 4 = 2 THEN o_orderpriority ELSE o_orderstatus END AS label, 'n-' || c_nationkey AS root_id FROM orders JOIN customer ON c_custkey = o_custkey),
+ae AS (SELECT c_nationkey AS snapshot_id, 'n-' || c_nationkey AS source_id, 'c-' || c_custkey AS target_id, 'CONTAINS' AS edge_type FROM customer WHERE c_custkey % 10 <> 7
+  UNION ALL SELECT c_nationkey, 'c-' || c_custkey, 'n-' || c_nationkey || '-x', 'REFERENCES' FROM customer WHERE c_custkey % 20 <> 7
+  UNION ALL SELECT c_nationkey, 'c-' || o_custkey, 'o-' || o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'TEMPORAL' ELSE 'CONTAINS' END FROM orders JOIN customer ON c_custkey = o_custkey)"""
+
+
+def _audited(f: Frames) -> tuple[DataFrame, DataFrame]:
+    o, c = F.col("o_orderkey"), f["customer"].select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("snapshot_id"))
+    orders = f["orders"].join(c, "o_custkey")
+    root = F.concat(F.lit("n-"), F.col("snapshot_id"))
+    node, customer = F.concat(F.lit("o-"), o), F.concat(F.lit("c-"), F.col("o_custkey"))
+    nodes = orders.select("snapshot_id", node.alias("node_id"), F.when(o % 8 == 1, "CHUNK_XBRL_FACT").otherwise("CHUNK_ROW").alias("node_type"), F.when(o % 4 == 2, F.col("o_orderpriority")).otherwise(F.col("o_orderstatus")).alias("label"), root.alias("root_id"))
+    down = c.where("o_custkey % 10 <> 7").select("snapshot_id", root.alias("source_id"), customer.alias("target_id"), F.lit("CONTAINS").alias("edge_type"))
+    across = c.where("o_custkey % 20 <> 7").select("snapshot_id", customer.alias("source_id"), F.concat(root, F.lit("-x")).alias("target_id"), F.lit("REFERENCES").alias("edge_type"))
+    leaves = orders.select("snapshot_id", customer.alias("source_id"), node.alias("target_id"), F.when(F.col("o_orderstatus") == "P", "TEMPORAL").otherwise("CONTAINS").alias("edge_type"))
+    return nodes, down.unionByName(across).unionByName(leaves)
+
+
+_SAMPLE = f"""{_AUDITED},
+k AS (SELECT *, sha256('42:' || node_id) AS d, CASE WHEN node_type = 'CHUNK_XBRL_FACT' THEN 0 WHEN regexp_matches(label, '[0-9]') THEN 1 ELSE 2 END AS class FROM an),
+l AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, class ORDER BY d) AS k FROM k),
+sample AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY CASE WHEN class = 0 AND k <= 60 THEN 0 WHEN class = 1 THEN 1 ELSE 2 END, d) <= 100),
+adj AS (SELECT DISTINCT a, b, edge_type FROM (SELECT source_id AS a, target_id AS b, edge_type FROM ae UNION ALL SELECT target_id, source_id, edge_type FROM ae) WHERE edge_type <> 'TEMPORAL'),
+w AS (SELECT DISTINCT root_id AS source_id, root_id AS node_id, 0 AS hops FROM sample UNION SELECT w.source_id, adj.b, w.hops + 1 FROM w JOIN adj ON adj.a = w.node_id WHERE w.hops < 6),
+h AS (SELECT source_id, node_id, min(hops) AS hops FROM w GROUP BY 1, 2),
+t AS (SELECT h.source_id, h.node_id, min(p.node_id) AS parent FROM h JOIN adj ON adj.b = h.node_id JOIN h p ON p.source_id = h.source_id AND p.node_id = adj.a AND p.hops = h.hops - 1 GROUP BY 1, 2),
+r AS (SELECT root_id AS source_id, node_id AS target, node_id, [node_id] AS path, [] :: VARCHAR[] AS types FROM sample
+  UNION ALL SELECT r.source_id, target, t.parent, list_prepend(t.parent, path), list_prepend(edge_type, types) FROM r JOIN t ON t.source_id = r.source_id AND t.node_id = r.node_id JOIN adj ON adj.a = t.parent AND adj.b = t.node_id),
+entries AS (SELECT snapshot_id, s.node_id, CASE class WHEN 0 THEN 'xbrl_fact' ELSE 'table_row' END AS kind, target IS NOT NULL AS reachable, len(types) AS hops, array_to_string(path, ',') AS node_ids, array_to_string(types, ',') AS edge_types FROM sample s LEFT JOIN r ON target = s.node_id AND r.node_id = source_id)"""
+
+
+@PLANS.add("h10_reachability_entries", f"WITH RECURSIVE {_SAMPLE} SELECT * FROM entries")
+def audited(f: Frames) -> DataFrame:
+    entries, _ = G.reachability_audit(*_audited(f))
+    return entries.withColumns({"node_ids": F.array_join("node_ids", ","), "edge_types": F.array_join("edge_types", ",")})
+
+
+@PLANS.add("h10_reachability_report", f"WITH RECURSIVE {_SAMPLE} SELECT snapshot_id, count(*) AS sample_size, count(*) FILTER (reachable) AS reached, count(*) FILTER (reachable) / count(*)::DOUBLE AS pass_rate, count(*) FILTER (reachable) / count(*)::DOUBLE >= 0.95 AS audit_ready FROM entries GROUP BY 1")
+def audit(f: Frames) -> DataFrame:
+    return G.reachability_audit(*_audited(f))[1]

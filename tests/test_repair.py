@@ -38,23 +38,32 @@ def corpus(spark):
     return a, b, index, spark.createDataFrame([(a,), (b,), ("0000034088-25-000001",)], "accession string")
 
 
-def repaired(spark, corpus, **item):
-    base = {"item_id": "i", "profile": "numeric", "question": "?", "answer": "x", "claims": None, "accessions": [corpus[0]], "paths": [], "answer_type": "short_label", "is_comparison": False, "multi": False}
-    df = spark.createDataFrame([tuple((base | item).values())], ITEM)
-    return R.repair_items(df, corpus[2], corpus[3]).first()
-
-
-def test_pieces_of_answers_become_sections(spark, corpus):
-    a, b = corpus[:2]
-    raw = [f"{a}/sanctions, trade tariffs, or policies affecting our business", f"{b}/organizations, or other actors against our core business"]
-    r = repaired(spark, corpus, profile="comparison", question="Compare risk factors across the two filings.", answer="Both discuss risks in Item 1A.", accessions=[a, b], paths=raw)
+def cases(a, b):
+    risks = [f"{a}/sanctions, trade tariffs, or policies affecting our business", f"{b}/organizations, or other actors against our core business"]
+    return {
+        "pieces": {"profile": "comparison", "question": "Compare risk factors across the two filings.", "answer": "Both discuss risks in Item 1A.", "accessions": [a, b], "paths": risks},
+        "sale": {"question": "According to the Q1 2026 report, which two businesses were sold?", "answer": "Singapore retail fuels business and Mobil Argentina S.A.", "paths": [f"{a}/ITEM 1. BUSINESS"]},
+        "same": {"question": "What are the risk factors?", "paths": [f"{a}/Item 1A. Risk Factors"]},
+        "number": {"answer": "$2 million", "answer_type": None, "question": None, "paths": None, "accessions": None},
+        "nothing": {"accessions": ["x"], "paths": ["x/Notes"]},
+    }
+
+
+def test_repaired_items(spark, corpus):
+    a, b, index, snapshot = corpus
+    base = {"profile": "numeric", "question": "?", "answer": "x", "claims": None, "accessions": [a], "paths": [], "answer_type": "short_label", "is_comparison": False, "multi": False}
+    df = spark.createDataFrame([(k, *(base | v).values()) for k, v in cases(a, b).items()], ITEM)
+    got = {r["item_id"]: r for r in R.repair_items(df, index, snapshot).collect()}
+    r = got["pieces"]
     assert r["paths"] == [f"{a}/Item 1A. Risk Factors", f"{b}/Item 1A. Risk Factors"] and r["path_changed"] and {"corrupt", "unresolved", "none_known"} <= set(r["reasons"])
-
-
-def test_sales_of_assets_leave_the_business_section(spark, corpus):
-    a = corpus[0]
-    r = repaired(spark, corpus, question="According to the Q1 2026 report, which two businesses were sold?", answer="Singapore retail fuels business and Mobil Argentina S.A.", paths=[f"{a}/ITEM 1. BUSINESS"])
+    r = got["sale"]
     assert r["reasons"] == ["misplaced"] and r["cohort"] and r["paths"][0].split("/")[1][:4] in ("10-Q", "Item") and "BUSINESS" not in r["paths"][0]
+    r = got["same"]
+    assert (r["paths"], r["path_changed"], r["reasons"], r["status"]) == ([f"{a}/Item 1A. Risk Factors"], False, [], None)
+    r = got["number"]
+    assert (r["answer"], r["answer_changed"], r["answer_type"], r["errors"]) == ("2000000", True, "numeric", ["empty_question", "missing_accessions", "missing_section_paths"])
+    r = got["nothing"]
+    assert (r["paths"], r["path_changed"], r["errors"]) == ([], True, ["accession_not_in_snapshot", "unknown_section_path:x/Notes"])
 
 
 def test_paths_of_the_filer_and_without_an_accession(spark, corpus):
@@ -65,15 +74,3 @@ def test_paths_of_the_filer_and_without_an_accession(spark, corpus):
         "0000034088-25-000001/item-1a": f"{a}/Item 1A. Risk Factors", "XBRL financial facts": f"{a}/XBRL Financial Facts", "Item 2": f"{a}/Item 2. Management's Discussion and Analysis",
         f"{a}/XBRL Financial Facts": f"{a}/XBRL Financial Facts",
     }
-
-
-def test_items_that_stay_and_odd_rows(spark, corpus):
-    a = corpus[0]
-    r = repaired(spark, corpus, question="What are the risk factors?", paths=[f"{a}/Item 1A. Risk Factors"])
-    assert (r["paths"], r["path_changed"], r["reasons"], r["status"]) == ([f"{a}/Item 1A. Risk Factors"], False, [], None)
-    r = repaired(spark, corpus, answer="$2 million", answer_type=None, question=None, paths=None, accessions=None)
-    assert (r["answer"], r["answer_changed"], r["answer_type"], r["errors"]) == ("2000000", True, "numeric", ["empty_question", "missing_accessions", "missing_section_paths"])
-    r = repaired(spark, corpus, accessions=["x"], paths=["x/Notes"])
-    assert (r["paths"], r["path_changed"], r["errors"]) == ([], True, ["accession_not_in_snapshot", "unknown_section_path:x/Notes"])
-    none = spark.createDataFrame([], ITEM)
-    assert R.repair_items(none, corpus[2], corpus[3]).collect() == []
