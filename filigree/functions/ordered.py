@@ -63,3 +63,10 @@ def lagged(table: DataFrame, key: Sequence[str], what: Column, into: str) -> Dat
     w = Window.partitionBy("part", *key).orderBy("pos")
     rows = _with_brought(table, key, last).withColumn("_first", F.row_number().over(w) == 1)
     return rows.withColumn(into, F.when(F.col("_first"), F.col("_last")).otherwise(F.lag(what).over(w))).drop("_last", "_first")
+
+
+def running_sum(table: DataFrame, key: Sequence[str], value: str, into: str) -> DataFrame:
+    """Add the sum of ``value`` (0 for null) over the key's rows up to and with each row of an ``ordered`` table."""
+    rows = _with_brought(table, key, _brought(table, key, {"_n": F.sum(value)}, {"_n": F.sum("_n")}))
+    w = Window.partitionBy("part", *key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(into, F.coalesce(F.sum(value).over(w), F.lit(0)) + F.coalesce("_n", F.lit(0))).drop("_n")

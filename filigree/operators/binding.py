@@ -27,11 +27,10 @@ def bind_filings(questions: DataFrame, filings: DataFrame) -> DataFrame:
     for flag, name in ((True, "yoy_quarterly"), (False, "yoy_annual")):
         pairs = pairs.unionByName(D.pair_yoy(filings, flag).select("issuer_id", F.lit(name).alias("branch"), "accession", "partner"))
     paired = rows.join(pairs, ["issuer_id", "branch"]).select("query_id", "branch", F.posexplode(F.array("accession", "partner")).alias("position", "accession"))
-    ranked = filings.select("issuer_id", "accession", "form_type", F.row_number().over(D.newest("issuer_id", "form_type")).alias("_n"), F.count("*").over(Window.partitionBy("issuer_id", "form_type")).alias("_of"))
     want = F.coalesce("anchor", F.lit("latest_quarter"))
-    form = F.when(want == "latest_annual", "10-K").otherwise("10-Q")
-    nth = F.when(want == "prior_quarter", F.least(F.lit(2), F.col("_of"))).otherwise(1)
-    single = rows.where("branch IN ('anchor', 'default_quarter')").join(ranked, "issuer_id").where((F.col("form_type") == form) & (F.col("_n") == nth))
+    single = rows.where("branch IN ('anchor', 'default_quarter')").withColumn("form_type", F.when(want == "latest_annual", "10-K").otherwise("10-Q"))
+    single = single.join(D.two_newest(filings, "issuer_id", "form_type").hint("merge"), ["issuer_id", "form_type"])
+    single = single.withColumn("accession", F.when(want == "prior_quarter", F.coalesce("second", "newest")).otherwise(F.col("newest")))
     return paired.unionByName(single.select("query_id", "branch", F.lit(0).alias("position"), "accession"))
 
 
@@ -48,7 +47,7 @@ def plan_sections(questions: DataFrame, toc: DataFrame, most: int = 3) -> DataFr
         F.when(flags["is_mda"], F.when(kind == "md_and_a", 0)).when(flags["is_risk_only"], F.when(kind == "risk_factors", 0))
         .when(intent == "numeric", F.when(kind == "facts", 0)).otherwise(F.when(kind.isin("risk_factors", "md_and_a", "business_description"), 1))
     )
-    rows = questions.join(toc, "accession").withColumn("_p", F.coalesce(prefer, F.lit(9)))
+    rows = questions.join(toc.hint("merge"), "accession").withColumn("_p", F.coalesce(prefer, F.lit(9)))
     least = F.min("_p").over(Window.partitionBy("query_id", "accession"))
     rows = rows.withColumn("_least", least).where((F.col("_least") == 9) | (F.col("_p") < 9))
     w = Window.partitionBy("query_id", "accession").orderBy("_p", "ordinal", "section_id")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import lagged, ordered
+
 
 def newest(*keys: str) -> Window:
     return Window.partitionBy(*keys).orderBy(F.desc("period_end"), F.desc("filed_at"), F.desc("accession"))
@@ -18,6 +20,14 @@ def _annual() -> Column:
     return F.upper("form_type").startswith("10-K")
 
 
+def two_newest(filings: DataFrame, *keys: str) -> DataFrame:
+    """(keys, newest, second): accessions of the newest and the second newest filing of each key; second is
+    null where a filing is alone. No more than two rows of a key leave a task."""
+    top = filings.withColumn("_n", F.row_number().over(newest(*keys))).where(F.col("_n") <= 2)
+    nth = lambda n: F.max(F.when(F.col("_n") == n, F.col("accession")))
+    return top.groupBy(*keys).agg(nth(1).alias("newest"), nth(2).alias("second"))
+
+
 def fiscal_labels(filings: DataFrame) -> DataFrame:
     """Add fiscal_year, fiscal_quarter (null for annual reports) and label.
 
@@ -77,9 +87,10 @@ def pair_yoy(filings: DataFrame, quarterly: bool) -> DataFrame:
     """
     labelled = fiscal_labels(filings)
     if not quarterly:
-        w = newest("issuer_id")
-        rows = labelled.where("form_type = '10-K'").withColumns({"_n": F.row_number().over(w), "partner": F.lead("accession").over(w), "partner_label": F.lead("label").over(w)})
-        return rows.where("_n = 1 AND partner IS NOT NULL").select("issuer_id", "accession", "partner", "label", "partner_label")
+        top = labelled.where("form_type = '10-K'").withColumn("_n", F.row_number().over(newest("issuer_id"))).where(F.col("_n") <= 2)
+        nth = lambda n: F.max(F.when(F.col("_n") == n, F.struct("accession", "label")))
+        rows = top.groupBy("issuer_id").agg(nth(1).alias("a"), nth(2).alias("b")).where("b IS NOT NULL")
+        return rows.select("issuer_id", "a.accession", F.col("b.accession").alias("partner"), "a.label", F.col("b.label").alias("partner_label"))
     q = labelled.where("form_type = '10-Q'").withColumn("_n", F.row_number().over(newest("issuer_id")))
     first = q.where("_n = 1").select("issuer_id", "accession", "label", (F.col("fiscal_year") - 1).alias("fiscal_year"), "fiscal_quarter")
     other = q.withColumn("_m", F.row_number().over(newest("issuer_id", "fiscal_year", "fiscal_quarter"))).where("_m = 1")
@@ -89,9 +100,8 @@ def pair_yoy(filings: DataFrame, quarterly: bool) -> DataFrame:
 
 def pair_qoq(filings: DataFrame) -> DataFrame:
     """(issuer_id, accession, partner): the two newest quarterly reports."""
-    w = newest("issuer_id")
-    rows = filings.where("form_type = '10-Q'").withColumns({"_n": F.row_number().over(w), "partner": F.lead("accession").over(w)})
-    return rows.where("_n = 1 AND partner IS NOT NULL").select("issuer_id", "accession", "partner")
+    rows = two_newest(filings.where("form_type = '10-Q'"), "issuer_id").where("second IS NOT NULL")
+    return rows.select("issuer_id", F.col("newest").alias("accession"), F.col("second").alias("partner"))
 
 
 def resolve_scope(scopes: DataFrame, filings: DataFrame) -> DataFrame:
@@ -102,18 +112,16 @@ def resolve_scope(scopes: DataFrame, filings: DataFrame) -> DataFrame:
     anchors are latest_annual, latest_quarter and prior_quarter (the latest if it is alone).
     """
     labelled = fiscal_labels(filings)
-    ranked = labelled.withColumn("_n", F.row_number().over(newest("issuer_id", "form_type"))).withColumn("_of", F.count("*").over(Window.partitionBy("issuer_id", "form_type")))
     given = lambda c: F.col(c).isNotNull() & (F.size(c) > 0)
     branch = F.when(given("accessions"), "a").when(given("periods"), "p").when(F.col("anchor").isNotNull(), "n").when(given("compare_periods"), "c")
     s = scopes.withColumn("_b", branch)
-    by_accession = s.where("_b = 'a'").select("scope_id", "issuer_id", F.posexplode("accessions").alias("position", "accession")).join(filings.select("issuer_id", "accession"), ["issuer_id", "accession"])
+    by_accession = s.where("_b = 'a'").select("scope_id", "issuer_id", F.posexplode("accessions").alias("position", "accession")).join(filings.select("issuer_id", "accession").hint("merge"), ["issuer_id", "accession"])
     labels = s.where("_b IN ('p', 'c')").select("scope_id", "issuer_id", F.posexplode(F.when(F.col("_b") == "p", F.col("periods")).otherwise(F.col("compare_periods"))).alias("position", "label"))
     one = labelled.withColumn("_m", F.row_number().over(newest("issuer_id", "label"))).where("_m = 1").select("issuer_id", "label", "accession")
-    anchored = s.where("_b = 'n'").join(ranked, "issuer_id")
-    wanted = F.when(F.col("anchor") == "latest_annual", (F.col("form_type") == "10-K") & (F.col("_n") == 1)).when(
-        F.col("anchor") == "latest_quarter", (F.col("form_type") == "10-Q") & (F.col("_n") == 1)
-    ).when(F.col("anchor") == "prior_quarter", (F.col("form_type") == "10-Q") & (F.col("_n") == F.least(F.lit(2), F.col("_of"))))
-    parts = (by_accession, labels.join(one, ["issuer_id", "label"]), anchored.where(wanted).withColumn("position", F.lit(0)))
+    form = F.when(F.col("anchor") == "latest_annual", "10-K").when(F.col("anchor").isin("latest_quarter", "prior_quarter"), "10-Q")
+    anchored = s.where("_b = 'n'").withColumn("form_type", form).join(two_newest(filings, "issuer_id", "form_type").hint("merge"), ["issuer_id", "form_type"])
+    wanted = F.when(F.col("anchor") == "prior_quarter", F.coalesce("second", "newest")).otherwise(F.col("newest"))
+    parts = (by_accession, labels.join(one.hint("merge"), ["issuer_id", "label"]), anchored.withColumns({"position": F.lit(0), "accession": wanted}))
     a, b, c = (p.select("scope_id", "position", "accession") for p in parts)
     return a.unionByName(b).unionByName(c)
 
@@ -121,16 +129,20 @@ def resolve_scope(scopes: DataFrame, filings: DataFrame) -> DataFrame:
 def align_to_intent(intents: DataFrame, filings: DataFrame) -> DataFrame:
     """(query_id, accession, how) of the best filing for (query_id, issuer_id, label, form_type).
 
-    Tried in order: label and form, label alone, an annual report of the label's year; the newest
-    of the first kind that exists.
+    Tried in order: label and form (how is 0), label alone (1), an annual report of the label's year
+    (2); the newest of the first kind that exists. Filings are reduced to the newest of each kind
+    first, so an intent meets three rows at most, however many filings its issuer has.
     """
-    labelled = fiscal_labels(filings).select("issuer_id", "accession", "period_end", "filed_at", F.col("form_type").alias("have_form"), F.col("label").alias("have"), "fiscal_year")
-    rows = intents.join(labelled, "issuer_id")
-    year = F.regexp_extract("label", "FY([0-9]{4})", 1).try_cast("int")
-    same = F.col("have") == F.col("label")
-    how = F.when(same & (F.col("have_form") == F.col("form_type")), 0).when(same, 1).when((F.col("have_form") == "10-K") & (F.col("fiscal_year") == year), 2)
-    w = Window.partitionBy("query_id").orderBy("how", F.desc("period_end"), F.desc("filed_at"), F.desc("accession"))
-    return rows.withColumn("how", how).where("how IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("query_id", "accession", "how")
+    labelled = fiscal_labels(filings).select("issuer_id", "accession", "period_end", "filed_at", "form_type", "label", "fiscal_year")
+    best = F.max_by("accession", F.struct("period_end", "filed_at", "accession")).alias("accession")
+    rows = intents.withColumn("fiscal_year", F.regexp_extract("label", "FY([0-9]{4})", 1).try_cast("int"))
+    kinds = (("issuer_id", "label", "form_type"), ("issuer_id", "label"), ("issuer_id", "fiscal_year"))
+    out = None
+    for how, keys in enumerate(kinds):
+        some = labelled if how < 2 else labelled.where("form_type = '10-K'")
+        found = rows.join(some.groupBy(*keys).agg(best).hint("merge"), [*keys]).select("query_id", "accession", F.lit(how).alias("how"))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("query_id").agg(F.min_by("accession", "how").alias("accession"), F.min("how").alias("how"))
 
 
 def stale_filings(filings: DataFrame, held: DataFrame) -> DataFrame:
@@ -150,16 +162,17 @@ def accession_index(snapshots: DataFrame) -> DataFrame:
 
 
 def temporal_edges(filings: DataFrame) -> DataFrame:
-    """(source_id, target_id, edge_type) between consecutive filings of an issuer."""
-    w = Window.partitionBy("issuer_id").orderBy("period_end", "filed_at", "accession")
-    rows = filings.withColumn("_next", F.lead("accession").over(w)).where("_next IS NOT NULL")
-    return rows.select(F.concat(F.lit("doc-"), F.col("accession")).alias("source_id"), F.concat(F.lit("doc-"), F.col("_next")).alias("target_id"), F.lit("NEXT").alias("edge_type"))
+    """(source_id, target_id, edge_type) between consecutive filings of an issuer. Filings are sorted over
+    all partitions, so an issuer with very many is in no single task."""
+    rows = ordered(filings.select("issuer_id", "accession", "period_end", "filed_at"), ["issuer_id"], ["period_end", "filed_at", "accession"], "filings-in-order", ["issuer_id", "accession"])
+    rows = lagged(rows, ["issuer_id"], F.struct("accession"), "_before").where("_before IS NOT NULL")
+    return rows.select(F.concat(F.lit("doc-"), F.col("_before.accession")).alias("source_id"), F.concat(F.lit("doc-"), F.col("accession")).alias("target_id"), F.lit("NEXT").alias("edge_type"))
 
 
 def bound_filings(items: DataFrame, filings: DataFrame) -> DataFrame:
     """Every bound accession of items (item_id, accessions) with its filing; ``missing`` if none."""
     wanted = items.select("item_id", F.explode("accessions").alias("accession")).distinct()
-    rows = wanted.join(filings.select("accession", "issuer_id", "form_type", "period_end"), "accession", "left")
+    rows = wanted.join(filings.select("accession", "issuer_id", "form_type", "period_end").hint("merge"), "accession", "left")
     return rows.withColumn("missing", F.col("issuer_id").isNull())
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.ordered import ordered, running_sum
 from .facts import attach_taxonomy
 
 
@@ -141,6 +142,14 @@ def assign_ratio_roles(first: Column, second: Column, numerators: list[str], den
     return F.when(n1 & d2, F.struct(first.alias("numerator"), second.alias("denominator"))).when(n2 & d1, F.struct(second.alias("numerator"), first.alias("denominator")))
 
 
+def filed_together(facts: DataFrame) -> DataFrame:
+    """(first, second): concepts, in order of name, that some filing has both. Filings are reduced to their
+    distinct sets of concepts, and pairs are made of these only."""
+    sets = facts.groupBy("accession").agg(F.array_sort(F.collect_set("concept")).alias("c")).select("c").distinct()
+    rows = sets.select("c", F.posexplode("c").alias("i", "first"))
+    return rows.select("first", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("second")).distinct()
+
+
 def compare_pairs(evidence: DataFrame) -> DataFrame:
     """(query_id, first, second): the lead excerpts of a query's two filings, for queries with both.
     evidence: query_id, side (1 or 2), rank, excerpt."""
@@ -175,12 +184,20 @@ def corpus_hash(definitions: DataFrame) -> DataFrame:
 
 def scope_manifest(bound: DataFrame, labelled: DataFrame) -> DataFrame:
     """(query_id, labels, n_newer, stale): labels of a query's bound filings (query_id, accession), the
-    number of its issuer's filings filed after all of them, and whether there are any."""
-    have = bound.join(labelled.select("accession", "issuer_id", "label", "filed_at"), "accession")
+    number of its issuer's filings filed after all of them, and whether there are any.
+
+    Filings (counted by issuer and day) and the days asked for are sorted together, newest first, and
+    counted along: no query meets its issuer's filings one by one.
+    """
+    have = bound.join(labelled.select("accession", "issuer_id", "label", "filed_at").hint("merge"), "accession")
     g = have.groupBy("query_id", "issuer_id").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.max("filed_at").alias("_last"))
-    newer = g.join(labelled.select("issuer_id", F.col("filed_at").alias("_f")), "issuer_id").where("_f > _last").groupBy("query_id").agg(F.count("*").alias("_n"))
-    rows = g.join(newer, "query_id", "left")
-    return rows.select("query_id", "labels", F.coalesce("_n", F.lit(0)).alias("n_newer"), F.col("_n").isNotNull().alias("stale"))
+    days = labelled.groupBy("issuer_id", F.col("filed_at").alias("_last")).agg(F.count("*").alias("n"))
+    asked = g.where("_last IS NOT NULL").select("issuer_id", "_last").distinct()
+    # On a day that is asked for the question comes first: filings of that day aren't newer.
+    both = asked.withColumn("n", F.lit(0).cast("long")).unionByName(days)
+    rows = running_sum(ordered(both, ["issuer_id"], [F.desc("_last"), "n"], "newer-filings"), ["issuer_id"], "n", "n_newer").where("n = 0")
+    out = g.join(rows.select("issuer_id", "_last", "n_newer").hint("merge"), ["issuer_id", "_last"], "left").withColumn("n_newer", F.coalesce("n_newer", F.lit(0)))
+    return out.select("query_id", "labels", "n_newer", (F.col("n_newer") > 0).alias("stale"))
 
 
 def refine_fact_labels(candidates: DataFrame) -> DataFrame:

@@ -67,12 +67,14 @@ def trim(f: Frames) -> DataFrame:
 
 
 @PLANS.add("f19_missing_families", """
-WITH e AS (SELECT query_id, issuer_id, query_id % 3 AS k FROM questions), w AS (SELECT query_id, issuer_id, fam FROM e CROSS JOIN (VALUES ('income'), ('revenue')) AS t(fam) WHERE NOT (fam = 'revenue' AND k = 0)),
+WITH e AS (SELECT query_id, issuer_id, CASE WHEN contains(lower(question), 'revenue') THEN 0 END AS k FROM questions), w AS (SELECT query_id, issuer_id, fam FROM e CROSS JOIN (VALUES ('income'), ('revenue')) AS t(fam) WHERE NOT (fam = 'revenue' AND k IS NOT NULL)),
 x AS (SELECT query_id, fam AS family, fact_id, period_end FROM w JOIN facts ON facts.issuer_id = w.issuer_id AND CASE fam WHEN 'revenue' THEN concept IN ('Revenues', 'CostOfRevenue') ELSE concept IN ('NetIncomeLoss', 'IncomeTaxExpenseBenefit', 'IncomeLossBeforeIncomeTaxes') END)
 SELECT query_id, family, fact_id FROM x QUALIFY row_number() OVER (PARTITION BY query_id, family ORDER BY period_end DESC, fact_id) = 1""", ("facts", "questions"))
 def missing(f: Frames) -> DataFrame:
     q = f["questions"].select("query_id", "issuer_id")
-    evidence = q.where("query_id % 3 = 0").join(f["facts"].where("concept = 'Revenues'"), "issuer_id").select("query_id", "fact_id")
+    # Questions about revenue come with the revenues of their issuer's last filings.
+    last = f["facts"].where("concept = 'Revenues'").join(f["recent"].select("accession").hint("merge"), "accession", "left_semi")
+    evidence = f["questions"].where(F.lower("question").contains("revenue")).join(last.hint("merge"), "issuer_id").select("query_id", "fact_id")
     return O.missing_families(q, evidence, f["facts"], ["income", "revenue"])
 
 

@@ -111,8 +111,7 @@ def themes(f: Frames) -> DataFrame:
 SELECT DISTINCT a.concept AS first, b.concept AS second, CASE WHEN a.concept = 'NetIncomeLoss' AND b.concept = 'Revenues' THEN a.concept WHEN b.concept = 'NetIncomeLoss' AND a.concept = 'Revenues' THEN b.concept END AS numerator FROM (SELECT DISTINCT concept FROM facts) a, (SELECT DISTINCT concept FROM facts) b WHERE a.concept < b.concept""", ("facts",))
 def roles(f: Frames) -> DataFrame:
     # The two concepts of a ratio are facts of one filing.
-    a, b = (f["facts"].select("accession", F.col("concept").alias(n)) for n in ("first", "second"))
-    c = a.join(b, "accession").where("first < second").select("first", "second").distinct()
+    c = V.filed_together(f["facts"])
     return c.select("first", "second", V.assign_ratio_roles(F.col("first"), F.col("second"), ["NetIncomeLoss"], ["Revenues"])["numerator"].alias("numerator"))
 
 
