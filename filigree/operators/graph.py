@@ -238,8 +238,46 @@ def materialize_status(nodes: DataFrame, edges: DataFrame, references: DataFrame
 
 
 def slice_ids(items: DataFrame) -> DataFrame:
-    """(item_id, slice_id): twelve hex digits of the digest of an item's sorted accessions."""
-    return items.select("item_id", F.left(F.sha2(F.array_join(F.array_sort(F.array_distinct("accessions")), ","), 256), F.lit(12)).alias("slice_id"))
+    """(item_id, slice_id): "slice-" and twelve hex digits of the digest of an item's sorted accessions."""
+    return items.select("item_id", F.concat(F.lit("slice-"), F.left(F.sha2(F.array_join(F.array_sort("accessions"), "|"), 256), F.lit(12))).alias("slice_id"))
+
+
+def merge_snapshots(members: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Manifests of composites: composite_id, issuer_id, n_snapshots, node_count, edge_count, filings,
+    audit_ready, audit_pass_rate.
+
+    members: composite_id, ordinal, issuer_id, snapshot_id. manifests: issuer_id, snapshot_id, node_count,
+    edge_count, filings (array), audit_ready, audit_pass_rate. Counts are summed and filings joined in
+    order; the audit is the first member's; a composite of one keeps its issuer, others are of issuer
+    "composite". Members without a manifest don't count. Nodes and edges themselves stay where they
+    are: ``subgraph`` reads them.
+    """
+    rows = members.join(manifests.hint("merge"), ["issuer_id", "snapshot_id"])
+    fields = F.struct("ordinal", "issuer_id", "snapshot_id", "filings", "audit_ready", "audit_pass_rate")
+    g = rows.groupBy("composite_id").agg(F.count("*").alias("n_snapshots"), F.sum("node_count").alias("node_count"), F.sum("edge_count").alias("edge_count"), F.array_sort(F.collect_list(fields)).alias("_m"))
+    first = F.col("_m")[0]
+    issuer = F.when(F.col("n_snapshots") == 1, first["issuer_id"].cast("string")).otherwise("composite")
+    return g.select("composite_id", issuer.alias("issuer_id"), "n_snapshots", "node_count", "edge_count", F.flatten("_m.filings").alias("filings"), first["audit_ready"].alias("audit_ready"), first["audit_pass_rate"].alias("audit_pass_rate"))
+
+
+def slice_members(items: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, unresolved) of the slices that items (item_id, accessions) need: members (composite_id,
+    ordinal, issuer_id, snapshot_id), each snapshot once, in the order of the sorted accessions, for the
+    distinct slices only; unresolved (item_id, accession) that index (accession, issuer_id,
+    snapshot_id) lacks, with a null accession for an item without any."""
+    sliced = items.join(slice_ids(items).hint("merge"), "item_id").select("item_id", "slice_id", F.array_sort("accessions").alias("accessions"))
+    wanted = sliced.dropDuplicates(["slice_id"]).select(F.col("slice_id").alias("composite_id"), F.posexplode("accessions").alias("_at", "accession"))
+    found = wanted.join(index.hint("merge"), "accession").groupBy("composite_id", "issuer_id", "snapshot_id").agg(F.min("_at").alias("_at"))
+    members = found.withColumn("ordinal", F.row_number().over(Window.partitionBy("composite_id").orderBy("_at", "issuer_id", "snapshot_id"))).drop("_at")
+    each = items.select("item_id", F.explode_outer("accessions").alias("accession")).distinct()
+    return members, each.join(index.select("accession").distinct().hint("merge"), "accession", "left_anti").select("item_id", "accession")
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges (issuer_id, snapshot_id, ...) of the snapshots in members, once each: a semi join on
+    the columns by which snapshots are partitioned, so that only their folders are read."""
+    some = members.select("issuer_id", "snapshot_id").distinct()
+    return tuple(df.join(some, ["issuer_id", "snapshot_id"], "left_semi") for df in (nodes, edges))
 
 
 def attach_footnotes(scope: DataFrame, edges: DataFrame, direction: str = "table_to_footnote") -> DataFrame:

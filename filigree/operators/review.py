@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.lineage import written
 from ..functions.ordered import ordered, running_sum
 from .facts import attach_taxonomy
 
@@ -76,6 +77,79 @@ def feasibility_report(validated: DataFrame) -> DataFrame:
     return validated.select("item_id", F.explode("errors").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"), F.min("item_id").alias("example"))
 
 
+def least_ids(rows: DataFrame, *keys: str, n: int = 5) -> DataFrame:
+    """(keys, examples): the ``n`` least item ids of each key. No more of a key leave a task."""
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("item_id"))).where(F.col("_n") <= n)
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_list("item_id")).alias("examples"))
+
+
+# Variants, bounds and codes of the notes on a run.
+BASELINE, FLAT, NO_CITATIONS = "graph-full", "flat-chunk", ("ablation-no-walker", "ablation-xbrl-only")
+SMALL, HIGH, AHEAD, MOST_NOTES = 5, 0.9, 0.05, 25
+SEVERITY = {"critical": 0, "warning": 1, "info": 2}
+
+
+def aggregated_notes(results: DataFrame, headline: DataFrame, structural: DataFrame, runs: DataFrame, strata: DataFrame, second: bool = False) -> DataFrame:
+    """(pattern, severity, variant_id, n, examples, position): what is odd about a run, by twelve patterns, the
+    first 25 by severity and number; variant_id is null for notes on the whole run.
+
+    results: variant_id, item_id, judged, outcome, ndcg, n_citations, has_scores, has_alignment; headline:
+    variant_id, metric, value, n_items; structural: variant_id, binding_accuracy, section_hit_rate; runs:
+    variant_id, a row for each entry of the run's list; strata: variant_id, stratum, metric, value.
+    second: a dataset of the second kind, whose rubrics may all be 0. Results are read in one
+    aggregation by variant; what follows has a row a variant. Examples are the least item ids.
+    """
+    cited = F.coalesce("n_citations", F.lit(0))
+    uncited = F.col("judged") & (cited == 0) & (F.col("variant_id") != FLAT)
+    unranked = (F.col("outcome") >= HIGH) & (F.col("ndcg") == 0) & ~F.col("variant_id").isin(*NO_CITATIONS)
+    unaligned = F.col("judged") & F.col("has_scores") & ~F.col("has_alignment") & F.col("outcome").isNotNull()
+    count = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    by = results.groupBy("variant_id").agg(F.count("*").alias("_all"), F.sum(cited).alias("_cites"), count(uncited, "_uncited"), count(unranked, "_unranked"), count(unaligned, "_unaligned"))
+    value = lambda m: F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m)
+    wide = headline.groupBy("variant_id").agg(value("mrr"), value("outcome_accuracy"), value("rubric_alignment"), F.max("n_items").alias("_items"))
+    by = written(wide.join(by.hint("merge"), "variant_id", "full"), "variant-notes")  # a row a variant
+    ablation = F.col("variant_id").isin(*NO_CITATIONS)
+
+    def note(rows: DataFrame, pattern: Column | str, severity: Column | str, n: Column | str, variant: str | None = "variant_id") -> DataFrame:
+        lit = lambda x: F.lit(x) if isinstance(x, str) else x
+        return rows.select(lit(pattern).alias("pattern"), lit(severity).alias("severity"), (F.col(variant) if variant else F.lit(None).cast("string")).alias("variant_id"), (F.col(n) if isinstance(n, str) else n).cast("long").alias("n"))
+
+    at = lambda c, v: F.max(F.when(F.col("variant_id") == v, F.col(c)))
+    ends = by.agg(at("outcome_accuracy", BASELINE).alias("_base"), at("outcome_accuracy", FLAT).alias("_flat"))
+    html = strata.where("stratum = 'html' AND metric = 'outcome_accuracy'").agg(at("value", BASELINE).alias("_html"), at("value", FLAT).alias("_html_flat"))
+    ends = ends.join(F.broadcast(html))  # one row each
+    behind = F.coalesce(F.col("_base") <= F.col("_flat"), F.lit(False)) | F.coalesce(F.col("_html") <= F.col("_html_flat"), F.lit(False))
+    repeats = runs.groupBy("variant_id").agg(F.count("*").alias("_n")).agg(F.max("_n").alias("_n"))
+    nothing = structural.agg(F.count("*").alias("_n"), F.count_if((F.col("binding_accuracy") != 0) | (F.col("section_hit_rate") != 0)).alias("_some"))
+    rubrics = by.agg(F.count("rubric_alignment").alias("_n"), F.count_if(F.col("rubric_alignment") != 0).alias("_some"))
+    whole = by.agg(F.min_by("_items", "variant_id").alias("_n"), F.sum("_unaligned").alias("_unaligned"))
+    ahead = by.where(F.col("variant_id") != BASELINE).join(F.broadcast(ends)).where((F.col("outcome_accuracy") > F.col("_base") + AHEAD) & ((F.coalesce("_cites", F.lit(0)) > 0) | (F.coalesce("mrr", F.lit(0.0)) > 0)))
+
+    # Items of the flat variant that beat the same items of the baseline.
+    pair = lambda v, name: results.where(F.col("variant_id") == v).groupBy("item_id").agg(F.max("outcome").alias(name))
+    beaten = pair(BASELINE, "_b").join(pair(FLAT, "_f").hint("merge"), "item_id").where("_f > _b").select(F.lit("").alias("_v"), "item_id")
+    notes = [
+        note(repeats.where("_n > 1"), "DUPLICATE_VARIANT_RUNS", "warning", F.lit(0), None), note(whole.where(F.col("_n") <= SMALL), "SMALL_SAMPLE", "info", "_n", None),
+        note(rubrics.where(F.lit(not second) & (F.col("_n") > 0) & (F.col("_some") == 0)), "RUBRIC_ALIGNMENT_ZERO", "warning", "_n", None), note(nothing.where("_n > 0 AND _some = 0"), "STRUCTURAL_METRICS_ZERO", "warning", "_n", None),
+        note(by.where("_uncited > 0"), F.when(ablation, "ABLATION_ZERO_CITATIONS").otherwise("JUDGE_OK_ZERO_CITATIONS"), F.when(ablation, "info").otherwise("warning"), "_uncited"),
+        note(by.where("_unranked > 0"), "HIGH_OUTCOME_ZERO_NDCG", "warning", "_unranked"),
+        note(by.where((F.col("mrr") <= 0) & (F.col("variant_id") == FLAT) & (F.col("_cites") > 0)), "FLAT_CHUNK_ZERO_RANKING", "info", "_all"), note(by.where((F.col("mrr") <= 0) & ablation), "ABLATION_ZERO_RANKING", "info", F.coalesce("_all", F.lit(0))),
+        note(ahead, "OUTCOME_EXCEEDS_BASELINE", "info", F.lit(1)), note(whole.where("_unaligned > 0"), "INCOMPLETE_JUDGE_CRITERIA", "warning", "_unaligned", None),
+    ]
+    shown = least_ids(beaten, "_v").select(F.lit(None).cast("string").alias("_variant"), F.lit("OUTCOME_ORDERING_REGRESSION").alias("_pattern"), "examples")
+    for hit, pattern in ((uncited, F.when(ablation, "ABLATION_ZERO_CITATIONS").otherwise("JUDGE_OK_ZERO_CITATIONS")), (unranked, F.lit("HIGH_OUTCOME_ZERO_NDCG"))):
+        shown = shown.unionByName(least_ids(results.where(hit), "variant_id").select(F.col("variant_id").alias("_variant"), pattern.alias("_pattern"), "examples"))
+    out = note(ends.where(behind), "OUTCOME_ORDERING_REGRESSION", "warning", F.lit(1), None)
+    for more in notes:
+        out = out.unionByName(more)
+    out = out.join(shown.hint("merge"), (F.col("pattern") == F.col("_pattern")) & F.col("variant_id").eqNullSafe(F.col("_variant")), "left").drop("_pattern", "_variant")
+    out = out.withColumns({"examples": F.coalesce("examples", F.array().cast("array<string>"))})
+    out = out.withColumn("n", F.when(F.col("pattern") == "OUTCOME_ORDERING_REGRESSION", F.greatest(F.lit(1), F.size("examples")).cast("long")).otherwise(F.col("n")))
+    rank = F.coalesce(*[F.when(F.col("severity") == k, v) for k, v in SEVERITY.items()], F.lit(9))
+    # A note or two for each variant and pattern: few rows.
+    return out.withColumn("position", F.row_number().over(Window.orderBy(rank, F.desc("n"), "pattern", "variant_id"))).where(F.col("position") <= MOST_NOTES)
+
+
 def investigation_notes(results: DataFrame, most: int = 25) -> DataFrame:
     """(pattern, severity, n, examples): detectors over results in one pass; the ``most`` by severity and
     count, with five least item ids each."""
@@ -86,9 +160,8 @@ def investigation_notes(results: DataFrame, most: int = 25) -> DataFrame:
     )
     hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("pattern"), F.lit(s).alias("severity"))) for n, s, c in detectors]))
     rows = results.select("variant_id", "item_id", F.explode(hits).alias("h")).select("variant_id", "item_id", "h.*")
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("variant_id", "pattern").orderBy("item_id")))
-    n = F.count("*").alias("n")
-    g = ranked.groupBy("variant_id", "pattern", "severity").agg(n, F.array_sort(F.collect_list(F.when(F.col("_n") <= 5, F.col("item_id")))).alias("examples"))
+    g = rows.groupBy("variant_id", "pattern", "severity").agg(F.count("*").alias("n"))
+    g = g.join(least_ids(rows, "variant_id", "pattern").hint("merge"), ["variant_id", "pattern"])
     w = Window.partitionBy("variant_id").orderBy(F.desc("severity"), F.desc("n"), "pattern")
     return g.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most)
 

@@ -105,11 +105,41 @@ def status(f: Frames) -> DataFrame:
     return G.materialize_status(heads.unionByName(orders.drop("o_orderkey")), edges, references)
 
 
-@PLANS.add("e13_slice_ids", "SELECT issuer_id AS item_id, left(sha256(string_agg(DISTINCT accession, ',' ORDER BY accession)), 12) AS slice_id FROM filings GROUP BY 1", ("filings",))
+@PLANS.add("e13_slice_ids", "SELECT issuer_id AS item_id, 'slice-' || left(sha256(string_agg(accession, '|' ORDER BY accession)), 12) AS slice_id FROM filings GROUP BY 1", ("filings",))
 def slices(f: Frames) -> DataFrame:
     return G.slice_ids(f["filings"].groupBy(F.col("issuer_id").alias("item_id")).agg(F.collect_list("accession").alias("accessions")))
 
 
+_SLICED = """
+b AS (SELECT item_id, list(accession ORDER BY accession) AS a FROM items JOIN recent USING (issuer_id) GROUP BY 1),
+c AS (SELECT item_id, a, 'slice-' || left(sha256(array_to_string(a, '|')), 12) AS slice_id FROM b), d AS (SELECT DISTINCT slice_id, a FROM c), e AS (SELECT slice_id, unnest(a) AS accession FROM d),
+x AS (SELECT accession, issuer_id, y AS snapshot_id FROM filings WHERE q <> 3),
+m AS (SELECT issuer_id, y AS snapshot_id, count(*) AS nodes, count(*) - 1 AS edges, list(accession ORDER BY accession) AS filings, count(*) >= 3 AS ready FROM filings GROUP BY 1, 2)"""
+
+
+def _sliced(f: Frames) -> tuple[DataFrame, DataFrame]:
+    """Items with the last filings of their issuer; a snapshot is a year of an issuer, without the third quarters."""
+    have = f["recent"].groupBy("issuer_id").agg(F.collect_list("accession").alias("accessions"))
+    items = f["items"].join(have.hint("merge"), "issuer_id").select("item_id", "accessions")
+    return G.slice_members(items, f["filings"].where("q <> 3").select("accession", "issuer_id", F.col("y").alias("snapshot_id")))
+
+
+@PLANS.add("e13_slice_manifests", f"""
+WITH {_SLICED}, k AS (SELECT slice_id, issuer_id, snapshot_id, min(accession) AS first FROM e JOIN x USING (accession) GROUP BY 1, 2, 3), j AS (SELECT * FROM k JOIN m USING (issuer_id, snapshot_id))
+SELECT slice_id AS composite_id, CASE WHEN count(*) = 1 THEN min(issuer_id)::VARCHAR ELSE 'composite' END AS issuer_id, count(*) AS n_snapshots, sum(nodes)::BIGINT AS node_count, sum(edges)::BIGINT AS edge_count, sha256(array_to_string(flatten(list(filings ORDER BY first)), ',')) AS filings, bool_and(ready) FILTER (first = lead_first) AS audit_ready
+FROM (SELECT *, min(first) OVER (PARTITION BY slice_id) AS lead_first FROM j) GROUP BY 1""", ("items", "recent"))
+def manifests(f: Frames) -> DataFrame:
+    members, _ = _sliced(f)
+    table = f["filings"].groupBy("issuer_id", F.col("y").alias("snapshot_id")).agg(F.count("*").alias("node_count"), (F.count("*") - 1).alias("edge_count"), F.array_sort(F.collect_list("accession")).alias("filings"), (F.count("*") >= 3).alias("audit_ready"), F.lit(1.0).alias("audit_pass_rate"))
+    out = G.merge_snapshots(members, table).drop("audit_pass_rate")
+    return out.withColumn("filings", F.sha2(F.array_join("filings", ","), 256))
+
+
+@PLANS.add("e13_unresolved_bindings", f"WITH {_SLICED} SELECT DISTINCT item_id, u.accession FROM (SELECT item_id, unnest(a) AS accession FROM b) u LEFT JOIN x ON x.accession = u.accession WHERE x.accession IS NULL", ("items", "recent"))
+def unresolved(f: Frames) -> DataFrame:
+    return _sliced(f)[1]
+
+
 @PLANS.add("h3_attach_footnotes", "SELECT o_custkey AS query_id, 'o-' || o_orderkey AS node_id FROM orders UNION SELECT o_custkey, 'f-' || l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1")
 def footnotes(f: Frames) -> DataFrame:
     scope = f["orders"].select(F.col("o_custkey").alias("query_id"), F.concat(F.lit("o-"), "o_orderkey").alias("node_id"))

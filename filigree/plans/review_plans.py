@@ -70,6 +70,40 @@ def notes(f: Frames) -> DataFrame:
     return V.investigation_notes(f["results"]).withColumn("examples", F.array_join("examples", ","))
 
 
+_RUN = """
+r AS (SELECT variant_id, item_id, status <> 'pending' AS judged, outcome, CASE WHEN profile_no = 2 THEN 0.0 ELSE ndcg END AS ndcg, CASE WHEN abstained OR (variant_id = 'ablation-no-walker' AND profile_no = 1) THEN 0 ELSE profile_no + 1 END AS n_citations, has_answer AS has_scores, profile_no <> 3 AS has_alignment FROM results),
+v AS (SELECT variant_id, count(*) AS n, avg(outcome) AS oa, CASE WHEN variant_id IN ('flat-chunk', 'ablation-xbrl-only') THEN 0.0 ELSE avg(mrr) END AS mrr FROM results GROUP BY 1),
+h AS (SELECT variant_id, avg(outcome) AS oa FROM results WHERE stratum = 'html' GROUP BY 1)"""
+
+
+@PLANS.add("m29_aggregated_notes", f"""
+WITH {_RUN}, f AS (SELECT *, judged AND n_citations = 0 AND variant_id <> 'flat-chunk' AS uncited, coalesce(outcome >= 0.9 AND ndcg = 0 AND variant_id NOT IN ('ablation-no-walker', 'ablation-xbrl-only'), false) AS unranked, judged AND has_scores AND NOT has_alignment AND outcome IS NOT NULL AS unaligned FROM r),
+g AS (SELECT variant_id, sum(n_citations) AS cites, count(*) FILTER (uncited) AS uncited, count(*) FILTER (unranked) AS unranked, list_sort(list(item_id) FILTER (uncited))[:5] AS e1, list_sort(list(item_id) FILTER (unranked))[:5] AS e2 FROM f GROUP BY 1),
+b AS (SELECT (SELECT oa FROM v WHERE variant_id = 'graph-full') AS base, (SELECT oa FROM v WHERE variant_id = 'flat-chunk') AS flat, (SELECT oa FROM h WHERE variant_id = 'graph-full') AS html, (SELECT oa FROM h WHERE variant_id = 'flat-chunk') AS html_flat),
+w AS (SELECT list_sort(list(a.item_id))[:5] AS e FROM r a JOIN r b ON a.item_id = b.item_id AND a.variant_id = 'graph-full' AND b.variant_id = 'flat-chunk' AND b.outcome > a.outcome),
+n AS (SELECT 'DUPLICATE_VARIANT_RUNS' AS pattern, 'warning' AS severity, NULL AS variant_id, 0 AS n, [] :: VARCHAR[] AS examples
+  UNION ALL SELECT 'SMALL_SAMPLE', 'info', NULL, n, [] FROM v WHERE n <= 5 AND variant_id = 'ablation-no-macro'
+  UNION ALL SELECT 'RUBRIC_ALIGNMENT_ZERO', 'warning', NULL, count(*), [] FROM v UNION ALL SELECT 'STRUCTURAL_METRICS_ZERO', 'warning', NULL, count(*), [] FROM v
+  UNION ALL SELECT CASE WHEN variant_id LIKE '%walker' OR variant_id LIKE '%xbrl-only' THEN 'ABLATION_ZERO_CITATIONS' ELSE 'JUDGE_OK_ZERO_CITATIONS' END, CASE WHEN variant_id LIKE '%walker' OR variant_id LIKE '%xbrl-only' THEN 'info' ELSE 'warning' END, variant_id, uncited, e1 FROM g WHERE uncited > 0
+  UNION ALL SELECT 'HIGH_OUTCOME_ZERO_NDCG', 'warning', variant_id, unranked, e2 FROM g WHERE unranked > 0
+  UNION ALL SELECT 'FLAT_CHUNK_ZERO_RANKING', 'info', variant_id, n, [] FROM v JOIN g USING (variant_id) WHERE variant_id = 'flat-chunk' AND mrr <= 0 AND cites > 0 UNION ALL SELECT 'ABLATION_ZERO_RANKING', 'info', variant_id, n, [] FROM v WHERE variant_id IN ('ablation-no-walker', 'ablation-xbrl-only') AND mrr <= 0
+  UNION ALL SELECT 'OUTCOME_EXCEEDS_BASELINE', 'info', variant_id, 1, [] FROM v JOIN g USING (variant_id), b WHERE variant_id <> 'graph-full' AND oa > base + 0.05 AND (cites > 0 OR coalesce(mrr, 0) > 0)
+  UNION ALL SELECT 'OUTCOME_ORDERING_REGRESSION', 'warning', NULL, greatest(1, len(coalesce(e, []))), coalesce(e, []) FROM b, w WHERE coalesce(base <= flat, false) OR coalesce(html <= html_flat, false)
+  UNION ALL SELECT 'INCOMPLETE_JUDGE_CRITERIA', 'warning', NULL, count(*) FILTER (unaligned), [] FROM f HAVING count(*) FILTER (unaligned) > 0)
+SELECT pattern, severity, variant_id, n::BIGINT AS n, array_to_string(examples, ',') AS examples, row_number() OVER (ORDER BY CASE severity WHEN 'warning' THEN 1 ELSE 2 END, n DESC, pattern, variant_id)::INT AS position FROM n""", ("results",))
+def run_notes(f: Frames) -> DataFrame:
+    """A run listed twice, with rubrics and structural metrics of 0, and two variants that rank nothing."""
+    r, flat = f["results"], F.col("variant_id").isin("flat-chunk", "ablation-xbrl-only")
+    cites = F.when(F.col("abstained") | ((F.col("variant_id") == "ablation-no-walker") & (F.col("profile_no") == 1)), 0).otherwise(F.col("profile_no") + 1)
+    rows = r.select("variant_id", "item_id", (F.col("status") != "pending").alias("judged"), "outcome", F.when(F.col("profile_no") == 2, 0.0).otherwise(F.col("ndcg")).alias("ndcg"), cites.alias("n_citations"), F.col("has_answer").alias("has_scores"), (F.col("profile_no") != 3).alias("has_alignment"))
+    v = r.groupBy("variant_id").agg(F.count("*").alias("n_items"), F.avg("outcome").alias("outcome_accuracy"), F.avg("mrr").alias("mrr")).withColumns({"mrr": F.when(flat, 0.0).otherwise(F.col("mrr")), "rubric_alignment": F.lit(0.0)})
+    headline = v.unpivot(["variant_id", "n_items"], ["outcome_accuracy", "mrr", "rubric_alignment"], "metric", "value")
+    strata = r.groupBy("variant_id", "stratum").agg(F.avg("outcome").alias("value")).withColumn("metric", F.lit("outcome_accuracy"))
+    structural = v.select("variant_id", F.lit(0.0).alias("binding_accuracy"), F.lit(0.0).alias("section_hit_rate"))
+    runs = v.select("variant_id").unionAll(v.select("variant_id"))
+    return V.aggregated_notes(rows, headline, structural, runs, strata).withColumn("examples", F.array_join("examples", ","))
+
+
 @PLANS.add("m30_run_summary", """
 WITH r AS (SELECT event_type AS variant_id, CASE WHEN event_id % 2 = 0 THEN 'run-' || event_id ELSE '' END AS run_id, ts AS started FROM events), o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY (run_id = '')::INT, started DESC, run_id) = 1)
 SELECT variant_id, count(*) AS n_items, any_value(o.run_id) AS run_id FROM r JOIN o USING (variant_id) GROUP BY 1""")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .taxonomies import local_name
+
 MANIFEST = (
     "resolution struct<ticker string, cik string, accession string, form_type string, filed_at date, period_end date, edgar_filing_url string>, "
     "artifacts array<struct<filename string, role string, url string, content_hash string>>, complete boolean"
@@ -80,9 +82,9 @@ def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def concept_labels(locators: DataFrame, arcs: DataFrame, labels: DataFrame) -> DataFrame:
     """(concept, label) of a label linkbase: arcs (source, target) joined with locators (label, href) and
-    labels (label, text); the concept is the href's part after the last underscore."""
+    labels (label, text); see ``taxonomies.read_taxonomies`` for whole folders of linkbases."""
     rows = arcs.join(locators, arcs["source"] == locators["label"]).select("href", "target").join(labels.withColumnRenamed("label", "_l"), F.col("target") == F.col("_l"))
-    return rows.groupBy(F.substring_index(F.substring_index("href", "#", -1), "_", -1).alias("concept")).agg(F.min("text").alias("label"))
+    return rows.groupBy(local_name(F.col("href")).alias("concept")).agg(F.min("text").alias("label"))
 
 
 def calc_hierarchy(arcs: DataFrame) -> DataFrame:

@@ -88,3 +88,38 @@ def test_vectors(spark):
     v = spark.createDataFrame([("a", [1.0, 2.0]), ("x", [1.0])], "node_id string, embedding array<float>")
     c = spark.createDataFrame([("a",), ("b",)], "node_id string")
     assert tuple(R.vectors_valid(v, c, 2).first()) == (1, 1, 1, False)
+
+
+def linkbase(kind, links, prefix=""):
+    """A linkbase of links (role, locators {label: concept}, arcs [(from, to)], labels {label: (role, text)})."""
+    out = []
+    for role, locators, arcs, labels in links:
+        rows = [f'<{prefix}loc xlink:type="locator" xlink:href="d.xsd#x_{c}" xlink:label="{n}"/>' for n, c in locators.items()]
+        rows += [f'<{prefix}label xlink:label="{n}" xlink:role="http://www.xbrl.org/2003/role/{r}">{t}</{prefix}label>' for n, (r, t) in labels.items()]
+        rows += [f'<{prefix}{kind}Arc xlink:from="{a}" xlink:to="{b}" xlink:arcrole="http://www.xbrl.org/2003/arcrole/{r}"/>' for a, b, r in arcs]
+        out.append(f'<{prefix}{kind}Link xlink:role="{role}">{"".join(rows)}</{prefix}{kind}Link>')
+    return f'<linkbase xmlns="http://www.xbrl.org/2003/linkbase" xmlns:link="http://www.xbrl.org/2003/linkbase" xmlns:xlink="http://www.w3.org/1999/xlink">{"".join(out)}</linkbase>'
+
+
+def test_taxonomies_of_two_folders(spark, tmp_path):
+    say = [("a", "ta", "concept-label"), ("b", "tb", "concept-label"), ("a", "tc", "concept-label"), ("zz", "ta", "concept-label")]
+    put(tmp_path / "one" / "d_lab.xml", linkbase("label", [("r", {"a": "ProfitLoss", "b": "Us_Pretax"}, say, {"ta": ("label", "Net income (loss)"), "tb": ("terseLabel", "Pre-tax"), "tc": ("label", "Second")})]))
+    put(tmp_path / "one" / "d_pre.xml", linkbase("presentation", [("http://x/Notes", {"a": "ProfitLoss"}, [], {}), ("http://x/StatementOfIncome", {"a": "ProfitLoss", "b": "Revenues"}, [], {}), ("http://x/Notes", {"c": "ProfitLoss"}, [], {})]))
+    sums = [("a", "b", "summation-item"), ("a", "c", "summation-item"), ("a", "b", "summation-item"), ("b", "c", "other"), ("a", "gone", "summation-item")]
+    put(tmp_path / "one" / "d_cal.xml", linkbase("calculation", [("r", {"a": "Pretax", "b": "Tax", "c": "ProfitLoss"}, sums, {})]))
+    # The same locator names stand for other concepts here, in prefixed elements.
+    put(tmp_path / "two" / "d_lab.xml", linkbase("label", [("r", {"a": "Sales"}, [("a", "ta", "concept-label")], {"ta": ("label", "Total revenue")})], "link:"))
+    put(tmp_path / "two" / "d_cal.xml", linkbase("calculation", [("r", {"a": "Sales", "b": "Assets"}, [("b", "a", "summation-item")], {}), ("s", {"a": "Assets", "b": "Sales"}, [("a", "b", "summation-item")], {})], "link:"))
+    put(tmp_path / "two" / "other.xml", "<x/>")
+    from filigree.sources.taxonomies import read_taxonomies
+
+    got = {(r["folder"][-3:], r["concept"]): tuple(r)[2:] for r in read_taxonomies(spark, str(tmp_path / "*")).collect()}
+    assert got == {
+        ("one", "ProfitLoss"): ("Net income (loss)", None, None, "income_statement", ["http://x/Notes", "http://x/StatementOfIncome"], ["Pretax"], [], ["net_income", "margin_numerator"]),
+        ("one", "Us_Pretax"): (None, "Pre-tax", None, "other", [], [], [], ["pretax_income"]),
+        ("one", "Revenues"): (None, None, None, "income_statement", ["http://x/StatementOfIncome"], [], [], []),
+        ("one", "Pretax"): (None, None, None, "other", [], [], ["Tax", "ProfitLoss"], []),
+        ("one", "Tax"): (None, None, None, "other", [], ["Pretax"], [], []),
+        ("two", "Sales"): ("Total revenue", None, None, "other", [], ["Assets"], [], ["revenue", "total_revenue", "margin_denominator"]),
+        ("two", "Assets"): (None, None, None, "other", [], [], ["Sales"], []),
+    }
