@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import intents as I
 from ..functions import scalars as S
 from . import filings as D
+from .evidence import score_chunks
 
 
 def bind_filings(questions: DataFrame, filings: DataFrame) -> DataFrame:
@@ -70,6 +72,45 @@ def retrieve_evidence(planned: DataFrame, chunks: DataFrame, questions: DataFram
     return best.select("query_id", "rank", "chunk_id", "score", F.sha2(F.left("text", F.lit(cut)), 256).alias("content_hash"))
 
 
+def kind_of_section(section_id: Column) -> Column:
+    """The narrative kind in a chunk's section id, as html-risk_factors-3; facts for the bucket of facts."""
+    found = F.regexp_extract(section_id, "(risk_factors|md_and_a|business_description|financial_statements|legal_proceedings)", 1)
+    return F.when(found != "", found).when(section_id.contains("facts"), "facts").otherwise("")
+
+
+def rank_evidence(planned: DataFrame, chunks: DataFrame, questions: DataFrame, most: int = 20, cut: int = 2000) -> DataFrame:
+    """(query_id, rank, chunk_id, accession, section_id, score, excerpt, content_hash): the best chunks of the
+    planned sections by ``score_chunks``.
+
+    planned: query_id, accession, section_id, position and kind. chunks: section_id, chunk_id, window,
+    excerpt, label, concept (null for text), source, is_fact. questions: query_id, question, bias,
+    qualitative and excluded (array of kinds).
+
+    Sections and chunks of an excluded kind are left out. In the bucket of facts a question on figures
+    sees the facts whose concept it asks for, else, if it is about revenue, revenue facts, else all.
+    An empty excerpt is replaced by the label; chunks without either, and those scored below 0, don't
+    count. Ties go by the section's position, the chunk's window and its id; a chunk counts once a
+    question. The hash is that of the whole excerpt, which is then cut.
+    """
+    asked = questions.select("query_id", "question", "bias", "qualitative", F.coalesce("excluded", F.array().cast("array<string>")).alias("_out"))
+    rows = planned.select("query_id", "accession", "section_id", "position", F.coalesce("kind", F.lit("")).alias("_kind")).join(asked.hint("merge"), "query_id")
+    rows = rows.where(~F.array_contains("_out", F.col("_kind")))
+    rows = rows.join(chunks.hint("merge"), "section_id").where(~F.array_contains("_out", kind_of_section(F.col("section_id"))))
+    concept = F.coalesce(F.nullif("concept", F.lit("")), "label", F.lit(""))
+    level = F.when(S.concept_matches_query(concept, F.col("question")), 2).when(I.has(F.lower("question"), ("revenue", "sales")) & concept.rlike("(?i)" + S.REVENUE_CONCEPTS), 1).otherwise(0)
+    figures = (F.col("_kind") == "facts") & S.query_flags(F.col("question"))["is_financial"]
+    rows = rows.withColumn("_level", F.when(figures, level).otherwise(0))
+    best = F.max("_level").over(Window.partitionBy("query_id", "section_id"))
+    rows = rows.withColumn("_best", best).where(F.col("_level") == F.col("_best"))
+    shown = F.trim(F.coalesce(F.nullif(F.trim("excerpt"), F.lit("")), "label", F.lit("")))
+    rows = score_chunks(rows.withColumn("excerpt", shown).where("excerpt <> ''")).where("score >= 0")
+    order = (F.desc("score"), "position", "window", "chunk_id")
+    once = Window.partitionBy("query_id", "chunk_id").orderBy(*order)
+    rows = rows.withColumn("_n", F.row_number().over(once)).where("_n = 1")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= most)
+    return rows.select("query_id", "rank", "chunk_id", "accession", "section_id", "score", F.left("excerpt", F.lit(cut)).alias("excerpt"), F.sha2("excerpt", 256).alias("content_hash"))
+
+
 def scope_evidence(evidence: DataFrame, aligned: Column) -> DataFrame:
     """Of each query's evidence (query_id, kind, ...): HTML, then facts aligned with the period, or all
     facts where none is aligned."""

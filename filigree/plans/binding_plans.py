@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import binding as B
 from ..operators import graph as G
 from ..sources.views import Frames
@@ -105,6 +106,30 @@ def status(f: Frames) -> DataFrame:
     return G.materialize_status(heads.unionByName(orders.drop("o_orderkey")), edges, references)
 
 
+#: Facts as they are excerpted, and paragraphs on the filing, as chunks of the sections that ``_toc`` lists.
+_PARAGRAPHS = ((0, "html-risk_factors", "Risk factors: tariffs and supply may harm net sales"), (1, "html-md_and_a", "Management discussion of liquidity, revenue of $3 billion and outlook"), (3, "html-business_description", "The business and its strategy"), (1, "html-md_and_a", " "))
+
+
+def _ranked_inputs(f: Frames) -> tuple[DataFrame, DataFrame, DataFrame]:
+    planned = _planned(f).join(_toc(f).select("section_id", "ordinal", "label").hint("merge"), "section_id")
+    kind = F.element_at(F.array(*map(F.lit, ("risk_factors", "md_and_a", "facts", "business_description", ""))), F.col("ordinal") + 1)
+    planned = planned.select("query_id", "accession", F.concat_ws("/", "section_id", F.when(kind == "facts", "facts").otherwise(F.concat(F.lit("html-"), kind))).alias("section_id"), "position", kind.alias("kind"))
+    facts = f["excerpts"].select(F.concat(F.concat_ws("-s", "accession", F.lit("2")), F.lit("/facts")).alias("section_id"), F.col("fact_id").alias("chunk_id"), F.lit(0).alias("window"), "excerpt", F.col("concept").alias("label"), "concept", F.lit("xbrl").alias("source"), F.lit(True).alias("is_fact"))
+    said = F.explode(F.array(*[F.struct(F.lit(k).alias("w"), F.lit(o).alias("o"), F.lit(s).alias("s"), F.lit(t).alias("t")) for k, (o, s, t) in enumerate(_PARAGRAPHS)]))
+    text = f["filings"].select("accession", said.alias("p")).select(F.concat(F.concat_ws("-s", "accession", "p.o"), F.lit("/"), F.col("p.s")).alias("section_id"), F.concat_ws("-p", "accession", "p.w").alias("chunk_id"), F.col("p.w").alias("window"), F.col("p.t").alias("excerpt"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("concept"), F.lit("html").alias("source"), F.lit(False).alias("is_fact"))
+    intent = S.query_intent(F.col("question"))
+    excluded = F.when(F.col("item_id") % 5 == 1, F.array(F.lit("business_description"))).when(F.col("item_id") % 5 == 2, F.array(F.lit("risk_factors"), F.lit("facts")))
+    asked = f["questions"].select("query_id", "question", intent["source_bias"].alias("bias"), (intent["intent"] == "qualitative").alias("qualitative"), excluded.alias("excluded"))
+    return planned, facts.unionByName(text), asked
+
+
+@PLANS.add("r6_rank_evidence")
+def rank(f: Frames) -> DataFrame:
+    """The score can't be restated in short SQL; a test compares with plain Python on its own score."""
+    out = B.rank_evidence(*_ranked_inputs(f), 12)
+    return out.select("query_id", "rank", "chunk_id", "accession", F.round("score", 6).alias("score"), "content_hash")
+
+
 @PLANS.add("e13_slice_ids", "SELECT issuer_id AS item_id, 'slice-' || left(sha256(string_agg(accession, '|' ORDER BY accession)), 12) AS slice_id FROM filings GROUP BY 1", ("filings",))
 def slices(f: Frames) -> DataFrame:
     return G.slice_ids(f["filings"].groupBy(F.col("issuer_id").alias("item_id")).agg(F.collect_list("accession").alias("accessions")))
