@@ -212,6 +212,29 @@ def period_type(start: Column, end: Column) -> Column:
     return F.when(start.isNull() & end.isNull(), "unknown").when(start.isNull() | (days == 0), "instant").when(days >= 350, "annual").otherwise("interim")
 
 
+def enrich_catalog(facts: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Add standard_label, metric_roles, statement_role, period_type, calc_parents and calc_children to facts
+    (concept, period_start, period_end, is_annual).
+
+    What the concept's name says is overruled by its row in taxonomy (concept, standard_label,
+    statement_role, metric_roles, calc_parents, calc_children; one a concept), where that has a label
+    and a statement other than "other"; its roles come before those of the name, each once. A concept
+    with very many facts meets one row.
+    """
+    none = F.array().cast("array<string>")
+    known = taxonomy.select("concept", *[F.col(c).alias(f"_{c}") for c in ("standard_label", "statement_role", "metric_roles", "calc_parents", "calc_children")])
+    rows = facts.join(known.hint("merge"), "concept", "left").withColumn("_named", S.concept_roles(F.col("concept")))
+    days = F.datediff("period_end", "period_start")
+    kind = F.when(F.col("is_annual"), "annual").when(days != 0, "interim").when(F.col("period_start").isNull() & F.col("period_end").isNotNull(), "instant").otherwise("unknown")
+    told = F.when(F.col("_statement_role") != "other", F.col("_statement_role"))
+    return rows.withColumns({
+        "standard_label": F.coalesce(F.nullif("_standard_label", F.lit("")), F.col("_named.label"), S.split_camel_label(F.col("concept"))),
+        "metric_roles": F.array_distinct(F.concat(F.coalesce("_metric_roles", none), F.coalesce("_named.roles", none))),
+        "statement_role": F.coalesce(told, F.col("_named.statement"), F.lit("other")), "period_type": kind,
+        "calc_parents": F.coalesce("_calc_parents", none), "calc_children": F.coalesce("_calc_children", none),
+    }).drop("_named", *known.columns[1:])
+
+
 def catalog_trim(facts: DataFrame, roles: list[list[str]], most: int = 50) -> DataFrame:
     """The first ``most`` facts of each issuer: by the first role list that names the concept, then
     annual before interim, then the newest."""

@@ -34,6 +34,31 @@ def trajectory_hops(steps: DataFrame, audit_stage: str = "audit") -> DataFrame:
     return steps.where(F.col("stage") != audit_stage).withColumn("hop_index", F.row_number().over(w) - 1).select("query_id", "hop_index", "stage", "node_id")
 
 
+def trajectory_route(bound: DataFrame, filings: DataFrame) -> DataFrame:
+    """(query_id, position, accession, form_type, cik, filed_at, period_end, label): the filings that a query
+    was routed to (bound: query_id, position, accession). label: the year of an annual report, the date
+    that another's period ends on, null without one. Unknown accessions are left out."""
+    rows = bound.join(filings.select("accession", "form_type", "cik", "filed_at", "period_end").hint("merge"), "accession")
+    label = F.when(F.col("form_type") == "10-K", F.concat(F.lit("FY"), F.year("period_end"))).otherwise(F.col("period_end").cast("string"))
+    return rows.select("query_id", "position", "accession", "form_type", "cik", F.col("filed_at").cast("string").alias("filed_at"), F.col("period_end").cast("string").alias("period_end"), label.alias("label"))
+
+
+def trajectory_evidence(evidence: DataFrame, prompts: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, content_hash, citation_label, source_type, accession, section_id, in_prompt) of
+    evidence (query_id, chunk_id, content_hash, citation, source, accession, section_id): a missing
+    citation is the chunk's id, a missing source is narrative, a missing accession the one in the id.
+    prompts: (query_id, chunk_id) that a query's prompt had; a query without any had all."""
+    text = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    given = prompts.select("query_id").distinct().withColumn("_any", F.lit(True))
+    had = prompts.select("query_id", "chunk_id").distinct().withColumn("_had", F.lit(True))
+    rows = evidence.join(had.hint("merge"), ["query_id", "chunk_id"], "left").join(given.hint("merge"), "query_id", "left")
+    return rows.select(
+        "query_id", "chunk_id", F.coalesce("content_hash", F.lit("")).alias("content_hash"), F.coalesce(text("citation"), F.col("chunk_id")).alias("citation_label"),
+        F.lower(F.coalesce(text("source"), F.lit("narrative"))).alias("source_type"), F.coalesce(text("accession"), S.accession_of(F.col("chunk_id"))).alias("accession"), text("section_id").alias("section_id"),
+        (F.col("_had").isNotNull() | F.col("_any").isNull()).alias("in_prompt"),
+    )
+
+
 def evidence_paths(evidence: DataFrame, visits: DataFrame, most: int) -> DataFrame:
     """The first ``most`` evidence rows (query_id, rank, node_id) with the edge type of the node's last
     visit (query_id, ordinal, node_id, edge_type)."""

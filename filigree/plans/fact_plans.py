@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import facts as O
+from ..sources.readers import calc_hierarchy
 from ..sources.views import Frames
 from .plan import Plans
 
@@ -59,6 +60,38 @@ def types(f: Frames) -> DataFrame:
     return f["facts"].select("fact_id", O.period_type(F.col("period_start"), F.col("period_end")).alias("period_type"))
 
 
+@PLANS.add("f6_calc_hierarchy", """
+WITH a AS (SELECT 'p-' || (l_partkey % 500) AS parent, 's-' || l_suppkey AS child FROM lineitem UNION ALL SELECT 's-' || l_suppkey, 'p-' || (l_partkey % 500 + 500) FROM lineitem WHERE l_linenumber = 7),
+d AS (SELECT parent AS concept, string_agg(DISTINCT child, ',' ORDER BY child) AS children FROM a GROUP BY 1), u AS (SELECT child AS concept, string_agg(DISTINCT parent, ',' ORDER BY parent) AS parents FROM a GROUP BY 1)
+SELECT concept, coalesce(parents, '') AS parents, coalesce(children, '') AS children FROM d FULL JOIN u USING (concept)""")
+def hierarchy(f: Frames) -> DataFrame:
+    part, supplier = F.col("l_partkey") % 500, F.concat(F.lit("s-"), "l_suppkey")
+    arcs = f["lineitem"].select(F.concat(F.lit("p-"), part).alias("parent"), supplier.alias("child")).unionByName(f["lineitem"].where("l_linenumber = 7").select(supplier.alias("parent"), F.concat(F.lit("p-"), part + 500).alias("child")))
+    return calc_hierarchy(arcs).select("concept", *[F.array_join(c, ",").alias(c) for c in ("parents", "children")])
+
+
+#: Metadata of some concepts, as a taxonomy of the issuers would have it: a label of its own, a statement, roles
+#: beside those of the name, and sums.
+_TAXONOMY = (
+    ("Revenues", "Net sales", "other", ("revenue", "segment_sales"), (), ("CostOfRevenue",)), ("CostOfRevenue", "", "income_statement", (), ("Revenues",), ()), ("InventoryNet", "Inventories", "balance_sheet", ("inventory",), ("Assets",), ()),
+    ("Assets", None, None, None, None, None),
+)
+
+
+@PLANS.add("f9_enrich_catalog", """
+SELECT fact_id, CASE concept WHEN 'Revenues' THEN 'Net sales' WHEN 'InventoryNet' THEN 'Inventories' WHEN 'NetIncomeLoss' THEN 'Net income (loss)' WHEN 'IncomeLossBeforeIncomeTaxes' THEN 'Income before income taxes' WHEN 'Assets' THEN 'Total assets' WHEN 'StockholdersEquity' THEN 'Total shareholders'' equity' WHEN 'LiabilitiesCurrent' THEN 'Total liabilities'
+    ELSE trim(regexp_replace(concept, '([a-z])([A-Z])', '\\1 \\2', 'g')) END AS standard_label,
+  CASE concept WHEN 'Revenues' THEN 'revenue,segment_sales,total_revenue,margin_denominator' WHEN 'InventoryNet' THEN 'inventory' WHEN 'NetIncomeLoss' THEN 'net_income,margin_numerator' WHEN 'IncomeLossBeforeIncomeTaxes' THEN 'pretax_income' WHEN 'Assets' THEN 'total_assets' WHEN 'StockholdersEquity' THEN 'total_equity' WHEN 'LiabilitiesCurrent' THEN 'total_liabilities' ELSE '' END AS metric_roles,
+  CASE WHEN concept IN ('Revenues', 'CostOfRevenue', 'NetIncomeLoss', 'IncomeLossBeforeIncomeTaxes') THEN 'income_statement' WHEN concept IN ('InventoryNet', 'Assets', 'StockholdersEquity', 'LiabilitiesCurrent') THEN 'balance_sheet' ELSE 'other' END AS statement_role,
+  CASE WHEN form_type = '10-K' THEN 'annual' WHEN value_num % 5 = 0 THEN 'instant' ELSE 'interim' END AS period_type, CASE concept WHEN 'CostOfRevenue' THEN 'Revenues' WHEN 'InventoryNet' THEN 'Assets' ELSE '' END AS calc_parents, CASE concept WHEN 'Revenues' THEN 'CostOfRevenue' ELSE '' END AS calc_children FROM facts""", ("facts",))
+def enriched(f: Frames) -> DataFrame:
+    kind = "concept string, standard_label string, statement_role string, metric_roles array<string>, calc_parents array<string>, calc_children array<string>"
+    taxonomy = f.spark.createDataFrame([tuple(list(x) if isinstance(x, tuple) else x for x in t) for t in _TAXONOMY], kind)
+    facts = f["facts"].withColumns({"is_annual": F.col("form_type") == "10-K", "period_start": F.when((F.col("form_type") == "10-K") | (F.col("value_num") % 5 != 0), F.col("period_start"))})
+    out = O.enrich_catalog(facts, taxonomy)
+    return out.select("fact_id", "standard_label", "statement_role", "period_type", *[F.array_join(c, ",").alias(c) for c in ("metric_roles", "calc_parents", "calc_children")])
+
+
 @PLANS.add("f11_trim_catalog", """
 SELECT issuer_id, fact_id, priority, position FROM (SELECT *, row_number() OVER (PARTITION BY issuer_id ORDER BY priority, CASE WHEN form_type = '10-K' THEN 0 ELSE 1 END, period_end DESC, fact_id)::INT AS position
   FROM (SELECT *, CASE WHEN concept IN ('NetIncomeLoss', 'Revenues') THEN 0 WHEN concept = 'Assets' THEN 1 ELSE 2 END AS priority FROM facts)) WHERE position <= 50""", ("facts",))

@@ -116,3 +116,13 @@ def merged_narrative(f: Frames) -> DataFrame:
     documents = f["doc_lines"].select(F.col("node_id").alias("accession"), F.concat(F.lit("old "), "doc_id").alias("content_hash"), (F.col("doc_id") % 5 == 0).alias("skip"), "doc_id")
     html = lines.where("ordinal % 2 = 1").hint("merge").join(documents.where("doc_id % 4 <> 0").select("accession"), "accession")
     return T.merge_narrative(documents, lines.where("ordinal % 2 = 0"), html)[1]
+
+
+@PLANS.add("g6_parse_confidence", """
+WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_facts, length(text) - length(replace(text, '|', '')) AS n_tables, greatest(0, length(text) - length(replace(text, chr(10), '')) - 1) AS n_sections FROM documents)
+SELECT doc_id, CASE WHEN n_facts > 0 AND n_sections > 0 THEN 0.95 WHEN n_tables > 0 AND n_sections > 0 THEN 0.88 WHEN n_tables > 0 OR n_sections > 0 THEN 0.65 ELSE 0.4 END::DOUBLE AS confidence FROM c""")
+def confidence(f: Frames) -> DataFrame:
+    """Digits, bars and lines stand for facts, tables and sections."""
+    t = F.col("text")
+    rows = f["documents"].select("doc_id", F.length(F.regexp_replace(t, "[^0-9]", "")).alias("n_facts"), (F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))).alias("n_tables"), F.greatest(F.lit(0), F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) - 1).alias("n_sections"))
+    return T.parse_confidence(rows).select("doc_id", "confidence")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import segment_hint, split_camel_label
@@ -309,3 +309,45 @@ def labelled_facts(f: Frames) -> DataFrame:
 @PLANS.add("e4_fact_nodes", "SELECT DISTINCT 'doc-' || accession AS source_id, 'doc-' || accession || '-xbrl-facts' AS target_id, 'CONTAINS' AS edge_type FROM facts UNION ALL SELECT 'doc-' || accession || '-xbrl-facts', fact_id, 'CONTAINS' FROM facts", ("facts",))
 def fact_edges(f: Frames) -> DataFrame:
     return V.fact_nodes_edges(f["facts"])
+
+
+@PLANS.add("m36_trajectory_route", """
+SELECT query_id, position, accession, form_type, cik, filed_at::VARCHAR AS filed_at, period_end::VARCHAR AS period_end, CASE WHEN form_type = '10-K' THEN 'FY' || year(period_end) ELSE period_end::VARCHAR END AS label
+FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY accession) - 1)::INT AS position, r.* FROM questions JOIN recent r USING (issuer_id))""", ("questions", "recent"))
+def route(f: Frames) -> DataFrame:
+    position = F.row_number().over(Window.partitionBy("query_id").orderBy("accession")) - 1
+    bound = f["questions"].join(f["recent"].select("issuer_id", "accession").hint("merge"), "issuer_id").select("query_id", position.alias("position"), "accession")
+    gone = bound.where("position = 0").withColumn("accession", F.lit("gone"))
+    return V.trajectory_route(bound.unionByName(gone), f["filings"])
+
+
+@PLANS.add("m36_trajectory_evidence", """
+WITH e AS (SELECT user_id AS query_id, event_id, event_type, value FROM events), p AS (SELECT DISTINCT query_id FROM e WHERE event_id % 5 = 0)
+SELECT query_id, CASE WHEN event_id % 3 = 0 THEN 'doc-0000000001-02-' || lpad((event_id % 1000000)::VARCHAR, 6, '0') || '-c' ELSE 'chunk-' || event_id END AS chunk_id, sha256(event_type) AS content_hash, CASE WHEN event_id % 4 = 1 THEN event_type WHEN event_id % 3 = 0 THEN 'doc-0000000001-02-' || lpad((event_id % 1000000)::VARCHAR, 6, '0') || '-c' ELSE 'chunk-' || event_id END AS citation_label,
+  CASE WHEN event_id % 7 = 0 THEN 'narrative' WHEN event_id % 2 = 0 THEN 'xbrl' ELSE 'html' END AS source_type, CASE WHEN event_id % 6 <> 0 AND event_id % 3 = 0 THEN '0000000001-02-' || lpad((event_id % 1000000)::VARCHAR, 6, '0') WHEN event_id % 6 = 0 THEN 'own' ELSE '' END AS accession,
+  nullif(event_type, 'view') AS section_id, event_id % 5 = 0 OR query_id NOT IN (SELECT query_id FROM p) AS in_prompt FROM e""")
+def exported(f: Frames) -> DataFrame:
+    n, e = F.col("event_id"), f["events"]
+    chunk = F.when(n % 3 == 0, F.concat(F.lit("doc-0000000001-02-"), F.lpad((n % 1000000).cast("string"), 6, "0"), F.lit("-c"))).otherwise(F.concat(F.lit("chunk-"), n))
+    rows = e.select(F.col("user_id").alias("query_id"), chunk.alias("chunk_id"), F.sha2("event_type", 256).alias("content_hash"), F.when(n % 4 == 1, F.col("event_type")).when(n % 4 == 2, "").alias("citation"),
+        F.when(n % 7 == 0, F.lit(None)).when(n % 2 == 0, "XBRL").otherwise("HTML").alias("source"), F.when(n % 6 == 0, "own").alias("accession"), F.when(F.col("event_type") != "view", F.col("event_type")).otherwise("").alias("section_id"))
+    return V.trajectory_evidence(rows, e.where(n % 5 == 0).select(F.col("user_id").alias("query_id"), chunk.alias("chunk_id")))
+
+
+@PLANS.add("m9_hydrate_evidence", """
+SELECT l_orderkey AS query_id, array_to_string(CASE WHEN count(*) FILTER (l_returnflag = 'A') > 0 THEN list(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (l_returnflag = 'A') ELSE list(l_suppkey ORDER BY l_linenumber, l_suppkey) END, ',') AS evidence FROM lineitem GROUP BY 1""")
+def hydrated(f: Frames) -> DataFrame:
+    in_order = lambda c, when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("l_linenumber", F.col(c).alias("v"))))), lambda x: x["v"])
+    found = F.col("l_returnflag") == "A"
+    rows = f["lineitem"].groupBy(F.col("l_orderkey").alias("query_id")).agg(in_order("l_partkey", found).alias("e"), in_order("l_suppkey", F.lit(True)).alias("citations"))
+    rows = rows.withColumn("evidence", F.when(F.col("query_id") % 2 == 0, F.nullif("e", F.array().cast("array<bigint>"))).otherwise(F.col("e")))
+    return V.hydrate_evidence(rows).select("query_id", F.array_join("evidence", ",").alias("evidence"))
+
+
+@PLANS.add("g9_divestiture_facts", """
+SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN (c_nationkey + 0.5) * 1e9 ELSE (c_custkey % 100) * 1e6 END::DOUBLE AS amount, 'the ' || lower(c_mktsegment) || ' unit' AS asset FROM customer WHERE c_acctbal > 0""")
+def sales(f: Frames) -> DataFrame:
+    """Customers with a positive balance sold a unit; others say less than that."""
+    scale = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_nationkey", F.lit(".5 billion, and SOLD a part for $1 million"))).otherwise(F.concat(F.col("c_custkey") % 100, F.lit(" Million")))
+    text = F.when(F.col("c_acctbal") > 0, F.concat(F.lit("In June "), "c_name", F.lit(" Sold the "), F.lower("c_mktsegment"), F.lit(" unit for $"), scale)).when(F.col("c_custkey") % 2 == 0, "They sold 3 units for $5 billion").otherwise("sold the unit for 5 billion")
+    return V.divestiture_facts(f["customer"].select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
