@@ -143,12 +143,15 @@ def excerpt_matches_value(excerpt: Column, target: Column, tolerance: float = 0.
     numbers = F.regexp_extract_all(F.translate(excerpt, ",", ""), F.lit(r"(-?[0-9]+(?:\.[0-9]+)?)"), 1)
     low = F.lower(excerpt)
 
-    def fits(raw: Column) -> Column:
-        x = raw.try_cast("double")
-        near = F.abs(x - target) / F.greatest(F.abs(x), F.abs(target), F.lit(1.0)) <= tolerance
-        return near | (low.contains("billion") & (x * 1e9 == target)) | (low.contains("million") & (x * 1e6 == target))
+    def found(known: Column) -> Column:
+        def fits(raw: Column) -> Column:
+            x, t = raw.try_cast("double"), known["t"]
+            near = F.abs(x - t) / F.greatest(F.abs(x), F.abs(t), F.lit(1.0)) <= tolerance
+            return near | (known["b"] & (x * 1e9 == t)) | (known["m"] & (x * 1e6 == t))
 
-    return F.exists(numbers, fits)
+        return F.exists(known["n"], fits)
+
+    return let(F.struct(numbers.alias("n"), target.alias("t"), low.contains("billion").alias("b"), low.contains("million").alias("m")), found)
 
 
 def infer_raw_value(answer: Column, decimals: int = -6) -> Column:

@@ -40,7 +40,9 @@ def balanced_select(items: DataFrame, targets: DataFrame, seed: int) -> DataFram
     """Of each profile its target's number of items with the least draw; ``short`` is set where a
     profile has fewer."""
     w = Window.partitionBy("profile").orderBy("key", "item_id")
-    rows = items.withColumn("key", draw(seed, F.col("item_id"))).withColumn("_n", F.row_number().over(w))
+    # The largest target, one number, bounds what a task keeps of a profile.
+    most = targets.agg(F.max("target")).first()[0] or 0
+    rows = items.withColumn("key", draw(seed, F.col("item_id"))).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
     sizes = items.groupBy("profile").agg(F.count("*").alias("_have"))
     rows = rows.join(targets.hint("merge"), "profile").where(F.col("_n") <= F.col("target")).join(sizes.hint("merge"), "profile")
     return rows.select("item_id", "profile", (F.col("_have") < F.col("target")).alias("short"))
@@ -50,7 +52,8 @@ def stratified_sample(items: DataFrame, keys: list[str], n: int, seed: int) -> D
     """``n`` items: first max(1, n / buckets) of each bucket by draw, then the rest by draw."""
     buckets = items.select(*keys).distinct().agg(F.count("*").alias("_b"))
     w = Window.partitionBy(*keys).orderBy("key", "item_id")
-    rows = items.withColumn("key", draw(seed, F.col("item_id"))).withColumn("_n", F.row_number().over(w))
+    # What n others of its bucket precede can't be chosen.
+    rows = items.withColumn("key", draw(seed, F.col("item_id"))).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
     # One row: the number of buckets.
     rows = rows.join(F.broadcast(buckets)).withColumn("_late", (F.col("_n") > F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_b")))).cast("int"))
     return rows.orderBy("_late", "key", "item_id").limit(n).select("item_id", *keys)
@@ -141,7 +144,8 @@ def stratified_smoke(items: DataFrame, n: int, priority: Column) -> DataFrame:
     order of priority, then the rest by id."""
     buckets = items.select("profile", "answer_type").distinct().agg(F.count("*").alias("_b"))
     w = Window.partitionBy("profile", "answer_type").orderBy("item_id")
-    rows = items.withColumns({"_n": F.row_number().over(w), "_p": priority}).join(F.broadcast(buckets))  # one row
+    # What n others of its bucket precede can't be chosen.
+    rows = items.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).withColumn("_p", priority).join(F.broadcast(buckets))  # one row
     first = F.col("_n") <= F.greatest(F.lit(2), F.floor(F.lit(n) / F.greatest("_b", F.lit(1))))
     order = (F.desc(first), F.when(first, F.col("_p")), F.when(first, F.col("profile")), "item_id")
     return rows.orderBy(*order).limit(n).select("item_id", "profile", "answer_type")
@@ -154,8 +158,8 @@ def validate_items(items: DataFrame, accessions: DataFrame) -> DataFrame:
     """
     wanted = items.select("item_id", F.explode("accessions").alias("accession")).distinct()
     known = accessions.select("accession").distinct().withColumn("_known", F.lit(True))
-    missing = wanted.join(known, "accession", "left").groupBy("item_id").agg(F.count_if(F.col("_known").isNull()).alias("_missing"))
-    rows = items.join(missing, "item_id", "left")
+    missing = wanted.join(known.hint("merge"), "accession", "left").groupBy("item_id").agg(F.count_if(F.col("_known").isNull()).alias("_missing"))
+    rows = items.join(missing.hint("merge"), "item_id", "left")
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     codes = F.array_compact(F.array(
         F.when(blank("question"), "empty_question"), F.when(F.size("accessions") <= 0, "missing_accessions"), F.when(F.coalesce("_missing", F.lit(0)) > 0, "accession_not_in_snapshot"),
@@ -177,7 +181,7 @@ def resolve_paths(paths: DataFrame, index: DataFrame) -> DataFrame:
     from ..functions import scalars as S
 
     have = index.select("accession", "path", S.section_key(S.split_section_path(F.col("path"))["tail"]).alias("_gk"))
-    rows = paths.withColumn("_k", S.section_key(F.col("tail"))).join(have, "accession")
+    rows = paths.withColumn("_k", S.section_key(F.col("tail"))).join(have.hint("merge"), "accession")
     item, other = S.item_key(F.col("_k")), S.item_key(F.col("_gk"))
     same_item = F.coalesce(item == other, F.lit(False))
     fits = same_item | (F.col("_k") == F.col("_gk")) | F.col("_k").startswith(F.col("_gk")) | F.col("_gk").startswith(F.col("_k"))

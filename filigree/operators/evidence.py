@@ -196,7 +196,7 @@ def resolve_section_nodes(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     for the accession and by its label: 20 equal, 15 of the same item, 12 containing the tail, else 5.
     """
     p = paths.select("path").distinct().withColumn("_s", S.split_section_path(F.col("path"))).select("path", F.col("_s.accession").alias("accession"), F.col("_s.tail").alias("_tail"))
-    rows = p.join(nodes.withColumnRenamed("node_id", "_node"), "accession")
+    rows = p.join(nodes.withColumnRenamed("node_id", "_node").hint("merge"), "accession")
     key, label = S.section_key(F.col("_tail")), S.section_key(F.coalesce("label", F.lit("")))
     item, items = S.item_key(key), F.filter(F.array(S.item_key(label), S.item_key(S.section_key(F.coalesce("section_path", F.lit(""))))), lambda x: x.isNotNull())
     holds = (F.col("_tail") != "") & F.contains("label", "_tail")
@@ -219,7 +219,7 @@ def pick_section_paths(items: DataFrame, index: DataFrame) -> DataFrame:
     sale = I.divestiture_flags(F.col("question"), F.col("answer"), F.col("truth"))
     wanted = items.select("item_id", "accession", I.section_hints(F.col("question"), F.col("answer"), F.col("truth")).alias("_hints"), sale.alias("_sale"))
     known = index.withColumn("_tail", S.split_section_path(F.col("path"))["tail"]).where(~S.is_corrupt_tail(F.col("_tail"))).distinct()
-    rows = wanted.join(known, "accession").withColumn("score", I.path_score(F.col("_tail"), F.col("_hints"), F.col("_sale"))).where("score > 0")
+    rows = wanted.join(known.hint("merge"), "accession").withColumn("score", I.path_score(F.col("_tail"), F.col("_hints"), F.col("_sale"))).where("score > 0")
     w = Window.partitionBy("item_id", "accession").orderBy(F.desc("score"), "path")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("item_id", "accession", "path", "score")
 

@@ -14,6 +14,8 @@ from ..functions.lineage import written
 EVIDENCE_TYPES = ("CHUNK_PARAGRAPH", "CHUNK_TABLE", "CHUNK_ROW", "CHUNK_XBRL_FACT", "CHUNK_FOOTNOTE")
 STRUCTURAL = ("CONTAINS", "NEXT", "REFERENCES", "FOOTNOTE_OF")
 WINDOW_CHARS = 4000
+#: Concepts that may be broadcast, some 100 bytes each; more are joined by sorting.
+MAX_CONCEPTS = 50_000
 
 
 def sections_of(documents: DataFrame) -> DataFrame:
@@ -175,10 +177,12 @@ def same_concept_classes(facts: DataFrame) -> DataFrame:
     Every two facts of a concept in different filings are linked, so a concept is a class and the
     links of a fact are the class's facts less those of its own filing; pairs needn't be listed.
     """
-    own = facts.groupBy("concept", "accession").agg(F.count("*").alias("_own"))
-    every = own.groupBy("concept").agg(F.sum("_own").alias("_all"))
-    heads = facts.groupBy("concept").agg(F.min("fact_id").alias("class_id"))
-    rows = facts.join(own, ["concept", "accession"]).join(every, "concept").join(heads, "concept")
+    own = facts.groupBy("concept", "accession").agg(F.count("*").alias("_own"), F.min("fact_id").alias("_least"))
+    heads = written(own.groupBy("concept").agg(F.sum("_own").alias("_all"), F.min("_least").alias("class_id")), "concepts")
+    # A row a concept; concepts have very many facts each, so few are looked up without a shuffle.
+    few = heads.limit(MAX_CONCEPTS + 1).count() <= MAX_CONCEPTS
+    counts = own.drop("_least").join(heads.hint("broadcast" if few else "merge"), "concept")
+    rows = facts.join(counts.hint("merge"), ["concept", "accession"])
     return rows.select("fact_id", "class_id", (F.col("_all") - F.col("_own")).alias("n_links"))
 
 

@@ -193,6 +193,15 @@ def validate_trajectories(rows: DataFrame) -> DataFrame:
     return rows.withColumn("codes", codes).withColumn("validation", status)
 
 
+def trajectory_gate(validated: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """One row over validated trajectories (validation): total, complete, incomplete, non_reproducible,
+    pass_rate (0 without any) and passed."""
+    of = lambda status: F.count_if(F.col("validation") == status).alias(status)
+    g = validated.agg(F.count("*").alias("total"), of("complete"), of("incomplete"), of("non_reproducible"))
+    rate = F.when(F.col("total") > 0, F.col("complete") / F.col("total")).otherwise(0.0)
+    return g.withColumns({"pass_rate": rate, "passed": rate >= threshold})
+
+
 def phase_gate(cohort: DataFrame, results: DataFrame, floor: int) -> DataFrame:
     """One row: items of the cohort, those with a positive outcome (no result counts as none), the mean
     outcome, and whether the floor is reached."""

@@ -38,7 +38,8 @@ def paragraphs(f: Frames) -> DataFrame:
 
 
 @PLANS.add("e9_same_concept_classes", """
-SELECT a.fact_id, (SELECT min(fact_id) FROM facts b WHERE b.concept = a.concept) AS class_id, (SELECT count(*) FROM facts b WHERE b.concept = a.concept AND b.accession <> a.accession) AS n_links FROM facts a""", ("facts",))
+WITH c AS (SELECT concept, min(fact_id) AS class_id, count(*) AS n FROM facts GROUP BY 1), o AS (SELECT concept, accession, count(*) AS own FROM facts GROUP BY 1, 2)
+SELECT fact_id, class_id, n - own AS n_links FROM facts JOIN c USING (concept) JOIN o USING (concept, accession)""", ("facts",))
 def concepts(f: Frames) -> DataFrame:
     return G.same_concept_classes(f["facts"])
 

@@ -150,13 +150,12 @@ def trajectories(f: Frames) -> DataFrame:
 
 
 @PLANS.add("m11_trajectory_gate", """
-WITH t AS (SELECT conv_id, bool_or(turn % 4 = 3) AS astray FROM conversations GROUP BY 1)
-SELECT count(*) AS n, count(*) FILTER (NOT astray) AS complete, round(count(*) FILTER (NOT astray) / count(*)::DOUBLE, 9) AS pass_rate, count(*) FILTER (NOT astray) / count(*)::DOUBLE >= 0.9 AS passed FROM t""")
+WITH t AS (SELECT conv_id, bool_or(turn % 4 = 3) AS astray, bool_or(role = '') AS blank FROM conversations GROUP BY 1),
+v AS (SELECT CASE WHEN conv_id % 5 <> 0 AND astray THEN 'non_reproducible' WHEN (conv_id % 5 = 0 AND conv_id % 2 = 0) OR blank THEN 'incomplete' ELSE 'complete' END AS s FROM t)
+SELECT count(*) AS total, count(*) FILTER (s = 'complete') AS complete, count(*) FILTER (s = 'incomplete') AS incomplete, count(*) FILTER (s = 'non_reproducible') AS non_reproducible,
+  round(count(*) FILTER (s = 'complete') / count(*)::DOUBLE, 9) AS pass_rate, count(*) FILTER (s = 'complete') / count(*)::DOUBLE >= 0.9 AS passed FROM v""")
 def gate(f: Frames) -> DataFrame:
-    t = f["conversations"].groupBy("conv_id").agg(F.max((F.col("turn") % 4 == 3)).alias("astray"))
-    g = t.agg(F.count("*").alias("n"), F.count_if(~F.col("astray")).alias("complete"))
-    rate = F.col("complete") / F.col("n")
-    return g.withColumns({"pass_rate": F.round(rate, 9), "passed": rate >= 0.9})
+    return _rounded(M.trajectory_gate(trajectories(f)), "pass_rate")
 
 
 @PLANS.add("m24_phase_gate", """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -206,11 +206,32 @@ def url(f: Frames) -> DataFrame:
     return f["filings"].select("accession", S.edgar_url(F.col("cik"), F.col("accession")).alias("url"))
 
 
-@PLANS.add("b24_narrative_kind", r"""
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'risk_factors' WHEN 1 THEN 'md_and_a' WHEN 2 THEN 'md_and_a' WHEN 3 THEN 'business_description' WHEN 4 THEN 'other' ELSE 'risk_factors' END AS kind FROM doc_lines""", ("doc_lines",))
+#: Parts that names are put together from, one of each list by a digit of the text's digest, with a word
+#: of the text between them.
+_TITLES = (("Item 7", "ITEM 1A", "Item 1.", "item 17", "Part I", "Note", "MD&A", "Item 9"), ("Management's", "Risk", "business", "Controls", "Factors"), ("discussion", "Factor", "Business", "Results", "of operations", "analysis"))
+_TAILS = (("Item 7", "risk_factors", "the", "Results", "Item2a", "", "net sales"), ("and", "$5 billion", "12345", "2 million", "of the", "mmx"), ("", "would grow its sales in the region", "over time, as the company said that it would", "for the year"))
+_FILES = (("a", "R1", "form", "x_htm"), ("", "-xbrl", "_XBRL", "_cal", "_LAB", "_pre", "_def", "_htm"), (".zip", ".xml", ".xsd", ".htm"))
+
+
+def _made(parts: tuple[tuple[str, ...], ...], blank: str) -> Column:
+    """A name of the parts and the first word of the text."""
+    pick = lambda k, names: F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.conv(F.substring(F.md5("text"), 4 * k + 1, 4), 16, 10).cast("int"), F.lit(len(names))) + 1).cast("int"))
+    word = F.regexp_extract("text", "([A-Za-z]+)", 1)
+    return F.concat_ws(blank, pick(0, parts[0]), word, *[pick(k, p) for k, p in enumerate(parts[1:], 1)])
+
+
+def _made_sql(parts: tuple[tuple[str, ...], ...], blank: str) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    picks = [f"[{', '.join(map(quote, p))}][('0x' || substr(md5(text), {4 * k + 1}, 4))::INT % {len(p)} + 1]" for k, p in enumerate(parts)]
+    return f"concat_ws('{blank}', {picks[0]}, regexp_extract(text, '([A-Za-z]+)', 1), {', '.join(picks[1:])})"
+
+
+@PLANS.add("b24_narrative_kind", rf"""
+WITH t AS (SELECT doc_id, {_made_sql(_TITLES, ' ')} AS title FROM doc_lines), l AS (SELECT *, lower(title) AS t FROM t)
+SELECT doc_id, title, CASE WHEN t LIKE '%risk factor%' OR t LIKE '%item 1a%' THEN 'risk_factors' WHEN (t LIKE '%management%' AND t LIKE '%discussion%') OR regexp_matches(t, '\bitem\s+7\b') OR t LIKE '%md&a%' THEN 'md_and_a' WHEN t LIKE '%item 1.%' AND t LIKE '%business%' THEN 'business_description' ELSE 'other' END AS kind FROM l""", ("doc_lines",))
 def kind(f: Frames) -> DataFrame:
-    titles = F.array(*map(F.lit, ("Risk Factors", "Management's Discussion", "Item 7 Results", "Item 1. Business", "Item 9 Controls", "ITEM 1A")))
-    return f["doc_lines"].select("doc_id", S.narrative_kind(titles[(F.col("doc_id") % 6).cast("int")]).alias("kind"))
+    title = _made(_TITLES, " ")
+    return f["doc_lines"].select("doc_id", title.alias("title")).withColumn("kind", S.narrative_kind(F.col("title")))
 
 
 @PLANS.add("b37_year_mismatch", r"""
@@ -254,12 +275,13 @@ def flags(f: Frames) -> DataFrame:
     return f["questions"].select("query_id", *[g[n].alias(n) for n in Q.flags("q")])
 
 
-@PLANS.add("b26_corrupt_paths", r"""
-WITH t AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Item 7' WHEN 1 THEN 'risk_factors' WHEN 2 THEN '$5 billion' WHEN 3 THEN 'the company said that it would grow its sales in the region over time' WHEN 4 THEN '' WHEN 5 THEN 'net sales rose because of the strong demand' ELSE 'Results 12345' END AS tail FROM doc_lines)
-SELECT doc_id, doc_id % 7 IN (2, 3, 4, 5, 6) AS corrupt FROM t""", ("doc_lines",))
+@PLANS.add("b26_corrupt_paths", rf"""
+WITH t AS (SELECT doc_id, {_made_sql(_TAILS, ' ')} AS tail FROM doc_lines), l AS (SELECT *, trim(tail) AS t FROM t),
+m AS (SELECT *, length(t) - length(replace(t, ' ', '')) AS blanks, length(t) - length(replace(replace(replace(t, ' ', ''), '_', ''), '-', '')) AS gaps FROM l)
+SELECT doc_id, tail, CASE WHEN t = '' OR regexp_matches(t, '(?i)[\$€£]|\b(billion|million|thousand|bn|mm)\b|[0-9]{{5,}}') THEN true WHEN regexp_matches(lower(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')), 'item[0-9]') THEN false
+  WHEN length(t) <= 48 AND blanks <= 4 AND gaps <= 3 THEN false WHEN length(t) > 60 OR blanks >= 6 THEN true ELSE regexp_matches(t, '^[a-z]') AND NOT contains(lower(left(t, 12)), 'item') END AS corrupt FROM m""", ("doc_lines",))
 def corrupt(f: Frames) -> DataFrame:
-    tails = F.array(*map(F.lit, ("Item 7", "risk_factors", "$5 billion", "the company said that it would grow its sales in the region over time", "", "net sales rose because of the strong demand", "Results 12345")))
-    return f["doc_lines"].select("doc_id", S.is_corrupt_tail(tails[(F.col("doc_id") % 7).cast("int")]).alias("corrupt"))
+    return f["doc_lines"].select("doc_id", _made(_TAILS, " ").alias("tail")).withColumn("corrupt", S.is_corrupt_tail(F.col("tail")))
 
 
 @PLANS.add("b29_outcome_scores", """
@@ -279,11 +301,12 @@ def rescore(f: Frames) -> DataFrame:
     return f["results"].select("variant_id", "item_id", F.size(need).alias("n_required"), S.needs_scoring(version, have, need).alias("rescore"))
 
 
-@PLANS.add("a11_artifact_role", """
-SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'xbrl_zip' WHEN 1 THEN 'instance' WHEN 2 THEN 'schema' WHEN 3 THEN 'calculation' WHEN 4 THEN 'definition' WHEN 5 THEN 'label' WHEN 6 THEN 'presentation' ELSE 'other' END AS role FROM documents""")
+@PLANS.add("a11_artifact_role", f"""
+WITH t AS (SELECT doc_id, {_made_sql(_FILES, '')} AS name FROM documents), l AS (SELECT *, lower(name) AS n FROM t)
+SELECT doc_id, name, CASE WHEN regexp_matches(n, '[-_]xbrl\\.zip$') THEN 'xbrl_zip' WHEN ends_with(n, '.xml') AND contains(n, 'htm') THEN 'instance' WHEN ends_with(n, '.xsd') THEN 'schema' WHEN ends_with(n, '_cal.xml') THEN 'calculation' WHEN ends_with(n, '_def.xml') THEN 'definition'
+  WHEN ends_with(n, '_lab.xml') THEN 'label' WHEN ends_with(n, '_pre.xml') THEN 'presentation' ELSE 'other' END AS role FROM l""")
 def artifacts(f: Frames) -> DataFrame:
-    names = F.array(*map(F.lit, ("a-XBRL.zip", "a_htm.xml", "a.xsd", "a_cal.xml", "a_def.xml", "a_LAB.xml", "a_pre.xml", "a.xml", "R1.htm")))
-    return f["documents"].select("doc_id", S.artifact_role(names[(F.col("doc_id") % 9).cast("int")]).alias("role"))
+    return f["documents"].select("doc_id", _made(_FILES, "").alias("name")).withColumn("role", S.artifact_role(F.col("name")))
 
 
 @PLANS.add("f8_period_matches_intent", """

@@ -83,7 +83,7 @@ def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 def concept_labels(locators: DataFrame, arcs: DataFrame, labels: DataFrame) -> DataFrame:
     """(concept, label) of a label linkbase: arcs (source, target) joined with locators (label, href) and
     labels (label, text); see ``taxonomies.read_taxonomies`` for whole folders of linkbases."""
-    rows = arcs.join(locators, arcs["source"] == locators["label"]).select("href", "target").join(labels.withColumnRenamed("label", "_l"), F.col("target") == F.col("_l"))
+    rows = arcs.join(locators.hint("merge"), arcs["source"] == locators["label"]).select("href", "target").join(labels.withColumnRenamed("label", "_l").hint("merge"), F.col("target") == F.col("_l"))
     return rows.groupBy(local_name(F.col("href")).alias("concept")).agg(F.min("text").alias("label"))
 
 
