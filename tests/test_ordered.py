@@ -85,3 +85,17 @@ def test_audit_quotas_and_rate(spark):
         kinds.setdefault(r["snapshot_id"], []).append(r["node_id"][:3])
     assert {s: {k: v.count(k) for k in v} for s, v in kinds.items()} == {"p": {"p-f": 8, "p-t": 1}, "q": {"q-f": 1, "q-r": 9}}
     assert {r["snapshot_id"]: (r["sample_size"], r["reached"], r["audit_ready"]) for r in report.collect()} == {"p": (9, 1, False), "q": (10, 10, True)}
+
+
+def test_scopes_fall_back(spark):
+    rows = [(1, "a", "10-Q", "2001-04-30", "2001-03-31"), (2, "b", "10-Q", "2001-04-30", "2001-03-31"), (2, "c", "10-Q", "2001-07-30", "2001-06-30"), (2, "d", "10-K", "2002-01-30", "2001-12-31"), (3, "e", "10-K/A", "2002-01-30", "2001-12-31")]
+    f = spark.createDataFrame(rows, "issuer_id int, accession string, form_type string, filed_at string, period_end string").withColumns({c: F.to_date(c) for c in ("filed_at", "period_end")})
+    kind = "scope_id int, issuer_id int, accessions array<string>, periods array<string>, anchor string, compare_periods array<string>"
+    scopes = [
+        (1, 1, None, None, "prior_quarter", None), (2, 2, [], [], "prior_quarter", ["FY2001"]), (3, 2, None, None, "latest_quarter", None), (4, 2, None, None, "latest_annual", None), (5, 1, None, None, "latest_annual", None),
+        (6, 2, ["d", "gone", "b"], ["FY2001"], "latest_annual", None), (7, 2, None, ["FY2001-Q2", "FY1999", "FY2001"], None, None), (8, 2, None, None, None, ["FY2001"]), (9, 2, None, None, None, None), (10, 3, None, None, "latest_annual", None), (11, 2, None, None, "other", None),
+    ]
+    got = sorted(tuple(r) for r in filings.resolve_scope(spark.createDataFrame(scopes, kind), f).collect())
+    assert got == [(1, 0, "a"), (2, 0, "b"), (3, 0, "c"), (4, 0, "d"), (6, 0, "d"), (6, 2, "b"), (7, 0, "c"), (7, 2, "d"), (8, 0, "d")]
+    newest = {(r["issuer_id"], r["form_type"]): (r["newest"], r["second"]) for r in filings.two_newest(f, "issuer_id", "form_type").collect()}
+    assert newest == {(1, "10-Q"): ("a", None), (2, "10-Q"): ("c", "b"), (2, "10-K"): ("d", None), (3, "10-K/A"): ("e", None)}
