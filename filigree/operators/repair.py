@@ -80,7 +80,7 @@ def resolve_known(paths: DataFrame, index: DataFrame, snapshot: DataFrame) -> Da
     return best.groupBy("path").agg(F.max_by("resolved", "score").alias("resolved"))
 
 
-def _resolved(items: DataFrame, column: str, index: DataFrame, snapshot: DataFrame) -> DataFrame:
+def resolved_paths(items: DataFrame, column: str, index: DataFrame, snapshot: DataFrame) -> DataFrame:
     """(item_id, canonical, unknown): an item's paths resolved in order, and those that aren't."""
     each = items.select("item_id", F.posexplode(column).alias("_at", "path"))
     answered = each.join(resolve_known(each, index, snapshot).hint("merge"), "path", "left")
@@ -115,7 +115,7 @@ def repair_paths(items: DataFrame, index: DataFrame, snapshot: DataFrame) -> Dat
     clean = written(clean_index(index), "clean-index")
     none = F.array().cast("array<string>")
     items = written(items.withColumns({"paths": F.coalesce("paths", none), "accessions": F.coalesce("accessions", none)}), "items")
-    rows = items.join(_resolved(items, "paths", clean, snapshot).hint("merge"), "item_id", "left")
+    rows = items.join(resolved_paths(items, "paths", clean, snapshot).hint("merge"), "item_id", "left")
     rows = rows.withColumns({"canonical": F.coalesce("canonical", none), "unknown": F.coalesce("unknown", none)})
     corrupt = F.exists("paths", lambda p: S.is_corrupt_tail(_tail(p)))
     reasons = F.array_compact(F.array(F.when(corrupt, "corrupt"), F.when(F.size("unknown") > 0, "unresolved"), F.when(F.size("canonical") == 0, "none_known"), F.when(misplaced(items), "misplaced")))
