@@ -137,7 +137,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN b.n % 23 = 3 THEN 'How did sales grow year over year and quarter over quarter in 2003?' ELSE b.question END AS question,
                CASE CAST(b.n % 19 AS INT) WHEN 7 THEN 'Both Alpha Corp and Beta Inc discuss supply' WHEN 8 THEN '  ' WHEN 9 THEN 'Both Alpha Corp and Beta Inc cover risk; a dispute of $3 against $4 was settled' ELSE b.answer END AS answer,
                CASE CAST(b.n % 6 AS INT) WHEN 0 THEN 'Comparison of filings' WHEN 1 THEN 'multi-hop' WHEN 2 THEN 'Reference lookup' WHEN 3 THEN 'cross-filing reference' WHEN 4 THEN 'factoid' END AS tag,
-               CASE CAST(b.n % 5 AS INT) WHEN 0 THEN 'a point for each fact' WHEN 1 THEN ' ' END AS rubric,
+               CASE CAST(b.n % 4 AS INT) WHEN 0 THEN 'a point for each fact' WHEN 1 THEN ' ' END AS rubric,
                CASE CAST(b.n % 4 AS INT) WHEN 0 THEN 'FY2003;Q2 2004' WHEN 1 THEN 'FY2001' WHEN 2 THEN 'latest' END AS periods
         FROM {bundle} b JOIN {items} i ON i.item_id = b.item_id"""),
     # Containment: region, nation, customer, order; ids as graph node ids.
