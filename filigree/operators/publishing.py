@@ -79,6 +79,11 @@ def _rules(newer: bool) -> list[tuple[Column, str, Column]]:
     return of_newer + every + last + binding if newer else every + of_older + last
 
 
+def _once(index: DataFrame, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Index and snapshot as written tables: paths are resolved by several joins with each."""
+    return written(index.select("accession", "path"), "index"), written(snapshot.select("accession").distinct(), "snapshot")
+
+
 def blocked_items(items: DataFrame, index: DataFrame, snapshot: DataFrame, filings: DataFrame, newer: bool = True) -> DataFrame:
     """(item_id, rule, reason, detail): a row for each rule that keeps an item from being published.
 
@@ -86,17 +91,19 @@ def blocked_items(items: DataFrame, index: DataFrame, snapshot: DataFrame, filin
     :func:`audits.macro_bindability` takes them. rule is the place of the rule, so that an item's first
     reason is that of its least rule. An empty index judges no paths, an empty snapshot no
     references. What lies outside an item (accessions, paths, bindings) comes by joins on few keys and
-    meets the item as one row, so that all rules are one projection.
+    meets the item as one row, so that all rules are one projection. Each of these answers is written,
+    which keeps the plans small and is what a lost executor needs.
     """
     rows = written(_with_lists(items), "drafts")
+    index, snapshot = _once(index, snapshot)
     some = index.agg((F.count("*") > 0).alias("_paths")).join(F.broadcast(snapshot.agg((F.count("*") > 0).alias("_corpus"))))  # one row each
     named = rows.where(_tag(REFERENCE_TAG)).select("item_id", F.explode(F.array_distinct("accessions")).alias("accession"))
-    outside = named.join(snapshot.select("accession").distinct().hint("merge"), "accession", "left_anti")
+    outside = named.join(snapshot.hint("merge"), "accession", "left_anti")
     outside = outside.groupBy("item_id").agg(F.array_sort(F.collect_list("accession")).alias("_outside"))
-    paths = resolved_paths(rows, "paths", index, snapshot).select("item_id", F.col("canonical").alias("_canonical"), F.col("unknown").alias("_unknown"))
+    paths = written(resolved_paths(rows, "paths", index, snapshot), "draft-paths").select("item_id", F.col("canonical").alias("_canonical"), F.col("unknown").alias("_unknown"))
     rows = rows.join(outside.hint("merge"), "item_id", "left").join(paths.hint("merge"), "item_id", "left")
     if newer:
-        macro = macro_bindability(items, filings).select("item_id", F.col("detail").alias("_macro"))
+        macro = written(macro_bindability(rows, filings), "unbindable").select("item_id", F.col("detail").alias("_macro"))
         rows = rows.join(macro.hint("merge"), "item_id", "left")
     none = F.array().cast("array<string>")
     rows = rows.withColumns({c: F.coalesce(c, none) for c in ("_outside", "_canonical", "_unknown")}).join(F.broadcast(some))
@@ -185,7 +192,7 @@ def override_items(items: DataFrame, patches: DataFrame, index: DataFrame, snaps
     as it was.
     """
     fields = [c for c in PATCHED if c in patches.columns]
-    items = _with_lists(items)
+    items, (index, snapshot) = written(_with_lists(items), "items"), _once(index, snapshot)
     wanted = patches.select("item_id", "annotation", *[F.col(c).alias(f"_p_{c}") for c in fields])
     wanted = wanted.withColumn("_p_question", F.nullif("_p_question", F.lit(""))) if "question" in fields else wanted
     rows = wanted.join(items.withColumns({"_here": F.lit(True), "parent_hash": content_hash(sorted(items.columns))}).hint("merge"), "item_id", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import claims as K
 from ..functions import comparison as C
+from ..functions.lineage import written
 from ..operators import audits as A
 from ..operators import dataset as D
 from ..operators import publishing as P
@@ -24,7 +25,9 @@ def _drafts(f: Frames) -> DataFrame:
 
 
 def _blocked(f: Frames, newer: bool) -> DataFrame:
-    return P.blocked_items(_drafts(f), R.clean_index(_index(f)), _snapshot(f), f["filings"], newer)
+    """The view of filings is an aggregate of orders, so what is asked of it several times is written."""
+    filings = written(f["filings"], "filings") if newer else f["filings"]
+    return P.blocked_items(_drafts(f), R.clean_index(_index(f)), _snapshot(f), filings, newer)
 
 
 #: Drafts with what the rules ask; s: claims that are there, m: what the binding lacks.
