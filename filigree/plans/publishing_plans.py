@@ -24,10 +24,16 @@ def _drafts(f: Frames) -> DataFrame:
     return f["drafts"].withColumns({c: F.filter(F.split(c, ";"), lambda x: x != "") for c in P.LISTS})
 
 
-def _blocked(f: Frames, newer: bool) -> DataFrame:
+def _inputs(f: Frames) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drafts, index and snapshot, which the views make of aggregates and windows over orders, written once."""
+    return written(_drafts(f), "drafts"), written(R.clean_index(_index(f)), "clean-index"), written(_snapshot(f), "snapshot")
+
+
+def _blocked(f: Frames, newer: bool, inputs: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """The view of filings is an aggregate of orders, so what is asked of it several times is written."""
+    drafts, index, snapshot = inputs or (_drafts(f), R.clean_index(_index(f)), _snapshot(f))
     filings = written(f["filings"], "filings") if newer else f["filings"]
-    return P.blocked_items(_drafts(f), R.clean_index(_index(f)), _snapshot(f), filings, newer)
+    return P.blocked_items(drafts, index, snapshot, filings, newer)
 
 
 #: Drafts with what the rules ask; s: claims that are there, m: what the binding lacks.
@@ -105,8 +111,10 @@ SELECT *, concat_ws(',', CASE WHEN kind = 'older' THEN 'too_few_items' END, CASE
   CASE WHEN kind = 'newer' AND multi_filing_count < 40 THEN 'multi_filing' END, CASE WHEN kind = 'newer' THEN 'not_signed' END, CASE WHEN unreachable_answer_gt_count > 0 THEN 'unreachable' END) AS violations FROM r""", ("drafts", "filings", "items"))
 def gates(f: Frames) -> DataFrame:
     candidates = f["items"].select(F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("status"))
-    newer = P.all_gates(_drafts(f), _blocked(f, True), candidates, declared=250, signed=False).select(F.lit("newer").alias("kind"), "*")
-    older = P.all_gates(_drafts(f), _blocked(f, False), candidates, declared=150, newer=False).select(F.lit("older").alias("kind"), "*")
+    inputs = _inputs(f)
+    newer, older = (written(_blocked(f, n, inputs), "blocked") for n in (True, False))
+    newer = P.all_gates(inputs[0], newer, candidates, declared=250, signed=False).select(F.lit("newer").alias("kind"), "*")
+    older = P.all_gates(inputs[0], older, candidates, declared=150, newer=False).select(F.lit("older").alias("kind"), "*")
     rounded = {c: F.round(c, 9) for c in ("answer_gt_coverage", "pass_rate")}
     return newer.unionByName(older).withColumns({**rounded, "violations": F.array_join("violations", ",")})
 
