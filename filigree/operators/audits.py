@@ -5,6 +5,11 @@ Null texts count as empty and null arrays as arrays without entries; empty table
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +37,8 @@ NO_ANSWER = r"(?i)\b(insufficient evidence|cannot determine|not available in)\b"
 WRONG_BINDING = r"(?i)(wrong (company|filing|form)|10-K.*10-Q|incorrect (entity|issuer))"
 CONTRAST = r"(?i)\b(compare|comparison|contrast|compared|versus|vs\.?|whereas|while|similar|differ|difference|differently|shared|common|in common|relative to|emphasiz[a-z0-9_]+)\b"
 SCALE_WORD = r"(?i)\b(billion|million|trillion|B|M|T)\b"
+#: Slots in which windows of words are counted; the driver and each task hold their counts.
+SLOTS = 1 << 17
 NUMBER = r"([0-9]+\.?[0-9]*)"
 AMOUNT = r"(?i)\$[0-9.,]+ (billion|million)"
 
@@ -223,35 +230,101 @@ def business_segments(questions: DataFrame, evidence: DataFrame, names: tuple[st
     return asked.join(seen.hint("merge"), "query_id").where(F.size(found) >= least).select("query_id", F.slice(found, 1, most).alias("segments"))
 
 
-def _shingles(text: Column, width: int) -> Column:
-    """The different windows of ``width`` words of a text; a shorter text is its own. Words are bound once."""
+def _window_set(words: np.ndarray, width: int) -> np.ndarray:
+    """Sorted digests of the different windows of ``width`` words, given the words' digests; a shorter text is one window."""
+    n = max(1, words.size - width + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(width, words.size)):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+def _per_text(texts: DataFrame, of: Callable[[np.ndarray], list], width: int, kind: str) -> DataFrame:
+    """The columns of texts but ``text``, with what ``of`` makes of the set of windows of each text's words."""
+    kept = [c for c in texts.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(kept))
+            ends, words = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            made = [of(_window_set(words[i:j], width)) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*made, strict=True), types, strict=True)] if made else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], [*kept, *names])
+
+    names = [f.split(" ")[0] for f in kind.split(", ")]
+    types = [pa.list_(pa.int64()) if "array" in f else pa.int64() for f in kind.split(", ")]
+    words = F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("_words")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*kept).schema)
+    return texts.select(*kept, words).mapInArrow(run, f"{schema}, {kind}")
+
+
+def _window_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many windows of all texts fall into each of ``SLOTS`` slots, by digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            lists = batch.column(0)
+            ends, words = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            sets = [_window_set(words[i:j], width) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            if sets:
+                found += np.bincount((np.concatenate(sets) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slots = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(found[slots])], ["slot", "n"])
+
+    words = texts.select(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("words"))
+    out = np.zeros(SLOTS, np.int64)
+    for r in words.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def _prefixes(texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Texts (and other columns) without the text, with n, the size of its set of windows, and ``ws``, those
+    that come first in an order of all windows, rare ones first; texts at least ``threshold`` alike share one.
+
+    Any order of the windows will do; this one goes by the number of windows in a slot, so that what many
+    texts have (licences, headers) comes last, without counting each window.
+    """
+    counts = _window_counts(texts, width)
 
-    def windows(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
-        return F.when(F.size(words) < width, F.array(text)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(width)), " ")))
+    def first(s: np.ndarray) -> list:
+        most = s.size - math.ceil(s.size * threshold - 1e-9) + 1
+        order = np.lexsort((s, counts[(s % np.uint64(SLOTS)).astype(np.int64)]))
+        return [s.size, s[order[:most]].view(np.int64)]
 
-    return F.array_distinct(S.let(F.split(text, " "), windows))
+    return _per_text(texts, first, width, "n long, ws array<bigint>")
 
 
-def similar_texts(texts: DataFrame, threshold: float = 0.85, width: int = 5) -> DataFrame:
-    """(a, b, similarity): pairs a < b of texts (key, text; a key is one text) whose sets of ``width``-word
-    windows have a Jaccard similarity of at least ``threshold``; exact.
+def similar_texts(classes: DataFrame, texts: DataFrame, threshold: float = 0.85, width: int = 5) -> DataFrame:
+    """(a, b, similarity): pairs a < b of classes (key, id, digest, n, ws of :func:`_prefixes`) whose sets of
+    ``width``-word windows have a Jaccard similarity of at least ``threshold``; exact, but for equal 64-bit
+    digests of different windows. texts: item_id, digest, text of all items.
 
-    Prefix filter: two sets that similar share one of the rarest n - ceil(threshold * n) + 1 windows of
-    either, so only those are joined; pairs whose sizes rule them out are dropped at once, and the rest is
-    verified on the whole sets. Texts shorter than a window are one window. *m* texts that are all alike
-    have *m²/2* pairs; callers join equal texts first.
+    Pairs share a window of both prefixes; what is left of either set after the first of these must be
+    large enough for the threshold, and so must the number of these with all that lies behind the prefixes.
+    Only such pairs are verified on whole sets. Texts shorter than a window are one window. *m* texts that
+    are all alike have *m²/2* pairs; equal texts are one class.
     """
-    sets = written(texts.select("key", _shingles(F.col("text"), width).alias("s")), "windows")
-    spread = sets.select("key", F.explode("s").alias("w"))
-    df = spread.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = spread.join(df.hint("merge"), "w").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
-    n = F.size("ws")
-    prefix = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1
-    keyed = written(ranked.select("key", n.alias("n"), F.explode(F.slice("ws", F.lit(1), prefix)).alias("k")).select("key", "n", F.col("k.w").alias("w")), "prefixes")
-    a, b = keyed.select("w", F.col("key").alias("a"), F.col("n").alias("na")), keyed.select("w", F.col("key").alias("b"), F.col("n").alias("nb"))
+    keyed = classes.select("key", "n", F.posexplode("ws").alias("at", "w"))
+    # Windows of one text only are most of them; they are dropped before the join.
+    met = keyed.groupBy("w").agg(F.count("*").alias("_df")).where("_df > 1").select("w")
+    keyed = written(keyed.join(met.hint("merge"), "w", "left_semi"), "shared")
+    a = keyed.select("w", F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    b = keyed.select("w", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     fits = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    pairs = a.join(b.hint("merge"), "w").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    least = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6
+    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= least
+    pairs = a.join(b.hint("merge"), "w").where((F.col("a") < F.col("b")) & fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("_met"), F.bool_or(enough).alias("_enough"))
+    rest = F.ceil(F.greatest("na", "nb") * F.lit(threshold) - 1e-9) - 1
+    pairs = written(pairs.where(F.col("_enough") & (F.col("_met") + rest >= least)).select("a", "b"), "candidates")
+    ids = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    named = ids.join(classes.select("key", "id", F.col("digest").alias("_digest")).hint("merge"), "key")
+    found = texts.join(named.hint("merge"), F.col("item_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("_digest"))).select("key", "text")
+    sets = _per_text(found, lambda s: [s.view(np.int64)], width, "s array<bigint>").groupBy("key").agg(F.first("s").alias("s"))
+    sets = written(sets, "windows")
     side = lambda name: sets.select(F.col("key").alias(name), F.col("s").alias(f"_{name}")).hint("merge")
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("_i"), (F.size("_a") + F.size("_b")).alias("_n"))
     return both.select("a", "b", (F.col("_i") / (F.col("_n") - F.col("_i"))).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
@@ -261,20 +334,23 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), "[ \t\r\n]+", " ")
 
 
-def _text_classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(item_id, key) of all items and (key, text, id) of their different texts, with the least item_id."""
+def _text_pairs(items: DataFrame, threshold: float, width: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(item_id, key) of all items, (key, id, digest) of their different texts, with the least item_id, and
+    the pairs of :func:`similar_texts`. Texts are read where they lie; what is written has their prefixes."""
     text = normalised(F.col("question"))
-    rows = written(items.select("item_id", F.sha2(text, 256).alias("key"), text.alias("text")), "items")
-    classes = rows.groupBy("key").agg(F.first("text").alias("text"), F.min("item_id").alias("id"))
-    return rows.select("item_id", "key"), written(classes, "texts")
+    texts = items.select("item_id", F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    rows = written(_prefixes(texts, threshold, width), "items")
+    classes = rows.groupBy("digest").agg(F.min("item_id").alias("id"), F.first("n").alias("n"), F.first("ws").alias("ws"))
+    classes = written(classes.withColumn("key", F.monotonically_increasing_id()), "texts")
+    named = rows.select("item_id", "digest").join(classes.select("digest", "key").hint("merge"), "digest").select("item_id", "key")
+    return named, classes.select("key", "id", "digest"), written(similar_texts(classes, texts, threshold, width), "similar")
 
 
 def nearest_duplicates(items: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(item_id, match_id, similarity): for each item (item_id, question) the earlier item, by id, whose
     question is most alike and at least ``threshold``; equal questions have similarity 1, ties go to the
     least id. Equal texts are one class before anything is compared."""
-    rows, classes = _text_classes(items)
-    pairs = similar_texts(classes.select("key", "text"), threshold)
+    rows, classes, pairs = _text_pairs(items, threshold)
     both = pairs.select(F.col("a").alias("key"), F.col("b").alias("other"), "similarity").unionByName(pairs.select(F.col("b").alias("key"), F.col("a").alias("other"), "similarity"))
     other = classes.select(F.col("key").alias("other"), F.col("id").alias("match_id"))
     near = both.join(other.hint("merge"), "other").select("key", "match_id", "similarity").unionByName(classes.select("key", F.col("id").alias("match_id"), F.lit(1.0).alias("similarity")))
@@ -290,9 +366,8 @@ def keep_first(items: DataFrame, threshold: float = 0.85) -> DataFrame:
     Each round settles the classes whose earlier neighbours are settled; there are as many rounds as the
     longest chain of neighbours, and the driver gets one number a round.
     """
-    rows, classes = _text_classes(items)
-    pairs = similar_texts(classes.select("key", "text"), threshold)
-    order = lambda name: classes.select(F.col("key").alias(name), F.struct("id", "key").alias(f"{name}_at")).hint("merge")
+    rows, classes, pairs = _text_pairs(items, threshold)
+    order = lambda name: classes.select(F.col("key").alias(name), F.struct("id", "digest", "key").alias(f"{name}_at")).hint("merge")
     pairs = pairs.join(order("a"), "a").join(order("b"), "b")
     before, after = F.least("a_at", "b_at"), F.greatest("a_at", "b_at")
     edges = written(pairs.select(before["key"].alias("before"), after["key"].alias("key")), "neighbours")
