@@ -38,3 +38,5 @@ def test_near_texts_write_less_than_the_texts(spark):
     before = bytes_written(spark)
     found = {r.item_id: r.match_id for r in audits.nearest_duplicates(items).collect()}
     assert found == {100: 0, 101: 1} and bytes_written(spark) - before < sum(map(len, texts)) / 2
+    kept = audits.keep_first(items).where("NOT kept").collect()
+    assert sorted(r.item_id for r in kept) == [100, 101]
