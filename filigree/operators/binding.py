@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intents as I
 from ..functions import scalars as S
+from ..functions.lineage import written
 from . import filings as D
 from .evidence import score_chunks
 
@@ -122,7 +123,11 @@ def scope_evidence(evidence: DataFrame, aligned: Column) -> DataFrame:
 def relevance_labels(items: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
     """(item_id, n_chunks, reason): the chunks under each item's resolved sections; reason where there
     are none. items: item_id, section_id (null if unresolved)."""
-    under = sections.select("section_id").join(chunks.select("section_id", "chunk_id"), "section_id")
-    g = items.join(under, "section_id", "left").groupBy("item_id").agg(F.count_distinct("chunk_id").alias("n_chunks"), F.count("section_id").alias("_s"))
+    rows = written(items.groupBy("item_id").agg(F.count("section_id").alias("_s"), F.array_sort(F.collect_set("section_id")).alias("_of")), "chosen")
+    under = chunks.select("section_id", "chunk_id").join(sections.select("section_id").distinct().hint("merge"), "section_id", "left_semi")
+    # Items with the same sections have the same chunks, which are counted once for all of them.
+    of = rows.select("_of").distinct().select("_of", F.explode("_of").alias("section_id"))
+    counts = of.join(under.hint("merge"), "section_id").groupBy("_of").agg(F.count_distinct("chunk_id").alias("n_chunks"))
+    g = rows.join(counts.hint("merge"), "_of", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
     reason = F.when(F.col("_s") == 0, "unresolved_section").when(F.col("n_chunks") == 0, "no_chunks")
     return g.select("item_id", "n_chunks", reason.alias("reason"))

@@ -5,7 +5,7 @@ import os
 import random
 
 from filigree.functions.lineage import shared_folder
-from filigree.operators import audits
+from filigree.operators import audits, binding
 
 
 def most_rows(df):
@@ -40,3 +40,12 @@ def test_near_texts_write_less_than_the_texts(spark):
     assert found == {100: 0, 101: 1} and bytes_written(spark) - before < sum(map(len, texts)) / 2
     kept = audits.keep_first(items).where("NOT kept").collect()
     assert sorted(r.item_id for r in kept) == [100, 101]
+
+
+def test_labels_of_items_of_one_section(spark):
+    items = spark.range(900).selectExpr("id AS item_id", "'s' AS section_id").union(spark.createDataFrame([(1000, "s"), (1000, "t"), (1001, None), (1002, "u"), (1003, "x"), (None, "t")], "item_id bigint, section_id string"))
+    chunks = spark.range(900).selectExpr("'s' AS section_id", "'c' || id AS chunk_id").union(spark.createDataFrame([("t", "c1"), ("t", "d"), ("u", "e")], "section_id string, chunk_id string"))
+    labels = binding.relevance_labels(items, spark.createDataFrame([("s",), ("t",), ("t",), ("x",)], "section_id string"), chunks)
+    assert most_rows(labels) < 10_000
+    got = {r.item_id: (r.n_chunks, r.reason) for r in labels.collect()}
+    assert got[5] == (900, None) and [got[k] for k in (1000, 1001, 1002, 1003, None)] == [(901, None), (0, "unresolved_section"), (0, "no_chunks"), (0, "no_chunks"), (2, None)]
