@@ -178,9 +178,11 @@ def bound_filings(items: DataFrame, filings: DataFrame) -> DataFrame:
 
 def expand_prior_year(bound: DataFrame, filings: DataFrame) -> DataFrame:
     """Bound (query_id, accession) and, for each, its issuer's annual report of the year before."""
-    have = bound.join(filings.select("accession", "issuer_id", "period_end"), "accession")
+    have = bound.join(filings.select("accession", "issuer_id", "period_end").hint("merge"), "accession")
+    # A year before is looked up once a query, however many of the issuer's filings are bound in it.
+    asked = have.select("query_id", "issuer_id", (F.year("period_end") - 1).alias("y")).distinct()
     prior = filings.where("form_type = '10-K'").select("issuer_id", F.year("period_end").alias("y"), F.col("accession").alias("prior"))
-    more = have.withColumn("y", F.year("period_end") - 1).join(prior, ["issuer_id", "y"]).select("query_id", F.col("prior").alias("accession"))
+    more = asked.join(prior.hint("merge"), ["issuer_id", "y"]).select("query_id", F.col("prior").alias("accession"))
     return bound.select("query_id", "accession").unionByName(more).distinct()
 
 

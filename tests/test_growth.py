@@ -1,11 +1,14 @@
 """What steps make of large groups: rows and bytes that grow with the input, not with its square."""
 
+import datetime
 import glob
 import os
 import random
 
+from pyspark.sql import functions as F
+
 from filigree.functions.lineage import shared_folder
-from filigree.operators import audits, binding
+from filigree.operators import audits, binding, filings
 
 
 def most_rows(df):
@@ -49,3 +52,12 @@ def test_labels_of_items_of_one_section(spark):
     assert most_rows(labels) < 10_000
     got = {r.item_id: (r.n_chunks, r.reason) for r in labels.collect()}
     assert got[5] == (900, None) and [got[k] for k in (1000, 1001, 1002, 1003, None)] == [(901, None), (0, "unresolved_section"), (0, "no_chunks"), (0, "no_chunks"), (2, None)]
+
+
+def test_prior_year_of_an_issuer_with_many_filings(spark):
+    days = {y: datetime.date(y, 12, 31) for y in (2003, 2004)}
+    filed = spark.createDataFrame([(1, f"{y}-{k}", "10-K", days[y]) for y in days for k in range(200)], "issuer_id int, accession string, form_type string, period_end date")
+    bound = filed.select(F.year("period_end").alias("query_id"), "accession")
+    got = filings.expand_prior_year(bound, filed)
+    assert most_rows(got) < 5_000
+    assert sorted(map(tuple, got.groupBy("query_id").count().collect())) == [(2003, 200), (2004, 400)]
