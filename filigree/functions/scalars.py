@@ -78,12 +78,33 @@ def parse_period(excerpt: Column) -> Column:
     return F.struct(_date_in(parts[0]).alias("period_start"), _date_in(parts[1]).alias("period_end"))
 
 
+def two_places(x: Column) -> Column:
+    """A double with two decimals, rounded as C and Python do: by its exact value, ties to the even digit.
+    format_string rounds the shortest decimal that stands for the double instead, so that 1.045, which is less
+    than that, would show as 1.05."""
+    a = F.abs(x)
+    high = (a - F.floor(a)) * 2.0**26
+    # The fraction in units of 2**-60: what is below doesn't matter, as it is there in texts of 0.00 only.
+    parts = F.struct(F.floor(a).alias("whole"), (F.floor(high) * 100).alias("high"), (F.floor((high - F.floor(high)) * 2.0**34) * 100).alias("low"))
+
+    def rounded(p: Column) -> Column:
+        total, low = p["high"] + F.shiftright(p["low"], 34), p["low"].bitwiseAND(F.lit((1 << 34) - 1))
+        cents, rest = F.shiftright(total, 26), F.shiftleft(total.bitwiseAND(F.lit((1 << 26) - 1)), 34) + low
+        up = (rest > 1 << 59) | ((rest == 1 << 59) & (cents % 2 == 1))
+        return F.struct(p["whole"].alias("whole"), (cents + up.cast("long")).alias("cents"))
+
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    shown = let(let(parts, rounded), lambda p: F.concat(sign, (p["whole"] + (p["cents"] == 100).cast("long")).cast("string"), F.lit("."), F.lpad((p["cents"] % 100).cast("string"), 2, "0")))
+    return F.when(a < 2.0**53, shown).otherwise(F.format_string("%.2f", x))
+
+
 def format_fact_value(value: Column, decimals: Column) -> Column:
     """Display text; whole numbers are taken as millions once scaled by negative decimals."""
     raw = F.translate(value, ",", "").try_cast("long")
     d = F.coalesce(decimals.try_cast("int"), F.lit(0))
     x = F.when(d < 0, raw / F.pow(F.lit(10.0), -d)).otherwise(raw.cast("double"))
-    shown = F.when(x >= 1000, F.format_string("$%.2f billion", x / 1000)).when(x >= 1, F.format_string("$%.2f million", x)).otherwise(F.format_string("$%,.0f", x))
+    money = let(F.when(x >= 1000, x / 1000).otherwise(x), lambda v: F.concat(F.lit("$"), two_places(v)))
+    shown = F.when(x >= 1000, F.concat(money, F.lit(" billion"))).when(x >= 1, F.concat(money, F.lit(" million"))).otherwise(F.format_string("$%,.0f", F.rint(x)))
     return F.when(raw.isNull(), value).otherwise(shown)
 
 
@@ -112,9 +133,10 @@ def parse_display_value(text: Column) -> Column:
 
 def format_number_display(value: Column, percent: Column) -> Column:
     a = F.abs(value)
+    money = let(F.when(percent, value).when(a >= 1e9, value / 1e9).when(a >= 1e6, value / 1e6).otherwise(value), two_places)
     return (
-        F.when(percent, F.format_string("%.2f%%", value)).when(a >= 1e9, F.format_string("$%.2f billion", value / 1e9))
-        .when(a >= 1e6, F.format_string("$%.2f million", value / 1e6)).when(a >= 1e3, F.format_string("%,.0f", value)).otherwise(F.format_string("%.2f", value))
+        F.when(percent, F.concat(money, F.lit("%"))).when(a >= 1e9, F.concat(F.lit("$"), money, F.lit(" billion")))
+        .when(a >= 1e6, F.concat(F.lit("$"), money, F.lit(" million"))).when(a >= 1e3, F.format_string("%,.0f", F.rint(value))).otherwise(money)
     )
 
 

@@ -7,6 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from filigree.functions import scalars as S
 from filigree.functions.lineage import shared_folder
 from filigree.operators import audits, binding, filings
 
@@ -61,3 +62,17 @@ def test_prior_year_of_an_issuer_with_many_filings(spark):
     got = filings.expand_prior_year(bound, filed)
     assert most_rows(got) < 5_000
     assert sorted(map(tuple, got.groupBy("query_id").count().collect())) == [(2003, 200), (2004, 400)]
+
+
+def test_two_places_as_python_has_them(spark):
+    rng = random.Random(5)
+    xs = [1.045, 1.005, 0.125, 0.375, 2.675, 999.995, 0.995, -1.045, -0.0, 0.0, 1e-9, 0.005, 123456.785, 9007199254740991.0, -0.004, *[rng.randrange(10**7) / 1000 for _ in range(300)], *[rng.random() * 10 ** rng.randrange(9) for _ in range(300)]]
+    got = [r.s for r in spark.createDataFrame([(x,) for x in xs], "x double").select(S.two_places(F.col("x")).alias("s")).collect()]
+    assert got == [f"{x:.2f}" for x in xs]
+
+
+def test_display_of_values_half_way(spark):
+    rows = [("1045000", "$1.04 million", "$1.04 million"), ("500000", "$0", "500,000"), ("1500000000", "$1.50 billion", "$1.50 billion"), ("12", "$0", "12.00")]
+    table = spark.createDataFrame(rows, "v string, fact string, number string")
+    got = table.select(S.format_fact_value(F.col("v"), F.lit("-6")).alias("a"), "fact").collect()
+    assert [r.a for r in got] == [r.fact for r in got]
