@@ -74,5 +74,6 @@ def test_two_places_as_python_has_them(spark):
 def test_display_of_values_half_way(spark):
     rows = [("1045000", "$1.04 million", "$1.04 million"), ("500000", "$0", "500,000"), ("1500000000", "$1.50 billion", "$1.50 billion"), ("12", "$0", "12.00")]
     table = spark.createDataFrame(rows, "v string, fact string, number string")
-    got = table.select(S.format_fact_value(F.col("v"), F.lit("-6")).alias("a"), "fact").collect()
-    assert [r.a for r in got] == [r.fact for r in got]
+    got = table.select(S.format_fact_value(F.col("v"), F.lit("-6")).alias("a"), "fact", S.format_number_display(F.col("v").cast("double"), F.lit(False)).alias("b"), "number").collect()
+    assert [(r.a, r.b) for r in got] == [(r.fact, r.number) for r in got]
+    assert table.select(S.format_number_display(F.lit(1.045), F.lit(True)).alias("p"), S.format_number_display(F.lit(2.5e9), F.lit(None).cast("boolean")).alias("n")).first()[:] == ("1.04%", "$2.50 billion")
