@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intents as I
 from ..functions import scalars as S
+from ..functions.lineage import written
 from .ranking import GEOPOLITICAL, HIGHLIGHT_NOISE, topic_score
 
 # Words, patterns and points of the chunk score.
@@ -96,16 +97,6 @@ def compact_evidence(evidence: DataFrame, most: int, chars: int) -> DataFrame:
     """
     q, e, s = F.lower("question"), F.lower("excerpt"), F.lower(F.coalesce("section_id", F.lit("")))
     per, flags = Window.partitionBy("query_id"), S.query_flags(F.col("question"))
-    n = F.size(F.collect_set("accession").over(per))
-    longest = F.row_number().over(Window.partitionBy("query_id", "accession").orderBy(F.desc(F.length("excerpt")), "ordinal", "chunk_id"))
-    rows = evidence.withColumns({"_n": n, "_l": longest, "_topic": topic_score(F.col("question"), F.col("excerpt"), F.coalesce("section_id", F.lit("")))})
-    balanced, topical = flags["is_comparison"] & (F.col("_n") >= 2), I.has(q, TOPIC_QUESTION)
-    first = F.col("_l") <= F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("_n")))
-    order = [
-        F.when(balanced, F.when(first, 0).otherwise(1)), F.when(balanced & first, F.col("accession")), F.when(balanced & first, F.col("_l")),
-        F.when(~balanced & topical, -F.col("_topic")), F.col("ordinal"), F.col("chunk_id"),
-    ]
-    rows = rows.withColumn("_at", F.row_number().over(per.orderBy(*order))).where(~(balanced | topical) | (F.col("_at") <= most))
     mda = I.has(q, ("divest", "md&a", "management's discussion", "management discussion")) | flags["is_mda"]
     asked = (
         F.when(I.has(q, SEGMENT_QUESTION) & ~flags["is_mda"], I.has(e, SEGMENT_EVIDENCE) | I.has(s, SEGMENT_EVIDENCE))
@@ -113,12 +104,37 @@ def compact_evidence(evidence: DataFrame, most: int, chars: int) -> DataFrame:
         .when(mda, I.has(s, ("md_and_a", "mda", "management")) | e.contains("divest")).otherwise(True)
     )
     worded = (F.col("intent") == "qualitative") & (F.col("source") == "html")
-    rows = rows.withColumn("_kind", F.when(worded & asked, 2).when(worded, 1).otherwise(0))
-    best = F.max("_kind").over(per)
-    rows = rows.withColumn("_best", best).where(F.col("_kind") == F.col("_best"))
     revenue = F.col("excerpt").rlike("(?i)" + S.REVENUE_CONCEPTS) | F.coalesce(F.col("label"), F.lit("")).rlike("(?i)" + S.REVENUE_CONCEPTS)
-    last = [F.when(F.col("_best") > 0, -F.length("excerpt")), F.when((F.col("intent") != "qualitative") & I.has(q, ("revenue", "sales")), F.when(revenue, 0).otherwise(1)), F.col("_at")]
+    figures = (F.col("intent") != "qualitative") & I.has(q, ("revenue", "sales"))
+    # What is judged by the text is a few numbers a row; texts are joined again to the rows that stay.
+    rows = evidence.select(
+        "query_id", "accession", "chunk_id", "ordinal", F.xxhash64("excerpt").alias("_text"), F.length("excerpt").alias("_long"), flags["is_comparison"].alias("_compares"), I.has(q, TOPIC_QUESTION).alias("_topical"),
+        topic_score(F.col("question"), F.col("excerpt"), F.coalesce("section_id", F.lit(""))).alias("_topic"), F.when(worded & asked, 2).when(worded, 1).otherwise(0).alias("_kind"), F.when(figures, F.when(revenue, 0).otherwise(1)).alias("_figure"),
+    )
+    rows = written(rows, "judged")
+    balanced = F.col("_compares") & (F.col("_n") >= 2)
+    with_one = lambda table, one: table.join(written(one.withColumnRenamed("query_id", "_q"), "per-query"), F.col("query_id").eqNullSafe(F.col("_q"))).drop("_q")
+    rows = with_one(rows, rows.groupBy("query_id").agg(F.count_distinct("accession").alias("_n"))).withColumn("_balanced", F.coalesce(balanced, F.lit(False)))
+    longest = F.row_number().over(Window.partitionBy("query_id", "accession").orderBy(F.desc("_long"), "ordinal", "chunk_id"))
+    first = F.col("_l") <= F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("_n")))
+    dealt = rows.where("_balanced").withColumn("_l", longest).withColumn("_first", first).withColumns({"_of": F.when(F.col("_first"), F.col("accession")), "_l": F.when(F.col("_first"), F.col("_l"))})
+    none = {"_l": F.lit(None).cast("int"), "_first": F.lit(True), "_of": F.lit(None).cast("string")}
+    some = dealt.unionByName(rows.where("NOT _balanced AND coalesce(_topical, true)").withColumns(none))
+    order = [F.desc("_first"), "_of", "_l", F.when(~F.col("_balanced") & F.col("_topical"), -F.col("_topic")), "ordinal", "chunk_id"]
+    at = F.row_number().over(per.orderBy(*order))
+    chosen = some.withColumn("_at", at).where(F.col("_at") <= most).drop(*none)
+    # Of other questions all rows stay, in their own order, so that none of them has to be numbered.
+    rest = rows.where("NOT _balanced AND NOT coalesce(_topical, true)").withColumn("_at", F.lit(0))
+    rows = chosen.unionByName(rest)
+    rows = with_one(rows, rows.groupBy("query_id").agg(F.max("_kind").alias("_best"))).where(F.col("_kind") == F.col("_best"))
+    last = [F.when(F.col("_best") > 0, -F.col("_long")), "_figure", "_at", "ordinal", "chunk_id"]
     rows = rows.withColumn("position", F.row_number().over(per.orderBy(*last))).where(F.col("position") <= most)
+    rows = written(rows.select("query_id", "chunk_id", "ordinal", "_text", "position"), "compacted")
+    on = ["query_id", "chunk_id", "ordinal", "_text"]
+    texts = evidence.withColumn("_text", F.xxhash64("excerpt")).select(*on, "excerpt")
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on]
+    rows = texts.alias("t").join(rows.alias("r"), reduce(lambda a, b: a & b, same)).select("r.query_id", "r.position", "r.chunk_id", "t.excerpt")
+    rows = rows.groupBy("query_id", "position").agg(F.first("chunk_id").alias("chunk_id"), F.first("excerpt").alias("excerpt"))
     t = F.trim("excerpt")
     cut = F.when(F.length(t) > chars, F.concat(F.rtrim(F.left(t, F.lit(chars - 3))), F.lit("..."))).otherwise(t)
     return rows.select("query_id", "position", "chunk_id", cut.alias("excerpt"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filigree.functions import scalars as S
 from filigree.functions.lineage import shared_folder
-from filigree.operators import audits, binding, filings
+from filigree.operators import audits, binding, evidence, filings
 
 
 def most_rows(df):
@@ -77,3 +77,19 @@ def test_display_of_values_half_way(spark):
     got = table.select(S.format_fact_value(F.col("v"), F.lit("-6")).alias("a"), "fact", S.format_number_display(F.col("v").cast("double"), F.lit(False)).alias("b"), "number").collect()
     assert [(r.a, r.b) for r in got] == [(r.fact, r.number) for r in got]
     assert table.select(S.format_number_display(F.lit(1.045), F.lit(True)).alias("p"), S.format_number_display(F.lit(2.5e9), F.lit(None).cast("boolean")).alias("n")).first()[:] == ("1.04%", "$2.50 billion")
+
+
+def test_compaction_carries_no_texts(spark):
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(40_000))
+    rows = spark.range(300).selectExpr("'q' AS query_id", "'How did it grow?' AS question", "'other' AS intent", "'a' AS accession", "'c' || id AS chunk_id", "'html' AS source", "'s' AS section_id", f"id || '{text}' AS excerpt", "NULL AS label", "id AS ordinal")
+    before = bytes_written(spark)
+    found = evidence.compact_evidence(rows, 3, 50)
+    got = {r.position: (r.chunk_id, len(r.excerpt)) for r in found.collect()}
+    assert got == {1: ("c0", 50), 2: ("c1", 50), 3: ("c2", 50)} and bytes_written(spark) - before < 300_000
+    todo, texts = [found._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "Window":
+            texts.append("excerpt" in p.output().toString())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    assert not any(texts)
