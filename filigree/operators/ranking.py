@@ -29,7 +29,7 @@ HIGHLIGHT_NOISE = (
 CURRENCY, WORLD = r"\b(currency|income/expense|interest expense|derivatives)\b", r"\b(risk|tariff|sanction|geopolitic|war|unrest|trade barrier)\b"
 OFF_SUBJECT = "(controls and procedures|exhibit 31|dealer inventories|financial products segment)"
 #: Queries and vectors that meet in one task.
-BLOCK_QUERIES, BLOCK_VECTORS = 2_048, 100_000
+BLOCK_QUERIES, BLOCK_VECTORS = 2_048, 16_384
 
 
 def topic_score(question: Column, excerpt: Column, section: Column | None = None) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filigree.functions import scalars as S
 from filigree.functions.lineage import shared_folder
-from filigree.operators import audits, binding, evidence, filings
+from filigree.operators import audits, binding, evidence, filings, ranking
 
 
 def most_rows(df):
@@ -79,6 +79,11 @@ def test_display_of_values_half_way(spark):
     assert table.select(S.format_number_display(F.lit(1.045), F.lit(True)).alias("p"), S.format_number_display(F.lit(2.5e9), F.lit(None).cast("boolean")).alias("n")).first()[:] == ("1.04%", "$2.50 billion")
 
 
+def test_blocks_of_vectors_are_small():
+    # Scores of 256 queries against a block, rounded, negated and sorted, on each core of an executor.
+    assert 4 * 256 * ranking.BLOCK_VECTORS * 8 < 150e6
+
+
 def test_compaction_carries_no_texts(spark):
     text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(40_000))
     rows = spark.range(300).selectExpr("'q' AS query_id", "'How did it grow?' AS question", "'other' AS intent", "'a' AS accession", "'c' || id AS chunk_id", "'html' AS source", "'s' AS section_id", f"id || '{text}' AS excerpt", "NULL AS label", "id AS ordinal")
