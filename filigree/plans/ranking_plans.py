@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from ..operators import graph as G
 from ..operators import ranking as R
 from ..operators import text as T
@@ -32,7 +33,8 @@ d AS (SELECT fact_id, f.period_start AS s, f.period_end AS e, unnest(anchors) AS
 SELECT fact_id, CASE WHEN bool_or(x BETWEEN s AND e) OR min(abs(e - x)) <= 7 THEN 8.0 WHEN min(abs(e - x)) > 90 THEN -15.0 ELSE -3.0 END::DOUBLE AS score FROM d GROUP BY fact_id""", ("recent", "facts"))
 def alignment(f: Frames) -> DataFrame:
     anchors = f["recent"].groupBy("issuer_id").agg(F.collect_set("period_end").alias("anchors"))
-    rows = f["facts"].join(anchors, "issuer_id")
+    # A row an issuer, written: its size is known, and where it is shuffled adaptive execution can split an issuer with very many facts.
+    rows = f["facts"].join(written(anchors, "anchors"), "issuer_id")
     return rows.select("fact_id", R.period_alignment(F.col("period_start"), F.col("period_end"), F.col("anchors")).alias("score"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from filigree.functions import scalars as S
 from filigree.functions.lineage import shared_folder
 from filigree.operators import audits, binding, evidence, filings, ranking
+from filigree.plans import registry
 
 
 def most_rows(df):
@@ -98,3 +99,8 @@ def test_compaction_carries_no_texts(spark):
             texts.append("excerpt" in p.output().toString())
         todo += [p.children().apply(i) for i in range(p.children().size())]
     assert not any(texts)
+
+
+def test_anchors_of_issuers_are_written(spark, sf_dir):
+    # A side of known size with a row an issuer; an aggregate as it is would keep a hot issuer's facts in one task.
+    assert any("/anchors-" in f for f in registry.QUERIES["r4_period_alignment"](spark, sf_dir).inputFiles())
