@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intents as I
 from ..functions import scalars as S
+from ..functions.lineage import written
 from ..operators import evidence as E
 from ..operators import facts as O
 from ..sources.views import Frames
@@ -115,7 +116,10 @@ def _given(f: Frames) -> DataFrame:
 def _bound_facts(f: Frames) -> DataFrame:
     """Facts of the newest filing of each form, as excerpts that may name a segment."""
     named = F.concat("excerpt", F.when(F.col("value_num") % 4 == 0, " (Energy Products)").otherwise(""))
-    facts = f["excerpts"].join(f["recent"].where("n = 1").select("accession", "issuer_id").hint("merge"), "accession").select("issuer_id", F.col("fact_id").alias("chunk_id"), named.alias("excerpt"))
+    # Facts are made of the filings that count, not of all filings before a join.
+    newest = f["recent"].where("n = 1").join(_given(f).select("issuer_id").distinct().hint("merge"), "issuer_id", "left_semi")
+    newest = written(newest, "newest-filings")
+    facts = f.over("excerpts", facts=f.over("facts", filings=newest)).join(newest.select("accession", "issuer_id").hint("merge"), "accession").select("issuer_id", F.col("fact_id").alias("chunk_id"), named.alias("excerpt"))
     return _given(f).join(facts.hint("merge"), "issuer_id")
 
 

@@ -11,6 +11,7 @@ from filigree.functions import scalars as S
 from filigree.functions.lineage import shared_folder
 from filigree.operators import audits, binding, evidence, filings, ranking
 from filigree.plans import registry
+from filigree.sources.views import Frames
 
 
 def most_rows(df):
@@ -104,3 +105,20 @@ def test_compaction_carries_no_texts(spark):
 def test_anchors_of_issuers_are_written(spark, sf_dir):
     # A side of known size with a row an issuer; an aggregate as it is would keep a hot issuer's facts in one task.
     assert any("/anchors-" in f for f in registry.QUERIES["r4_period_alignment"](spark, sf_dir).inputFiles())
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_facts_by_whole_numbers(spark, sf_dir):
+    f = Frames(spark, sf_dir)
+    assert "decimal" not in optimized(f["facts"])
+    filings = f["filings"].limit(3).withColumn("cents", F.expr("element_at(array(-123457, 0, 99), cast(row_number() OVER (ORDER BY accession) AS int))").cast("bigint"))
+    got = spark.sql("SELECT *, CAST(floor(cents * pct / 10000.0) AS BIGINT) AS told FROM {facts} JOIN {filings} USING (accession) JOIN (VALUES ('Revenues', 100), ('Assets', 310), ('CostOfRevenue', 61)) AS c(concept, pct) USING (concept)", facts=f.over("facts", filings=filings), filings=filings).collect()
+    assert len(got) == 9 and all(r.value_num == r.told for r in got) and min(r.value_num for r in got) < 0
+
+
+def test_facts_of_the_filings_that_count(spark, sf_dir):
+    # The old form joined the facts of all filings with those that questions are bound to.
+    assert any("/newest-filings-" in f for f in registry.QUERIES["f14_best_fact"](spark, sf_dir).inputFiles())
