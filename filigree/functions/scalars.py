@@ -66,7 +66,7 @@ def document_root(accession: Column) -> Column:
 
 
 def _date_in(text: Column) -> Column:
-    iso = F.try_to_date(F.nullif(F.regexp_extract(text, "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")), "yyyy-MM-dd")
+    iso = F.nullif(F.regexp_extract(text, "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")).try_cast("date")
     us = F.nullif(F.regexp_extract(text, "([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})", 1), F.lit(""))
     return F.coalesce(iso, F.try_to_date(us, "MMMM d, yyyy"), F.try_to_date(us, "MMM d, yyyy"))
 
@@ -74,8 +74,14 @@ def _date_in(text: Column) -> Column:
 def parse_period(excerpt: Column) -> Column:
     """struct(period_start, period_end) of "for period A to B", "A - B" or one instant."""
     clause = F.regexp_replace(F.trim(F.regexp_extract(excerpt, _CLAUSE, 1)), r"\.+$", "")
-    parts = F.when(clause.rlike(r"(?i)\s+to\s+"), F.split(clause, r"(?i)\s+to\s+", 2)).when(clause.contains(" - "), F.split(clause, " - ", 2)).otherwise(F.array(clause, clause))
-    return F.struct(_date_in(parts[0]).alias("period_start"), _date_in(parts[1]).alias("period_end"))
+
+    def dates(c: Column) -> Column:
+        parts = F.when(c.rlike(r"(?i)\s+to\s+"), F.split(c, r"(?i)\s+to\s+", 2)).when(c.contains(" - "), F.split(c, " - ", 2))
+        both = lambda p: F.struct(_date_in(p[0]).alias("period_start"), _date_in(p[1]).alias("period_end"))
+        one = let(_date_in(c), lambda d: F.struct(d.alias("period_start"), d.alias("period_end")))
+        return F.coalesce(let(parts, lambda p: F.when(p.isNotNull(), both(p))), one)
+
+    return let(clause, dates)
 
 
 def two_places(x: Column) -> Column:

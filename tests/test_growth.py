@@ -122,3 +122,11 @@ def test_facts_by_whole_numbers(spark, sf_dir):
 def test_facts_of_the_filings_that_count(spark, sf_dir):
     # The old form joined the facts of all filings with those that questions are bound to.
     assert any("/newest-filings-" in f for f in registry.QUERIES["f14_best_fact"](spark, sf_dir).inputFiles())
+
+
+def test_periods_are_parsed_once(spark, sf_dir):
+    assert optimized(registry.QUERIES["b2_parse_period"](spark, sf_dir)).count("(?i)for period") == 1
+    forms = ["for period 2003-02-30", "for period Feb 3, 2003 to 2003-12-31", "for period a - b - 2003-01-02", "FOR PERIOD x\nfor period 0001-01-01..", "for period ", None, "for period 2003-01-01 TO May 5, 2004.", "for period Foo 3, 2003"]
+    d = datetime.date
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(forms)], "i int, t string").select("i", S.parse_period(F.col("t")).alias("p")).orderBy("i").collect()
+    assert [tuple(r.p) for r in got] == [(None, None), (d(2003, 2, 3), d(2003, 12, 31)), (None, d(2003, 1, 2)), (d(1, 1, 1), d(1, 1, 1)), (None, None), (None, None), (d(2003, 1, 1), d(2004, 5, 5)), (None, None)]
