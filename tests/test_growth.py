@@ -130,3 +130,7 @@ def test_periods_are_parsed_once(spark, sf_dir):
     d = datetime.date
     got = spark.createDataFrame([(i, t) for i, t in enumerate(forms)], "i int, t string").select("i", S.parse_period(F.col("t")).alias("p")).orderBy("i").collect()
     assert [tuple(r.p) for r in got] == [(None, None), (d(2003, 2, 3), d(2003, 12, 31)), (None, d(2003, 1, 2)), (d(1, 1, 1), d(1, 1, 1)), (None, None), (None, None), (d(2003, 1, 1), d(2004, 5, 5)), (None, None)]
+
+
+def test_excerpts_are_made_once(spark, sf_dir):
+    assert optimized(registry.QUERIES["r13_best_revenue"](spark, sf_dir)).count("XBRL ") == 1
