@@ -15,6 +15,17 @@ from ..functions import scalars as S
 from ..functions.lineage import written
 
 
+#: Concepts that may be broadcast, some hundred bytes each; more are joined by sorting, where adaptive execution
+#: splits the facts of a hot one.
+MAX_CONCEPTS = 50_000
+
+
+def _looked_up(table: DataFrame) -> DataFrame:
+    """A table with a row a concept, written, with the hint by which very many facts meet it."""
+    table = written(table, "concepts")
+    return table.hint("broadcast" if table.limit(MAX_CONCEPTS + 1).count() <= MAX_CONCEPTS else "merge")
+
+
 def consolidate_facts(rows: DataFrame) -> DataFrame:
     """Key-value rows (doc_id, ordinal, left, right) to one record for each ``value:`` row.
 
@@ -54,8 +65,9 @@ def fact_ids(facts: DataFrame) -> DataFrame:
 
 def attach_taxonomy(facts: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Add label and metric_role from taxonomy (concept, label, metric_role) by the full concept name,
-    else by the name after the colon. A taxonomy has a row for each concept of the filing standard,
-    so it is left to the planner, which broadcasts it while its file is small."""
+    else by the name after the colon. A taxonomy has a row for each concept of the filing standard;
+    it is broadcast up to ``MAX_CONCEPTS`` rows, so that the many facts of a concept aren't moved to one task."""
+    taxonomy = _looked_up(taxonomy.select("concept", "label", "metric_role"))
     full = taxonomy.select(F.col("concept").alias("_f"), F.col("label").alias("_fl"), F.col("metric_role").alias("_fr"))
     local = taxonomy.select(F.col("concept").alias("_l"), F.col("label").alias("_ll"), F.col("metric_role").alias("_lr"))
     rows = facts.join(full, F.col("concept") == F.col("_f"), "left").join(local, F.substring_index("concept", ":", -1) == F.col("_l"), "left")
@@ -219,11 +231,11 @@ def enrich_catalog(facts: DataFrame, taxonomy: DataFrame) -> DataFrame:
     What the concept's name says is overruled by its row in taxonomy (concept, standard_label,
     statement_role, metric_roles, calc_parents, calc_children; one a concept), where that has a label
     and a statement other than "other"; its roles come before those of the name, each once. A concept
-    with very many facts meets one row.
+    with very many facts meets one row, without a shuffle up to ``MAX_CONCEPTS`` concepts.
     """
     none = F.array().cast("array<string>")
     known = taxonomy.select("concept", *[F.col(c).alias(f"_{c}") for c in ("standard_label", "statement_role", "metric_roles", "calc_parents", "calc_children")])
-    rows = facts.join(known.hint("merge"), "concept", "left").withColumn("_named", S.concept_roles(F.col("concept")))
+    rows = facts.join(_looked_up(known), "concept", "left").withColumn("_named", S.concept_roles(F.col("concept")))
     days = F.datediff("period_end", "period_start")
     kind = F.when(F.col("is_annual"), "annual").when(days != 0, "interim").when(F.col("period_start").isNull() & F.col("period_end").isNotNull(), "instant").otherwise("unknown")
     told = F.when(F.col("_statement_role") != "other", F.col("_statement_role"))

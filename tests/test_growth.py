@@ -134,3 +134,8 @@ def test_periods_are_parsed_once(spark, sf_dir):
 
 def test_excerpts_are_made_once(spark, sf_dir):
     assert optimized(registry.QUERIES["r13_best_revenue"](spark, sf_dir)).count("XBRL ") == 1
+
+
+def test_facts_of_a_concept_stay_where_they_are(spark, sf_dir):
+    plan = registry.QUERIES["f9_enrich_catalog"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
