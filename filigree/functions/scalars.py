@@ -153,17 +153,26 @@ def detect_scale(shown: Column) -> Column:
 
 def parse_numeric_gt(answer: Column) -> Column:
     """Number of a ground-truth answer: percent sign and currency dropped, a final scale word applied."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.translate(answer, ",", "")), r"%+$", ""), r"^[\s$€£]+", ""))
-    scale = F.when(t.rlike(r"(?i)\s+trillion$"), 1e12).when(t.rlike(r"(?i)\s+billion$"), 1e9).when(t.rlike(r"(?i)\s+million$"), 1e6).when(t.rlike(r"(?i)\s+thousand$"), 1e3).otherwise(1.0)
-    digits = F.regexp_replace(t, r"(?i)\s+(trillion|billion|million|thousand)$", "")
-    return F.when(digits.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), digits.try_cast("double")) * F.when(F.trim(answer).endswith("%"), 1.0).otherwise(scale)
+    scales = (("trillion", 1e12), ("billion", 1e9), ("million", 1e6), ("thousand", 1e3))
+
+    def number(t: Column) -> Column:
+        scale = reduce(lambda a, w: a.when(t.rlike(rf"(?i)\s+{w[0]}$"), w[1]), scales[1:], F.when(t.rlike(rf"(?i)\s+{scales[0][0]}$"), scales[0][1])).otherwise(1.0)
+        digits = F.regexp_replace(t, r"(?i)\s+(trillion|billion|million|thousand)$", "")
+        value = let(digits, lambda d: F.when(d.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), d.try_cast("double")))
+        return value * F.when(F.trim(answer).endswith("%"), 1.0).otherwise(scale)
+
+    return let(F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.translate(answer, ",", "")), r"%+$", ""), r"^[\s$€£]+", "")), number)
 
 
 def numeric_equivalent(a: Column, b: Column, tolerance: float = 0.02) -> Column:
     """Within a relative tolerance as numbers; equal as trimmed text if either isn't a number."""
-    x, y = parse_numeric_gt(a), parse_numeric_gt(b)
-    near = F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), F.lit(1.0)) <= tolerance
-    return F.when(x.isNull() | y.isNull(), F.trim(a) == F.trim(b)).otherwise((x == y) | near)
+
+    def same(v: Column) -> Column:
+        x, y = v["x"], v["y"]
+        near = F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), F.lit(1.0)) <= tolerance
+        return F.when(x.isNull() | y.isNull(), F.trim(a) == F.trim(b)).otherwise((x == y) | near)
+
+    return let(F.struct(parse_numeric_gt(a).alias("x"), parse_numeric_gt(b).alias("y")), same)
 
 
 def excerpt_matches_value(excerpt: Column, target: Column, tolerance: float = 0.02) -> Column:
