@@ -146,3 +146,8 @@ def test_answers_are_parsed_once(spark, sf_dir):
     rows = [("$1.5 billion", "1,500,000,000", True), ("3 Trillion", "3e12", False), ("12%", "12", True), ("5 million%", "5", True), ("-2 thousand", "-2000", True), ("a ", "a", True), (None, "1", None), ("", "", True)]
     got = spark.createDataFrame(rows, "a string, b string, same boolean").select("same", S.numeric_equivalent(F.col("a"), F.col("b")).alias("got")).collect()
     assert [r.got for r in got] == [r.same for r in got]
+
+
+def test_labelled_facts_of_a_concept_stay_where_they_are(spark, sf_dir):
+    plan = registry.QUERIES["e4_labelled_facts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
