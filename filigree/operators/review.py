@@ -337,9 +337,8 @@ def path_index(nodes: DataFrame) -> DataFrame:
 
 def label_roles(label: Column) -> Column:
     """Sorted roles that a label's words suggest."""
-    t = F.lower(label)
     rules = (("net income", "net_income"), ("before income tax", "pretax_income"), ("revenue", "revenue"), ("equity", "total_equity"), ("assets", "total_assets"), ("liabilit", "total_liabilities"), ("per share", "eps"))
-    return F.array_sort(F.array_compact(F.array(*[F.when(t.contains(w), F.lit(r)) for w, r in rules])))
+    return S.let(F.lower(label), lambda t: F.array_sort(F.array_compact(F.array(*[F.when(t.contains(w), F.lit(r)) for w, r in rules]))))
 
 
 def validate_documents(documents: DataFrame, least: float = 0.5) -> DataFrame:

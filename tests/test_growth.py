@@ -151,3 +151,7 @@ def test_answers_are_parsed_once(spark, sf_dir):
 def test_labelled_facts_of_a_concept_stay_where_they_are(spark, sf_dir):
     plan = registry.QUERIES["e4_labelled_facts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_labels_are_split_once(spark, sf_dir):
+    assert optimized(registry.QUERIES["f5_label_roles"](spark, sf_dir)).count("regexp_replace(") == 2
