@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import let
+
 # Patterns and words that define the results.
 BOTH = r"(?i)both\s+[^\n]+\s+and\s+[^\n]+\s+(discuss|address|describe|mention|cover)"
 BOTH_AND = r"(?i)both\s+[^\n]+\s+and\s+[^\n]+"
@@ -40,59 +42,72 @@ def _contrast(text: Column) -> Column:
 
 def is_canonical(answer: Column) -> Column:
     """Whether an answer names two filings and says what both do, or how they compare."""
-    t = trimmed(answer)
-    return t.rlike(BOTH) | (t.rlike(BOTH_AND) & t.rlike(CROSS))
+    return let(trimmed(answer), lambda t: t.rlike(BOTH) | (t.rlike(BOTH_AND) & t.rlike(CROSS)))
 
 
-def is_boilerplate(answer: Column) -> Column:
-    """Whether an answer only says that both filings have a section: short, and nothing is compared."""
-    t = trimmed(answer)
+def _boilerplate(t: Column) -> Column:
     own = _words(F.regexp_replace(F.lower(t), TEMPLATE, " "))
     return t.rlike(BOTH) & ~t.rlike(CROSS) & (own < LONG) & ~_contrast(t)
 
 
+def is_boilerplate(answer: Column) -> Column:
+    """Whether an answer only says that both filings have a section: short, and nothing is compared."""
+    return let(trimmed(answer), _boilerplate)
+
+
 def informativeness(answer: Column) -> Column:
     """0 to 1 in tenths: 0 for empty and boilerplate answers, more for comparing, length and contrasted numbers."""
-    t = trimmed(answer)
-    tenths = F.when(t.rlike(BOTH), 2).otherwise(4) + F.when(t.rlike(CROSS), 4).otherwise(0) + F.when(_words(t) >= LONG, 2).otherwise(0) + F.when(_contrast(t), 2).otherwise(0)
-    return F.when((t == "") | is_boilerplate(answer), 0.0).otherwise(F.least(tenths, F.lit(10)) / 10)
+
+    def points(t: Column) -> Column:
+        tenths = F.when(t.rlike(BOTH), 2).otherwise(4) + F.when(t.rlike(CROSS), 4).otherwise(0) + F.when(_words(t) >= LONG, 2).otherwise(0) + F.when(_contrast(t), 2).otherwise(0)
+        return F.when((t == "") | _boilerplate(t), 0.0).otherwise(F.least(tenths, F.lit(10)) / 10)
+
+    return let(trimmed(answer), points)
 
 
 def entities(answer: Column) -> Column:
     """struct(a, b): the two that an answer compares; nulls where it names none."""
-    t = trimmed(answer)
-    sides = []
-    for group in (1, 2):
-        first = F.coalesce(*[F.when(t.rlike(p), F.regexp_extract(t, p, group)) for p in NAMED])
-        sides.append(F.regexp_replace(F.trim(first), "'s$", ""))
-    return F.struct(sides[0].alias("a"), sides[1].alias("b"))
+
+    def named(t: Column) -> Column:
+        pair = lambda p: F.struct(*[F.regexp_replace(F.trim(F.regexp_extract(t, p, g)), "'s$", "").alias(n) for g, n in ((1, "a"), (2, "b"))])
+        found = F.coalesce(*[F.when(t.rlike(p), pair(p)) for p in NAMED])
+        return let(found, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b")))
+
+    return let(trimmed(answer), named)
 
 
-def _refers(claim: Column, entity: Column) -> Column:
+def _tokens(entity: Column) -> Column:
     words = F.array_distinct(F.regexp_extract_all(F.lower(entity), F.lit("[a-z0-9]+"), 0))
-    tokens = F.filter(words, lambda w: ~w.isin(*ENTITY_STOP) & (F.length(w) > 2))
-    hits = F.size(F.filter(tokens, lambda w: F.lower(claim).contains(w)))
+    return F.filter(words, lambda w: ~w.isin(*ENTITY_STOP) & (F.length(w) > 2))
+
+
+def _refers(low: Column, tokens: Column) -> Column:
+    hits = F.size(F.filter(tokens, lambda w: low.contains(w)))
     return F.coalesce((F.size(tokens) > 0) & (hits >= F.least(F.lit(2), F.size(tokens))), F.lit(False))
 
 
 def claim_support(claims: Column, answer: Column) -> Column:
     """struct(sides, n_cross, structured): how many of the two filings have a claim of their own, how many
     claims are on both, and whether three to eight claims cover both sides and the comparison. Blank
-    and null claims don't count; without named entities, claims that name a filing's year do."""
-    a, b = entities(answer)["a"], entities(answer)["b"]
-    named = F.coalesce((a != "") & (b != ""), F.lit(False))
+    and null claims don't count; without named entities, claims that name a filing's year do.
+    What is asked of an answer is worked out once, and what is asked of a claim once a claim."""
 
-    def seen(claim: Column) -> Column:
+    def seen(claim: Column, known: Column) -> Column:
         years = F.array_distinct(F.filter(F.regexp_extract_all(claim, F.lit(ANCHOR), 1), lambda y: y != ""))
-        of_a, of_b = _refers(claim, a), _refers(claim, b)
-        cross = (F.size(years) >= 2) | (named & of_a & of_b) | (claim.rlike(r"(?i)\bboth\b") & claim.rlike(PEERS)) | claim.rlike(CROSS)
-        return F.struct(of_a.alias("a"), of_b.alias("b"), cross.alias("cross"), claim.rlike(ANCHOR).alias("dated"))
-
+        words = claim.rlike(CROSS) | (claim.rlike(r"(?i)\bboth\b") & claim.rlike(PEERS))
+        refers = let(F.lower(claim), lambda low: F.struct(_refers(low, known["ta"]).alias("a"), _refers(low, known["tb"]).alias("b")))
+        cross = lambda of: (known["named"] & of["a"] & of["b"]) | (F.size(years) >= 2) | words
+        return let(refers, lambda of: F.struct(of["a"].alias("a"), of["b"].alias("b"), cross(of).alias("cross"), claim.rlike(ANCHOR).alias("dated")))
+
+    def support(known: Column, marks: Column) -> Column:
+        side = lambda one, other: F.exists(marks, lambda m: ~m["cross"] & m[one] & ~m[other]).cast("int")
+        dated = F.least(F.lit(2), F.size(F.filter(marks, lambda m: m["dated"])))
+        sides = F.when(known["named"], side("a", "b") + side("b", "a")).otherwise(dated)
+        counts = F.struct(sides.alias("sides"), F.size(F.filter(marks, lambda m: m["cross"])).alias("n_cross"))
+        whole = lambda c: F.size(marks).between(FEWEST_CLAIMS, MOST_CLAIMS) & (c["sides"] >= 2) & (c["n_cross"] > 0)
+        return let(counts, lambda c: F.struct(c["sides"].alias("sides"), c["n_cross"].alias("n_cross"), whole(c).alias("structured")))
+
+    named = lambda e: F.coalesce((e["a"] != "") & (e["b"] != ""), F.lit(False))
+    known = let(entities(answer), lambda e: F.struct(named(e).alias("named"), _tokens(e["a"]).alias("ta"), _tokens(e["b"]).alias("tb")))
     texts = F.filter(F.transform(F.coalesce(claims, F.array().cast("array<string>")), trimmed), lambda c: c != "")
-    marks = F.transform(texts, seen)
-    side = lambda one, other: F.exists(marks, lambda m: ~m["cross"] & m[one] & ~m[other]).cast("int")
-    dated = F.least(F.lit(2), F.size(F.filter(marks, lambda m: m["dated"])))
-    sides = F.when(named, side("a", "b") + side("b", "a")).otherwise(dated)
-    n_cross = F.size(F.filter(marks, lambda m: m["cross"]))
-    whole = F.size(texts).between(FEWEST_CLAIMS, MOST_CLAIMS) & (sides >= 2) & (n_cross > 0)
-    return F.struct(sides.alias("sides"), n_cross.alias("n_cross"), whole.alias("structured"))
+    return let(known, lambda k: let(F.transform(texts, lambda c: seen(c, k)), lambda m: support(k, m)))

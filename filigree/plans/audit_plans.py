@@ -172,5 +172,6 @@ SELECT c_custkey, both_say OR (both_and AND crossed) AS canonical, boilerplate,
 FROM g LEFT JOIN s USING (c_custkey)""", ("compared",))
 def comparison_quality(f: Frames) -> DataFrame:
     t, e = F.col("answer"), C.entities(F.col("answer"))
-    rows = f["compared"].withColumn("s", C.claim_support(F.split("claims", ";"), t))
-    return rows.select("c_custkey", C.is_canonical(t).alias("canonical"), C.is_boilerplate(t).alias("boilerplate"), C.informativeness(t).alias("informativeness"), e["a"].alias("entity_a"), e["b"].alias("entity_b"), "s.*")
+    # Customers are small rows, so many of them lie in one split of a file; what is asked of one takes long.
+    rows = f["compared"].repartition(4 * f.parallelism, "c_custkey").withColumns({"s": C.claim_support(F.split("claims", ";"), t), "e": e})
+    return rows.select("c_custkey", C.is_canonical(t).alias("canonical"), C.is_boilerplate(t).alias("boilerplate"), C.informativeness(t).alias("informativeness"), F.col("e.a").alias("entity_a"), F.col("e.b").alias("entity_b"), "s.*")

@@ -155,3 +155,8 @@ def test_labelled_facts_of_a_concept_stay_where_they_are(spark, sf_dir):
 
 def test_labels_are_split_once(spark, sf_dir):
     assert optimized(registry.QUERIES["f5_label_roles"](spark, sf_dir)).count("regexp_replace(") == 2
+
+
+def test_comparisons_are_dealt_and_worked_out_once(spark, sf_dir):
+    found = registry.QUERIES["b39_comparison_quality"](spark, sf_dir)
+    assert found.rdd.getNumPartitions() >= 4 and optimized(found).count("counterpart") == 1
