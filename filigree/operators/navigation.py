@@ -37,15 +37,19 @@ def walk_candidates(frontier: DataFrame, edges: DataFrame, nodes: DataFrame, bou
     frontier: query_id, question, node_id. nodes: node_id, label. bound: query_id, accession. The score
     counts the question's words of three letters or more in a neighbour's label and id; ties go to
     the least id. A hop is approved if the neighbour's accession is bound to the question.
+    Questions of the same words at the same node have the same best neighbours, which are found once, so
+    that very many questions and neighbours aren't all paired.
     """
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("question"), F.lit("([a-z0-9]+)"), 1), lambda w: F.length(w) > 2))
-    asked = frontier.select("query_id", F.col("node_id").alias("source_id"), words.alias("_words"))
-    rows = asked.join(edges.select("source_id", "target_id", "edge_type").hint("merge"), "source_id")
+    asked = frontier.select("query_id", F.col("node_id").alias("source_id"), words.alias("_words")).withColumn("_k", F.sha2(F.to_json(F.struct("_words")), 256))
+    rows = asked.select("source_id", "_k", "_words").dropDuplicates(["source_id", "_k"]).join(edges.select("source_id", "target_id", "edge_type").hint("merge"), "source_id")
     rows = rows.join(nodes.select(F.col("node_id").alias("target_id"), "label").hint("merge"), "target_id")
     text = F.lower(F.concat_ws(" ", "label", "target_id"))
     rows = rows.withColumn("score", F.size(F.filter("_words", lambda w: F.contains(text, w))))
-    w = Window.partitionBy("query_id", "source_id").orderBy(F.desc("score"), "target_id", "edge_type")
-    rows = rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).withColumn("accession", S.accession_of(F.col("target_id")))
+    place = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "target_id", "edge_type"))
+    best = rows.withColumn("_n", place("source_id", "_k")).where(F.col("_n") <= most).drop("_n", "_words", "label")
+    rows = asked.select("query_id", "source_id", "_k").join(best.hint("merge"), ["source_id", "_k"])
+    rows = rows.withColumn("position", place("query_id", "source_id")).where(F.col("position") <= most).withColumn("accession", S.accession_of(F.col("target_id")))
     held = bound.select("query_id", "accession", F.lit(True).alias("_held")).distinct()
     rows = rows.join(held.hint("merge"), ["query_id", "accession"], "left")
     return rows.select("query_id", "source_id", "target_id", "edge_type", "score", "position", F.coalesce("_held", F.lit(False)).alias("approved"))

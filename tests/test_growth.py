@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filigree.functions import scalars as S
 from filigree.functions.lineage import shared_folder
-from filigree.operators import audits, binding, evidence, filings, ranking
+from filigree.operators import audits, binding, evidence, filings, navigation, ranking
 from filigree.plans import registry
 from filigree.sources.views import Frames
 
@@ -160,3 +160,16 @@ def test_labels_are_split_once(spark, sf_dir):
 def test_comparisons_are_dealt_and_worked_out_once(spark, sf_dir):
     found = registry.QUERIES["b39_comparison_quality"](spark, sf_dir)
     assert found.rdd.getNumPartitions() >= 4 and optimized(found).count("counterpart") == 1
+
+
+def test_questions_at_one_node_are_not_paired_with_all_neighbours(spark):
+    frontier = spark.range(300).selectExpr("id AS query_id", "IF(id % 2 = 0, 'Revenue by segment', 'risk') AS question", "'n' AS node_id").union(spark.createDataFrame([(1000, None, "n"), (1001, "risk", None), (0, "risk", "n")], "query_id bigint, question string, node_id string"))
+    edges = spark.range(200).selectExpr("'n' AS source_id", "'t' || lpad(id, 3, '0') AS target_id", "'CONTAINS' AS edge_type")
+    nodes = edges.selectExpr("target_id AS node_id", "CASE target_id WHEN 't150' THEN 'segment revenue' WHEN 't160' THEN 'Risk' ELSE 'x' END AS label")
+    hops = navigation.walk_candidates(frontier, edges, nodes, frontier.selectExpr("query_id", "'' AS accession"), 2)
+    assert most_rows(hops) < 5_000
+    got = {}
+    for r in sorted(hops.collect(), key=lambda r: (r.query_id, r.position)):
+        got.setdefault(r.query_id, []).append((r.target_id, r.score, r.position, r.approved))
+    assert got[2] == [("t150", 2, 1, True), ("t000", 0, 2, True)] and got[1] == [("t160", 1, 1, True), ("t000", 0, 2, True)]
+    assert got[0] == [("t150", 2, 1, True), ("t160", 1, 2, True)] and 1001 not in got and [x[0] for x in got[1000]] == ["t000", "t001"]
