@@ -39,6 +39,8 @@ CONTRAST = r"(?i)\b(compare|comparison|contrast|compared|versus|vs\.?|whereas|wh
 SCALE_WORD = r"(?i)\b(billion|million|trillion|B|M|T)\b"
 #: Slots in which windows of words are counted; the driver and each task hold their counts.
 SLOTS = 1 << 17
+#: Texts with candidates that may be broadcast, as a digest of 8 bytes each.
+MAX_NAMED = 1_000_000
 NUMBER = r"([0-9]+\.?[0-9]*)"
 AMOUNT = r"(?i)\$[0-9.,]+ (billion|million)"
 
@@ -298,6 +300,16 @@ def _prefixes(texts: DataFrame, threshold: float, width: int) -> DataFrame:
     return _per_text(texts, first, width, "n long, ws array<bigint>")
 
 
+def _texts_of(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, text) of the texts (item_id, digest, text) that named (key, id, _digest) has.
+
+    Few texts have candidates. The others are dropped where they are read, by a 64-bit digest, up to
+    ``MAX_NAMED`` of them; beyond that all texts are moved, with the same result."""
+    if named.limit(MAX_NAMED + 1).count() <= MAX_NAMED:
+        texts = texts.join(named.select(F.xxhash64("id", "_digest").alias("_h")).hint("broadcast"), F.xxhash64("item_id", "digest") == F.col("_h"), "left_semi")
+    return texts.join(named.hint("merge"), F.col("item_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("_digest"))).select("key", "text")
+
+
 def similar_texts(classes: DataFrame, texts: DataFrame, threshold: float = 0.85, width: int = 5) -> DataFrame:
     """(a, b, similarity): pairs a < b of classes (key, id, digest, n, ws of :func:`_prefixes`) whose sets of
     ``width``-word windows have a Jaccard similarity of at least ``threshold``; exact, but for equal 64-bit
@@ -322,8 +334,7 @@ def similar_texts(classes: DataFrame, texts: DataFrame, threshold: float = 0.85,
     pairs = written(pairs.where(F.col("_enough") & (F.col("_met") + rest >= least)).select("a", "b"), "candidates")
     ids = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     named = ids.join(classes.select("key", "id", F.col("digest").alias("_digest")).hint("merge"), "key")
-    found = texts.join(named.hint("merge"), F.col("item_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("_digest"))).select("key", "text")
-    sets = _per_text(found, lambda s: [s.view(np.int64)], width, "s array<bigint>").groupBy("key").agg(F.first("s").alias("s"))
+    sets = _per_text(_texts_of(texts, written(named, "to-verify")), lambda s: [s.view(np.int64)], width, "s array<bigint>").groupBy("key").agg(F.first("s").alias("s"))
     sets = written(sets, "windows")
     side = lambda name: sets.select(F.col("key").alias(name), F.col("s").alias(f"_{name}")).hint("merge")
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("_i"), (F.size("_a") + F.size("_b")).alias("_n"))

@@ -32,6 +32,23 @@ def most_rows(df):
     return most
 
 
+def most_moved(df):
+    """The most rows that one shuffle of the executed plan writes."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        if p.metrics().contains("shuffleRecordsWritten"):
+            most = max(most, p.metrics().apply("shuffleRecordsWritten").value())
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+        elif "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        else:
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
 def bytes_written(spark):
     return sum(os.path.getsize(f) for f in glob.glob(f"{shared_folder(spark)}/work/*/*/*.parquet"))
 
@@ -178,3 +195,13 @@ def test_questions_at_one_node_are_not_paired_with_all_neighbours(spark):
         got.setdefault(r.query_id, []).append((r.target_id, r.score, r.position, r.approved))
     assert got[2] == [("t150", 2, 1, True), ("t000", 0, 2, True)] and got[1] == [("t160", 1, 1, True), ("t000", 0, 2, True)]
     assert got[0] == [("t150", 2, 1, True), ("t160", 1, 2, True)] and 1001 not in got and [x[0] for x in got[1000]] == ["t000", "t001"]
+
+
+def test_only_texts_with_candidates_are_moved(spark, monkeypatch):
+    texts = spark.range(500).selectExpr("IF(id = 7, NULL, id) AS item_id", "unhex(sha2(string(id div 2), 256)) AS digest", "string(id div 2) AS text")
+    named = texts.where("item_id IS NULL OR item_id IN (20, 21, 300)").selectExpr("coalesce(item_id, 7) AS key", "item_id AS id", "digest AS _digest")
+    want = [(7, "3"), (20, "10"), (21, "10"), (300, "150")]
+    few = audits._texts_of(texts, named)
+    assert most_moved(few) <= 4 and sorted(map(tuple, few.collect())) == want
+    monkeypatch.setattr(audits, "MAX_NAMED", 3)
+    assert sorted(map(tuple, audits._texts_of(texts, named).collect())) == want
