@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.lineage import written
 
 # Words that make a short answer a sentence.
 SENTENCE_WORDS = ("is", "are", "was", "were", "the", "and", "that", "discuss")
@@ -19,15 +20,19 @@ def footnote_edges(tables: DataFrame, footnotes: DataFrame) -> tuple[DataFrame,
     parent_table_id. A table that refers to a footnote, or is its parent, is joined to it by FOOTNOTE_OF;
     a footnote without a parent that exists lies in the document.
     """
-    notes = footnotes.withColumn("note", F.concat_ws("-fn-", "node_id", "footnote_id"))
-    asked = tables.select("node_id", "table_id", F.explode(F.array_distinct("footnote_ids")).alias("footnote_id"))
-    met = asked.join(notes.select("node_id", "footnote_id", "note").hint("merge"), ["node_id", "footnote_id"], "left")
-    owned = notes.join(tables.select("node_id", F.col("table_id").alias("parent_table_id")), ["node_id", "parent_table_id"])
-    loose = notes.join(tables.select("node_id", F.col("table_id").alias("parent_table_id")), ["node_id", "parent_table_id"], "left_anti")
-    of = met.where("note IS NOT NULL").select(F.col("table_id").alias("source_id"), F.col("note").alias("target_id"))
-    of = of.unionByName(owned.select(F.col("parent_table_id").alias("source_id"), F.col("note").alias("target_id"))).distinct().withColumn("edge_type", F.lit("FOOTNOTE_OF"))
-    inside = loose.select(F.col("node_id").alias("source_id"), F.col("note").alias("target_id"), F.lit("CONTAINS").alias("edge_type"))
-    return of.unionByName(inside), met.where("note IS NULL").groupBy("node_id").agg(F.count("*").alias("n"))
+    note, none = F.concat_ws("-fn-", "node_id", "footnote_id"), F.array().cast("array<string>")
+    notes = written(footnotes.select("node_id", "footnote_id", "parent_table_id"), "footnotes")
+    # A table's own references and the footnotes that it is parent of are one list, so no edge comes twice.
+    owned = notes.groupBy("node_id", F.col("parent_table_id").alias("table_id")).agg(F.collect_set("footnote_id").alias("_owned"))
+    listed = tables.groupBy("node_id", "table_id").agg(F.flatten(F.collect_list("footnote_ids")).alias("footnote_ids"))
+    both = listed.join(owned.hint("merge"), ["node_id", "table_id"], "left")
+    refs = both.select("node_id", "table_id", F.explode(F.array_distinct(F.concat("footnote_ids", F.coalesce("_owned", none)))).alias("footnote_id"))
+    known = notes.select("node_id", "footnote_id", F.lit(True).alias("_known")).distinct()
+    met = refs.join(known.hint("merge"), ["node_id", "footnote_id"], "left")
+    of = met.where("_known").select(F.col("table_id").alias("source_id"), note.alias("target_id"), F.lit("FOOTNOTE_OF").alias("edge_type"))
+    loose = notes.join(tables.select("node_id", F.col("table_id").alias("parent_table_id")).hint("merge"), ["node_id", "parent_table_id"], "left_anti")
+    inside = loose.select(F.col("node_id").alias("source_id"), note.alias("target_id"), F.lit("CONTAINS").alias("edge_type"))
+    return of.unionByName(inside), met.where("_known IS NULL").groupBy("node_id").agg(F.count("*").alias("n"))
 
 
 def walk_candidates(frontier: DataFrame, edges: DataFrame, nodes: DataFrame, bound: DataFrame, most: int = 3) -> DataFrame:

@@ -205,3 +205,13 @@ def test_only_texts_with_candidates_are_moved(spark, monkeypatch):
     assert most_moved(few) <= 4 and sorted(map(tuple, few.collect())) == want
     monkeypatch.setattr(audits, "MAX_NAMED", 3)
     assert sorted(map(tuple, audits._texts_of(texts, named).collect())) == want
+
+
+def test_footnote_edges_come_once_without_a_shuffle_of_them(spark):
+    tables = spark.createDataFrame([("d", "t1", ["1", "1", "9"]), ("d", "t1", ["2"]), ("d", "t2", []), ("d", "t3", None), ("e", "t1", ["1", None])], "node_id string, table_id string, footnote_ids array<string>")
+    notes = spark.createDataFrame([("d", "1", "t1"), ("d", "2", "t2"), ("d", "3", "t3"), ("d", "4", "gone"), ("e", "5", None), ("d", "1", "t2")], "node_id string, footnote_id string, parent_table_id string")
+    edges, open_ = navigation.footnote_edges(tables, notes)
+    of = [("t1", "1"), ("t1", "2"), ("t2", "1"), ("t2", "2"), ("t3", "3")]
+    want = [(t, f"d-fn-{n}", "FOOTNOTE_OF") for t, n in of] + [("d", "d-fn-4", "CONTAINS"), ("e", "e-fn-5", "CONTAINS")]
+    assert sorted(map(tuple, edges.collect())) == sorted(want) and sorted(map(tuple, open_.collect())) == [("d", 1), ("e", 2)]
+    assert "hashpartitioning(source_id" not in edges._jdf.queryExecution().executedPlan().toString()
