@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filigree.functions import scalars as S
 from filigree.functions.lineage import shared_folder
-from filigree.operators import audits, binding, evidence, filings, navigation, ranking
+from filigree.operators import audits, binding, evidence, filings, graph, navigation, ranking
 from filigree.plans import registry
 from filigree.sources.views import Frames
 
@@ -215,3 +215,12 @@ def test_footnote_edges_come_once_without_a_shuffle_of_them(spark):
     want = [(t, f"d-fn-{n}", "FOOTNOTE_OF") for t, n in of] + [("d", "d-fn-4", "CONTAINS"), ("e", "e-fn-5", "CONTAINS")]
     assert sorted(map(tuple, edges.collect())) == sorted(want) and sorted(map(tuple, open_.collect())) == [("d", 1), ("e", 2)]
     assert "hashpartitioning(source_id" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scan_ratio_cuts_tasks_by_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "NODES_PER_TASK", 10)
+    nodes = spark.range(100).selectExpr("IF(id < 90, 1, id) AS filing_id", "id AS node_id").union(spark.createDataFrame([(1, 5), (None, 7)], "filing_id bigint, node_id bigint"))
+    visited = spark.createDataFrame([(8, 1, 5), (8, 1, 5), (8, 1, 6), (8, 95, 95), (8, 95, 5), (9, None, 7), (None, 1, 0)], "query_id bigint, filing_id bigint, node_id bigint")
+    found = graph.scan_ratio(visited, nodes)
+    assert sorted(map(tuple, found.fillna(-1).collect())) == [(-1, 1, 1, 91, 1 / 91, False), (8, 1, 2, 91, 2 / 91, False), (8, 95, 1, 1, 1.0, True)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2 and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
