@@ -33,20 +33,25 @@ def consolidate_facts(rows: DataFrame) -> DataFrame:
     decimals rows belong to the open record, the last of each kind counting; a row without such a
     mark names a concept; dimension rows don't count. Gaps and islands: the concept is the last one
     named, the record a running count of value rows.
+    Rows that neither name a concept nor belong to a record are dropped before the shuffle, and what a
+    record has is read at its last row, so that rows are sorted once.
     """
-    w = Window.partitionBy("doc_id").orderBy("ordinal")
+    w = Window.partitionBy("_h", "doc_id").orderBy("ordinal")
     left, right = F.trim("left"), F.trim("right")
-    kind = F.regexp_extract(right, "^(value|period|currency|decimals|dimension):", 1)
-    named = F.when((left != "") & kind.isin("value", ""), left)
-    marked = rows.select("doc_id", "ordinal", kind.alias("kind"), F.trim(F.regexp_replace(right, "^[a-z]+:", "")).alias("v"), named.alias("named"))
+    marks = ("value", "period", "currency", "decimals")
+    kind = reduce(lambda k, m: k.when(F.startswith(right, F.lit(f"{m}:")), m), (*marks, "dimension"), F.when(F.lit(False), ""))
+    kind = kind.when(right.isNotNull(), "")
+    named = F.when((left != "") & F.col("kind").isin("value", ""), left)
+    rows = rows.select("doc_id", "ordinal", "left", right.alias("_right"), kind.alias("kind")).where(F.col("kind").isin(*marks) | ((F.col("kind") == "") & (left != "")))
+    marked = rows.select(F.xxhash64("doc_id").alias("_h"), "doc_id", "ordinal", "kind", F.when(F.col("kind") != "", F.trim(F.substr("_right", F.length("kind") + 2))).alias("v"), named.alias("named"))
     marked = marked.withColumns({"concept": F.last("named", ignorenulls=True).over(w), "record": F.sum((F.col("kind") == "value").cast("int")).over(w)})
 
     def last(k: str) -> Column:
-        return F.max_by(F.when(F.col("kind") == k, F.col("v")), F.when(F.col("kind") == k, F.col("ordinal"))).alias(k)
+        return F.last(F.when(F.col("kind") == k, F.struct("record", "v", "concept")), ignorenulls=True).over(w).alias(f"_{k}")
 
-    parts = marked.where("record > 0 AND kind NOT IN ('', 'dimension')")
-    first = F.min_by("concept", "ordinal").alias("concept")
-    return parts.groupBy("doc_id", "record").agg(first, *[last(k) for k in ("value", "period", "currency", "decimals")]).where("concept IS NOT NULL")
+    ends = marked.select("doc_id", "record", *map(last, marks), F.lead("record").over(w).alias("_next")).where("record > 0 AND (_next IS NULL OR _next <> record)")
+    own = [F.when(F.col(f"_{k}.record") == F.col("record"), F.col(f"_{k}.v")).alias(k) for k in marks]
+    return ends.where("_value.concept IS NOT NULL").select("doc_id", "record", F.col("_value.concept").alias("concept"), *own)
 
 
 def select_facts(facts: DataFrame, prioritised: list[str], most: int = 400) -> DataFrame:

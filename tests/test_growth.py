@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filigree.functions import scalars as S
 from filigree.functions.lineage import shared_folder
-from filigree.operators import audits, binding, evidence, filings, graph, navigation, ranking
+from filigree.operators import audits, binding, evidence, facts, filings, graph, navigation, ranking
 from filigree.plans import registry
 from filigree.sources.views import Frames
 
@@ -224,3 +224,12 @@ def test_scan_ratio_cuts_tasks_by_nodes(spark, monkeypatch):
     found = graph.scan_ratio(visited, nodes)
     assert sorted(map(tuple, found.fillna(-1).collect())) == [(-1, 1, 1, 91, 1 / 91, False), (8, 1, 2, 91, 2 / 91, False), (8, 95, 1, 1, 1.0, True)]
     assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2 and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_of_facts_are_sorted_once(spark):
+    rows = [("d", i, a, b) for i, (a, b) in enumerate([("", "period: lost"), ("", "value: 0"), ("A", "value: 1 "), ("", "dimension: x"), ("", "period: p"), ("B", "text"), ("", "period:  q"), ("C", "period: r"), ("", "value: 2"), ("", "decimals: 0"), (None, "decimals: -6"), ("D", None), ("", "valued: 3"), ("E", ""), (None, "value:4")])]
+    found = facts.consolidate_facts(spark.createDataFrame([*rows, ("e", 1, " X ", " value: 5"), ("f", 1, "Y", "note")], "doc_id string, ordinal int, left string, right string"))
+    got = sorted(map(tuple, found.select("doc_id", "record", "concept", "value", "period", "currency", "decimals").collect()))
+    assert got == [("d", 2, "A", "1", "r", None, None), ("d", 3, "B", "2", None, None, "-6"), ("d", 4, "E", "4", None, None, None), ("e", 1, "X", "5", None, None, None)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "SortAggregate" not in plan
