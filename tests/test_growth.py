@@ -233,3 +233,14 @@ def test_records_of_facts_are_sorted_once(spark):
     assert got == [("d", 2, "A", "1", "r", None, None), ("d", 3, "B", "2", None, None, "-6"), ("d", 4, "E", "4", None, None, None), ("e", 1, "X", "5", None, None, None)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and "SortAggregate" not in plan
+
+
+def test_facts_of_filings_with_one_of_a_concept_stay_where_they_are(spark, monkeypatch):
+    rows = [("a", "x", "f1"), ("a", "x", "f2"), ("a", "y", "f3"), ("b", "y", "f4"), ("a", None, "f5"), (None, "x", "f6"), ("b", "z", None)]
+    table = spark.createDataFrame(rows, "concept string, accession string, fact_id string")
+    want = [("-", "f4", 1), ("f1", "f1", 2), ("f2", "f1", 2), ("f3", "f1", 3), ("f4", "f4", 1)]
+    found = graph.same_concept_classes(table)
+    assert sorted(map(tuple, found.fillna("-").collect())) == want and most_moved(found) == 0
+    monkeypatch.setattr(graph, "MAX_CONCEPTS", 0)
+    found = graph.same_concept_classes(table)
+    assert sorted(map(tuple, found.fillna("-").collect())) == want and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
