@@ -244,3 +244,16 @@ def test_facts_of_filings_with_one_of_a_concept_stay_where_they_are(spark, monke
     monkeypatch.setattr(graph, "MAX_CONCEPTS", 0)
     found = graph.same_concept_classes(table)
     assert sorted(map(tuple, found.fillna("-").collect())) == want and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paths_are_not_gathered_and_few_nodes_go_to_the_edges(spark, monkeypatch):
+    edges = spark.createDataFrame([("r", "a", "CONTAINS"), ("r", "b", "CONTAINS"), ("x", "a", "NEXT"), ("b", "x", "CONTAINS"), ("x", "y", "CONTAINS"), ("x", "y", "NEXT"), ("y", "z", "CONTAINS")], "source_id string, target_id string, edge_type string")
+    start = spark.createDataFrame([("r",), ("y",)], "source_id string")
+    want = {("r", "r"): ("r", ""), ("r", "x"): ("r,a,x", "CONTAINS,NEXT"), ("r", "y"): ("r,a,x,y", "CONTAINS,NEXT,CONTAINS"), ("y", "r"): ("y,x,a,r", "CONTAINS,NEXT,CONTAINS")}
+    for few in (graph.MAX_NODES, 0):
+        monkeypatch.setattr(graph, "MAX_NODES", few)
+        tree = graph.shortest_path_tree(start, edges, 3)
+        pairs = spark.createDataFrame([*want, *want, ("r", "z"), ("y", "gone")], "source_id string, node_id string")
+        found = graph.shortest_paths(pairs, tree, 3)
+        assert {(r.source_id, r.node_id): (",".join(r.node_ids), ",".join(r.edge_types)) for r in found.collect()} == want
+        assert most_moved(found) == 0 and found.where("hops <> size(edge_types)").isEmpty()
