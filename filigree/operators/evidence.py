@@ -210,11 +210,14 @@ def resolve_section_nodes(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     paths: path ("accession/tail"). nodes: node_id, accession, label, section_path. A path meets the
     nodes of its own accession; the node whose id or section_path it is counts 200, another 100
     for the accession and by its label: 20 equal, 15 of the same item, 12 containing the tail, else 5.
+    Keys are made once a path and once a node, before these meet.
     """
     p = paths.select("path").distinct().withColumn("_s", S.split_section_path(F.col("path"))).select("path", F.col("_s.accession").alias("accession"), F.col("_s.tail").alias("_tail"))
-    rows = p.join(nodes.withColumnRenamed("node_id", "_node").hint("merge"), "accession")
-    key, label = S.section_key(F.col("_tail")), S.section_key(F.coalesce("label", F.lit("")))
-    item, items = S.item_key(key), F.filter(F.array(S.item_key(label), S.item_key(S.section_key(F.coalesce("section_path", F.lit(""))))), lambda x: x.isNotNull())
+    p = p.withColumn("_key", S.section_key(F.col("_tail"))).withColumn("_item", S.item_key(F.col("_key")))
+    items = [S.item_key(S.section_key(F.coalesce(c, F.lit("")))) for c in ("label", "section_path")]
+    n = nodes.withColumns({"_label": S.section_key(F.coalesce("label", F.lit(""))), "_items": F.filter(F.array(*items), lambda x: x.isNotNull())})
+    rows = p.join(n.withColumnRenamed("node_id", "_node").hint("merge"), "accession")
+    key, label, item, items = (F.col(c) for c in ("_key", "_label", "_item", "_items"))
     holds = (F.col("_tail") != "") & F.contains("label", "_tail")
     alike = (key != "") & (label != "") & (F.startswith(key, label) | F.startswith(label, key))
     same = F.coalesce(F.array_contains(items, item), F.lit(False))

@@ -257,3 +257,12 @@ def test_paths_are_not_gathered_and_few_nodes_go_to_the_edges(spark, monkeypatch
         found = graph.shortest_paths(pairs, tree, 3)
         assert {(r.source_id, r.node_id): (",".join(r.node_ids), ",".join(r.edge_types)) for r in found.collect()} == want
         assert most_moved(found) == 0 and found.where("hops <> size(edge_types)").isEmpty()
+
+
+def test_keys_of_paths_and_nodes_are_made_before_they_meet(spark, sf_dir):
+    plan = optimized(registry.QUERIES["h11_resolve_section_nodes"](spark, sf_dir))
+    assert "Join" in plan and not any("regexp" in line for line in plan.splitlines() if "Join" in line)
+    nodes = spark.createDataFrame([("n1", "a", "Item 7. MD&A", None), ("n2", "a", None, "a/Item 7"), ("n3", "a", "Item 7A", "a/x"), ("n4", "a", "", None), ("a/Notes", "a", "x", None), ("n5", "b", "Item 7", None)], "node_id string, accession string, label string, section_path string")
+    paths = spark.createDataFrame([("a/Item 7",), ("a/Item 7",), ("a/item-7",), ("a/Notes",), ("a/",), ("a/$",), ("a/MD&A",), (None,), ("c/Item 7",), ("Item 7",)], "path string")
+    want = [("a/Item 7", "n2", 200), ("a/MD&A", "n1", 112), ("a/Notes", "a/Notes", 200), ("a/item-7", "n2", 115)]
+    assert sorted(map(tuple, evidence.resolve_section_nodes(paths, nodes).collect())) == want
