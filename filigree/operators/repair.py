@@ -22,6 +22,8 @@ from .navigation import infer_answer_type
 # Words by which paths are found to be misplaced.
 SECTION_WORDS = ("segment", "revenue", "net sales", "md&a", "item 7")
 SHOWN = 80  # characters of a corrupt path in an error
+#: Wanted paths that are broadcast to index and snapshot, some hundred bytes each; more are joined by sorting.
+MAX_WANTED = 100_000
 
 
 def _tail(path: Column) -> Column:
@@ -29,8 +31,10 @@ def _tail(path: Column) -> Column:
 
 
 def clean_index(index: DataFrame) -> DataFrame:
-    """Paths whose section isn't a piece of an answer, each once."""
-    return index.select("accession", "path").where(~S.is_corrupt_tail(_tail(F.col("path")))).distinct()
+    """Paths whose section isn't a piece of an answer, each once. A generator makes the section, so that it is
+    made once a path and not again in each of the conditions on it."""
+    rows = index.select("accession", "path", F.explode(F.array(_tail(F.col("path")))).alias("_tail"))
+    return rows.where(~S.is_corrupt_tail(F.col("_tail"))).select("accession", "path").distinct()
 
 
 def resolve_known(paths: DataFrame, index: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -42,15 +46,17 @@ def resolve_known(paths: DataFrame, index: DataFrame, snapshot: DataFrame) -> Da
     fits the snapshot's sections alike, whose keys it meets by their beginnings. Points: 4 for the accession, 3 for the
     key or 2 for the item, and the shorter key's length; ties go to the least path. The filer's and
     the whole snapshot's sections are first reduced to one path a key, so that no filing's paths
-    meet all those of a filer with many filings.
+    meet all those of a filer with many filings. Up to ``MAX_WANTED`` paths go to index and snapshot, which stay
+    where they are.
     """
     parts = S.split_section_path(F.col("path"))
     key = lambda path: S.section_key(_tail(path))
     wanted = paths.select("path").distinct().withColumns({"accession": parts["accession"], "_k": S.section_key(parts["tail"])}).withColumn("_item", S.item_key(F.col("_k")))
     wanted = written(wanted, "wanted-paths")
+    way = "broadcast" if wanted.limit(MAX_WANTED + 1).count() <= MAX_WANTED else "merge"
     known = index.select(F.col("accession").alias("accession"), F.col("path").alias("resolved"), key(F.col("path")).alias("_gk")).withColumn("_gi", S.item_key(F.col("_gk")))
-    members = written(snapshot.select("accession").distinct(), "members")
-    exact = wanted.join(index.select("path").distinct().hint("merge"), "path", "left_semi").select("path", F.col("path").alias("resolved"), F.lit(1 << 20).alias("score"))
+    members = written(snapshot.select("accession"), "members")
+    exact = index.join(wanted.hint(way), "path", "left_semi").select("path").distinct().select("path", F.col("path").alias("resolved"), F.lit(1 << 20).alias("score"))
 
     filer = F.substring_index("accession", "-", 1)
     inside = known.join(members.hint("merge"), "accession", "left_semi")
@@ -64,8 +70,9 @@ def resolve_known(paths: DataFrame, index: DataFrame, snapshot: DataFrame) -> Da
     fits = same | equal | F.startswith("_k", "_gk") | F.startswith("_gk", "_k")
     points = F.when(equal, 3).when(same, 2).otherwise(0) + F.least(F.length("_k"), F.length("_gk"))
     some = wanted.where("_k <> ''")
-    own = some.join(known.hint("merge"), "accession").where(fits).select("path", "resolved", (points + 4).alias("score"))
-    kin = some.join(members.hint("merge"), "accession", "left_semi").withColumn("_filer", filer)
+    own = known.join(some.hint(way), "accession").where(fits).select("path", "resolved", (points + 4).alias("score"))
+    here = members.join(some.select("accession").distinct().hint(way), "accession", "left_semi").distinct()
+    kin = some.join(here.hint("merge"), "accession").withColumn("_filer", filer)
     kin = kin.join(by_filer.hint("merge"), "_filer").where(fits).select("path", "resolved", points.alias("score"))
     bare = some.where("accession = ''")
     keyed = bare.join(by_key.select(F.col("_gk").alias("_k"), "resolved").hint("merge"), "_k").select("path", "resolved", (F.length("_k") + 3).alias("score"))
@@ -151,8 +158,7 @@ def item_errors(items: DataFrame, snapshot: DataFrame, paths: str = "repaired")
     """Add errors (codes in the order of the rules) and status (accepted or rejected) to items with
     ``unknown``: question, bound accessions, section paths, and what the answer's type asks for."""
     wanted = items.select("item_id", F.explode("accessions").alias("accession")).distinct()
-    known = snapshot.select("accession").distinct().withColumn("_known", F.lit(True))
-    outside = wanted.join(known.hint("merge"), "accession", "left").where("_known IS NULL").groupBy("item_id").agg(F.count("*").alias("_outside"))
+    outside = wanted.join(snapshot.select("accession").hint("merge"), "accession", "left_anti").groupBy("item_id").agg(F.count("*").alias("_outside"))
     rows = items.join(outside.hint("merge"), "item_id", "left")
     t, kind = C.trimmed(F.col("answer")), F.col("answer_type")
     claims = F.filter(F.transform(F.coalesce("claims", F.array().cast("array<string>")), C.trimmed), lambda c: c != "")

@@ -15,7 +15,7 @@ from ..operators import repair as R
 from ..sources.views import Frames
 from . import rules_sql as Q
 from .plan import Plans
-from .repair_plans import _BASE, _PATHS, _claims, _index, _snapshot
+from .repair_plans import _BASE, _PATHS, _claims, _index, _snapshot, settled
 
 PLANS = Plans()
 
@@ -25,15 +25,14 @@ def _drafts(f: Frames) -> DataFrame:
 
 
 def _inputs(f: Frames) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Drafts, index and snapshot, which the views make of aggregates and windows over orders, written once."""
+    """Drafts, index and snapshot, written once."""
     return written(_drafts(f), "drafts"), written(R.clean_index(_index(f)), "clean-index"), written(_snapshot(f), "snapshot")
 
 
 def _blocked(f: Frames, newer: bool, inputs: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
-    """The view of filings is an aggregate of orders, so what is asked of it several times is written."""
+    """What blocks drafts; f has settled filings."""
     drafts, index, snapshot = inputs or (_drafts(f), R.clean_index(_index(f)), _snapshot(f))
-    filings = written(f["filings"], "filings") if newer else f["filings"]
-    return P.blocked_items(drafts, index, snapshot, filings, newer)
+    return P.blocked_items(drafts, index, snapshot, f["filings"], newer)
 
 
 #: Drafts with what the rules ask; s: claims that are there, m: what the binding lacks.
@@ -76,12 +75,12 @@ def _held_back(name: str, rules: list[tuple[str, str, str]]) -> str:
 
 @PLANS.add("q10_blocked_items", f"WITH {_ASKED}, {_held_back('b', _NEWER)} SELECT * FROM b", ("drafts", "filings"))
 def blocked(f: Frames) -> DataFrame:
-    return _blocked(f, True)
+    return _blocked(settled(f), True)
 
 
 @PLANS.add("q10_blocked_reasons", f"WITH {_ASKED}, {_held_back('b', _OLDER)} SELECT reason, count(*) AS n, count(DISTINCT item_id) AS n_items, min(item_id) AS example FROM b GROUP BY 1", ("drafts", "filings"))
 def reasons(f: Frames) -> DataFrame:
-    return P.blocked_reasons(_blocked(f, False))
+    return P.blocked_reasons(_blocked(settled(f), False))
 
 
 @PLANS.add("q13_scorability_full", f"""
@@ -110,6 +109,7 @@ SELECT *, concat_ws(',', CASE WHEN kind = 'older' THEN 'too_few_items' END, CASE
   CASE WHEN blocked_count > 0 THEN 'infeasible' END, CASE WHEN kind = 'newer' AND answer_gt_coverage < 1 THEN 'coverage' END, CASE WHEN kind = 'newer' AND rubric_only > 0 THEN 'rubric_only' END, CASE WHEN kind = 'newer' AND boilerplate > 0 THEN 'boilerplate' END,
   CASE WHEN kind = 'newer' AND multi_filing_count < 40 THEN 'multi_filing' END, CASE WHEN kind = 'newer' THEN 'not_signed' END, CASE WHEN unreachable_answer_gt_count > 0 THEN 'unreachable' END) AS violations FROM r""", ("drafts", "filings", "items"))
 def gates(f: Frames) -> DataFrame:
+    f = settled(f)
     candidates = f["items"].select(F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("status"))
     inputs = _inputs(f)
     newer, older = (written(_blocked(f, n, inputs), "blocked") for n in (True, False))
@@ -158,6 +158,7 @@ SELECT pt.item_id, annotation, CASE WHEN d.item_id IS NULL THEN '' ELSE sha256(d
   CASE WHEN d.item_id IS NULL OR len(errors) > 0 THEN 'rejected' ELSE 'accepted' END AS outcome, CASE WHEN d.item_id IS NULL THEN 'item_not_found' ELSE array_to_string(errors, ',') END AS errors
 FROM pt LEFT JOIN (SELECT item_id, concat_ws(chr(31), {_HASHED}) AS hashed FROM drafts) d ON d.item_id = pt.item_id LEFT JOIN j ON j.item_id = pt.item_id""", ("drafts", "filings", "annotations"))
 def changelog(f: Frames) -> DataFrame:
+    f = settled(f)
     log, _ = P.override_items(_drafts(f), _patches(f), R.clean_index(_index(f)), _snapshot(f))
     return log.withColumns({c: F.array_join(c, ",") for c in ("changed", "errors")})
 
@@ -167,5 +168,6 @@ WITH {_PATCHED}, ok AS (SELECT * FROM j WHERE len(errors) = 0)
 SELECT d.item_id, CASE WHEN ok.item_id IS NULL THEN d.question ELSE ok.question END AS question, CASE WHEN ok.item_id IS NULL THEN d.answer ELSE ok.answer END AS answer, CASE WHEN ok.item_id IS NULL THEN d.rubric ELSE ok.rubric END AS rubric,
   CASE WHEN ok.item_id IS NULL THEN array_to_string(list_filter(split(d.paths, ';'), lambda x: x <> ''), '|') ELSE array_to_string(ok.canonical, '|') END AS paths FROM drafts d LEFT JOIN ok USING (item_id)""", ("drafts", "filings", "annotations"))
 def overridden(f: Frames) -> DataFrame:
+    f = settled(f)
     _, items = P.override_items(_drafts(f), _patches(f), R.clean_index(_index(f)), _snapshot(f))
     return items.select("item_id", "question", "answer", "rubric", F.array_join("paths", "|").alias("paths"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import claims as K
 from ..functions import comparison as C
 from ..functions import intents as I
+from ..functions.lineage import written
 from ..operators import repair as R
 from ..sources.views import Frames
 from . import rules_sql as Q
@@ -20,6 +21,13 @@ _ANNUAL = ("Item 1. Business", "Item 1A. Risk Factors", "Item 7. Management Disc
 _QUARTERLY = ("Item 2. Management Discussion", "XBRL Financial Facts", "Item 1A. Risk Factors")
 
 
+def settled(f: Frames) -> Frames:
+    """Frames whose filings, an aggregate of orders, and the recent ones among them are written once: items, index
+    and snapshot are made of both. What only facts need of a filing is left out."""
+    filings = written(f["filings"].drop("cik", "cents"), "filings")
+    return f.replaced(filings=filings, recent=written(f.over("recent", filings=filings), "recent"))
+
+
 def _items(f: Frames) -> DataFrame:
     listed = {c: F.filter(F.split(c, ";"), lambda x: x != "") for c in ("accessions", "paths", "claims")}
     return f["bundle"].withColumns(listed).withColumn("multi", F.lit(False))
@@ -120,6 +128,7 @@ rp AS (SELECT item_id, reasons, CASE WHEN kept OR emptied THEN raw ELSE best END
 
 @PLANS.add("q27_repair_paths", f"WITH {_BASE}, {_PATHS} SELECT item_id, array_to_string(repaired, '|') AS paths, path_changed, array_to_string(reasons, ',') AS reasons FROM rp", ("bundle", "filings"))
 def paths(f: Frames) -> DataFrame:
+    f = settled(f)
     rows = R.repair_paths(_items(f), _index(f), _snapshot(f))
     return rows.select("item_id", F.array_join("repaired", "|").alias("paths"), "path_changed", F.array_join("reasons", ",").alias("reasons"))
 
@@ -140,6 +149,7 @@ SELECT item_id, array_to_string(CASE WHEN changed THEN list_filter(repaired, lam
   array_to_string(CASE WHEN changed THEN new_claims ELSE own END, '|') AS claims, path_changed, answer_changed, path_changed AND list_contains(reasons, 'misplaced') AS cohort,
   CASE WHEN changed THEN array_to_string(errors, ',') END AS errors, CASE WHEN changed THEN CASE WHEN len(errors) = 0 THEN 'accepted' ELSE 'rejected' END END AS status FROM er""", ("bundle", "filings"))
 def items(f: Frames) -> DataFrame:
+    f = settled(f)
     rows = R.repair_items(_items(f), _index(f), _snapshot(f))
     joined = [F.array_join("paths", "|").alias("paths"), F.coalesce(F.array_join("claims", "|"), F.lit("")).alias("claims"), F.array_join("errors", ",").alias("errors")]
     return rows.select("item_id", *joined, "answer", "answer_type", "path_changed", "answer_changed", "cohort", "status")

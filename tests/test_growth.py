@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filigree.functions import scalars as S
 from filigree.functions.lineage import shared_folder
-from filigree.operators import audits, binding, evidence, facts, filings, graph, navigation, ranking
+from filigree.operators import audits, binding, evidence, facts, filings, graph, navigation, publishing, ranking, repair
 from filigree.plans import registry
 from filigree.sources.views import Frames
 
@@ -266,3 +266,22 @@ def test_keys_of_paths_and_nodes_are_made_before_they_meet(spark, sf_dir):
     paths = spark.createDataFrame([("a/Item 7",), ("a/Item 7",), ("a/item-7",), ("a/Notes",), ("a/",), ("a/$",), ("a/MD&A",), (None,), ("c/Item 7",), ("Item 7",)], "path string")
     want = [("a/Item 7", "n2", 200), ("a/MD&A", "n1", 112), ("a/Notes", "a/Notes", 200), ("a/item-7", "n2", 115)]
     assert sorted(map(tuple, evidence.resolve_section_nodes(paths, nodes).collect())) == want
+
+
+def test_filings_of_overrides_are_made_once(spark, sf_dir, monkeypatch):
+    given, real = [], publishing.override_items
+    monkeypatch.setattr(publishing, "override_items", lambda *tables: (given.extend(tables), real(*tables))[1])
+    registry.QUERIES["q23_override_changelog"](spark, sf_dir)
+    assert len(given) == 4 and not any("o_custkey" in optimized(df) for df in given)
+
+
+def test_wanted_paths_go_to_the_index_while_they_are_few(spark, monkeypatch):
+    index = spark.range(60).selectExpr("concat('f', id % 5, '-', id) AS accession").selectExpr("accession", "explode(array('Item 7. Management', 'Item 1A', 'Notes')) AS name").selectExpr("accession", "concat(accession, '/', name) AS path")
+    snapshot = index.select("accession")
+    paths = spark.createDataFrame([("f0-0/Notes",), ("f0-0/item 7",), ("f0-5/note",), ("f9-1/Notes",), ("Notes",), ("item 1a",), ("gone",), (None,)], "path string")
+    want = [("Notes", "f0-0/Notes"), ("f0-0/Notes", "f0-0/Notes"), ("f0-0/item 7", "f0-0/Item 7. Management"), ("f0-5/note", "f0-5/Notes"), ("item 1a", "f0-0/Item 1A")]
+    few = repair.resolve_known(paths, index, snapshot)
+    assert sorted(map(tuple, few.collect())) == want and most_moved(few) < 60
+    monkeypatch.setattr(repair, "MAX_WANTED", 0)
+    many = repair.resolve_known(paths, index, snapshot)
+    assert sorted(map(tuple, many.collect())) == want and "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
