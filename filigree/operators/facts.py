@@ -34,24 +34,28 @@ def consolidate_facts(rows: DataFrame) -> DataFrame:
     mark names a concept; dimension rows don't count. Gaps and islands: the concept is the last one
     named, the record a running count of value rows.
     Rows that neither name a concept nor belong to a record are dropped before the shuffle, and what a
-    record has is read at its last row, so that rows are sorted once.
+    record has is read at its last row, so that rows are sorted once. Rows that lie together by doc_id
+    already aren't moved.
     """
     w = Window.partitionBy("_h", "doc_id").orderBy("ordinal")
+    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     left, right = F.trim("left"), F.trim("right")
     marks = ("value", "period", "currency", "decimals")
-    kind = reduce(lambda k, m: k.when(F.startswith(right, F.lit(f"{m}:")), m), (*marks, "dimension"), F.when(F.lit(False), ""))
-    kind = kind.when(right.isNotNull(), "")
-    named = F.when((left != "") & F.col("kind").isin("value", ""), left)
-    rows = rows.select("doc_id", "ordinal", "left", right.alias("_right"), kind.alias("kind")).where(F.col("kind").isin(*marks) | ((F.col("kind") == "") & (left != "")))
-    marked = rows.select(F.xxhash64("doc_id").alias("_h"), "doc_id", "ordinal", "kind", F.when(F.col("kind") != "", F.trim(F.substr("_right", F.length("kind") + 2))).alias("v"), named.alias("named"))
-    marked = marked.withColumns({"concept": F.last("named", ignorenulls=True).over(w), "record": F.sum((F.col("kind") == "value").cast("int")).over(w)})
-
-    def last(k: str) -> Column:
-        return F.last(F.when(F.col("kind") == k, F.struct("record", "v", "concept")), ignorenulls=True).over(w).alias(f"_{k}")
-
-    ends = marked.select("doc_id", "record", *map(last, marks), F.lead("record").over(w).alias("_next")).where("record > 0 AND (_next IS NULL OR _next <> record)")
-    own = [F.when(F.col(f"_{k}.record") == F.col("record"), F.col(f"_{k}.v")).alias(k) for k in marks]
-    return ends.where("_value.concept IS NOT NULL").select("doc_id", "record", F.col("_value.concept").alias("concept"), *own)
+    is_ = {k: F.startswith(right, F.lit(f"{k}:")) for k in (*marks, "dimension")}
+    named = F.when((left != "") & ~reduce(Column.__or__, [c for k, c in is_.items() if k != "value"]), left).alias("named")
+    # A row has the text of its kind; a value row sets the other kinds to none.
+    texts = [F.when(is_["value"], right).alias("value"), *[F.when(is_[k], right).when(is_["value"], "").alias(k) for k in marks[1:]]]
+    counts = reduce(Column.__or__, [F.col(c).isNotNull() for c in (*marks[1:], "named")])
+    marked = rows.select(F.xxhash64("doc_id").alias("_h"), "doc_id", "ordinal", named, *texts).where(counts)
+
+    def last(c: str) -> Column:
+        return F.last(c, ignorenulls=True).over(before)
+
+    state = marked.select("_h", "doc_id", "ordinal", "value", F.count("value").over(before).alias("record"), last("named").alias("concept"), *[last(k).alias(k) for k in marks[1:]], F.lead("value", 1, "").over(w).isNotNull().alias("_end"))
+    kept = state.where((F.col("record") > 0) & (F.col("value").isNotNull() | F.col("_end")))
+    opened = [F.when(F.col("value").isNotNull(), F.col(c)).otherwise(F.lag(c).over(w)).alias(c) for c in ("concept", "value")]
+    ends = kept.select("_h", "doc_id", "record", *opened, *marks[1:], "_end").where("_end AND concept IS NOT NULL")
+    return ends.select("doc_id", "record", "concept", *[F.when(F.col(k) != "", F.trim(F.substr(k, F.lit(len(k) + 2)))).alias(k) for k in marks])
 
 
 def select_facts(facts: DataFrame, prioritised: list[str], most: int = 400) -> DataFrame:

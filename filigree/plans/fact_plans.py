@@ -11,6 +11,9 @@ from ..sources.views import Frames
 from .plan import Plans
 
 PLANS = Plans()
+#: Orders whose filings a task takes, one at most each, or two with those filed again; it sorts some fifty rows a
+#: filing, of some 200 bytes.
+ORDERS_PER_TASK = 20_000
 _ANNUAL = "(strftime(period_start, '%m-%d') = '01-01' AND strftime(period_end, '%m-%d') = '12-31')"
 
 
@@ -32,7 +35,9 @@ def consolidate(f: Frames) -> DataFrame:
         F.struct(F.lit("").alias("left"), F.when(v % 2 == 0, "currency: USD").otherwise("dimension: none").alias("right")),
         F.struct(F.lit("").alias("left"), F.lit("decimals: 0").alias("right")), F.struct(F.lit("").alias("left"), F.lit("decimals: -6").alias("right")),
     )
-    rows = f["facts"].select("accession", "concept", F.posexplode(pairs).alias("p", "kv")).select(F.col("accession").alias("doc_id"), F.struct("concept", "p").alias("ordinal"), "kv.*")
+    parts = max(f.parallelism, -(-f["orders"].count() // ORDERS_PER_TASK))
+    facts = f.replaced(filings=f["filings"].repartition(parts, "accession"))["facts"]
+    rows = facts.select("accession", "concept", F.posexplode(pairs).alias("p", "kv")).select(F.col("accession").alias("doc_id"), F.struct("concept", "p").alias("ordinal"), "kv.*")
     return O.consolidate_facts(rows)
 
 

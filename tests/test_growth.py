@@ -235,6 +235,16 @@ def test_records_of_facts_are_sorted_once(spark):
     assert plan.count("Sort [") == 1 and "SortAggregate" not in plan
 
 
+def test_filings_are_moved_before_they_become_rows(spark, sf_dir):
+    found = registry.QUERIES["f1_consolidate_facts"](spark, sf_dir)
+    assert 0 < most_moved(found) < 2 * Frames(spark, sf_dir)["orders"].count()
+    rows = [("d", [("", "period: lost"), ("A", "value: 1"), ("", "period:"), ("B", "note"), ("", "decimals: 3"), ("", "value: 2"), ("C", "value:")]), ("e", [("", "value: 9"), ("X", "value"), ("", "currency: c"), (None, " value: 4 "), ("Y", "dimension: z")])]
+    tables = spark.createDataFrame(rows, "doc_id string, cells array<struct<left: string, right: string>>").repartition(3, "doc_id")
+    found = facts.consolidate_facts(tables.select("doc_id", F.posexplode("cells").alias("ordinal", "cell")).select("doc_id", "ordinal", "cell.*"))
+    want = [("d", 1, "A", "1", "", None, "3"), ("d", 2, "B", "2", None, None, None), ("d", 3, "C", "", None, None, None), ("e", 2, "X", "4", None, None, None)]
+    assert sorted(map(tuple, found.collect())) == want and most_moved(found) <= len(rows)
+
+
 def test_facts_of_filings_with_one_of_a_concept_stay_where_they_are(spark, monkeypatch):
     rows = [("a", "x", "f1"), ("a", "x", "f2"), ("a", "y", "f3"), ("b", "y", "f4"), ("a", None, "f5"), (None, "x", "f6"), ("b", "z", None)]
     table = spark.createDataFrame(rows, "concept string, accession string, fact_id string")
